@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Documents of one bucket of the running sum, on average.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 5_000
 WEIGHTS = (3, 1, 2)
 SHARE_PERCENT = 150
 MOST = 2
@@ -53,7 +53,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     A document is taken whole: floor(target / source_size) times, and once more if the middle of its place in its
     source's sequence lies before the remaining fraction; a source's taken words thus miss its target by at most half
     a document. Documents without words are in no copy (taken 0). Null sources form one source, which comes last.
-    Rows that repeat an id are separate documents at neighbouring places; ties in the digest are ordered by id, and then by text.
+    Rows that repeat an id are separate documents at neighbouring places; ties in the digest are ordered by id, and then by size.
     An empty table gives no rows. Columns of docs that have a result's name are replaced.
     """
     base = docs.drop("size", "source_size", "target", "copies", "taken", "slope", "position", "weight")
@@ -68,7 +68,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     starts = starts.alias("b").join(plan.alias("p"), F.col("b.source").eqNullSafe(F.col("p.source"))).select(F.col("b.source").alias("_source"), F.col("b._bucket").alias("_at"), "_start", "source_size", "weight", "target")
     placed = sized.withColumn("_bucket", bucket)
     placed = placed.join(starts, placed[source].eqNullSafe(F.col("_source")) & (placed["_bucket"] == F.col("_at")))
-    inside = W.partitionBy("_source", "_bucket").orderBy("_digest", F.col(key), F.col(text)).rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("_source", "_bucket").orderBy("_digest", F.col(key), "size").rowsBetween(W.unboundedPreceding, -1)
     middle = (F.col("_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("size") / 2) / F.col("source_size")
     ratio = F.col("target") / F.col("source_size")
     copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.floor(ratio) + (F.col("_middle") < ratio - F.floor(ratio)).cast("int")).cast("long")

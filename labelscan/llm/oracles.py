@@ -24,7 +24,7 @@ t AS (
   FROM f),
 p AS (
   SELECT d.*, t.source_size, t.target, t.slope, t.target / t.source_size AS ratio,
-         (coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY digest, doc_id, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+         (coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY digest, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
            + size / 2) / t.source_size AS middle
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,

@@ -3,16 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from labelscan.llm import toxicity
 from labelscan.llm.mixing import mix
 from labelscan.llm.shared import table
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    labels = table(spark, sf_dir, "labels").where(~held_out)
+    found = toxicity.score(docs, toxicity.train(docs, labels))
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"), "best", F.size("passages").cast("long").alias("n_passages"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op8_mixing": op8_mixing,
 }

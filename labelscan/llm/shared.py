@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
@@ -53,6 +54,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def plus(df: DataFrame, ddl: str) -> StructType:
+    """df's schema and further fields."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Finaliser: spreads every input bit over the 64 output bits."""
     x = (x ^ (x >> np.uint64(30))) * _M1
@@ -83,7 +89,7 @@ def runs(values: np.ndarray, n: int) -> np.ndarray:
 class Words:
     """Words of some documents: start and end bytes, document, and 64-bit hash, as flat arrays."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False, hashes: bool = True):
+    def __init__(self, texts: pa.Array, lower: bool = False, hashes: bool = True, separators: np.ndarray = SPACES):
         if texts.null_count:
             texts = pc.fill_null(texts, "")
         if pa.types.is_large_string(texts.type):
@@ -98,7 +104,7 @@ class Words:
         size = len(self.data)
         edge = np.zeros(size + 1, bool)
         edge[self.offsets] = True
-        inside = ~SPACES[self.data]
+        inside = ~separators[self.data]
         before = np.empty(size, bool)
         after = np.empty(size, bool)
         if size:
@@ -109,12 +115,20 @@ class Words:
         self.ends = np.flatnonzero(inside & after) + 1
         self.first = np.searchsorted(self.starts, self.offsets)  # word index at which each document begins
         self.counts = np.diff(self.first)
+        self._sums: np.ndarray | None = None
         self.hashes = self.spans(self.starts, self.ends) if hashes else None
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """64-bit hash of each byte span."""
         up, down = powers(len(self.data) + 1)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[self.data] * up[:-1], dtype=np.uint64)))
-        return mixed((sums[ends] - sums[starts]) * down[starts])
+        if self._sums is None:
+            self._sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[self.data] * up[:-1], dtype=np.uint64)))
+        return mixed((self._sums[ends] - self._sums[starts]) * down[starts])
+
+    def per_doc(self, mask: np.ndarray) -> np.ndarray:
+        """Sum of a value of each byte, by document."""
+        total = np.concatenate(([0], np.cumsum(mask, dtype=np.int64)))
+        return np.diff(total[self.offsets])
 
     @property
     def docs(self) -> np.ndarray:
