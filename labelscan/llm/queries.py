@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelscan.llm import toxicity
+from labelscan.llm import quality, toxicity
 from labelscan.llm.mixing import mix
 from labelscan.llm.shared import table
 
@@ -23,7 +23,14 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs, model).select("doc_id", "evidence", "host_mean", "path_mean", "quality", "kept")
+
+
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op8_mixing": op8_mixing,
+    "op10_quality": op10_quality,
 }
