@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelscan.llm import quality, toxicity
+from labelscan.llm import media, quality, toxicity
 from labelscan.llm.mixing import mix
 from labelscan.llm.shared import table
 
@@ -23,6 +23,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read(media.store(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -32,5 +36,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op8_mixing": op8_mixing,
+    "op9_media": op9_media,
     "op10_quality": op10_quality,
 }
