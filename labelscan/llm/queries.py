@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from labelscan.llm import media, quality, toxicity
 from labelscan.llm.mixing import mix
+from labelscan.llm.neighbours import nearest
 from labelscan.llm.shared import table
 
 
@@ -18,6 +19,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"), "best", F.size("passages").cast("long").alias("n_passages"))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "position")
@@ -35,6 +40,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_toxicity": op2_toxicity,
+    "op6_neighbours": op6_neighbours,
     "op8_mixing": op8_mixing,
     "op9_media": op9_media,
     "op10_quality": op10_quality,
