@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelscan.llm import media, quality, toxicity
+from labelscan.llm import media, quality, token_files, toxicity
 from labelscan.llm.mixing import mix
 from labelscan.llm.neighbours import nearest
 from labelscan.llm.shared import table
@@ -19,6 +19,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"), "best", F.size("passages").cast("long").alias("n_passages"))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = token_files.write(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read(spark, path, with_ids=False)
+
+
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -40,6 +48,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_toxicity": op2_toxicity,
+    "op4_token_files": op4_token_files,
     "op6_neighbours": op6_neighbours,
     "op8_mixing": op8_mixing,
     "op9_media": op9_media,
