@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelscan.llm import media, quality, token_files, toxicity
+from labelscan.llm import media, packing, quality, token_files, toxicity
 from labelscan.llm.mixing import mix
 from labelscan.llm.neighbours import nearest
 from labelscan.llm.shared import table
@@ -31,6 +31,10 @@ def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "position")
@@ -50,6 +54,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op4_token_files": op4_token_files,
     "op6_neighbours": op6_neighbours,
+    "op7_packing": op7_packing,
     "op8_mixing": op8_mixing,
     "op9_media": op9_media,
     "op10_quality": op10_quality,
