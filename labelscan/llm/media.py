@@ -283,14 +283,14 @@ def store(docs: DataFrame, text: str = "text", media: str = "media") -> DataFram
     """docs with `media` (binary) in place of `text`: the text's UTF-8 bytes as pictures. Null texts count as empty."""
     docs = docs.drop(media)
     rest = docs.drop(text)
-    schema = plus(rest, f"`{media}` binary")
+    schema, others = plus(rest, f"`{media}` binary"), rest.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, text):
                 column = part.column(text).cast(pa.binary()).to_pylist()
                 medias = write([x or b"" for x in column])
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest.columns), pa.array(medias, pa.binary())], schema.names)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array(medias, pa.binary())], schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -305,7 +305,7 @@ def read(medias: DataFrame, media: str = "media") -> DataFrame:
     alone. The feature joins dimensions, mean, deviation and the average hash of the whole thumbnail.
     """
     rest = medias.drop(media, *[x.split()[0] for x in RESULTS.split(", ")])
-    schema = plus(rest, RESULTS)
+    schema, others = plus(rest, RESULTS), rest.columns
 
     def one(value: bytes, pictures: list[Picture], grids: list[np.ndarray]) -> tuple:
         grid = np.concatenate(grids) if len({g.shape[1] for g in grids}) == 1 else grids[0]
@@ -333,7 +333,7 @@ def read(medias: DataFrame, media: str = "media") -> DataFrame:
                 each = iter(found)
                 rows = [None if v is None else (lambda x, v=v: x and one(v, *x))(next(each)) for v in values]
                 columns = list(zip(*[r or (None,) * 11 for r in rows], strict=True))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest.columns), *(pa.array(list(c), schema_type(f)) for c, f in zip(columns, schema.fields[-11:], strict=True))], schema.names)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), *(pa.array(list(c), schema_type(f)) for c, f in zip(columns, schema.fields[-11:], strict=True))], schema.names)
 
     def schema_type(f) -> pa.DataType:
         return pa.string() if f.dataType.typeName() == "string" else pa.int64()
