@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelscan.llm import media, packing, quality, token_files, toxicity
+from labelscan.llm import media, packing, pii, quality, token_files, toxicity
 from labelscan.llm.mixing import mix
 from labelscan.llm.neighbours import nearest
 from labelscan.llm.shared import table
@@ -27,6 +27,14 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path, with_ids=False)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.train(docs))
+    joined = {c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",") for c in ("pii_base", "pii_spans")}
+    counts = [F.size(F.filter("pii_base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined["pii_base"], 256).alias("base_sha256"), joined["pii_spans"].alias("spans"), (F.size("pii_spans") - F.size("pii_base")).cast("long").alias("n_added"))
+
+
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -53,6 +61,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op4_token_files": op4_token_files,
+    "op5_pii": op5_pii,
     "op6_neighbours": op6_neighbours,
     "op7_packing": op7_packing,
     "op8_mixing": op8_mixing,
