@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelscan.llm import media, packing, pii, quality, token_files, toxicity
+from labelscan.llm.minhash import near_duplicates
 from labelscan.llm.mixing import mix
 from labelscan.llm.neighbours import nearest
 from labelscan.llm.shared import table
@@ -19,6 +20,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"), "best", F.size("passages").cast("long").alias("n_passages"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, similarity=80)
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -60,6 +65,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_toxicity": op2_toxicity,
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_token_files": op4_token_files,
     "op5_pii": op5_pii,
     "op6_neighbours": op6_neighbours,
