@@ -10,6 +10,12 @@ from labelscan.llm.minhash import near_duplicates
 from labelscan.llm.mixing import mix
 from labelscan.llm.neighbours import nearest
 from labelscan.llm.shared import table
+from labelscan.llm.substring import deduplicate
+
+
+def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +70,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring": op1_substring,
     "op2_toxicity": op2_toxicity,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_token_files": op4_token_files,
