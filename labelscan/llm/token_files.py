@@ -12,6 +12,7 @@ Parquet gives checked, atomic commits on any file system that Spark writes to.
 
 from __future__ import annotations
 
+import gc
 import struct
 import unicodedata
 import uuid
@@ -28,7 +29,7 @@ from labelscan.llm.shared import _TO_SPACE, pieces, shared_dir
 
 BLOCK = 4096
 #: Percentiles of the block's values whose widths are tried, ids of a payload at least, words that a worker remembers.
-PERCENTILES, FILE_IDS, REMEMBERED = (90, 95, 98, 100), 1 << 20, 500_000
+PERCENTILES, FILE_IDS, REMEMBERED = (90, 95, 98, 100), 1 << 20, 1_200_000
 #: Payloads up to which the table of their places is broadcast (three numbers each).
 BROADCAST_FILES = 100_000
 END = 2
@@ -61,11 +62,18 @@ def unpack(data: bytes, at: int = 0) -> tuple[np.ndarray, int]:
     return rest + low, at + 6 * n_large
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter by which byte-level BPE writes each byte: itself if it can be seen, and else one from 256 up."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class Encoder:
     """Ids of whole texts by way of distinct words: a word's ids don't depend on its neighbours, as this tokenizer drops white space.
 
-    A new word is cut by the tokenizer's own pattern, and only parts that are new are encoded. Words that could be cut
-    otherwise after normalisation are encoded as they are, and texts with a special token's bracket as a whole.
+    A new word is cut by the tokenizer's own pattern, and the parts that are new go to its BPE model. Words that could
+    be cut otherwise after normalisation are encoded as they are, and texts with a special token's bracket as a whole.
     """
 
     #: The pattern of the tokenizer's file (fixed value).
@@ -76,54 +84,81 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
         self.cut = regex.compile(self.PATTERN).findall
+        self.letters = _byte_letters()
         self.clear()
 
     def clear(self) -> None:
-        self.words: dict[bytes, int] = {}
-        self.parts: dict[str, list[int]] = {}
+        self.known: dict[bytes, int] = {}  # of a word or part: where its ids' place and number are
         self.start, self.length, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _add(self, length: np.ndarray, ids: np.ndarray) -> None:
+        self.start = np.concatenate((self.start, len(self.pool) + np.cumsum(length) - length))
+        self.length = np.concatenate((self.length, length))
+        self.pool = np.concatenate((self.pool, ids))
+
+    def _gather(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the entries one after the other, and where each ends."""
+        length = self.length[index]
+        ends = np.cumsum(length)
+        return self.pool[np.repeat(self.start[index] - ends + length, length) + np.arange(int(length.sum()))], ends
 
     def learn(self, words: list[bytes]) -> None:
-        cuts = []
+        known, new, joint, ids = self.known, {}, [], []
         for w in words:
             t = w.decode()
             if not t.isascii():
                 t = unicodedata.normalize("NFC", t)
                 if "\u03a3" in t or not t.isprintable() or len(t.split()) != 1:  # lower case that depends on its place; other white space
-                    cuts.append([t])
+                    new[w] = self._encode(t)
                     continue
-            cuts.append(self.cut(t.lower()))
-        new = list({p for ps in cuts for p in ps if p not in self.parts})
-        self.parts.update(zip(new, self._encode(new), strict=True))
-        ids = [[i for p in ps for i in self.parts[p]] for ps in cuts]
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.words.update(zip(words, range(len(self.words), len(self.words) + len(words)), strict=True))
-        self.start = np.concatenate((self.start, len(self.pool) + np.cumsum(length) - length))
-        self.length = np.concatenate((self.length, length))
-        self.pool = np.concatenate((self.pool, np.fromiter((i for x in ids for i in x), np.uint32, int(length.sum()))))
+            parts = [p.encode() for p in self.cut(t.lower())]
+            for p in parts:
+                if p not in known and p not in new:
+                    new[p] = [x.id for x in self.tokenize(p.decode("latin-1").translate(self.letters))]
+            if parts != [w]:
+                joint.append((w, parts))
+        for w, x in new.items():
+            known[w] = len(self.length) + len(ids)
+            ids.append(x)
+        self._add(np.fromiter(map(len, ids), np.int64, len(ids)), np.array([i for x in ids for i in x], np.uint32))
+        # a word of several parts gets an entry of its own, one that only case sets apart from its part shares the part's
+        several = []
+        for w, parts in joint:
+            if len(parts) == 1:
+                known[w] = known[parts[0]]
+            else:
+                several.append((w, [known[p] for p in parts]))
+        if several:
+            found, ends = self._gather(np.array([i for _, x in several for i in x]))
+            last = np.concatenate(([0], ends))[np.cumsum([0, *(len(x) for _, x in several)])]
+            known.update(zip((w for w, _ in several), range(len(self.length), len(self.length) + len(several)), strict=True))
+            self._add(np.diff(last), found)
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         values = [x or b"" for x in texts.cast(pa.binary()).to_pylist()]
         by_doc = [x.translate(_TO_SPACE).split() for x in values]
         flat = [w for ws in by_doc for w in ws]
-        distinct = set(flat)
-        if len(self.words) + len(distinct) > REMEMBERED:
+        new = set(flat).difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED:
             self.clear()
-        self.learn(list(distinct.difference(self.words)))
-        index = np.fromiter(map(self.words.__getitem__, flat), np.int64, len(flat))
-        length = self.length[index]
-        ends = np.cumsum(length)
-        ids = self.pool[np.repeat(self.start[index] - ends + length, length) + np.arange(int(length.sum()))]
+            new = set(flat)
+        gc.disable()  # else its passes over all these small objects take as long as the work
+        try:
+            self.learn(list(new))
+        finally:
+            gc.enable()
+        ids, ends = self._gather(np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat)))
         cuts = np.concatenate(([0], ends))[np.cumsum([0, *map(len, by_doc)])]
         end = np.array([END], np.uint32)
         out = [np.concatenate((ids[a:b], end)) for a, b in zip(cuts, cuts[1:], strict=False)]
         for i, v in enumerate(values):
             if b"<|" in v:
-                out[i] = np.array([*self._encode([v.decode()])[0], END], np.uint32)
+                out[i] = np.array([*self._encode(v.decode()), END], np.uint32)
         return out
 
 
