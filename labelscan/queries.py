@@ -1 +1,1011 @@
-QUERIES = {}
+"""One registered query for each operator, over inputs that Spark derives from the given tables.
+
+Sets come back as sorted entries joined by "|", ratios rounded to six places, so that other engines can be held against
+them.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from labelscan.functions import tags, text
+from labelscan.functions.text import joined
+from labelscan.operators import curate, embed, evaluate, learn, match, ocr, risk, sample, stats, vocabulary
+from labelscan.sources import tables
+from labelscan.sources.fixtures import Inputs
+from labelscan.streaming import streams
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(Inputs(spark, sf_dir))
+    return f
+
+
+def r6(c: Column | str) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+def flat(df: DataFrame, doubles: bool = True) -> DataFrame:
+    """Arrays of strings joined, doubles rounded."""
+    out = []
+    for f in df.schema.fields:
+        kind = f.dataType.simpleString()
+        out.append(joined(F.col(f.name)).alias(f.name) if kind == "array<string>" else r6(f.name).alias(f.name) if kind == "double" and doubles else F.col(f.name))
+    return df.select(*out)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that the session's executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = tempfile.mkdtemp(prefix="labelscan-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def entry(t: Inputs) -> DataFrame:
+    return t.analysis.groupBy("risk", "lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+# sources and sinks
+
+
+@query
+def src1_read_products(t: Inputs) -> DataFrame:
+    path = scratch(t.spark, "products")
+    tables.write_results(t.labels.select("code", F.col("source").alias("product_name"), F.col("text").alias("ingredients_text"), F.lit(None).cast("string").alias("ingredients_tags"), "allergens_tags", "traces_tags", "lang"), path)
+    return tables.read_products(t.spark, path).select("code", "product_name", F.length("ingredients_text").alias("n_chars"), F.md5("ingredients_text").alias("digest"), "lang")
+
+
+@query
+def src2_read_vocabulary(t: Inputs) -> DataFrame:
+    """Vocabulary files written from the corpus vocabulary, a group each, read again."""
+    path = scratch(t.spark, "vocabulary")
+    named = t.corpus_raw.withColumn("allergen", F.get(F.array(*map(F.lit, (*tags.ALLERGENS, "unknown"))), (F.length("term") % 10).cast("int")))
+    named.groupBy("allergen").agg(F.collect_list("raw").alias("x")).select(F.to_json(F.create_map("allergen", "x")).alias("value")).write.text(path)
+    return tables.vocabulary(t.spark.read.text(path))
+
+
+@query
+def src3_union_vocab(t: Inputs) -> DataFrame:
+    return vocabulary.union_vocab(t.corpus_vocab.where("length(term) > 2"), t.corpus_vocab.where("length(term) < 5"))
+
+
+@query
+def src4_raw_vocabulary(t: Inputs) -> DataFrame:
+    return t.corpus_raw.select("allergen", F.col("raw").alias("term")).distinct()
+
+
+@query
+def src5_require_columns(t: Inputs) -> DataFrame:
+    return curate.require_columns(t.labels, ["code", "lang", "text"]).select("code", "lang")
+
+
+@query
+def src6_backfill(t: Inputs) -> DataFrame:
+    return curate.backfill(t.labels.select("code", F.when(F.col("id") % 4 == 0, " ").otherwise(F.col("lang")).alias("status")), {"status": "pending", "notes": ""})
+
+
+@query
+def snk1_write_results(t: Inputs) -> DataFrame:
+    path = scratch(t.spark, "results")
+    tables.write_results(t.evaluated.select("code", "ref_declared", "pred_declared"), path, "parquet")
+    return t.spark.read.parquet(path)
+
+
+@query
+def snk2_publish(t: Inputs) -> DataFrame:
+    rows = t.labels.select("code", "lang")
+    return tables.publish(rows, scratch(t.spark, "published"), rows.count())
+
+
+@query
+def snk3_summary_report(t: Inputs) -> DataFrame:
+    m = evaluate.micro_metrics(t.evaluated, "ref_declared", "pred_declared").select("tp", "fp", "fn")
+    return tables.summary_report(m)
+
+
+# curation
+
+
+def _repeated(t: Inputs) -> DataFrame:
+    a = t.labels.select("code", "lang", "source", (F.col("id") * 2).alias("seq"))
+    return a.unionByName(t.labels.where("id % 10 = 0").select("code", F.lit("xx").alias("lang"), "source", (F.col("id") * 2 + 1).alias("seq")))
+
+
+@query
+def cur1_dedup_first(t: Inputs) -> DataFrame:
+    return curate.dedup_first(_repeated(t), "code", "seq")
+
+
+@query
+def cur2_drop_unusable(t: Inputs) -> DataFrame:
+    df = t.labels.select("code", F.nullif("text", F.lit("")).alias("text"), F.nullif("traces_tags", F.lit(",")).alias("traces"))
+    return curate.drop_unusable(df, ["text", "traces"]).select("code", "traces")
+
+
+@query
+def cur3_null_report(t: Inputs) -> DataFrame:
+    df = t.labels.select("code", F.nullif("text", F.lit("")).alias("text"), F.nullif("traces_tags", F.lit(",")).alias("traces"))
+    return curate.null_report(df, ["code", "text", "traces"])
+
+
+@query
+def cur4_with_text(t: Inputs) -> DataFrame:
+    return curate.with_text(t.labels).select("code", "lang")
+
+
+@query
+def cur5_ingest_new(t: Inputs) -> DataFrame:
+    old = t.labels.where("id % 2 = 0").select("code", "lang", F.col("id").alias("seq"))
+    return curate.ingest_new(old, t.labels.where("id % 3 = 0").select("code", "lang", F.col("id").alias("seq")), 20, "seq")
+
+
+@query
+def cur6_merge_keep_existing(t: Inputs) -> DataFrame:
+    return curate.merge_keep_existing(t.labels.where("id % 2 = 0").select("code", F.lit("old").alias("origin")), t.labels.where("id % 3 = 0").select("code", F.lit("new").alias("origin")))
+
+
+@query
+def cur7_exclude_codes(t: Inputs) -> DataFrame:
+    return curate.exclude_codes(t.labels.select("code", "lang"), t.labels.where("id % 4 = 0"))
+
+
+@query
+def cur8_clean_keys(t: Inputs) -> DataFrame:
+    return curate.clean_keys(t.labels.select(F.concat(F.lit(" 00"), "code", F.lit(" ")).alias("code"), F.upper(F.concat(F.lit(" "), "lang")).alias("lang")))
+
+
+@query
+def cur9_apply_annotations(t: Inputs) -> DataFrame:
+    one = t.labels.where("id % 2 = 0").select("code", F.lit(1).alias("at"), F.lit("complete").alias("status"), "source")
+    two = t.labels.where("id % 3 = 0").select("code", F.lit(2).alias("at"), F.lit("complete").alias("status"), F.when(F.col("id") % 9 == 0, " ").otherwise(F.upper("source")).alias("source"))
+    return curate.apply_annotations(t.labels.select("code"), one.unionByName(two).withColumnRenamed("source", "transcription"))
+
+
+@query
+def cur10_completed_only(t: Inputs) -> DataFrame:
+    return curate.completed_only(cur9_apply_annotations(t)).agg(F.count(F.lit(1)).alias("kept"))
+
+
+# text and tags
+
+
+def _scalar(name: str, f: Callable[[Column], Column]) -> None:
+    QUERIES[name] = lambda spark, sf_dir: Inputs(spark, sf_dir).labels.select("code", F.md5(f(F.col("text"))).alias("digest"))
+
+
+_scalar("txt1_normalize", text.normalize)
+_scalar("txt2_normalize_legacy", lambda c: text.normalize(c, strip_underscore=False))
+_scalar("txt4_normalize_ocr", text.normalize_ocr)
+_scalar("txt5_normalize_heading", text.normalize_heading)
+_scalar("txt13_clean_ocr_text", text.clean_ocr_text)
+
+
+@query
+def txt3_normalize_latin(t: Inputs) -> DataFrame:
+    return t.labels.select("code", text.normalize_latin(F.concat(F.lit("EN:"), "source", F.lit(" - x_"), "lang")).alias("tag"))
+
+
+@query
+def txt6_phrase_in(t: Inputs) -> DataFrame:
+    return t.texts.select("code", text.phrase_in(F.lit("milk powder"), F.col("text")).alias("a"), text.phrase_in(F.lit("the"), F.col("text")).alias("b"))
+
+
+@query
+def txt7_any_phrase(t: Inputs) -> DataFrame:
+    return t.texts.select("code", text.any_phrase(F.col("text"), ["almond milk", "may contain", "of the"]).alias("any"))
+
+
+@query
+def txt8_raw_phrase_in(t: Inputs) -> DataFrame:
+    return t.labels.select("code", text.raw_phrase_in(F.lit("Milk"), F.col("text")).alias("a"), text.raw_phrase_in(F.lit("soja"), F.col("text")).alias("b"), text.raw_phrase_in(F.lit("œufs"), F.col("text")).alias("c"))
+
+
+@query
+def txt9_parse_tags(t: Inputs) -> DataFrame:
+    return t.labels.select("code", *[joined(tags.parse_tags(F.col("allergens_tags"), d)).alias(d) for d in tags.DIALECTS])
+
+
+@query
+def txt10_tags_to_allergens(t: Inputs) -> DataFrame:
+    return t.labels.select("code", *[joined(tags.tags_to_allergens(tags.parse_tags(F.col("allergens_tags"), d), d)).alias(d) for d in tags.DIALECTS])
+
+
+@query
+def txt11_ingredient_phrases(t: Inputs) -> DataFrame:
+    return t.labels.select("code", F.md5(joined(text.ingredient_phrases(F.col("text")))).alias("digest"), F.size(text.ingredient_phrases(F.col("text"))).cast("long").alias("n"))
+
+
+@query
+def txt12_clauses(t: Inputs) -> DataFrame:
+    return t.labels.select("code", F.md5(joined(text.clauses(F.col("text")))).alias("digest"), F.size(text.clauses(F.col("text"))).cast("long").alias("n"))
+
+
+@query
+def txt14_parse_profile(t: Inputs) -> DataFrame:
+    p = tags.parse_profile(F.col("profile"))
+    return t.profiles.select("user_id", joined(p["allergens"]).alias("allergens"), joined(p["unsupported"]).alias("unsupported"))
+
+
+@query
+def txt15_parse_set(t: Inputs) -> DataFrame:
+    return t.labels.select("code", joined(text.parse_set(F.col("allergens_tags"), ",")).alias("all"), joined(text.parse_set(F.col("traces_tags"), ",", ["en:milk", "en:nuts"])).alias("some"))
+
+
+# matching
+
+
+@query
+def mat1_trace_start(t: Inputs) -> DataFrame:
+    return t.texts.select("code", match.trace_start(F.col("text")).cast("long").alias("at"))
+
+
+@query
+def mat2_split_declared_trace(t: Inputs) -> DataFrame:
+    return t.split.select("code", F.md5("declared_text").alias("declared"), "trace_text")
+
+
+@query
+def mat3_vocab_hits(t: Inputs) -> DataFrame:
+    return match.vocab_hits(t.sections, t.vocab).drop("text")
+
+
+@query
+def mat4_drop_negated(t: Inputs) -> DataFrame:
+    return match.drop_negated(match.vocab_hits(t.sections, t.vocab), match.negation_rules(t.spark)).drop("text")
+
+
+def _excluded(kind: str) -> Callable[[SparkSession, str], DataFrame]:
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = Inputs(spark, sf_dir)
+        return match.drop_excluded(match.vocab_hits(t.sections, t.vocab), match.exclusion_rules(spark, (kind,))).drop("text")
+
+    return f
+
+
+for _n, _kind in ((5, "nut butter"), (6, "plant milk"), (7, "cocoa butter"), (8, "coconut"), (9, "gluten free")):
+    QUERIES[f"mat{_n}_exclude_{_kind.replace(' ', '_')}"] = _excluded(_kind)
+
+
+@query
+def mat10_best_term(t: Inputs) -> DataFrame:
+    return match.best_term(match.valid_hits(t.sections, t.vocab))
+
+
+@query
+def mat11_detect(t: Inputs) -> DataFrame:
+    found = match.detect(t.sections, t.vocab)
+    return found.select("code", "section", joined(F.col("allergens")).alias("allergens"), joined(F.transform("matches", lambda m: m["matched_term"])).alias("terms"))
+
+
+@query
+def mat12_analyze(t: Inputs) -> DataFrame:
+    return t.analysis.select("code", joined(F.col("declared_allergens")).alias("declared"), joined(F.col("trace_allergens")).alias("trace"), "risk")
+
+
+@query
+def mat13_analyze_products(t: Inputs) -> DataFrame:
+    out = match.analyze_products(t.labels, t.vocab)
+    return out.select("code", joined(F.col("declared_allergens")).alias("declared"), joined(F.col("reference_declared")).alias("reference_declared"), joined(F.col("reference_trace")).alias("reference_trace"))
+
+
+@query
+def mat14_detect_legacy(t: Inputs) -> DataFrame:
+    return flat(match.detect(t.sections, t.vocab, legacy=True).select("code", "section", "allergens"))
+
+
+@query
+def mat15_diagnose_tags(t: Inputs) -> DataFrame:
+    return match.diagnose_tags(t.labels, t.vocab).groupBy("status", "tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def mat16_baseline_raw(t: Inputs) -> DataFrame:
+    return flat(match.baseline_raw(t.labels, t.raw_vocab))
+
+
+@query
+def mat17_baseline_raw_normalized_vocab(t: Inputs) -> DataFrame:
+    return flat(match.baseline_raw(t.labels, t.vocab))
+
+
+@query
+def mat18_baseline_substring(t: Inputs) -> DataFrame:
+    a = match.baseline_substring(t.labels, t.vocab).select("code", F.lit("lower").alias("method"), "allergens")
+    return flat(a.unionByName(match.baseline_substring(t.labels, t.vocab, normalized=True).select("code", F.lit("normalized").alias("method"), "allergens")))
+
+
+def _ablation(t: Inputs, **options) -> DataFrame:
+    return flat(match.detect(t.texts, t.vocab, **options).select("code", "allergens"))
+
+
+@query
+def mat19_baseline_normalized(t: Inputs) -> DataFrame:
+    return _ablation(t, negate=False, kinds=())
+
+
+@query
+def mat20_normalized_negation(t: Inputs) -> DataFrame:
+    return _ablation(t, kinds=())
+
+
+@query
+def mat21_normalized_context(t: Inputs) -> DataFrame:
+    return _ablation(t, negate=False)
+
+
+# risk
+
+
+@query
+def rsk1_general_risk(t: Inputs) -> DataFrame:
+    return t.evaluated.select("code", risk.general_risk(F.col("ref_declared"), F.col("ref_trace")).alias("risk"))
+
+
+@query
+def rsk2_extraction_status(t: Inputs) -> DataFrame:
+    return t.labels.select("code", risk.extraction_status(F.col("text"), F.col("id") % 5 != 0, F.when(F.col("id") % 3 != 0, F.col("lang"))).alias("status"))
+
+
+def _personal(t: Inputs) -> DataFrame:
+    """Each analysed scan of a user with that user's profile: events name the user and, by their number, the label."""
+    n = t.labels.count()
+    scans = t.table("events").select("event_id", "user_id", (F.col("event_id") % n).alias("id"))
+    people = t.profiles.select("user_id", tags.parse_profile(F.col("profile"))["allergens"].alias("allergies"))
+    known = t.evaluated.select("id", "code", "pred_declared", "pred_trace", "pred_risk")
+    return scans.join(known, "id").join(people, "user_id")
+
+
+@query
+def rsk3_personal_risk(t: Inputs) -> DataFrame:
+    return _personal(t).select("event_id", risk.personal_risk(F.col("allergies"), F.col("pred_declared"), F.col("pred_trace")).alias("risk"))
+
+
+@query
+def rsk4_relevant(t: Inputs) -> DataFrame:
+    return _personal(t).select("event_id", joined(risk.display(risk.relevant(F.col("allergies"), F.col("pred_declared")))).alias("relevant"))
+
+
+@query
+def rsk5_explain(t: Inputs) -> DataFrame:
+    return t.analysis.select("code", joined(risk.explain(F.col("declared_matches"), "declared")).alias("declared"), joined(risk.explain(F.col("trace_matches"), "trace")).alias("trace"))
+
+
+@query
+def rsk6_response(t: Inputs) -> DataFrame:
+    return risk.response(t.analysis)
+
+
+@query
+def rsk7_allergens(t: Inputs) -> DataFrame:
+    """Supported allergens with the number of labels that name them."""
+    counts = evaluate.label_counts(t.evaluated, "ref_declared")
+    return match.known_allergens(t.spark).join(counts, "allergen", "left").select("allergen", "name", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query
+def rsk8_history_counts(t: Inputs) -> DataFrame:
+    return risk.history_counts(t.scans.select(risk.verdict(F.nullif("verdict", F.lit("UNKNOWN")), F.when(F.col("event_id") % 2 == 0, "SAFE")).alias("verdict")))
+
+
+# aggregates
+
+
+def _tags(t: Inputs) -> DataFrame:
+    return t.labels.select("code", "lang", tags.parse_tags(F.col("allergens_tags"), "eval").alias("tags"))
+
+
+@query
+def agg1_tag_counts(t: Inputs) -> DataFrame:
+    return evaluate.tag_counts(_tags(t), "tags")
+
+
+@query
+def agg2_top_tags(t: Inputs) -> DataFrame:
+    words = t.prose.select(F.split("text", " ").alias("tags"))
+    return evaluate.top_tags(words, "tags", 30)
+
+
+@query
+def agg3_dataset_summary(t: Inputs) -> DataFrame:
+    return evaluate.dataset_summary(_tags(t), "tags")
+
+
+@query
+def agg4_risk_distribution(t: Inputs) -> DataFrame:
+    return evaluate.risk_distribution(t.evaluated, t.spark.createDataFrame([(x,) for x in risk.LEVELS], "level string"), "pred_risk")
+
+
+@query
+def agg5_language_counts(t: Inputs) -> DataFrame:
+    return evaluate.language_counts(t.labels.select(F.when(F.col("id") % 9 != 0, F.col("lang")).alias("lang")))
+
+
+@query
+def agg6_status_counts(t: Inputs) -> DataFrame:
+    return flat(evaluate.status_counts(t.table("events"), "event_type", "click"))
+
+
+@query
+def agg7_coverage(t: Inputs) -> DataFrame:
+    return evaluate.coverage(t.evaluated, ["ref_declared", "ref_trace"])
+
+
+# evaluation
+
+
+@query
+def evl1_micro_metrics(t: Inputs) -> DataFrame:
+    return flat(evaluate.micro_metrics(t.evaluated, "ref_declared", "pred_declared", ("lang",)))
+
+
+@query
+def evl2_exact_agreement(t: Inputs) -> DataFrame:
+    return flat(evaluate.exact_agreement(t.evaluated, "ref_declared", "pred_declared", ("lang",)))
+
+
+@query
+def evl3_per_label_metrics(t: Inputs) -> DataFrame:
+    return flat(evaluate.per_label_metrics(t.evaluated, "ref_declared", "pred_declared", labels=match.known_allergens(t.spark).select("allergen")))
+
+
+@query
+def evl4_error_class(t: Inputs) -> DataFrame:
+    return t.evaluated.select("code", evaluate.error_class(F.col("ref_declared"), F.col("pred_declared")).alias("class"))
+
+
+@query
+def evl5_set_diffs(t: Inputs) -> DataFrame:
+    d = evaluate.set_diffs(t.evaluated, "ref_declared", "pred_declared")
+    parts = [evaluate.label_counts(d, c).select(F.lit(c).alias("kind"), "allergen", "n") for c in ("missed", "extra", "correct")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def evl6_class_shares(t: Inputs) -> DataFrame:
+    return flat(evaluate.class_shares(t.evaluated.select(evaluate.error_class(F.col("ref_declared"), F.col("pred_declared")).alias("c")), "c"))
+
+
+@query
+def evl7_two_section_status(t: Inputs) -> DataFrame:
+    return t.evaluated.select("code", evaluate.two_section_status(t.evaluated).alias("status"))
+
+
+@query
+def evl8_risk_accuracy(t: Inputs) -> DataFrame:
+    return flat(evaluate.risk_accuracy(t.evaluated, "ref_risk", "pred_risk", ("lang",)))
+
+
+def _methods(t: Inputs) -> DataFrame:
+    """Flagged hits are matched once; each method is a filter on them: (method, ref_declared, pred)."""
+    hits = match.vocab_hits(t.texts, t.vocab)
+    negated = match.drop_negated(hits, match.negation_rules(t.spark)).select("code", "allergen", "term", F.lit(True).alias("n"))
+    kept = match.drop_excluded(hits, match.exclusion_rules(t.spark)).select("code", "allergen", "term", F.lit(True).alias("x"))
+    flags = hits.select("code", "allergen", "term").join(negated, ["code", "allergen", "term"], "left").join(kept, ["code", "allergen", "term"], "left")
+    methods = F.array(F.lit("keyword"), F.when(F.col("n"), "negation"), F.when(F.col("x"), "context"), F.when(F.col("n") & F.col("x"), "full"))
+    found = flags.select("code", "allergen", F.explode(F.filter(methods, lambda m: m.isNotNull())).alias("method")).groupBy("code", "method").agg(F.array_sort(F.collect_set("allergen")).alias("p"))
+    every = t.evaluated.select("code", "ref_declared", F.explode(F.array(*[F.lit(m) for m in ("keyword", "negation", "context", "full")])).alias("method"))
+    return every.join(found, ["code", "method"], "left").withColumn("pred", F.coalesce("p", F.array().cast("array<string>"))).drop("p")
+
+
+@query
+def evl9_compare_methods(t: Inputs) -> DataFrame:
+    return flat(evaluate.per_label_metrics(_methods(t), "ref_declared", "pred", ("method",)))
+
+
+@query
+def evl10_ablation(t: Inputs) -> DataFrame:
+    return flat(evaluate.micro_metrics(_methods(t), "ref_declared", "pred", ("method",)))
+
+
+@query
+def evl11_disagreements(t: Inputs) -> DataFrame:
+    return flat(evaluate.disagreements(t.evaluated, "ref_declared", "pred_declared", 50))
+
+
+def _versions(t: Inputs) -> DataFrame:
+    return t.plain.withColumn("version", F.lit("before")).unionByName(t.evaluated.withColumn("version", F.lit("after")))
+
+
+@query
+def evl12_metric_deltas(t: Inputs) -> DataFrame:
+    return flat(evaluate.metric_deltas(_versions(t), "ref_declared", "pred_declared", "before", "after"))
+
+
+@query
+def evl13_changed_predictions(t: Inputs) -> DataFrame:
+    return flat(evaluate.changed_predictions(t.plain, t.evaluated, "ref_declared", "pred_declared"))
+
+
+def _missed(t: Inputs) -> DataFrame:
+    return t.evaluated.select("code", "lang", text.normalize(F.col("text")).alias("text"), F.explode(F.array_except("ref_declared", "pred_declared")).alias("allergen"))
+
+
+def _causes(t: Inputs) -> DataFrame:
+    return evaluate.fn_causes(_missed(t), t.vocab, ["contain", "contenir", "enthalten", "contener", "trace"])
+
+
+@query
+def evl14_recovery(t: Inputs) -> DataFrame:
+    return evaluate.recovery(_causes(t).select("code", "allergen", "cause"), t.plain, "pred_declared")
+
+
+@query
+def evl15_resolved_fp(t: Inputs) -> DataFrame:
+    return evaluate.resolved_fp(t.plain, t.evaluated, "milk", "ref_declared", "pred_declared")
+
+
+@query
+def evl16_regression(t: Inputs) -> DataFrame:
+    return evl12_metric_deltas(t).select("metric", evaluate.regression(F.col("delta")).alias("verdict"))
+
+
+@query
+def evl17_fn_causes(t: Inputs) -> DataFrame:
+    return _causes(t).select("code", "allergen", "cause")
+
+
+@query
+def evl18_cause_summary(t: Inputs) -> DataFrame:
+    return evaluate.cause_summary(_causes(t).withColumn("source", F.when(F.col("code").cast("long") % 4 == 0, "heldout").otherwise("dev")))
+
+
+@query
+def evl19_examples(t: Inputs) -> DataFrame:
+    return evaluate.examples(_causes(t), "cause").select("cause", "code", "allergen", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def evl20_fn_records(t: Inputs) -> DataFrame:
+    d = evaluate.set_diffs(t.evaluated, "ref_declared", "pred_declared")
+    return evaluate.fn_records([("heldout", d.where("id % 4 = 0")), ("dev", d.where("id % 4 <> 0"))], t.labels.select("code", "lang", F.length("text").alias("n_chars")))
+
+
+# sampling
+
+
+def _flagged(t: Inputs) -> DataFrame:
+    return sample.sampling_flags(t.evaluated.withColumn("norm", text.normalize(F.col("text"))), ["gluten free", "almond milk", "no milk"])
+
+
+def _quota(t: Inputs) -> DataFrame:
+    quotas = t.spark.createDataFrame([("multi", 30), ("trace_only", 10), ("declared", 20), ("context", 10), ("plain", 10)], "stratum string, quota int")
+    return sample.quota_sample(_flagged(t), quotas, 42)
+
+
+@query
+def smp1_sampling_flags(t: Inputs) -> DataFrame:
+    return _flagged(t).select("code", "has_declared", "has_trace", "multi", "context")
+
+
+@query
+def smp2_quota_sample(t: Inputs) -> DataFrame:
+    return _quota(t).select("id", "stratum", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def smp3_top_up(t: Inputs) -> DataFrame:
+    return sample.top_up(_quota(t).select("id"), t.evaluated.select("id"), 120, 7)
+
+
+def _members(t: Inputs) -> DataFrame:
+    return sample.strata(t.evaluated, ["de", "fr"])
+
+
+def _targets(t: Inputs) -> DataFrame:
+    return t.spark.createDataFrame([("allergen:sesame", 20), ("allergen:milk", 30), ("trace", 10), ("control", 15), ("lang:de", 5), ("lang:xx", 5)], "stratum string, target int")
+
+
+@query
+def smp4_strata(t: Inputs) -> DataFrame:
+    return _members(t)
+
+
+@query
+def smp5_attainable(t: Inputs) -> DataFrame:
+    return sample.attainable(_members(t), _targets(t))
+
+
+@query
+def smp6_greedy_sample(t: Inputs) -> DataFrame:
+    scratch(t.spark, "strata")
+    return sample.greedy_sample(_members(t), _targets(t), 60, 11)
+
+
+@query
+def smp7_language_quota(t: Inputs) -> DataFrame:
+    rows = t.labels.select("id", F.array_compact(F.array("lang", F.when(F.col("id") % 3 == 0, F.lit("en")))).alias("languages"), (F.col("id") % 5).alias("relevance"))
+    targets = t.spark.createDataFrame([("de", 10), ("en", 25), ("fr", 10), ("xx", 3)], "language string, target int")
+    return sample.language_quota(rows, targets, 3).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query
+def smp8_sampling_report(t: Inputs) -> DataFrame:
+    flagged = _flagged(t)
+    return sample.sampling_report(flagged.withColumn("stratum", sample.stratum(flagged)), _quota(t))
+
+
+@query
+def smp9_best_image(t: Inputs) -> DataFrame:
+    images = F.map_from_arrays(F.when(F.col("id") % 3 == 0, F.array(F.lit("it"), F.lit("en"))).when(F.col("id") % 3 == 1, F.array(F.lit("pt"), F.lit("de"))).otherwise(F.array(F.lit("sv"), F.lit("nl"))), F.array(F.lit("a"), F.lit("b")))
+    return t.labels.select("code", sample.best_image(images, F.col("lang")).alias("image"))
+
+
+# OCR text
+
+
+@query
+def ocr1_best_pass(t: Inputs) -> DataFrame:
+    return flat(ocr.best_pass(t.lines))
+
+
+@query
+def ocr2_dedup_lines(t: Inputs) -> DataFrame:
+    return ocr.dedup_lines(t.lines).select("image_id", "pass", "line_no")
+
+
+@query
+def ocr3_image_text(t: Inputs) -> DataFrame:
+    return flat(ocr.image_text(ocr.dedup_lines(t.lines.where("pass = 1")))).withColumn("raw_text", F.md5("raw_text"))
+
+
+@query
+def ocr4_heading_line(t: Inputs) -> DataFrame:
+    return ocr.heading_line(t.lines.where("pass = 1")).withColumn("heading", F.col("heading").cast("long"))
+
+
+@query
+def ocr5_fuzzy_headings(t: Inputs) -> DataFrame:
+    return t.lines.where("pass = 1").where(ocr.fuzzy_heading(F.col("text"))).select("image_id", F.col("line_no").cast("long").alias("line_no"))
+
+
+def _ingredients(t: Inputs) -> DataFrame:
+    return ocr.ingredient_section(t.lines.where("pass = 1").select("image_id", "line_no", "text"))
+
+
+@query
+def ocr6_ingredient_section(t: Inputs) -> DataFrame:
+    return _ingredients(t).select("image_id", F.md5("section").alias("section"), "found")
+
+
+@query
+def ocr7_cer(t: Inputs) -> DataFrame:
+    return t.pairs.select("image_id", r6(text.cer(F.col("reference"), F.col("predicted"))).alias("cer"))
+
+
+@query
+def ocr8_wer(t: Inputs) -> DataFrame:
+    return t.pairs.select("image_id", r6(text.wer(F.col("reference"), F.col("predicted"))).alias("wer"))
+
+
+def _ocr_sets(t: Inputs) -> DataFrame:
+    """Reference sets, and sets found in the text as it is (clean) and with every third word spoilt (ocr)."""
+    bad = F.array_join(F.transform(F.split("text", " "), lambda w, i: F.when((i + F.col("id")) % 3 != 0, w).otherwise(F.concat(w, F.lit("x")))), " ")
+    both = t.labels.select("code", "id", F.explode(F.array(F.struct(F.lit("clean").alias("section"), F.col("text").alias("x")), F.struct(F.lit("ocr").alias("section"), bad.alias("x")))).alias("v")).select("code", F.col("v.section").alias("section"), text.normalize(F.col("v.x")).alias("text"))
+    found = match.detect(both, t.vocab)
+    wide = found.groupBy("code").agg(*[F.first(F.when(F.col("section") == s, F.col("allergens")), ignorenulls=True).alias(s) for s in ("clean", "ocr")])
+    empty = F.array().cast("array<string>")
+    return t.labels.select("code", tags.tags_to_allergens(tags.parse_tags(F.col("allergens_tags"), "eval"), "eval").alias("ref")).join(wide, "code", "left").select("code", "ref", F.coalesce("clean", empty).alias("clean"), F.coalesce("ocr", empty).alias("ocr"))
+
+
+@query
+def ocr9_ocr_vs_clean(t: Inputs) -> DataFrame:
+    long = _ocr_sets(t).select("ref", F.inline(F.array(F.struct(F.lit("ocr").alias("condition"), F.col("ocr").alias("pred")), F.struct(F.lit("clean").alias("condition"), F.col("clean").alias("pred")))))
+    return flat(evaluate.micro_metrics(long, "ref", "pred", ("condition",)))
+
+
+@query
+def ocr10_quality_by(t: Inputs) -> DataFrame:
+    return flat(ocr.quality_by(ocr.error_rates(t.pairs), ("lang",)))
+
+
+@query
+def ocr11_worst(t: Inputs) -> DataFrame:
+    return ocr.worst(ocr.error_rates(t.pairs).select("image_id", r6("cer").alias("cer")), "cer", 10)
+
+
+@query
+def ocr12_error_origin(t: Inputs) -> DataFrame:
+    return ocr.error_origin(_ocr_sets(t), match.known_allergens(t.spark).select("allergen"))
+
+
+@query
+def ocr13_extraction_failures(t: Inputs) -> DataFrame:
+    return ocr.extraction_failures(t.labels.select("code").join(_ingredients(t).select(F.col("image_id").cast("string").alias("code"), "found"), "code", "left")).select("code")
+
+
+@query
+def ocr14_expansion(t: Inputs) -> DataFrame:
+    notes = t.labels.select("code", F.when(F.col("id") % 3 == 0, "excluded").otherwise("ok").alias("quality"))
+    return ocr.expansion(notes, t.labels.where("id % 2 = 0").select("code", "lang"))
+
+
+# vocabulary
+
+
+@query
+def voc1_corpus_words(t: Inputs) -> DataFrame:
+    return vocabulary.corpus_words(t.prose)
+
+
+@query
+def voc2_unused_terms(t: Inputs) -> DataFrame:
+    return vocabulary.unused_terms(t.vocab, t.prose.select("code", "section", "text"))
+
+
+@query
+def voc3_duplicate_terms(t: Inputs) -> DataFrame:
+    return vocabulary.duplicate_terms(t.corpus_raw)
+
+
+@query
+def voc4_near_duplicates(t: Inputs) -> DataFrame:
+    words = vocabulary.corpus_words(t.prose).where("n > 3").select(F.concat(F.lit("g"), F.substring("word", 1, 1)).alias("allergen"), F.col("word").alias("term"))
+    return vocabulary.near_duplicates(words)
+
+
+@query
+def voc5_conflicts(t: Inputs) -> DataFrame:
+    return vocabulary.conflicts(t.corpus_vocab.unionByName(t.corpus_vocab.where("length(term) = 3").select(F.lit("gx").alias("allergen"), "term")))
+
+
+@query
+def voc6_inflections(t: Inputs) -> DataFrame:
+    return vocabulary.inflections(t.corpus_vocab, vocabulary.corpus_words(t.prose))
+
+
+@query
+def voc7_coverage_gaps(t: Inputs) -> DataFrame:
+    words = t.table("benchmark").select(F.explode(F.array_distinct(F.split(text.normalize(F.col("text")), " "))).alias("keyword")).where("keyword <> ''").distinct()
+    return vocabulary.coverage_gaps(words, t.corpus_vocab, t.prose)
+
+
+@query
+def voc8_audit_counts(t: Inputs) -> DataFrame:
+    parts = {"terms": t.corpus_vocab, "duplicates": voc3_duplicate_terms(t), "conflicts": voc5_conflicts(t), "unused": voc2_unused_terms(t)}
+    counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("kind"), "n") for k, df in parts.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
+
+
+@query
+def voc9_add_terms(t: Inputs) -> DataFrame:
+    new = t.corpus_vocab.where("length(term) < 4").unionByName(t.corpus_vocab.where("length(term) = 4").select(F.lit("g1").alias("allergen"), "term"))
+    return vocabulary.add_terms(t.corpus_vocab, new, t.corpus_vocab.select("allergen").distinct())
+
+
+@query
+def voc10_remove_term(t: Inputs) -> DataFrame:
+    first = t.corpus_vocab.orderBy("term", "allergen").first()
+    return vocabulary.remove_term(t.corpus_vocab, first["allergen"], first["term"])
+
+
+def _vocab_versions(t: Inputs) -> DataFrame:
+    return t.vocab.withColumn("version", F.lit("v2")).unionByName(t.vocab.where("length(term) <> 4").withColumn("version", F.lit("v1")))
+
+
+@query
+def voc11_match_versions(t: Inputs) -> DataFrame:
+    return flat(match.match_versions(t.sections, _vocab_versions(t)))
+
+
+@query
+def voc12_decisions(t: Inputs) -> DataFrame:
+    old, new = t.corpus_vocab.where("length(term) > 2"), t.corpus_vocab.where("length(term) < 6")
+    both = old.withColumn("o", F.lit(1)).join(new.withColumn("n", F.lit(1)), ["allergen", "term"], "full")
+    return both.select("allergen", "term", F.when(F.col("o").isNull(), "approved").when(F.col("n").isNull(), "removed").otherwise("kept").alias("decision"))
+
+
+# vectors
+
+
+def _best(t: Inputs) -> DataFrame:
+    return embed.best_per_allergen(t.phrases, t.term_rows)
+
+
+def _rule_hits(t: Inputs) -> DataFrame:
+    return t.phrases.where("pos % 3 = 0").select("code", F.get(F.array(*map(F.lit, tags.ALLERGENS)), (F.col("pos") % 9).cast("int")).alias("allergen")).distinct()
+
+
+def _vector_sets(t: Inputs) -> DataFrame:
+    ref = t.phrases.groupBy("code").agg(F.array_sort(F.collect_set(F.get(F.array(*map(F.lit, tags.ALLERGENS)), (F.col("pos") % 7).cast("int")))).alias("ref"))
+    pred = _rule_hits(t).groupBy("code").agg(F.array_sort(F.collect_set("allergen")).alias("pred"))
+    return ref.join(pred, "code", "left").withColumn("pred", F.coalesce("pred", F.array().cast("array<string>")))
+
+
+BARS = [0.2, 0.3, 0.4, 0.5]
+
+
+@query
+def emb1_term_vectors(t: Inputs) -> DataFrame:
+    terms = t.table("embeddings").select("vec_id", F.concat(F.lit("t"), F.col("vec_id").cast("string")).alias("term"), F.lit("milk").alias("allergen"))
+    out = embed.term_vectors(terms, t.table("embeddings").select("vec_id", F.col("embedding").alias("vector")))
+    return out.select("allergen", "term", F.size("vector").cast("long").alias("dim"))
+
+
+@query
+def emb2_similarities(t: Inputs) -> DataFrame:
+    best = embed.best_per_allergen(t.phrases, t.term_rows.withColumn("allergen", F.col("term")))
+    return best.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("similarity"), 5).alias("mean"))
+
+
+@query
+def emb3_best_per_allergen(t: Inputs) -> DataFrame:
+    return flat(_best(t).select("pos", "allergen", "term", "similarity"))
+
+
+@query
+def emb4_gated_candidates(t: Inputs) -> DataFrame:
+    return embed.gated_candidates(_best(t), _rule_hits(t), 0.3)
+
+
+@query
+def emb5_threshold_sweep(t: Inputs) -> DataFrame:
+    return flat(embed.threshold_sweep(_best(t), _vector_sets(t), BARS))
+
+
+@query
+def emb6_pick_threshold(t: Inputs) -> DataFrame:
+    base = evaluate.micro_metrics(_vector_sets(t), "ref", "pred").first()["f1"]
+    return flat(embed.pick_threshold(embed.threshold_sweep(_best(t), _vector_sets(t), BARS), base, 0.5))
+
+
+@query
+def emb7_synonym_proposals(t: Inputs) -> DataFrame:
+    return flat(embed.synonym_proposals(_best(t), 0.2)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query
+def emb8_without_term(t: Inputs) -> DataFrame:
+    return embed.without_term(t.prose.select("code", F.col("text").alias("phrase")), t.vocab.where("length(term) > 3")).select("code")
+
+
+# learning
+
+
+@query
+def mlc1_weak_clauses(t: Inputs) -> DataFrame:
+    return learn.weak_clauses(t.split).select("code", F.col("pos").cast("long").alias("pos"), F.md5("text").alias("text"), "label")
+
+
+def _trained(t: Inputs) -> tuple[DataFrame, object, object]:
+    clauses = learn.balanced(learn.weak_clauses(t.split))
+    features = learn.clause_features().fit(clauses)
+    return clauses, features, learn.clause_classifier().fit(features.transform(clauses))
+
+
+@query
+def mlc2_clause_features(t: Inputs) -> DataFrame:
+    clauses = learn.weak_clauses(t.split)
+    from pyspark.ml.functions import vector_to_array
+
+    out = learn.clause_features().fit(clauses).transform(clauses)
+    return out.select("code", "pos", "label", r6(F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x)).alias("weight"))
+
+
+@query
+def mlc3_clause_classifier(t: Inputs) -> DataFrame:
+    clauses, features, model = _trained(t)
+    return model.transform(features.transform(clauses)).groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def mlc4_stratified_cv(t: Inputs) -> DataFrame:
+    return learn.cross_validate(learn.weak_clauses(t.split), 3)
+
+
+@query
+def mlc5_split_with_model(t: Inputs) -> DataFrame:
+    _, features, model = _trained(t)
+    split = learn.split_with_model(t.labels, features, model)
+    found = match.detect(match.sections(split), t.vocab).where("section = 'trace'").select("code", F.col("allergens").alias("p"))
+    both = t.evaluated.join(found, "code", "left").select("ref_trace", F.inline(F.array(F.struct(F.lit("rule").alias("method"), F.col("pred_trace").alias("pred")), F.struct(F.lit("model").alias("method"), F.coalesce("p", F.array().cast("array<string>")).alias("pred")))))
+    return flat(evaluate.micro_metrics(both, "ref_trace", "pred", ("method",)))
+
+
+@query
+def mlc6_confidence_instances(t: Inputs) -> DataFrame:
+    return learn.confidence_instances(t.evaluated)
+
+
+@query
+def mlc7_confidence_model(t: Inputs) -> DataFrame:
+    return learn.confidence_model(learn.confidence_instances(t.evaluated))
+
+
+@query
+def mlc8_brier_auc(t: Inputs) -> DataFrame:
+    return flat(stats.brier_auc(t.score_table, "p", "y"))
+
+
+@query
+def mlc9_calibration(t: Inputs) -> DataFrame:
+    return flat(stats.calibration(t.score_table, "p", "y"))
+
+
+# statistics
+
+
+@query
+def sta1_pearson(t: Inputs) -> DataFrame:
+    return flat(stats.pearson(t.score_table, "p", "x"))
+
+
+@query
+def sta2_spearman(t: Inputs) -> DataFrame:
+    return flat(stats.spearman(t.score_table, "p", "x"))
+
+
+@query
+def sta3_mann_whitney(t: Inputs) -> DataFrame:
+    return flat(stats.mann_whitney(t.score_table, "y", "p"))
+
+
+@query
+def sta4_cutoff_means(t: Inputs) -> DataFrame:
+    return flat(stats.cutoff_means(t.score_table, "p", "x", [0.3, 0.5, 0.7]))
+
+
+@query
+def sta5_decide(t: Inputs) -> DataFrame:
+    r = stats.pearson(t.score_table, "p", "x").first()["r"]
+    u = stats.mann_whitney(t.score_table, "y", "p").first()
+    p = stats.mann_whitney_p(u["n1"], u["n0"], u["u"])
+    return t.score_table.agg(F.count(F.lit(1)).alias("n")).select("n", stats.decide(F.lit(r), F.lit(0.01), F.lit(p)).alias("decision"))
+
+
+# streams, run over what there is and compared with the batch operators
+
+
+@query
+def str1_score_stream(t: Inputs) -> DataFrame:
+    path = scratch(t.spark, "scored")
+    source = t.spark.readStream.schema(t.table("documents").schema).parquet(f"{t.sf_dir}/documents.parquet*")
+    live = Inputs(t.spark, t.sf_dir)
+    live.table = lambda name: source if name == "documents" else t.table(name)
+    streams.score_stream(live.labels, t.vocab, path, scratch(t.spark, "state"), availableNow=True).awaitTermination()
+    return t.spark.read.parquet(path).select("code", joined(F.col("declared_allergens")).alias("declared"), joined(F.col("trace_allergens")).alias("trace"), "risk")
+
+
+def _event_stream(t: Inputs) -> DataFrame:
+    live = Inputs(t.spark, t.sf_dir)
+    source = t.spark.readStream.schema(t.table("events").schema).parquet(f"{t.sf_dir}/events.parquet*")
+    live.table = lambda name: source
+    return live.scans
+
+
+@query
+def str2_ingest_stream(t: Inputs) -> DataFrame:
+    path = scratch(t.spark, "ingested")
+    rows = _event_stream(t).select(F.col("user_id").cast("string").alias("code"), "ts")
+    streams.ingest_stream(rows, path, scratch(t.spark, "state"), delay="2000 days", availableNow=True).awaitTermination()
+    return t.spark.read.parquet(path).select("code").distinct()
+
+
+def _finished(t: Inputs, df: DataFrame) -> DataFrame:
+    """All results of an aggregating stream: complete mode into a folder, the last batch."""
+    path = scratch(t.spark, "stream")
+    write = lambda b, n: b.write.mode("overwrite").parquet(path)
+    df.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", scratch(t.spark, "state")).trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(path)
+
+
+@query
+def str3_verdict_windows(t: Inputs) -> DataFrame:
+    return _finished(t, streams.verdict_windows(_event_stream(t))).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "verdict", "n")
+
+
+@query
+def str4_scan_sessions(t: Inputs) -> DataFrame:
+    out = _finished(t, streams.scan_sessions(_event_stream(t)))
+    return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", "worst")
+
+
