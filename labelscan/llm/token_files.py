@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import gc
 import struct
-import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -25,11 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from labelscan.llm.shared import _TO_SPACE, pieces, shared_dir
+from labelscan.llm.shared import LOWER, SPACES, Words, pieces, shared_dir
 
 BLOCK = 4096
-#: Percentiles of the block's values whose widths are tried, ids of a payload at least, words that a worker remembers.
-PERCENTILES, FILE_IDS, REMEMBERED = (90, 95, 98, 100), 1 << 20, 1_200_000
+#: Percentiles of the block's values whose widths are tried, ids of a payload at least, parts that a worker remembers, and those of them that are merged at a time.
+PERCENTILES, FILE_IDS, REMEMBERED, RECENT = (90, 95, 98, 100), 1 << 20, 2_000_000, 1 << 16
 #: Payloads up to which the table of their places is broadcast (three numbers each).
 BROADCAST_FILES = 100_000
 END = 2
@@ -69,96 +68,134 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+_SPACE, _LETTER, _NUMBER, _OTHER = range(4)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[SPACES] = _SPACE
+_KIND[48:58] = _NUMBER
+_KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = _LETTER
+#: Bytes that send a text the slow way: control characters, and first bytes of others than Latin letters up to U+017F.
+_ODD = np.zeros(256, bool)
+_ODD[[i for i in range(32) if not SPACES[i]]] = _ODD[127] = _ODD[0xC0:0xC3] = _ODD[0xC6:] = True
+
+
 class Encoder:
-    """Ids of whole texts by way of distinct words: a word's ids don't depend on its neighbours, as this tokenizer drops white space.
+    """Ids of whole texts by way of distinct parts, as the tokenizer's own pattern cuts them; it drops white space.
 
-    A new word is cut by the tokenizer's own pattern, and the parts that are new go to its BPE model. Words that could
-    be cut otherwise after normalisation are encoded as they are, and texts with a special token's bracket as a whole.
+    Texts of ASCII and Latin letters are cut for a whole batch at once: into runs of letters, single digits, runs of
+    other characters, and the pattern's contractions. Parts are looked up by a 64-bit hash in a sorted table, and only
+    new ones go to the tokenizer's BPE model. Other texts are encoded by the tokenizer as they are.
     """
 
-    #: The pattern of the tokenizer's file (fixed value).
-    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenize = self.tokenizer.model.tokenize
-        self.cut = regex.compile(self.PATTERN).findall
         self.letters = _byte_letters()
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}  # of a word or part: where its ids' place and number are
+        empty = np.zeros(0, np.uint64)
+        self.tables = [(empty, np.zeros(0, np.int64)), (empty, np.zeros(0, np.int64))]  # known parts, and recent ones: sorted hashes, entries
         self.start, self.length, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _encode(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def _entries(self, hashes: np.ndarray) -> np.ndarray:
+        """Entry of each hash, -1 without one."""
+        out = np.full(len(hashes), -1)
+        for keys, entries in self.tables:
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                out = np.where(keys[at] == hashes, entries[at], out)
+        return out
 
-    def _add(self, length: np.ndarray, ids: np.ndarray) -> None:
+    def _learn(self, hashes: np.ndarray, parts: list[bytes]) -> None:
+        ids = []
+        gc.disable()  # else its passes over all these small objects take as long as the work
+        try:
+            for p in parts:
+                t = p.decode().lower()
+                ids.append([x.id for x in self.tokenize(t if t.isascii() else t.encode().decode("latin-1").translate(self.letters))])
+        finally:
+            gc.enable()
+        length = np.fromiter(map(len, ids), np.int64, len(ids))
+        entries = np.arange(len(self.length), len(self.length) + len(ids))
         self.start = np.concatenate((self.start, len(self.pool) + np.cumsum(length) - length))
         self.length = np.concatenate((self.length, length))
-        self.pool = np.concatenate((self.pool, ids))
-
-    def _gather(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the entries one after the other, and where each ends."""
-        length = self.length[index]
-        ends = np.cumsum(length)
-        return self.pool[np.repeat(self.start[index] - ends + length, length) + np.arange(int(length.sum()))], ends
-
-    def learn(self, words: list[bytes]) -> None:
-        known, new, joint, ids = self.known, {}, [], []
-        for w in words:
-            t = w.decode()
-            if not t.isascii():
-                t = unicodedata.normalize("NFC", t)
-                if "\u03a3" in t or not t.isprintable() or len(t.split()) != 1:  # lower case that depends on its place; other white space
-                    new[w] = self._encode(t)
-                    continue
-            parts = [p.encode() for p in self.cut(t.lower())]
-            for p in parts:
-                if p not in known and p not in new:
-                    new[p] = [x.id for x in self.tokenize(p.decode("latin-1").translate(self.letters))]
-            if parts != [w]:
-                joint.append((w, parts))
-        for w, x in new.items():
-            known[w] = len(self.length) + len(ids)
-            ids.append(x)
-        self._add(np.fromiter(map(len, ids), np.int64, len(ids)), np.array([i for x in ids for i in x], np.uint32))
-        # a word of several parts gets an entry of its own, one that only case sets apart from its part shares the part's
-        several = []
-        for w, parts in joint:
-            if len(parts) == 1:
-                known[w] = known[parts[0]]
-            else:
-                several.append((w, [known[p] for p in parts]))
-        if several:
-            found, ends = self._gather(np.array([i for _, x in several for i in x]))
-            last = np.concatenate(([0], ends))[np.cumsum([0, *(len(x) for _, x in several)])]
-            known.update(zip((w for w, _ in several), range(len(self.length), len(self.length) + len(several)), strict=True))
-            self._add(np.diff(last), found)
+        self.pool = np.concatenate((self.pool, np.array([i for x in ids for i in x], np.uint32)))
+        for level in (1, 0):
+            keys, old = self.tables[level]
+            keys, entries = np.concatenate((keys, hashes)), np.concatenate((old, entries))
+            by = np.argsort(keys, kind="stable")
+            self.tables[level] = keys[by], entries[by]
+            if len(keys) < RECENT or not level:
+                break
+            hashes, entries = self.tables[1]
+            self.tables[1] = keys[:0], old[:0]
+
+    @staticmethod
+    def cuts(words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """First and end byte of each part of the texts."""
+        data = words.data
+        kind = _KIND[data]
+        edge = np.zeros(len(data) + 1, bool)
+        edge[words.offsets] = True
+        new = (kind == _NUMBER) | edge[:-1]
+        new[1:] |= kind[1:] != kind[:-1]
+        # an apostrophe that begins a run of others, and s, t, re, ve, m, ll or d after it (fixed values), in lower case
+        quote = np.flatnonzero((data == 39) & new)
+        low = LOWER[np.concatenate((data, np.zeros(3, np.uint8)))]
+        room = words.offsets[np.searchsorted(words.offsets, quote, "right")] - quote
+        one = np.isin(low[quote + 1], list(b"stmd")) & (room > 1)
+        pair = low[quote + 1].astype(np.int64) * 256 + low[quote + 2]
+        two = np.isin(pair, [0x7265, 0x7665, 0x6C6C]) & (room > 2)
+        hit, size = quote[one | two], np.where(one, 2, 3)[one | two]
+        new[hit + 1] = False
+        after = hit + size
+        after = after[(after < len(data)) & ~edge[np.minimum(after, len(data))]]
+        new[after] = True
+        inside = kind != _SPACE
+        starts = np.flatnonzero(new & inside)
+        last = np.ones(len(data), bool)
+        last[:-1] = new[1:] | ~inside[1:]
+        return starts, np.flatnonzero(last & inside) + 1
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
-        values = [x or b"" for x in texts.cast(pa.binary()).to_pylist()]
-        by_doc = [x.translate(_TO_SPACE).split() for x in values]
-        flat = [w for ws in by_doc for w in ws]
-        new = set(flat).difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
+        words = Words(texts, hashes=False)
+        starts, ends = self.cuts(words) if len(words.data) else (np.zeros(0, np.int64),) * 2
+        distinct, first, inverse = np.unique(words.spans(starts, ends), return_index=True, return_inverse=True)
+        entries = self._entries(distinct)
+        odd = _ODD[words.data]
+        twins = np.flatnonzero(words.data[:-1] == 0xC3) if len(words.data) else np.zeros(0, np.int64)
+        odd[twins[np.isin(words.data[twins + 1], (0x97, 0xB7))]] = True  # the signs of multiplication and division
+        dotted = np.flatnonzero((words.data[:-1] == 0xC4) & (words.data[1:] == 0xB0)) if len(words.data) else twins
+        odd[dotted] = True
+        brackets = np.flatnonzero((words.data[:-1] == 60) & (words.data[1:] == 124)) if len(words.data) else twins
+        odd[brackets] = True
+        slow = np.flatnonzero(words.per_doc(odd) > 0)
+        usable = np.ones(len(distinct), bool)
+        cuts = np.searchsorted(starts, words.offsets)
+        if len(slow):
+            fast_part = np.ones(len(starts), bool)
+            for d in slow.tolist():
+                fast_part[cuts[d] : cuts[d + 1]] = False
+            usable = np.bincount(inverse, weights=fast_part, minlength=len(distinct)) > 0
+        new = np.flatnonzero((entries < 0) & usable)
+        if len(self.length) + len(new) > REMEMBERED:
             self.clear()
-            new = set(flat)
-        gc.disable()  # else its passes over all these small objects take as long as the work
-        try:
-            self.learn(list(new))
-        finally:
-            gc.enable()
-        ids, ends = self._gather(np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat)))
-        cuts = np.concatenate(([0], ends))[np.cumsum([0, *map(len, by_doc)])]
+            new = np.flatnonzero(usable)
+        if len(new):
+            raw = words.data.tobytes()
+            self._learn(distinct[new], [raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            entries = self._entries(distinct)
+        index = entries[inverse]
+        length = np.where(index >= 0, self.length[index], 0) if len(index) else index
+        stop = np.cumsum(length)
+        ids = self.pool[np.repeat(self.start[index] - stop + length, length) + np.arange(int(stop[-1]))] if len(stop) else np.zeros(0, np.uint32)
+        bounds = np.concatenate(([0], stop))[cuts]
         end = np.array([END], np.uint32)
-        out = [np.concatenate((ids[a:b], end)) for a, b in zip(cuts, cuts[1:], strict=False)]
-        for i, v in enumerate(values):
-            if b"<|" in v:
-                out[i] = np.array([*self._encode(v.decode()), END], np.uint32)
+        out = [np.concatenate((ids[a:b], end)) for a, b in zip(bounds, bounds[1:], strict=False)]
+        for d in slow.tolist():
+            out[d] = np.array([*self.tokenizer.encode(texts[d].as_py(), add_special_tokens=False).ids, END], np.uint32)
         return out
 
 
