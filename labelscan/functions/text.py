@@ -86,6 +86,8 @@ def raw_phrase_in(phrase: Column, text: Column) -> Column:
     p, t = F.lower(phrase), F.lower(F.coalesce(text, F.lit("")))
     # all bounded places at once: what stands around each occurrence of the phrase
     parts = F.split(t, F.concat(F.lit(r"\Q"), p, F.lit(r"\E")), -1)
+    # nothing between two occurrences: each has a letter beside it
+    parts = F.transform(parts, lambda x, i: F.when((x == "") & (i > 0) & (i < F.size(parts) - 1), F.lit("x")).otherwise(x))
     pairs = F.zip_with(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(1))), lambda a, b: ~a.rlike(rf"[{LETTER}]$") & ~b.rlike(rf"^[{LETTER}]"))
     return (p != "") & (F.size(parts) > 1) & F.exists(pairs, lambda x: F.coalesce(x, F.lit(False)))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from labelscan.functions.tags import ALIASES, ALLERGENS, DISPLAY, NAMES, TAGS
 from labelscan.plans import rules
 from labelscan.sources.fixtures import COMMON, labels_duckdb, quoted
@@ -87,8 +89,13 @@ def cut() -> str:
 
 
 def raw_in(p: str, t: str) -> str:
-    """Bounded by neither letters, digits nor underscores, for a phrase of letters and spaces (taken as a pattern)."""
-    return f"regexp_matches(lower(coalesce({t}, '')), '(^|[^{LETTER}])' || lower({p}) || '($|[^{LETTER}])')"
+    """Bounded by neither letters, digits nor underscores, for a phrase of letters and single spaces; t is marked()."""
+    return "(" + " OR ".join(f"contains({t}, {x} || lower({p}) || {y})" for x in ("' '", "chr(1)") for y in ("' '", "chr(1)")) + ")"
+
+
+def marked(t: str) -> str:
+    """Lower case, everything but letters, digits, underscores and spaces replaced by a mark, between spaces."""
+    return f"' ' || regexp_replace(lower(coalesce({t}, '')), '[^{LETTER} ]', chr(1), 'g') || ' '"
 
 
 RISK = "CASE WHEN len({d}) > 0 THEN 'AVOID' WHEN len({t}) > 0 THEN 'CAUTION' ELSE 'SAFE' END"
@@ -107,9 +114,10 @@ CTES = {
     "excluded": f"SELECT col0 AS allergen, col1 AS term, col2 AS phrase, col3 AS kind FROM ({values(rules.exclusion_rows())})",
     "excluded_legacy": f"SELECT col0 AS allergen, col1 AS term, col2 AS phrase, col3 AS kind FROM ({values(rules.exclusion_rows(True))})",
     "whole": f"SELECT * FROM (SELECT code, 'label' AS section, {norm('text')} AS text FROM labels_) WHERE text <> ''",
-    "placed": f"SELECT id, code, text, CASE WHEN regexp_matches(' ' || n || ' ', ' {PATTERN} ') THEN length(regexp_extract(' ' || n || ' ', '^(.*?) {PATTERN} ', 1)) ELSE -1 END AS at FROM (SELECT id, code, text, {norm('text')} AS n FROM labels_)",
-    "fragments": "SELECT *, least(at, length(text)) AS est, substring(text, (greatest(least(at, length(text)) - 30, 0) + 1)::INT, (least(length(text), least(at, length(text)) + 60) - greatest(least(at, length(text)) - 30, 0))::INT) AS fragment FROM placed",
-    "cuts": f"SELECT *, CASE WHEN at >= 0 THEN {cut()} END AS cut FROM (SELECT *, {norm('fragment')} AS plain FROM fragments)",
+    "marked": f"SELECT code, {marked('text')} AS text FROM labels_",
+    "placed": f"SELECT id, code, text, CASE WHEN regexp_matches(' ' || n || ' ', ' {PATTERN} ') THEN length(regexp_extract(' ' || n || ' ', '^(.*?) {PATTERN} ', 1)) ELSE -1 END AS place FROM (SELECT id, code, text, {norm('text')} AS n FROM labels_)",
+    "fragments": "SELECT *, least(place, length(text)) AS est, substring(text, (greatest(least(place, length(text)) - 30, 0) + 1)::INT, (least(length(text), least(place, length(text)) + 60) - greatest(least(place, length(text)) - 30, 0))::INT) AS fragment FROM placed",
+    "cuts": f"SELECT *, CASE WHEN place >= 0 THEN {cut()} END AS cut FROM (SELECT *, {norm('fragment')} AS plain FROM fragments)",
     "split": f"SELECT id, code, {strip('CASE WHEN cut IS NULL THEN text ELSE substring(text, 1, cut::INT) END')} AS declared_text, {strip('''CASE WHEN cut IS NULL THEN '' ELSE substring(text, cut::INT + 1, length(text)::INT) END''')} AS trace_text FROM cuts",
     "sections": f"SELECT * FROM (SELECT code, 'declared' AS section, {norm('declared_text')} AS text FROM split UNION ALL SELECT code, 'trace', {norm('trace_text')} FROM split) WHERE text <> ''",
     "hits": "SELECT s.code, s.section, s.text, t.allergen, t.term FROM sections s JOIN terms t ON contains(' ' || s.text || ' ', ' ' || t.term || ' ')",
@@ -144,8 +152,13 @@ CTES = {
     "ingredient": "SELECT image_id, trim(coalesce(string_agg(own, ' ' ORDER BY line_no) FILTER (ended = 0 AND before < 1500), '')) AS section, max(ended) = 1 OR coalesce(sum(length(own) + 1) FILTER (ended = 0), 0) <= 1500 AS found FROM summed GROUP BY image_id",
     "pairs": "SELECT image_id, lang, reference, array_to_string(list_filter(list_transform(string_split(reference, ' '), lambda w, i: CASE WHEN (i - 1 + image_id) % 3 <> 0 THEN w WHEN image_id % 2 = 0 THEN w || 'x' END), lambda w: w IS NOT NULL), ' ') AS predicted FROM (SELECT doc_id AS image_id, lang, substring(string_split(coalesce(text, ''), '\n')[1], 1, 200) AS reference FROM documents)",
     "normed": f"SELECT image_id, lang, {norm_ocr('reference')} AS r, {norm_ocr('predicted')} AS p FROM pairs",
-    "coded": "SELECT *, list_filter(string_split(r, ' '), lambda w: w <> '') AS rw, list_filter(string_split(p, ' '), lambda w: w <> '') AS pw FROM normed",
-    "rates": "SELECT image_id, lang, CASE WHEN r = '' THEN (p <> '')::INT::DOUBLE ELSE levenshtein(r, p)::DOUBLE / length(r) END AS cer, CASE WHEN len(rw) = 0 THEN (len(pw) > 0)::INT::DOUBLE ELSE levenshtein(array_to_string(list_transform(rw, lambda w: chr(19968 + list_position(list_concat(rw, pw), w)::INT)), ''), array_to_string(list_transform(pw, lambda w: chr(19968 + list_position(list_concat(rw, pw), w)::INT)), ''))::DOUBLE / len(rw) END AS wer FROM coded",
+    # DuckDB's levenshtein counts bytes: each distinct character or word of a pair becomes one byte
+    "coded": "SELECT *, list_distinct(string_split(r || p, '')) AS cs, list_distinct(list_concat(rw, pw)) AS ws FROM (SELECT *, list_filter(string_split(r, ' '), lambda w: w <> '') AS rw, list_filter(string_split(p, ' '), lambda w: w <> '') AS pw FROM normed)",
+    "rates": "SELECT image_id, lang, CASE WHEN r = '' THEN (p <> '')::INT::DOUBLE ELSE levenshtein("
+    + ", ".join(f"array_to_string(list_transform(list_filter(string_split({x}, ''), lambda c: c <> ''), lambda c: chr(20 + list_position(cs, c)::INT)), '')" for x in "rp")
+    + ")::DOUBLE / length(r) END AS cer, CASE WHEN len(rw) = 0 THEN (len(pw) > 0)::INT::DOUBLE ELSE levenshtein("
+    + ", ".join(f"array_to_string(list_transform({x}w, lambda w: chr(20 + list_position(ws, w)::INT)), '')" for x in "rp")
+    + ")::DOUBLE / len(rw) END AS wer FROM coded",
     "flagged": f"SELECT id, code, len(ref_declared) > 0 AS has_declared, len(ref_trace) > 0 AS has_trace, len(ref_declared) >= 2 OR len(ref_trace) >= 2 AS multi, {' OR '.join(f'''contains(' ' || {norm('text')} || ' ', ' {p} ')''' for p in ('gluten free', 'almond milk', 'no milk'))} AS context FROM evaluated",
     "stratified": "SELECT *, CASE WHEN multi THEN 'multi' WHEN has_trace AND NOT has_declared THEN 'trace_only' WHEN has_declared THEN 'declared' WHEN context THEN 'context' ELSE 'plain' END AS stratum FROM flagged",
     "quota": f"SELECT id, stratum, rank FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY (id * 48271 + 42) % 2147483647, id) AS rank FROM stratified JOIN (SELECT col0 AS stratum, col1 AS quota FROM ({values([('multi', 30), ('trace_only', 10), ('declared', 20), ('context', 10), ('plain', 10)])})) USING (stratum)) WHERE rank <= quota",
@@ -176,14 +189,24 @@ CTES = {
     "ranked": "SELECT *, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS rp, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx FROM scores",
     "u_test": "SELECT count(*) FILTER (y = 1) AS n1, count(*) FILTER (y = 0) AS n0, sum(rp) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0 AS u FROM ranked",
 }
-_MATERIAL = {"labels_", "sections", "hits", "whole", "whole_hits", "valid", "found", "evaluated", "prose", "common", "near", "swept", "normed", "methods"}
-PREFIX = "WITH " + ", ".join(f"{k} AS {'MATERIALIZED ' if k in _MATERIAL else ''}({v})" for k, v in CTES.items())
+_MATERIAL = {"labels_", "marked", "sections", "hits", "whole", "whole_hits", "valid", "found", "evaluated", "prose", "common", "near", "swept", "normed", "methods"}
+
+
+def _with(sql: str) -> str:
+    """sql with the expressions before it that it and they name."""
+    needed, text = [], sql
+    for k, v in reversed(CTES.items()):
+        if re.search(rf"\b{k}\b", text):
+            needed.append(f"{k} AS {'MATERIALIZED ' if k in _MATERIAL else ''}({v})")
+            text += " " + v
+    return f"WITH {', '.join(reversed(needed))} {sql}" if needed else sql
+
 
 ORACLES: dict[str, str] = {}
 
 
 def oracle(name: str, sql: str) -> None:
-    ORACLES[name] = f"{PREFIX} {sql}"
+    ORACLES[name] = _with(sql)
 
 
 def bar(x: str) -> str:
@@ -219,7 +242,7 @@ _CLEAN = strip(r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(tex
 oracle("txt13_clean_ocr_text", f"SELECT code, md5({_CLEAN}) AS digest FROM labels_")
 oracle("txt6_phrase_in", "SELECT code, contains(' ' || text || ' ', ' milk powder ') AS a, contains(' ' || text || ' ', ' the ') AS b FROM whole")
 oracle("txt7_any_phrase", "SELECT code, contains(' ' || text || ' ', ' almond milk ') OR contains(' ' || text || ' ', ' may contain ') OR contains(' ' || text || ' ', ' of the ') AS \"any\" FROM whole")
-oracle("txt8_raw_phrase_in", "SELECT code, " + ", ".join(f"{raw_in(quoted(p), 'text')} AS {n}" for p, n in (("Milk", "a"), ("soja", "b"), ("œufs", "c"))) + " FROM labels_")
+oracle("txt8_raw_phrase_in", "SELECT code, " + ", ".join(f"{raw_in(quoted(p), 'text')} AS {n}" for p, n in (("Milk", "a"), ("soja", "b"), ("œufs", "c"))) + f" FROM (SELECT code, {marked('text')} AS text FROM labels_)")
 _DIALECTS = ("multilingual", "multilingual_legacy", "eval", "ocr", "sampling", "collect", "diagnose")
 oracle("txt9_parse_tags", "SELECT code, " + ", ".join(f"{bar(tag_list('allergens_tags', d))} AS {d}" for d in _DIALECTS) + " FROM labels_")
 oracle("txt10_tags_to_allergens", "SELECT code, " + ", ".join(f"{bar(allergen_list('allergens_tags', d))} AS {d}" for d in _DIALECTS) + " FROM labels_")
@@ -230,7 +253,7 @@ oracle("txt12_clauses", f"SELECT code, md5({bar(_CLAUSES.format('text'))}) AS di
 oracle("txt14_parse_profile", f"SELECT user_id, {bar('allergies')} AS allergens, {bar('unsupported')} AS unsupported FROM people")
 _SET = f"list_sort(list_distinct(list_filter(list_transform(string_split({{}}, ','), lambda x: {strip('x')}), lambda x: x <> '')))"
 oracle("txt15_parse_set", f"SELECT code, {bar(_SET.format('allergens_tags'))} AS \"all\", {bar('list_filter(' + _SET.format('traces_tags') + ''', lambda x: x IN ('en:milk', 'en:nuts'))''')} AS some FROM labels_")
-oracle("mat1_trace_start", "SELECT code, at FROM placed JOIN whole USING (code)")
+oracle("mat1_trace_start", "SELECT code, place AS \"at\" FROM placed JOIN whole USING (code)")
 oracle("mat2_split_declared_trace", "SELECT code, md5(declared_text) AS declared, trace_text FROM split")
 _HIT = "SELECT code, section, allergen, term FROM hits h"
 oracle("mat3_vocab_hits", _HIT)
@@ -251,7 +274,7 @@ oracle(
       LEFT JOIN (SELECT DISTINCT code, allergen FROM whole_hits h WHERE {KEPT} AND {VALID.format(kind='')}) f ON f.code = g.code AND f.allergen = g.allergen GROUP BY ALL""",
 )
 for _name, _terms in (("mat16_baseline_raw", "raw_terms"), ("mat17_baseline_raw_normalized_vocab", "terms")):
-    oracle(_name, f"SELECT code, {bar(_ALL)} AS allergens FROM labels_ JOIN {_terms} ON {raw_in('term', 'text')} GROUP BY code")
+    oracle(_name, f"SELECT code, {bar(_ALL)} AS allergens FROM marked JOIN {_terms} ON {raw_in('term', 'text')} GROUP BY code")
 oracle("mat18_baseline_substring", f"SELECT code, method, {bar(_ALL)} AS allergens FROM (SELECT code, 'lower' AS method, lower(text) AS t FROM labels_ UNION ALL SELECT code, 'normalized', {norm('text')} FROM labels_) JOIN terms ON contains(t, term) GROUP BY code, method")
 for _name, _where in (("mat19_baseline_normalized", "true"), ("mat20_normalized_negation", KEPT), ("mat21_normalized_context", VALID.format(kind=""))):
     oracle(_name, f"SELECT code, {bar(_ALL)} AS allergens FROM whole_hits h WHERE {_where} GROUP BY code")
@@ -261,9 +284,12 @@ oracle("rsk2_extraction_status", "SELECT code, CASE WHEN trim(text) = '' THEN 'n
 oracle("rsk3_personal_risk", f"SELECT event_id, CASE WHEN len(allergies) = 0 THEN {_RISK} WHEN list_has_any(allergies, pred_declared) THEN 'AVOID' WHEN list_has_any(allergies, pred_trace) THEN 'CAUTION' ELSE 'SAFE' END AS risk FROM personal")
 _NAMES = mapping(DISPLAY)
 oracle("rsk4_relevant", f"SELECT event_id, {bar(f'list_transform(CASE WHEN len(allergies) = 0 THEN pred_declared ELSE list_filter(pred_declared, lambda x: list_contains(allergies, x)) END, lambda a: {_NAMES}[a])')} AS relevant FROM personal")
-_WHY = "list_transform(list_zip({a}, {t}), lambda z: " + _NAMES + "[z[1]] || ' {e}: ''' || z[2] || '''.')"
-_D = _WHY.format(a="pred_declared", t="declared_terms", e="is listed as an ingredient")
-_T = _WHY.format(a="pred_trace", t="trace_terms", e="is named in a precautionary statement")
+
+def _why(a: str, t: str, end: str) -> str:
+    return f"list_transform(list_zip({a}, {t}), lambda z: {_NAMES}[z[1]] || ' {end}: ''' || z[2] || '''.')"
+
+
+_D, _T = _why("pred_declared", "declared_terms", "is listed as an ingredient"), _why("pred_trace", "trace_terms", "is named in a precautionary statement")
 oracle("rsk5_explain", f"SELECT code, {bar(_D)} AS declared, {bar(_T)} AS trace FROM evaluated")
 _JSON = lambda xs: "'[' || array_to_string(list_transform(" + xs + ", lambda x: '\"' || x || '\"'), ',') || ']'"
 oracle("rsk6_response", f"""SELECT code, '{{"code":"' || code || '","risk":"' || {_RISK} || '","declared_allergens":' || {_JSON('pred_declared')} || ',"trace_allergens":' || {_JSON('pred_trace')} || ',"declared_names":' || {_JSON(f'list_transform(pred_declared, lambda a: {_NAMES}[a])')} || ',"declared_why":' || {_JSON(_D)} || ',"trace_why":' || {_JSON(_T)} || '}}' AS response FROM evaluated""")

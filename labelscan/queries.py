@@ -876,15 +876,20 @@ def mlc1_weak_clauses(t: Inputs) -> DataFrame:
     return learn.weak_clauses(t.split).select("code", F.col("pos").cast("long").alias("pos"), F.md5("text").alias("text"), "label")
 
 
+def _clauses(t: Inputs) -> DataFrame:
+    """Clauses, kept while the pipeline's stages pass over them."""
+    return learn.weak_clauses(t.split).persist()
+
+
 def _trained(t: Inputs) -> tuple[DataFrame, object, object]:
-    clauses = learn.balanced(learn.weak_clauses(t.split))
+    clauses = learn.balanced(_clauses(t))
     features = learn.clause_features().fit(clauses)
     return clauses, features, learn.clause_classifier().fit(features.transform(clauses))
 
 
 @query
 def mlc2_clause_features(t: Inputs) -> DataFrame:
-    clauses = learn.weak_clauses(t.split)
+    clauses = _clauses(t)
     from pyspark.ml.functions import vector_to_array
 
     out = learn.clause_features().fit(clauses).transform(clauses)
@@ -899,7 +904,7 @@ def mlc3_clause_classifier(t: Inputs) -> DataFrame:
 
 @query
 def mlc4_stratified_cv(t: Inputs) -> DataFrame:
-    return learn.cross_validate(learn.weak_clauses(t.split), 3)
+    return learn.cross_validate(_clauses(t), 3)
 
 
 @query
