@@ -332,9 +332,9 @@ def find(docs: DataFrame, network: Network, text: str = "text") -> DataFrame:
 
 def redact(docs: DataFrame, network: Network, text: str = "text") -> DataFrame:
     """docs with each span of personal data replaced by its kind in angle brackets, as in <email>; overlapping spans become one."""
-    found = find(docs, network, text)
     schema, names = docs.schema, docs.columns
-    at = names.index(text)
+    at, plain = names.index(text), [f"c{i}" for i in range(len(names))]
+    found = find(docs.toDF(*plain), network, plain[at])  # so that no column has a result's name
 
     def one(value: str | None, spans: list[dict]) -> str | None:
         if not spans:
@@ -351,9 +351,9 @@ def redact(docs: DataFrame, network: Network, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, text):
-                texts = [one(v, s) for v, s in zip(part.column(text).to_pylist(), part.column("pii_spans").to_pylist(), strict=True)]
-                columns = [part.column(c) for c in names]
+            for part in pieces(batch, plain[at]):
+                texts = [one(v, s) for v, s in zip(part.column(plain[at]).to_pylist(), part.column("pii_spans").to_pylist(), strict=True)]
+                columns = [part.column(c) for c in plain]
                 columns[at] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays(columns, names)
 
