@@ -3,13 +3,15 @@
 1. Every document gets the set of its word shingles, as 64-bit hashes, an id of the whole set and a signature of HASHES
    minima. Documents with equal sets form a class, and all that follows compares classes.
 2. BANDS bands of the signature give buckets. A pair of the wanted similarity s shares a bucket but with the probability
-   (1 - s**r)**BANDS, r being the rows of a band: 5e-8 at 0.8. In each bucket every class is paired with the smallest and
-   the largest one, never all with all.
+   (1 - s**r)**BANDS, r being the rows of a band: 5e-8 at 0.8. In the first PIVOT_BANDS of them the smallest class of a
+   bucket is the pivot of the others, and every class is paired with the pivot that it meets most often and with its
+   smallest one, never all with all.
 3. Signatures of a pair are compared in batches. Under a uniform prior, m of n equal minima give the posterior
    probability that the similarity is at least s; once it falls below MISS the pair is dropped. Survivors are verified
    on their full sets.
-4. Verified links give components. Where a bucket then still holds several components, the members outside its largest
-   one are compared, in blocks, with all members of other components, so that no link between components is lost.
+4. Verified links give components. Where a bucket of any band then still holds several components, the members outside
+   its largest one are compared, in blocks, with all members of other components. This is exact for what the pivots
+   leave open: no link between components that any bucket shows is lost.
 """
 
 from __future__ import annotations
@@ -27,9 +29,9 @@ from labelscan.llm.components import components
 from labelscan.llm.shared import Words, mixed, pieces, runs, stored
 
 SHINGLE, SIMILARITY = 5, 80  # words, per cent
-HASHES, BANDS, STEP, MISS = 128, 32, 16, 1e-9
-#: Members of a block in the last comparison.
-BLOCK = 256
+HASHES, BANDS, PIVOT_BANDS, STEP, MISS = 128, 32, 8, 16, 1e-9
+#: Members of a block in the last comparison, and ids up to which they are broadcast.
+BLOCK, BROADCAST_IDS = 1024, 2000
 
 _r = np.random.default_rng(20240301)
 _SEEDS = _r.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -93,19 +95,34 @@ def _sketch(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, set_id binary, signature binary")
 
 
-def _bands(classes: DataFrame) -> DataFrame:
+def _keys(signatures: np.ndarray, first: int = BANDS) -> np.ndarray:
+    """Bucket of each of the first bands of each signature."""
     rows = HASHES // BANDS
+    s = signatures.astype(np.uint64).reshape(-1, BANDS, rows)[:, :first]
+    key = np.broadcast_to(np.arange(first, dtype=np.uint64), s.shape[:2])
+    for k in range(rows):
+        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + s[:, :, k])
+    return key.view(np.int64)
+
+
+def _bands(classes: DataFrame, first: int = BANDS) -> DataFrame:
+    """(rep, component, bucket) for the first bands of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = fixed(batch.column("signature"), np.uint32, HASHES).astype(np.uint64).reshape(-1, BANDS, rows)
-            key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), s.shape[:2])
-            for k in range(rows):
-                key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + s[:, :, k])
-            reps = np.repeat(batch.column("rep").to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(key.ravel().view(np.int64))], ["rep", "bucket"])
+            key = _keys(fixed(batch.column("signature"), np.uint32, HASHES), first)
+            reps, components = (np.repeat(batch.column(c).to_numpy(), first) for c in ("rep", "component"))
+            yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(components), pa.array(key.ravel())], ["rep", "component", "bucket"])
+
+    return classes.select("rep", "component", "signature").mapInArrow(run, "rep long, component long, bucket long")
 
-    return classes.select("rep", "signature").mapInArrow(run, "rep long, bucket long")
+
+def _pivots(bands: DataFrame) -> DataFrame:
+    """Pairs (a, b): each class b with the pivot that it meets most often and with its smallest one."""
+    low = bands.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("_high")).where("a < _high").select("bucket", "a")
+    met = bands.join(low, "bucket").where("a < rep").groupBy("rep", "a").agg(F.count(F.lit(1)).alias("n"))
+    best = met.groupBy("rep").agg(F.min("a").alias("least"), F.max_by("a", F.struct("n", -F.col("a"))).alias("most"))
+    return best.select(F.explode(F.array_distinct(F.array("least", "most"))).alias("a"), F.col("rep").alias("b"))
 
 
 def _survivors(pairs: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
@@ -122,60 +139,104 @@ def _survivors(pairs: DataFrame, classes: DataFrame, similarity: int) -> DataFra
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: int) -> DataFrame:
-    """Those pairs for which 100 * intersection >= similarity * union on the full sets."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """(rep, shingles) of the documents in ids (doc_id). Their texts are shuffled once, by id, at every size but a handful of ids."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(part.column("text"), shingle)], pa.binary())], ["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(part.column("text"), shingle)], pa.binary())], ["rep", "shingles"])
+
+    ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids.hint("merge")
+    return docs.join(ids, "doc_id", "left_semi").mapInArrow(sets, "rep long, shingles binary")
 
-    own = docs.join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles binary")
+
+def similar(x: np.ndarray, y: np.ndarray, similarity: int) -> bool:
+    """100 * intersection >= similarity * union, of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    if 100 * len(x) < similarity * len(y):
+        return False
+    shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * shared >= similarity * (len(x) + len(y) - shared)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: int) -> DataFrame:
+    """Those pairs that are similar on their full sets."""
+    own = _sets(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), shingle)
     both = pairs.join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for k, (x, y) in enumerate(zip(batch.column("sa"), batch.column("sb"), strict=True)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                shared = len(x) + len(y) - len(np.union1d(x, y))
-                if 100 * shared >= similarity * (len(x) + len(y) - shared):
-                    keep.append(k)
+            rows = zip(batch.column("sa"), batch.column("sb"), strict=True)
+            keep = [k for k, (x, y) in enumerate(rows) if similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), similarity)]
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
-def _across(bands: DataFrame, labels: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
-    """Plausible pairs of different components in one bucket, each pair with a member outside the bucket's largest component."""
-    crowded = bands.groupBy("bucket").count().where("count > 3").select("bucket")  # up to three, the pairs so far were all
-    members = bands.join(crowded, "bucket").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
+def _plausible_tiles(classes: DataFrame, similarity: int) -> DataFrame:
+    """Pairs of different components that share a bucket and survive the sequential test: a row (tile, reps, pairs) for each pair of blocks.
+
+    Members of a bucket outside its largest component meet all members of other components, block by block. A pair is
+    looked at in the first bucket that it shares only.
+    """
+    bands = _bands(classes)
+    several = bands.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    members = stored(bands.join(several, "bucket"), "mixed")
     parts = members.groupBy("bucket", "component").count()
-    split = parts.groupBy("bucket").agg(F.max(F.struct("count", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("n_parts"), F.sum("count").alias("size")).where("n_parts > 1")
-    rows = members.join(split, "bucket").join(classes.select("rep", "signature"), "rep")
-    rows = stored(rows.select("bucket", "rep", "component", "main", "signature", F.pmod(F.xxhash64("rep"), F.greatest(F.ceil(F.col("size") / BLOCK), F.lit(1))).alias("block")), "mixed-buckets")
-    if rows.isEmpty():
-        return rows.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
-    gathered = lambda df, *names: df.groupBy("bucket", "block").agg(F.collect_list(F.struct("rep", "component", "signature")).alias("x")).select("bucket", F.col("x.rep").alias(names[0]), F.col("x.component").alias(names[1]), F.col("x.signature").alias(names[2]))
-    tiles = gathered(rows.where("component <> main"), "ra", "ca", "sa").join(gathered(rows, "rb", "cb", "sb"), "bucket")
-    bars = least_equal(similarity / 100)
+    split = parts.groupBy("bucket").agg(F.max(F.struct("count", "component"))["component"].alias("main"), F.sum("count").alias("size"))
+    rows = members.join(split, "bucket").join(classes.select("rep", "signature"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.greatest(F.ceil(F.col("size") / BLOCK), F.lit(1))))
+    fields = ("rep", "component", "signature")
+    gathered = lambda df, side: df.groupBy("bucket", F.col("block").alias(side + "block")).agg(F.collect_list(F.struct(*fields)).alias("x"), F.first("main").alias(side + "main")).select("bucket", side + "block", side + "main", *[F.col(f"x.{c}").alias(side + c) for c in fields])
+    tiles = gathered(rows.where("component <> main"), "a_").join(gathered(rows, "b_"), "bucket").withColumn("tile", F.struct("bucket", "a_block", "b_block"))
+    bars, width = least_equal(similarity / 100), HASHES // BANDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            keep, reps, pairs = [], [], []
             for t in range(batch.num_rows):
-                ra, ca, sa, rb, cb, sb = (batch.column(c)[t].values for c in ("ra", "ca", "sa", "rb", "cb", "sb"))
-                ra, ca, rb, cb = (x.to_numpy() for x in (ra, ca, rb, cb))
-                sa, sb = fixed(sa, np.uint32, HASHES), fixed(sb, np.uint32, HASHES)
+                side = {n: batch.column(n)[t].values for n in ("a_rep", "a_component", "a_signature", "b_rep", "b_component", "b_signature")}
+                ra, ca, rb, cb = (side[n].to_numpy() for n in ("a_rep", "a_component", "b_rep", "b_component"))
+                sa, sb = (fixed(side[n], np.uint32, HASHES) for n in ("a_signature", "b_signature"))
+                keys, bucket, main, found = _keys(sb), batch.column("bucket")[t].as_py(), batch.column("a_main")[t].as_py(), []
                 for i in range(len(ra)):
-                    other = np.flatnonzero(cb != ca[i])
+                    other = np.flatnonzero((cb != ca[i]) & ((cb == main) | (ra[i] < rb)))  # a pair outside the largest component once
+                    equal = (sb[other].reshape(-1, BANDS, width) == sa[i].reshape(BANDS, width)).all(axis=2)
+                    other = other[equal.any(axis=1) & (keys[other, equal.argmax(axis=1)] == bucket)]
                     hit = other[plausible(np.broadcast_to(sa[i], (len(other), HASHES)), sb[other], bars)]
                     found.append(np.column_stack((np.minimum(ra[i], rb[hit]), np.maximum(ra[i], rb[hit]))))
-            pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+                both = np.unique(np.concatenate(found), axis=0)
+                if len(both):
+                    keep.append(t)
+                    reps.append(np.unique(both))
+                    pairs.append(np.ascontiguousarray(both).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("tile").take(pa.array(keep, pa.int64())), pa.array(reps, pa.list_(pa.int64())), pa.array(pairs, pa.binary())], ["tile", "reps", "pairs"])
+
+    return tiles.mapInArrow(run, "tile struct<bucket: long, a_block: long, b_block: long>, reps array<long>, pairs binary")
+
+
+def _across(classes: DataFrame, docs: DataFrame, shingle: int, similarity: int) -> DataFrame:
+    """Verified links between different components that share a bucket: sets go to the tiles, so that only links leave a task."""
+    tiles = stored(_plausible_tiles(classes, similarity), "tiles")
+    members = tiles.select("tile", F.explode("reps").alias("rep"))
+    own = _sets(docs, members.select(F.col("rep").alias("doc_id")).distinct(), shingle)
+    sets = members.join(own, "rep").groupBy("tile").agg(F.collect_list(F.struct("rep", "shingles")).alias("x")).select("tile", F.col("x.rep").alias("rep"), F.col("x.shingles").alias("shingles"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: set[tuple[int, int]] = set()
+            for t in range(batch.num_rows):
+                by: dict[int, list[np.ndarray]] = {}
+                for rep, value in zip(batch.column("rep")[t].values.to_pylist(), batch.column("shingles")[t].values, strict=True):
+                    by.setdefault(rep, []).append(np.frombuffer(value.as_py(), np.uint64))
+                for a, b in np.frombuffer(batch.column("pairs")[t].as_py(), np.int64).reshape(-1, 2).tolist():
+                    if any(similar(x, y, similarity) for x in by.get(a, []) for y in by.get(b, [])):
+                        found.add((a, b))
+            pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
 
-    return tiles.drop("bucket").mapInArrow(run, "a long, b long").distinct()
+    return tiles.select("tile", "pairs").join(sets, "tile").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
@@ -190,13 +251,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     sketch = stored(_sketch(docs, shingle), "sketch")
     classes = stored(sketch.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes")
-    bands = _bands(classes)
-    ends = bands.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    met = bands.join(ends, "bucket").select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("rep").alias("b")), F.struct(F.col("rep").alias("a"), F.col("high").alias("b")))).alias("pair"))
-    pairs = met.select("pair.*").where("a < b").distinct()
+    pairs = _pivots(_bands(classes.withColumn("component", F.col("rep")), PIVOT_BANDS))
     links = stored(_verified(stored(_survivors(pairs, classes, similarity), "survivors"), docs, shingle, similarity), "verified")
     labels = components(links)
-    more = stored(_verified(stored(_across(bands, labels, classes, similarity), "across"), docs, shingle, similarity), "verified")
+    joined = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    more = stored(_across(stored(joined, "classes"), docs, shingle, similarity), "across")
     if not more.isEmpty():
         labels = components(links.union(more))
     found = classes.select("set_id", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
