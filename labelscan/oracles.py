@@ -136,6 +136,8 @@ CTES = {
     "corpus": "SELECT DISTINCT allergen, term FROM corpus_raw",
     "prose": f"SELECT * FROM (SELECT doc_id::VARCHAR AS code, {norm('text')} AS text FROM documents) WHERE text <> ''",
     "words": "SELECT word, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS word FROM prose) WHERE length(word) >= 3 GROUP BY word",
+    # DuckDB's levenshtein counts bytes: letters beyond ASCII become capitals, which these words don't have
+    "single": "SELECT word, n, translate(word, 'ßøđłþðıħŋ', 'ABCDEFGHI') AS plain FROM words",
     "scans": "SELECT event_id, ts, user_id, CASE event_type WHEN 'click' THEN 'SAFE' WHEN 'view' THEN 'CAUTION' WHEN 'error' THEN 'AVOID' WHEN 'purchase' THEN 'UNKNOWN' ELSE 'SAFE' END AS verdict FROM events",
     "profile_rows": """SELECT user_id, list_filter(CASE WHEN user_id % 6 = 0 THEN [] WHEN user_id % 2 = 0 THEN [one, two] WHEN user_id % 5 = 0 THEN [one, two, 'kiwi'] ELSE [one, two] END, lambda x: x <> '') AS entries
         FROM (SELECT c_custkey AS user_id, list_extract(a, c_nationkey % 9 + 1) AS one, list_extract(a, (c_custkey * 5 + 1) % 9 + 1) AS two FROM customer, (SELECT ['milk', 'gluten', 'peanuts', 'tree nuts', 'soy', 'eggs', 'fish', 'other', 'sesame'] AS a))""",
@@ -360,7 +362,7 @@ oracle("ocr14_expansion", "SELECT code, 'ok' AS quality, lang FROM labels_ WHERE
 oracle("voc1_corpus_words", "SELECT word, n FROM words")
 oracle("voc2_unused_terms", "SELECT allergen, term FROM terms t WHERE NOT EXISTS (SELECT 1 FROM prose p WHERE contains(' ' || p.text || ' ', ' ' || t.term || ' '))")
 oracle("voc3_duplicate_terms", "SELECT allergen, term, count(*) AS n FROM corpus_raw GROUP BY ALL HAVING count(*) > 1")
-oracle("voc4_near_duplicates", "SELECT 'g' || substring(a.word, 1, 1) AS allergen, least(a.word, b.word) AS a, greatest(a.word, b.word) AS b FROM words a JOIN words b ON substring(a.word, 1, 1) = substring(b.word, 1, 1) AND a.word < b.word AND abs(length(a.word) - length(b.word)) <= 0.15 * greatest(length(a.word), length(b.word)) WHERE a.n > 3 AND b.n > 3 AND 1 - levenshtein(a.word, b.word)::DOUBLE / greatest(length(a.word), length(b.word)) >= 0.85")
+oracle("voc4_near_duplicates", "SELECT 'g' || substring(a.word, 1, 1) AS allergen, least(a.word, b.word) AS a, greatest(a.word, b.word) AS b FROM single a JOIN single b ON substring(a.word, 1, 1) = substring(b.word, 1, 1) AND a.word < b.word AND abs(length(a.word) - length(b.word)) <= 0.15 * greatest(length(a.word), length(b.word)) WHERE a.n > 3 AND b.n > 3 AND 1 - levenshtein(a.plain, b.plain)::DOUBLE / greatest(length(a.word), length(b.word)) >= 0.85")
 oracle("voc5_conflicts", "SELECT term, 2::BIGINT AS n FROM corpus WHERE length(term) = 3")
 oracle("voc6_inflections", "SELECT c.allergen, c.term, w.word, w.n FROM corpus c JOIN words w ON starts_with(w.word, c.term) AND length(w.word) - length(c.term) BETWEEN 1 AND 5 WHERE length(c.term) >= 4 AND NOT contains(c.term, ' ') AND w.word NOT IN (SELECT term FROM corpus)")
 oracle("voc7_coverage_gaps", f"SELECT DISTINCT keyword FROM (SELECT unnest(string_split({norm('text')}, ' ')) AS keyword FROM benchmark) WHERE keyword <> '' AND keyword IN (SELECT unnest(string_split(text, ' ')) FROM prose) AND keyword NOT IN (SELECT unnest(string_split(term, ' ')) FROM corpus)")
@@ -371,12 +373,12 @@ oracle("voc11_match_versions", f"SELECT version, code, section, {bar(_ALL)} AS a
 oracle("voc12_decisions", "SELECT allergen, term, CASE WHEN length(term) <= 2 THEN 'approved' WHEN length(term) >= 6 THEN 'removed' ELSE 'kept' END AS decision FROM corpus")
 oracle("emb1_term_vectors", "SELECT 'milk' AS allergen, 't' || vec_id AS term, len(embedding)::BIGINT AS dim FROM embeddings WHERE length('t' || vec_id) >= 3")
 oracle("emb2_similarities", "SELECT term, count(*) AS n, round(avg(s), 5) AS mean FROM sims GROUP BY term")
-oracle("emb3_best_per_allergen", "SELECT pos, allergen, term, round(s, 6) AS similarity FROM near")
+oracle("emb3_best_per_allergen", "SELECT pos, allergen, term, round(s, 4) AS similarity FROM near")
 oracle("emb4_gated_candidates", "SELECT code, allergen, arg_min(term, (pos, term)) AS term, min(pos) AS pos FROM near n WHERE s >= 0.3 AND NOT EXISTS (SELECT 1 FROM rule_hits r WHERE r.code = n.code AND r.allergen = n.allergen) GROUP BY code, allergen")
 oracle("emb5_threshold_sweep", metrics("bar", "swept", "ref", "pred"))
 _SWEEP = metrics("bar", "swept", "ref", "pred").replace("round(", "(").replace(", 6)", ")")
 oracle("emb6_pick_threshold", f"SELECT bar, round(f1, 6) AS f1 FROM ({_SWEEP}) WHERE f1 >= (SELECT f1 FROM ({metrics('', 'vector_sets', 'ref', 'pred')})) - 0.5 ORDER BY f1 DESC, bar LIMIT 1")
-oracle("emb7_synonym_proposals", "SELECT allergen, phrase, term, round(s, 6) AS similarity, products, rank FROM (SELECT *, row_number() OVER (PARTITION BY allergen ORDER BY s DESC, phrase) AS rank FROM (SELECT allergen, phrase, arg_min(term, (-s, term)) AS term, max(s) AS s, count(DISTINCT code) AS products FROM near WHERE s >= 0.2 GROUP BY allergen, phrase)) WHERE rank <= 15")
+oracle("emb7_synonym_proposals", "SELECT allergen, phrase, term, round(s, 4) AS similarity, products, rank FROM (SELECT *, row_number() OVER (PARTITION BY allergen ORDER BY s DESC, phrase) AS rank FROM (SELECT allergen, phrase, arg_min(term, (-s, term)) AS term, max(s) AS s, count(DISTINCT code) AS products FROM near WHERE s >= 0.2 GROUP BY allergen, phrase)) WHERE rank <= 15")
 oracle("emb8_without_term", "SELECT code FROM prose p WHERE NOT EXISTS (SELECT 1 FROM terms t WHERE length(t.term) > 3 AND contains(p.text, t.term))")
 _CL = lambda c, y: f"SELECT code, unnest(generate_series(0, len(x) - 1))::BIGINT AS pos, md5(unnest(x)) AS text, {y} AS label FROM (SELECT code, {_CLAUSES.format(c)} AS x FROM split) WHERE len(x) > 0"
 oracle("mlc1_weak_clauses", f"{_CL('declared_text', 0)} UNION ALL {_CL('trace_text', 1)}")

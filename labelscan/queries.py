@@ -839,7 +839,7 @@ def emb2_similarities(t: Inputs) -> DataFrame:
 
 @query
 def emb3_best_per_allergen(t: Inputs) -> DataFrame:
-    return flat(_best(t).select("pos", "allergen", "term", "similarity"))
+    return _best(t).select("pos", "allergen", "term", F.round("similarity", 4).alias("similarity"))
 
 
 @query
@@ -860,7 +860,7 @@ def emb6_pick_threshold(t: Inputs) -> DataFrame:
 
 @query
 def emb7_synonym_proposals(t: Inputs) -> DataFrame:
-    return flat(embed.synonym_proposals(_best(t), 0.2)).withColumn("rank", F.col("rank").cast("long"))
+    return embed.synonym_proposals(_best(t), 0.2).withColumn("rank", F.col("rank").cast("long")).withColumn("similarity", F.round("similarity", 4))
 
 
 @query
