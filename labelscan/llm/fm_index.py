@@ -106,9 +106,10 @@ class FMIndex:
             at = self.lengths[live] - 1 - step
             word = self.text[self.starts[live] + at]
             a = self.smaller[word] + self.matrix.rank(word, low[live])
-            b = self.smaller[word] + self.matrix.rank(word, high[live])
-            if step + 1 >= self.window:
+            if step + 1 >= self.window:  # the lower end alone tells the class, and so the upper end
                 out[live, at] = self.class_owner[a]
                 a, b = self.class_start[a], self.class_end[a]
+            else:
+                b = self.smaller[word] + self.matrix.rank(word, high[live])
             low[live], high[live] = a, b
         return out
