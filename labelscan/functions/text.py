@@ -121,12 +121,24 @@ def cer(reference: Column, predicted: Column) -> Column:
     return F.when(r == "", (p != "").cast("double")).otherwise(F.levenshtein(r, p) / F.length(r))
 
 
-def wer(reference: Column, predicted: Column) -> Column:
-    """Word error rate: each distinct word of the pair becomes one character, and then as cer()."""
-    r, p = (F.filter(F.split(normalize_ocr(c), " "), lambda x: x != "") for c in (reference, predicted))
-    words = F.array_distinct(F.concat(r, p))
+def split_words(c: Column) -> Column:
+    return F.filter(F.split(c, " "), lambda x: x != "")
+
+
+def word_distance(r: Column, p: Column, words: Column | None = None) -> Column:
+    """Edit distance of two arrays of words: each distinct word of the pair becomes one character.
+
+    words: the distinct words as a column of their own, which else are worked out anew for each word.
+    """
+    words = F.array_distinct(F.concat(r, p)) if words is None else words
     code = lambda ws: F.array_join(F.transform(ws, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(words, w) + 19968), 4, "0")), "UTF-16BE")), "")
-    return F.when(F.size(r) == 0, (F.size(p) > 0).cast("double")).otherwise(F.levenshtein(code(r), code(p)) / F.size(r))
+    return F.levenshtein(code(r), code(p))
+
+
+def wer(reference: Column, predicted: Column) -> Column:
+    """Word error rate: as cer(), with words for characters."""
+    r, p = (split_words(normalize_ocr(c)) for c in (reference, predicted))
+    return F.when(F.size(r) == 0, (F.size(p) > 0).cast("double")).otherwise(word_distance(r, p) / F.size(r))
 
 
 def similarity(a: Column, b: Column) -> Column:

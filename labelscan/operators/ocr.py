@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from labelscan.functions.text import cer, normalize_heading, similarity, wer
+from labelscan.functions.text import normalize_heading, normalize_ocr, similarity, split_words, word_distance
 
 #: Heading words by their normalised form (own list), and what begins the next section.
 HEADINGS = ("ingredients", "ingredient", "zutaten", "ingredientes", "ingredienti")
@@ -76,8 +76,22 @@ def ingredient_section(lines: DataFrame, stops: tuple[str, ...] = STOPS, cap: in
     return out.select("image_id", section.alias("section"), ((F.col("stopped") == 1) | (F.col("total") <= cap)).alias("found"))
 
 
-def error_rates(pairs: DataFrame) -> DataFrame:
-    return pairs.withColumn("cer", cer(F.col("reference"), F.col("predicted"))).withColumn("wer", wer(F.col("reference"), F.col("predicted")))
+def error_rates(pieces: DataFrame, by: tuple[str, ...] = ("image_id", "lang")) -> DataFrame:
+    """(by, cer, wer) of whole texts, given as pieces (reference, predicted) that belong together: distances and lengths are added up.
+
+    A text is its pieces with a space between them. The sum is the distance of the whole texts if no edit crosses a
+    border, as where words are only dropped or lengthened, and else more. No reference at all: 0 without a prediction, else 1.
+    """
+    ended = lambda c: F.when(c == "", c).otherwise(F.concat(c, F.lit(" ")))
+    base = pieces.select(*by, normalize_ocr(F.col("reference")).alias("r"), normalize_ocr(F.col("predicted")).alias("p"))
+    rows = base.withColumn("rw", split_words(F.col("r"))).withColumn("pw", split_words(F.col("p"))).withColumn("ws", F.array_distinct(F.concat("rw", "pw")))
+    r, p = F.col("r"), F.col("p")
+    sums = rows.groupBy(*by).agg(
+        F.sum(F.levenshtein(ended(r), ended(p))).alias("_d"), F.sum(F.length(ended(r))).alias("_n"), F.max(p != "").alias("_p"), F.sum(word_distance(F.col("rw"), F.col("pw"), F.col("ws"))).alias("_wd"), F.sum(F.size("rw")).alias("_wn")
+    )
+    rate = lambda d, n: F.when(F.col("_n") == 0, F.col("_p").cast("double")).otherwise(d / n)
+    last = F.when(F.col("_p"), 0).otherwise(1)  # the space after the last piece is an edit only against no prediction
+    return sums.select(*by, rate(F.col("_d") - last, F.col("_n") - 1).alias("cer"), rate(F.col("_wd"), F.col("_wn")).alias("wer"))
 
 
 def quality_by(df: DataFrame, by: tuple[str, ...]) -> DataFrame:

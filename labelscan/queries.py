@@ -679,12 +679,12 @@ def ocr6_ingredient_section(t: Inputs) -> DataFrame:
 
 @query
 def ocr7_cer(t: Inputs) -> DataFrame:
-    return t.pairs.select("image_id", r6(text.cer(F.col("reference"), F.col("predicted"))).alias("cer"))
+    return ocr.error_rates(t.pieces).select("image_id", r6("cer").alias("cer"))
 
 
 @query
 def ocr8_wer(t: Inputs) -> DataFrame:
-    return t.pairs.select("image_id", r6(text.wer(F.col("reference"), F.col("predicted"))).alias("wer"))
+    return ocr.error_rates(t.pieces).select("image_id", r6("wer").alias("wer"))
 
 
 def _ocr_sets(t: Inputs) -> DataFrame:
@@ -705,12 +705,12 @@ def ocr9_ocr_vs_clean(t: Inputs) -> DataFrame:
 
 @query
 def ocr10_quality_by(t: Inputs) -> DataFrame:
-    return flat(ocr.quality_by(ocr.error_rates(t.pairs), ("lang",)))
+    return flat(ocr.quality_by(ocr.error_rates(t.pieces), ("lang",)))
 
 
 @query
 def ocr11_worst(t: Inputs) -> DataFrame:
-    return ocr.worst(ocr.error_rates(t.pairs).select("image_id", r6("cer").alias("cer")), "cer", 10)
+    return ocr.worst(ocr.error_rates(t.pieces).select("image_id", r6("cer").alias("cer")), "cer", 10)
 
 
 @query
