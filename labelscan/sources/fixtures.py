@@ -167,7 +167,8 @@ class Inputs:
 
     @cached_property
     def phrases(self) -> DataFrame:
-        return self.table("embeddings").where("vec_id % 10 <> 0").select((F.col("vec_id") % 200).cast("string").alias("code"), F.col("vec_id").alias("pos"), F.concat(F.lit("phrase "), F.col("vec_id").cast("string")).alias("phrase"), F.col("embedding").alias("vector"))
+        """All vectors that stand for no term."""
+        return self.table("embeddings").where("vec_id % 10 <> 0 or vec_id >= 3000").select((F.col("vec_id") % 200).cast("string").alias("code"), F.col("vec_id").alias("pos"), F.concat(F.lit("phrase "), F.col("vec_id").cast("string")).alias("phrase"), F.col("embedding").alias("vector"))
 
     @cached_property
     def term_rows(self) -> DataFrame:

@@ -46,3 +46,11 @@ def test_error_rates_of_one_piece(spark):
     got = {r.image_id: (r.cer, r.wer) for r in ocr.error_rates(df, ("image_id",)).collect()}
     want = df.select("image_id", text.cer(F.col("reference"), F.col("predicted")).alias("c"), text.wer(F.col("reference"), F.col("predicted")).alias("w")).collect()
     assert got == {r.image_id: (r.c, r.w) for r in want}
+
+
+def test_each_vector_is_a_phrase_or_a_term(spark, tmp_path):
+    ids = [0, 10, 11, 2990, 2999, 3000, 3001, 5550]
+    sf = save(spark, tmp_path, "embeddings", [(i, [1.0, 0.0], 1) for i in ids], "vec_id long, embedding array<float>, label int")
+    terms, phrases = {0, 10, 2990}, {11, 2999, 3000, 3001, 5550}
+    assert {(r.term, r.n) for r in queries.QUERIES["emb2_similarities"](spark, sf).collect()} == {(f"term {i}", len(phrases)) for i in terms}
+    assert {r.pos for r in queries.QUERIES["emb3_best_per_allergen"](spark, sf).collect()} == phrases
