@@ -749,7 +749,7 @@ def voc3_duplicate_terms(t: Inputs) -> DataFrame:
 
 @query
 def voc4_near_duplicates(t: Inputs) -> DataFrame:
-    words = vocabulary.corpus_words(t.prose).where("n > 3").select(F.concat(F.lit("g"), F.substring("word", 1, 1)).alias("allergen"), F.col("word").alias("term"))
+    words = vocabulary.corpus_words(t.prose).select(F.concat(F.lit("g"), F.substring("word", 1, 1)).alias("allergen"), F.col("word").alias("term"))
     return vocabulary.near_duplicates(words)
 
 

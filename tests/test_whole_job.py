@@ -54,3 +54,12 @@ def test_each_vector_is_a_phrase_or_a_term(spark, tmp_path):
     terms, phrases = {0, 10, 2990}, {11, 2999, 3000, 3001, 5550}
     assert {(r.term, r.n) for r in queries.QUERIES["emb2_similarities"](spark, sf).collect()} == {(f"term {i}", len(phrases)) for i in terms}
     assert {r.pos for r in queries.QUERIES["emb3_best_per_allergen"](spark, sf).collect()} == phrases
+
+
+def test_near_duplicates_of_rare_words(spark, tmp_path):
+    words = ["hazelnut", "hazelnot", "hazelnuts", "chocolate", "chocolatte", "almond", "almonds", "alm", "zucker", "zuckre"]
+    text_ = " ".join(words + words[:2] + words[3:4] * 5)
+    sf = save(spark, tmp_path, "documents", [(1, text_, "en")], "doc_id long, text string, lang string")
+    got = {(r.allergen, r.a, r.b) for r in queries.QUERIES["voc4_near_duplicates"](spark, sf).collect()}
+    assert got == {("g" + a[0], a, b) for a in words for b in words if a < b and a[0] == b[0] and 1 - distance(a, b) / max(len(a), len(b)) >= 0.85}
+    assert ("gh", "hazelnot", "hazelnut") in got
