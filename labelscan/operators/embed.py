@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelscan.operators.evaluate import micro_metrics
-from labelscan.operators.match import bounded
+from labelscan.operators.match import bounded, drop_excluded, drop_negated, exclusion_rules, negation_rules
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -29,9 +29,14 @@ def best_per_allergen(phrases: DataFrame, terms: DataFrame, bar: float = -1.0) -
     return best.where(F.col("similarity") >= bar)
 
 
-def gated_candidates(best: DataFrame, rule_hits: DataFrame, bar: float) -> DataFrame:
-    """(code, allergen, term, pos): allergens that the rules have not found in the code; the first phrase wins."""
+def gated_candidates(best: DataFrame, rule_hits: DataFrame, texts: DataFrame, bar: float) -> DataFrame:
+    """(code, allergen, term, pos): allergens that the rules have not found in the code; the first phrase wins.
+
+    texts is (code, text), the normalised section of each code: what it negates or excludes is no candidate, as with an exact match.
+    """
     new = best.where(F.col("similarity") >= bar).join(rule_hits.select("code", "allergen").distinct(), ["code", "allergen"], "left_anti")
+    new = new.join(texts.select("code", "text"), "code", "left").withColumn("text", F.coalesce("text", F.lit("")))
+    new = drop_excluded(drop_negated(new, negation_rules(best.sparkSession)), exclusion_rules(best.sparkSession))
     return new.groupBy("code", "allergen").agg(F.min_by(F.struct("term", "pos"), F.struct("pos", "term")).alias("f")).select("code", "allergen", "f.*")
 
 

@@ -844,7 +844,7 @@ def emb3_best_per_allergen(t: Inputs) -> DataFrame:
 
 @query
 def emb4_gated_candidates(t: Inputs) -> DataFrame:
-    return embed.gated_candidates(_best(t), _rule_hits(t), 0.3)
+    return embed.gated_candidates(_best(t), _rule_hits(t), t.texts, 0.3)
 
 
 @query

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from labelscan import queries
 from labelscan.functions import text
-from labelscan.operators import ocr
+from labelscan.operators import embed, ocr
 
 
 def distance(a, b):
@@ -63,3 +63,11 @@ def test_near_duplicates_of_rare_words(spark, tmp_path):
     got = {(r.allergen, r.a, r.b) for r in queries.QUERIES["voc4_near_duplicates"](spark, sf).collect()}
     assert got == {("g" + a[0], a, b) for a in words for b in words if a < b and a[0] == b[0] and 1 - distance(a, b) / max(len(a), len(b)) >= 0.85}
     assert ("gh", "hazelnot", "hazelnut") in got
+
+
+def test_candidates_are_negated_and_excluded(spark):
+    best = spark.createDataFrame([("1", 0, "milk", "milk", 0.9), ("2", 0, "milk", "butter", 0.9), ("2", 1, "milk", "whey", 0.9), ("3", 0, "milk", "milk", 0.9), ("4", 0, "egg", "egg", 0.9), ("4", 1, "egg", "ei", 0.1)], "code string, pos long, allergen string, term string, similarity double")
+    texts = spark.createDataFrame([("1", "oats no milk"), ("2", "cocoa butter"), ("3", "oats no eggs")], "code string, text string")
+    hits = spark.createDataFrame([("9", "milk")], "code string, allergen string")
+    got = {(r.code, r.allergen, r.term, r.pos) for r in embed.gated_candidates(best, hits, texts, 0.3).collect()}
+    assert got == {("2", "milk", "whey", 1), ("3", "milk", "milk", 0), ("4", "egg", "egg", 0)}
