@@ -8,7 +8,6 @@ Python object for each word.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -32,14 +31,15 @@ _powers: dict[str, np.ndarray] = {}
 CHUNK = 1 << 20
 
 
+#: Buckets that Spark allows a table.
+MOST_BUCKETS = 100_000
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share: the session's checkpoint folder, or one in its warehouse without it."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="labelscan-"))
-    return context.getCheckpointDir()
+    return spark.sparkContext.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir')}/labelscan-scratch"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -50,6 +50,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Write df into the shared folder in hash buckets of a column: joins on that column then leave these rows in place.
+
+    There are as many buckets as the session has shuffle partitions, so that they grow with what it is set up for.
+    """
+    spark = df.sparkSession
+    label = f"labelscan_{name}_{uuid.uuid4().hex}"
+    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_BUCKETS)
+    writer = df.repartition(n, column).write.bucketBy(n, column).format("parquet").option("compression", "zstd")
+    writer.option("path", f"{shared_dir(spark)}/{label}").saveAsTable(label)
+    return spark.table(label)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelscan.llm.fm_index import FMIndex
-from labelscan.llm.shared import Words, mixed, pieces, plus, powers, runs, stored
+from labelscan.llm.shared import Words, bucketed, mixed, pieces, plus, powers, runs, stored
 
 WINDOW, GRAM = 50, 16
 REACH = WINDOW - GRAM  # words by which a window may begin before its anchor
@@ -70,54 +70,72 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
-                d, at, key, piece, first, _ = anchors(words := Words(part.column("text")))
-                start = first - words.first[d]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(d)), part.column("mark").take(pa.array(d)), pa.array(start.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(piece.view(np.int64))], ["doc_id", "mark", "start", "key", "piece"])
+                d, _, key, piece, first, _ = anchors(words := Words(part.column("text")))
+                start = pa.array((first - words.first[d]).astype(np.int32))
+                own = [part.column(c).take(pa.array(d)) for c in ("slot", "mark")]
+                columns = [*own, start, pa.array(key.view(np.int64)), pa.array(piece.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["slot", "mark", "start", "key", "piece"])
 
-    return docs.mapInArrow(run, "doc_id long, mark int, start int, key long, piece long")
+    return docs.mapInArrow(run, "slot long, mark int, start int, key long, piece long")
 
 
-def _units(owned: DataFrame) -> DataFrame:
-    """Texts of the wanted pieces of their owners: (shard, unit, key, piece, place, owner, words), single windows for hot ones."""
-    names = ["shard", "unit", "key", "piece", "place", "owner", "words"]
+def _wanted(part: pa.RecordBatch, words: Words) -> Iterator[tuple[int, int, int, int, int]]:
+    """(first word, end word, key, piece, owner) of the pieces that each document of a batch is asked for.
+
+    A piece is not found if a repeated id stands for several texts and another one has it.
+    """
+    d, _, key, piece, first, end = anchors(words)
+    asked = part.column("wanted")
+    base = np.asarray(asked.offsets)
+    lists = asked.values.slice(base[0], base[-1] - base[0])
+    doc_of = np.repeat(np.arange(words.n), np.diff(base))
+    pairs = [lists.field(c).to_numpy() for c in ("key", "piece")]
+    have = np.column_stack((d, key.view(np.int64), piece.view(np.int64)))
+    rows, found = np.unique(have, axis=0, return_index=True)
+    both = np.concatenate((rows, np.column_stack((doc_of, *pairs)).astype(np.int64)))
+    _, inverse = np.unique(both, axis=0, return_inverse=True)
+    place = np.full(int(inverse.max(initial=-1)) + 1, -1)
+    place[inverse[: len(rows)]] = found
+    at = place[inverse[len(rows) :]]
+    owner = part.column("slot").to_numpy()[doc_of]
+    hit = np.flatnonzero(at >= 0)
+    yield from zip(*(x.tolist() for x in (first[at[hit]], end[at[hit]], pairs[0][hit], pairs[1][hit], owner[hit])), strict=True)
+
+
+def _whole(owned: DataFrame) -> DataFrame:
+    """Texts of wanted pieces: (shard, unit, owner, words); a piece's shard is its run and it has one owner."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch):
+                words = Words(part.column("text"))
+                raw, out = words.data, ([], [], [], [])
+                for a, b, key, piece, owner in _wanted(part, words):
+                    for column, value in zip(out, (key, piece, owner, raw[words.starts[a] : words.ends[b - 1]].tobytes()), strict=True):
+                        column.append(value)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary())], ["shard", "unit", "owner", "words"])
+
+    return owned.mapInArrow(run, "shard long, unit long, owner long, words binary")
+
+
+def _windows(owned: DataFrame) -> DataFrame:
+    """Every window of wanted pieces by itself: (shard, key, piece, place, owner, words), the shard being the window's hash."""
+    names = ["shard", "key", "piece", "place", "owner", "words"]
+    types = [pa.int64()] * 3 + [pa.int32(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
                 words = Words(part.column("text"))
-                d, _, key, piece, first, end = anchors(words)
-                wanted = part.column("wanted")
-                lists = wanted.values
-                doc_of = np.repeat(np.arange(words.n), pc.list_value_length(wanted).to_numpy())
-                base = np.asarray(wanted.offsets)
-                lists = lists.slice(base[0], base[-1] - base[0])
-                asked = np.column_stack((doc_of, lists.field("key").to_numpy(), lists.field("piece").to_numpy())).astype(np.int64)
-                have = np.column_stack((d, key.view(np.int64), piece.view(np.int64)))
-                rows, found = np.unique(have, axis=0, return_index=True)
-                both = np.concatenate((rows, asked))
-                _, inverse = np.unique(both, axis=0, return_inverse=True)
-                place = np.full(int(inverse.max(initial=-1)) + 1, -1)
-                place[inverse[: len(rows)]] = found
-                at = place[inverse[len(rows) :]]
-                hot = lists.field("hot").to_numpy(zero_copy_only=False)
-                ids = part.column("doc_id").to_numpy()
-                out: list[tuple] = []
-                raw = words.data
-                for i, is_hot, doc in zip(at.tolist(), hot.tolist(), doc_of.tolist(), strict=True):
-                    if i < 0:  # the other text of a repeated id
-                        continue
-                    a, b, k, p, owner = int(first[i]), int(end[i]), int(key[i].view(np.int64)), int(piece[i].view(np.int64)), int(ids[doc])
-                    if not is_hot:
-                        out.append((k, p, k, p, 0, owner, raw[words.starts[a] : words.ends[b - 1]].tobytes()))
-                        continue
+                raw, out = words.data, []
+                for a, b, key, piece, owner in _wanted(part, words):
                     s = np.arange(a, b - WINDOW + 1)
                     for x, h in zip(s.tolist(), _spans(words, s, s + WINDOW).view(np.int64).tolist(), strict=True):
-                        out.append((h, h, k, p, x - a, owner, raw[words.starts[x] : words.ends[x + WINDOW - 1]].tobytes()))
-                columns = list(zip(*out, strict=True)) if out else [[]] * 7
-                types = [pa.int64()] * 4 + [pa.int32(), pa.int64(), pa.binary()]
+                        out.append((h, key, piece, x - a, owner, raw[words.starts[x] : words.ends[x + WINDOW - 1]].tobytes()))
+                columns = list(zip(*out, strict=True)) if out else [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
 
-    return owned.mapInArrow(run, "shard long, unit long, key long, piece long, place int, owner long, words binary")
+    return owned.mapInArrow(run, "shard long, key long, piece long, place int, owner long, words binary")
 
 
 def search(units: DataFrame) -> DataFrame:
@@ -164,23 +182,36 @@ def search(units: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, text) -> (doc_id, mark, spans): windows of each document that start in a document of smaller id, as (first word, bits)."""
-    docs = docs.where("doc_id is not null")
+    """(slot, mark, text), bucketed by slot -> (slot, spans): windows that start in a document of smaller slot.
+
+    A span is (mark of the text, first word of a piece, bits of its windows). Only hashes and the wanted pieces' words are shuffled: the
+    texts stay in their buckets.
+    """
     rows = _anchor_rows(docs)
-    distinct = stored(rows.groupBy("key", "piece").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")), "pieces")
-    shared = distinct.groupBy("key").agg(F.min("owner").alias("low"), F.max("last").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("key", (F.col("n") > HOT).alias("hot"))
-    wanted = distinct.join(shared, "key").groupBy("owner").agg(F.collect_list(F.struct("key", "piece", "hot")).alias("wanted")).withColumnRenamed("owner", "doc_id")
-    units = stored(_units(docs.join(wanted, "doc_id").select("doc_id", "text", "wanted")), "units")
-    single = units.groupBy("shard", "unit", "words").agg(F.min("owner").alias("owner"))
-    owners = search(single)
-    parts = units.select("shard", "unit", "key", "piece", "place").join(owners, ["shard", "unit"])
-    whole = parts.where("shard = key").select("key", "piece", "owners").dropDuplicates(["key", "piece"])
-    cut = parts.where("shard <> key").groupBy("key", "piece").agg(F.array_sort(F.collect_set(F.struct("place", F.col("owners")[0].alias("owner")))).alias("x")).select("key", "piece", F.col("x.owner").alias("owners"))
-    found = stored(whole.union(cut), "owners")
-    met = rows.join(found, ["key", "piece"])
-    bits = F.aggregate(F.transform("owners", lambda o, i: F.when(o < F.col("doc_id"), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
-    hit = met.select("doc_id", "mark", F.struct("start", bits.alias("bits")).alias("span")).where("span.bits <> 0")
-    return hit.groupBy("doc_id", "mark").agg(F.collect_set("span").alias("spans"))
+    distinct = rows.groupBy("key", "piece").agg(F.min("slot").alias("owner"), F.max("slot").alias("last"))
+    distinct = stored(distinct, "pieces")
+    by_run = distinct.groupBy("key").agg(F.min("owner").alias("low"), F.max("last").alias("high"), F.count(F.lit(1)).alias("n"))
+    shared = by_run.where("low < high").select("key", (F.col("n") > HOT).alias("hot"))
+    wanted = stored(distinct.select("key", "piece", "owner").join(shared, "key"), "wanted")
+
+    def owned(hot: bool) -> DataFrame:
+        asked = wanted.where(F.col("hot") == hot).groupBy("owner").agg(F.collect_list(F.struct("key", "piece")).alias("wanted"))
+        return docs.join(asked, F.col("slot") == F.col("owner")).select("slot", "text", "wanted")
+
+    names = {"shard": "key", "unit": "piece"}
+    found = search(_whole(owned(False))).withColumnsRenamed(names)
+    if not wanted.where("hot").isEmpty():
+        windows = stored(_windows(owned(True)), "windows")
+        single = windows.groupBy("shard").agg(F.min("owner").alias("owner"), F.min("words").alias("words"))
+        owners = search(single.withColumn("unit", F.col("shard"))).select("shard", F.col("owners")[0].alias("owner"))
+        placed = windows.select("shard", "key", "piece", "place").join(owners, "shard")
+        cut = placed.groupBy("key", "piece").agg(F.array_sort(F.collect_set(F.struct("place", "owner"))).alias("x"))
+        found = found.union(cut.select("key", "piece", F.col("x.owner").alias("owners")))
+    met = rows.join(stored(found, "owners"), ["key", "piece"])
+    bit = lambda o, i: F.when(o < F.col("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
+    bits = F.aggregate(F.transform("owners", bit), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    hit = met.select("slot", F.struct("mark", "start", bits.alias("bits")).alias("span")).where("span.bits <> 0")
+    return hit.groupBy("slot").agg(F.collect_set("span").alias("spans"))
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -191,16 +222,23 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     from each other. An empty table gives no rows; columns of docs with a result's name are replaced.
     """
     docs = docs.drop("n_words", "n_removed", "removed", "kept_text")
-    narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.hash(text).alias("mark"), F.col(text).alias("text"))
-    found = repeats(narrow).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "spans")
-    joined = docs.join(found, (docs[key].cast("long") == F.col("_id")) & (F.hash(docs[text]) == F.col("_mark")), "left").drop("_id", "_mark")
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    at = plain[docs.columns.index(text)]
+    ids = F.col(plain[docs.columns.index(key)]).cast("long")
+    # rows without an id are spread by their texts, and take no part in the search
+    slots = docs.toDF(*plain).withColumn("has_id", ids.isNotNull()).withColumn("slot", F.coalesce(ids, F.xxhash64(at)))
+    kept = bucketed(slots, "slot", "texts")
+    found = repeats(kept.where("has_id").select("slot", F.hash(at).alias("mark"), F.col(at).alias("text")))
+    found = found.withColumnRenamed("slot", "_slot")
+    joined = kept.join(found, (F.col("slot") == F.col("_slot")) & F.col("has_id"), "left")
+    joined = joined.select(*plain, F.filter("spans", lambda s: s["mark"] == F.hash(at)).alias("spans"))
     schema = plus(docs, "n_words long, n_removed long, removed array<struct<start: long, end: long>>, kept_text string")
-    names, others = schema.names, docs.columns
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, text):
-                words = Words(part.column(text), hashes=False)
+            for part in pieces(batch, at):
+                words = Words(part.column(at), hashes=False)
                 gone = np.zeros(len(words.starts) + 1, np.int64)
                 spans = part.column("spans")
                 has = np.flatnonzero(pc.is_valid(spans).to_numpy(zero_copy_only=False))
@@ -225,7 +263,9 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                     else:
                         lists.append([])
                     texts.append(b" ".join(own).decode())
-                columns = [pa.array(words.counts.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(lists, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(texts, pa.string())]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), *columns], names)
+                spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+                counts = [pa.array(x.astype(np.int64)) for x in (words.counts, removed)]
+                columns = [*counts, pa.array(lists, spans_type), pa.array(texts, pa.string())]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in plain), *columns], names)
 
     return joined.mapInArrow(run, schema)
