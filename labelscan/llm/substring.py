@@ -10,8 +10,10 @@ A window is WINDOW consecutive words of one document. It is to go if its words a
 3. Shards. Pieces of the same run go to the same shard, of a bounded number of words, over which an FM-index is built;
    the shard's pieces are streamed through it by backward search over its wavelet matrix, and every position whose
    matching statistic reaches the window reports the smallest owner in its interval.
-4. A run with more than HOT different pieces (a passage in many surroundings) has its pieces cut into single windows,
-   which are shards by themselves and of which equal ones are one again: no shard depends on how common a run is.
+4. A run with more than HOT different pieces (a passage in many surroundings) has each piece halved: the windows that
+   begin further before the anchor, and the others. The words that all windows of a half have in common are a longer run
+   than before, halves of one run meet again, equal ones are one again, and runs that are still hot are halved further,
+   down to single windows. No shard depends on how common a run is, and what only one document holds drops out at once.
 5. Each occurrence of a piece takes the windows whose owner is smaller than its own id, and documents drop what these
    cover.
 """
@@ -31,7 +33,7 @@ from labelscan.llm.shared import Words, bucketed, mixed, pieces, plus, powers, r
 
 WINDOW, GRAM = 50, 16
 REACH = WINDOW - GRAM  # words by which a window may begin before its anchor
-#: Different pieces of a run that one shard takes, and words of a shard.
+#: Different pieces of a run that one shard takes, and words of a shard. The results don't depend on either.
 HOT, SHARD_WORDS = 2048, 200_000
 
 
@@ -79,63 +81,98 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "slot long, mark int, start int, key long, piece long")
 
 
-def _wanted(part: pa.RecordBatch, words: Words) -> Iterator[tuple[int, int, int, int, int]]:
-    """(first word, end word, key, piece, owner) of the pieces that each document of a batch is asked for.
+ASKED = "array<struct<key: long, piece: long, mark: int, at: int, low: int, high: int, last: long>>"
 
-    A piece is not found if a repeated id stands for several texts and another one has it.
+
+def _asked(part: pa.RecordBatch, words: Words) -> dict[str, np.ndarray]:
+    """The units that each document of a batch is asked for, with their owner, document, and anchor as a word of the batch.
+
+    `low` and `high` bound by how many words a unit's windows begin before the anchor. Without an anchor (at < 0) a unit
+    is a piece, which is looked for by its hash. Units of another text of a repeated id are left out.
     """
-    d, _, key, piece, first, end = anchors(words)
     asked = part.column("wanted")
     base = np.asarray(asked.offsets)
     lists = asked.values.slice(base[0], base[-1] - base[0])
-    doc_of = np.repeat(np.arange(words.n), np.diff(base))
-    pairs = [lists.field(c).to_numpy() for c in ("key", "piece")]
-    have = np.column_stack((d, key.view(np.int64), piece.view(np.int64)))
-    rows, found = np.unique(have, axis=0, return_index=True)
-    both = np.concatenate((rows, np.column_stack((doc_of, *pairs)).astype(np.int64)))
-    _, inverse = np.unique(both, axis=0, return_inverse=True)
-    place = np.full(int(inverse.max(initial=-1)) + 1, -1)
-    place[inverse[: len(rows)]] = found
-    at = place[inverse[len(rows) :]]
-    owner = part.column("slot").to_numpy()[doc_of]
-    hit = np.flatnonzero(at >= 0)
-    yield from zip(*(x.tolist() for x in (first[at[hit]], end[at[hit]], pairs[0][hit], pairs[1][hit], owner[hit])), strict=True)
-
-
-def _whole(owned: DataFrame) -> DataFrame:
-    """Texts of wanted pieces: (shard, unit, owner, words); a piece's shard is its run and it has one owner."""
+    out = {c: lists.field(c).to_numpy(zero_copy_only=False) for c in ("key", "piece", "low", "high", "last")}
+    place, mark = (lists.field(c).to_numpy(zero_copy_only=False) for c in ("at", "mark"))
+    out["doc"] = doc = np.repeat(np.arange(words.n), np.diff(base))
+    out["owner"] = part.column("slot").to_numpy()[doc]
+    at = np.where(place >= 0, place + words.first[doc], -1)
+    at[mark != part.column("mark").to_numpy()[doc]] = -1
+    if (place < 0).any():
+        d, within, key, piece, _, _ = anchors(words)
+        have = np.column_stack((d, key.view(np.int64), piece.view(np.int64)))
+        rows, found = np.unique(have, axis=0, return_index=True)
+        both = np.concatenate((rows, np.column_stack((doc, out["key"], out["piece"]))))
+        _, inverse = np.unique(both, axis=0, return_inverse=True)
+        first = np.full(int(inverse.max(initial=-1)) + 1, -1)
+        first[inverse[: len(rows)]] = found
+        hit = first[inverse[len(rows) :]]
+        at = np.where(hit >= 0, within[hit] + words.first[doc], -1) if len(within) else np.full(len(doc), -1)
+    out["at"] = at
+    return {c: x[at >= 0] for c, x in out.items()}
+
+
+def _span(words: Words, doc: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end word of a unit within its document; a unit without a window ends before WINDOW words."""
+    low = np.maximum(low, at + WINDOW - words.first[doc + 1])
+    high = np.minimum(high, at - words.first[doc])
+    return at - high, at - low + WINDOW
+
+
+def _texts(owned: DataFrame) -> DataFrame:
+    """Words of the asked units: (shard, unit, owner, words); a unit's shard is its run and it has one owner."""
+    names = ["shard", "unit", "owner", "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
                 words = Words(part.column("text"))
-                raw, out = words.data, ([], [], [], [])
-                for a, b, key, piece, owner in _wanted(part, words):
-                    for column, value in zip(out, (key, piece, owner, raw[words.starts[a] : words.ends[b - 1]].tobytes()), strict=True):
-                        column.append(value)
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary())], ["shard", "unit", "owner", "words"])
+                u = _asked(part, words)
+                first, end = _span(words, u["doc"], u["at"], u["low"], u["high"])
+                raw, bounds = words.data, zip(words.starts[first].tolist(), words.ends[end - 1].tolist(), strict=True)
+                columns = [pa.array(u[c], pa.int64()) for c in ("key", "piece", "owner")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([raw[a:b].tobytes() for a, b in bounds], pa.binary())], names)
 
     return owned.mapInArrow(run, "shard long, unit long, owner long, words binary")
 
 
-def _windows(owned: DataFrame) -> DataFrame:
-    """Every window of wanted pieces by itself: (shard, key, piece, place, owner, words), the shard being the window's hash."""
-    names = ["shard", "key", "piece", "place", "owner", "words"]
-    types = [pa.int64()] * 3 + [pa.int32(), pa.int64(), pa.binary()]
+def _halves(owned: DataFrame) -> DataFrame:
+    """Both halves of the asked units: `n` windows of (up_key, up_piece), those that begin further before the anchor being `early`."""
+    ints = ["mark", "at", "low", "high", "n"]
+    longs = ["up_key", "up_piece", "key", "piece", "owner", "last"]
+    schema = ", ".join([f"{c} long" for c in longs] + [f"{c} int" for c in ints] + ["early boolean"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
                 words = Words(part.column("text"))
-                raw, out = words.data, []
-                for a, b, key, piece, owner in _wanted(part, words):
-                    s = np.arange(a, b - WINDOW + 1)
-                    for x, h in zip(s.tolist(), _spans(words, s, s + WINDOW).view(np.int64).tolist(), strict=True):
-                        out.append((h, key, piece, x - a, owner, raw[words.starts[x] : words.ends[x + WINDOW - 1]].tobytes()))
-                columns = list(zip(*out, strict=True)) if out else [[]] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
-
-    return owned.mapInArrow(run, "shard long, key long, piece long, place int, owner long, words binary")
+                u = _asked(part, words)
+                middle = (u["low"] + u["high"]) // 2
+                u = {c: np.concatenate((x, x)) for c, x in u.items()}
+                early = np.arange(len(u["at"])) < len(middle)
+                low = np.where(early, np.tile(middle + 1, 2), u["low"])
+                high = np.where(early, u["high"], np.tile(middle, 2))
+                first, end = _span(words, u["doc"], u["at"], low, high)
+                n = end - first - WINDOW + 1
+                has = np.flatnonzero((n > 0) & (low <= high))
+                at, doc, low, high, first, end = (x[has] for x in (u["at"], u["doc"], low, high, first, end))
+                key = _spans(words, at - low, at + WINDOW - high) ^ mixed((low * 64 + high + 1).astype(np.uint64))
+                piece = _spans(words, first, end) ^ mixed((at - first).astype(np.uint64))
+                columns = {"up_key": u["key"][has], "up_piece": u["piece"][has], "key": key.view(np.int64), "piece": piece.view(np.int64)}
+                columns |= {c: u[c][has] for c in ("owner", "last")}
+                marks = part.column("mark").to_numpy()[doc]
+                columns |= {"mark": marks, "at": at - words.first[doc], "low": low, "high": high, "n": n[has]}
+                arrays = [pa.array(columns[c], pa.int64()) for c in longs] + [pa.array(columns[c].astype(np.int32)) for c in ints]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(early[has])], [*longs, *ints, "early"])
+
+    return owned.mapInArrow(run, schema)
+
+
+def _shared(units: DataFrame) -> DataFrame:
+    """Those units (key, piece, owner, last, ...) whose run several documents hold, with `hot` for the runs of many units."""
+    by_run = units.groupBy("key").agg(F.min("owner").alias("_low"), F.max("last").alias("_high"), F.count(F.lit(1)).alias("_n"))
+    return units.join(by_run.where("_low < _high").select("key", (F.col("_n") > HOT).alias("hot")), "key")
 
 
 def search(units: DataFrame) -> DataFrame:
@@ -188,26 +225,33 @@ def repeats(docs: DataFrame) -> DataFrame:
     texts stay in their buckets.
     """
     rows = _anchor_rows(docs)
-    distinct = rows.groupBy("key", "piece").agg(F.min("slot").alias("owner"), F.max("slot").alias("last"))
-    distinct = stored(distinct, "pieces")
-    by_run = distinct.groupBy("key").agg(F.min("owner").alias("low"), F.max("last").alias("high"), F.count(F.lit(1)).alias("n"))
-    shared = by_run.where("low < high").select("key", (F.col("n") > HOT).alias("hot"))
-    wanted = stored(distinct.select("key", "piece", "owner").join(shared, "key"), "wanted")
+    distinct = stored(rows.groupBy("key", "piece").agg(F.min("slot").alias("owner"), F.max("slot").alias("last")), "pieces")
+    nowhere = [F.lit(x).cast("int").alias(c) for c, x in (("mark", 0), ("at", -1), ("low", 0), ("high", REACH))]
+    wanted = stored(_shared(distinct).select("*", *nowhere), "wanted")
 
     def owned(hot: bool) -> DataFrame:
-        asked = wanted.where(F.col("hot") == hot).groupBy("owner").agg(F.collect_list(F.struct("key", "piece")).alias("wanted"))
-        return docs.join(asked, F.col("slot") == F.col("owner")).select("slot", "text", "wanted")
-
-    names = {"shard": "key", "unit": "piece"}
-    found = search(_whole(owned(False))).withColumnsRenamed(names)
-    if not wanted.where("hot").isEmpty():
-        windows = stored(_windows(owned(True)), "windows")
-        single = windows.groupBy("shard").agg(F.min("owner").alias("owner"), F.min("words").alias("words"))
-        owners = search(single.withColumn("unit", F.col("shard"))).select("shard", F.col("owners")[0].alias("owner"))
-        placed = windows.select("shard", "key", "piece", "place").join(owners, "shard")
-        cut = placed.groupBy("key", "piece").agg(F.array_sort(F.collect_set(F.struct("place", "owner"))).alias("x"))
-        found = found.union(cut.select("key", "piece", F.col("x.owner").alias("owners")))
-    met = rows.join(stored(found, "owners"), ["key", "piece"])
+        unit = F.struct("key", "piece", "mark", "at", "low", "high", "last")
+        asked = wanted.where(F.col("hot") == hot).groupBy("owner").agg(F.collect_list(unit).cast(ASKED).alias("wanted"))
+        return docs.join(asked, F.col("slot") == F.col("owner")).select("slot", "mark", "text", "wanted")
+
+    named = {"shard": "key", "unit": "piece"}
+    levels = []
+    while True:  # at most six times: a piece has REACH + 1 windows
+        found = search(_texts(owned(False))).withColumnsRenamed(named)
+        if wanted.where("hot").isEmpty():
+            break
+        halves = stored(_halves(owned(True)), "halves")
+        levels.append((stored(found, "owners"), halves))
+        place = F.min(F.struct("owner", "mark", "at"))
+        units = halves.groupBy("key", "piece").agg(place.alias("_p"), *[F.max(c).alias(c) for c in ("last", "low", "high")])
+        wanted = stored(_shared(units.select("key", "piece", "_p.*", "last", "low", "high")), "wanted")
+    for whole, halves in reversed(levels):
+        owners = F.coalesce("owners", F.array_repeat("owner", F.col("n")))  # else no other document holds its windows
+        parts = halves.join(found, ["key", "piece"], "left").select("up_key", "up_piece", F.struct(~F.col("early"), owners.alias("owners")).alias("x"))
+        joined = parts.groupBy("up_key", "up_piece").agg(F.array_sort(F.collect_set("x")).alias("x"))
+        found = whole.union(joined.select("up_key", "up_piece", F.flatten("x.owners")))
+    found = stored(found, "owners")
+    met = rows.join(found, ["key", "piece"])
     bit = lambda o, i: F.when(o < F.col("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
     bits = F.aggregate(F.transform("owners", bit), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
     hit = met.select("slot", F.struct("mark", "start", bits.alias("bits")).alias("span")).where("span.bits <> 0")
