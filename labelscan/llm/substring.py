@@ -33,8 +33,9 @@ from labelscan.llm.shared import Words, bucketed, mixed, pieces, plus, powers, r
 
 WINDOW, GRAM = 50, 16
 REACH = WINDOW - GRAM  # words by which a window may begin before its anchor
-#: Different pieces of a run that one shard takes, and words of a shard. The results don't depend on either.
-HOT, SHARD_WORDS = 2048, 200_000
+#: Different pieces of a run that one shard takes (its index is some 60 MB), and words up to which runs share one. The
+#: results depend on neither.
+HOT, SHARD_WORDS = 8192, 200_000
 
 
 def _slide(x: np.ndarray, n: int, f: np.ufunc) -> np.ndarray:
