@@ -129,7 +129,8 @@ def _survivors(pairs: DataFrame, classes: DataFrame, similarity: int) -> DataFra
     """Pairs (a, b) whose signatures survive the sequential test."""
     bars = least_equal(similarity / 100)
     own = classes.select("rep", "signature")
-    both = pairs.join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+    # b first: it is in two pairs at most, so that no pivot's signature is shuffled for each of its partners
+    both = pairs.join(own.toDF("b", "sb"), "b").join(own.toDF("a", "sa"), "a").select("a", "b", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +165,7 @@ def similar(x: np.ndarray, y: np.ndarray, similarity: int) -> bool:
 def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: int) -> DataFrame:
     """Those pairs that are similar on their full sets."""
     own = _sets(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), shingle)
-    both = pairs.join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+    both = pairs.join(own.toDF("b", "sb"), "b").join(own.toDF("a", "sa"), "a").select("a", "b", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,13 +245,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
     Words are lower-cased (A to Z). Documents with fewer words than a shingle have the whole sequence as their one
     shingle. Null, empty and blank texts have no shingles, are linked with nothing and are kept. component_id is the
-    smallest id that links reach, and a row is kept if that is its own. Rows without an id are dropped, as links need
-    ids. Rows that repeat an id are one document: their components are joined if their texts differ. An empty table gives no rows; further columns
-    are ignored.
+    smallest id that links reach, and a row is kept if that is its own. Rows without an id are linked with nothing, as
+    links need ids: their component_id is null and they are kept. Rows that repeat an id are one document: their
+    components are joined if their texts differ. An empty table gives no rows; further columns are ignored.
     """
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketch = stored(_sketch(docs, shingle), "sketch")
-    classes = stored(sketch.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes")
+    docs = docs.where("doc_id is not null")
+    classes = stored(sketch.where("n > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes")
     pairs = _pivots(_bands(classes.withColumn("component", F.col("rep")), PIVOT_BANDS))
     links = stored(_verified(stored(_survivors(pairs, classes, similarity), "survivors"), docs, shingle, similarity), "verified")
     labels = components(links)
@@ -260,5 +262,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         labels = components(links.union(more))
     found = classes.select("set_id", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
     out = sketch.select("doc_id", "n", "set_id").join(found, "set_id", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
