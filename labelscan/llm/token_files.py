@@ -13,6 +13,7 @@ Parquet gives checked, atomic commits on any file system that Spark writes to.
 from __future__ import annotations
 
 import gc
+import json
 import struct
 import uuid
 import zlib
@@ -78,18 +79,40 @@ _ODD = np.zeros(256, bool)
 _ODD[[i for i in range(32) if not SPACES[i]]] = _ODD[127] = _ODD[0xC0:0xC3] = _ODD[0xC6:] = True
 
 
+#: What a tokenizer's own file has to say for its texts to be cut here (fixed values of that format).
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def known(config: dict) -> bool:
+    """Whether a tokenizer cuts texts as Encoder.cuts() does, and names no token that could stand in a text but one that begins with <|."""
+    cuts = config.get("normalizer") == NORMALIZER and config.get("pre_tokenizer") == PRE_TOKENIZER
+    names = all(t["content"].startswith("<|") for t in config.get("added_tokens") or [])
+    return cuts and names and config.get("post_processor") is None and config["model"].get("type") == "BPE"
+
+
 class Encoder:
     """Ids of whole texts by way of distinct parts, as the tokenizer's own pattern cuts them; it drops white space.
 
     Texts of ASCII and Latin letters are cut for a whole batch at once: into runs of letters, single digits, runs of
     other characters, and the pattern's contractions. Parts are looked up by a 64-bit hash in a sorted table, and only
-    new ones go to the tokenizer's BPE model. Other texts are encoded by the tokenizer as they are.
+    new ones go to the tokenizer's BPE model. A part's length, first and last bytes have to agree as well: a text with
+    one that doesn't is encoded by the tokenizer as it is, and so are other texts, and all texts of a tokenizer that
+    cuts in another way.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.known = known(json.loads(self.tokenizer.to_str()))
         self.tokenize = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
         self.clear()
@@ -98,6 +121,7 @@ class Encoder:
         empty = np.zeros(0, np.uint64)
         self.tables = [(empty, np.zeros(0, np.int64)), (empty, np.zeros(0, np.int64))]  # known parts, and recent ones: sorted hashes, entries
         self.start, self.length, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.marks = np.zeros((0, 3), np.uint64)  # of each entry
 
     def _entries(self, hashes: np.ndarray) -> np.ndarray:
         """Entry of each hash, -1 without one."""
@@ -108,8 +132,20 @@ class Encoder:
                 out = np.where(keys[at] == hashes, entries[at], out)
         return out
 
-    def _learn(self, hashes: np.ndarray, parts: list[bytes]) -> None:
+    @staticmethod
+    def _marks(words: Words, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Length, first eight and last eight bytes of each part."""
+        data = np.concatenate((np.zeros(8, np.uint8), words.data, np.zeros(8, np.uint8)))
+        eight = np.lib.stride_tricks.sliding_window_view(data, 8)
+        size = ends - starts
+        short = np.uint64(8) * np.maximum(8 - size, 0).astype(np.uint64)
+        take = lambda at: np.ascontiguousarray(eight[at]).view("<u8").ravel()
+        first, last = take(starts + 8), take(ends)
+        return np.column_stack((size.astype(np.uint64), (first << short) >> short, (last >> short) << short))
+
+    def _learn(self, hashes: np.ndarray, parts: list[bytes], marks: np.ndarray) -> None:
         ids = []
+        self.marks = np.concatenate((self.marks, marks))
         gc.disable()  # else its passes over all these small objects take as long as the work
         try:
             for p in parts:
@@ -162,7 +198,11 @@ class Encoder:
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         words = Words(texts, hashes=False)
         starts, ends = self.cuts(words) if len(words.data) else (np.zeros(0, np.int64),) * 2
+        if not self.known:
+            each = (t or "" for t in texts.to_pylist())
+            return [np.array([*self.tokenizer.encode(t, add_special_tokens=False).ids, END], np.uint32) for t in each]
         distinct, first, inverse = np.unique(words.spans(starts, ends), return_index=True, return_inverse=True)
+        marks = self._marks(words, starts, ends)
         entries = self._entries(distinct)
         odd = _ODD[words.data]
         twins = np.flatnonzero(words.data[:-1] == 0xC3) if len(words.data) else np.zeros(0, np.int64)
@@ -171,9 +211,11 @@ class Encoder:
         odd[dotted] = True
         brackets = np.flatnonzero((words.data[:-1] == 60) & (words.data[1:] == 124)) if len(words.data) else twins
         odd[brackets] = True
-        slow = np.flatnonzero(words.per_doc(odd) > 0)
-        usable = np.ones(len(distinct), bool)
         cuts = np.searchsorted(starts, words.offsets)
+        own = np.where((entries >= 0)[:, None], self.marks[entries], marks[first]) if len(self.marks) else marks[first]
+        other = np.concatenate(([0], np.cumsum((marks != own[inverse]).any(axis=1))))[cuts]  # parts that only share a hash
+        slow = np.flatnonzero((words.per_doc(odd) > 0) | (np.diff(other) > 0))
+        usable = np.ones(len(distinct), bool)
         if len(slow):
             fast_part = np.ones(len(starts), bool)
             for d in slow.tolist():
@@ -185,7 +227,7 @@ class Encoder:
             new = np.flatnonzero(usable)
         if len(new):
             raw = words.data.tobytes()
-            self._learn(distinct[new], [raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            self._learn(distinct[new], [raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)], marks[first[new]])
             entries = self._entries(distinct)
         index = entries[inverse]
         length = np.where(index >= 0, self.length[index], 0) if len(index) else index
@@ -256,13 +298,15 @@ def write(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "tex
 def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """Documents of a folder: doc_id, start, n_tokens, ids_crc32 and, if asked for, ids; decoded from the payload.
 
-    Where a payload starts follows from the sizes of those before it: one row for each payload, of about a million ids,
-    meets in one task.
+    Where a payload starts follows from the sizes of the parts before its own and of the payloads before it in that: what
+    meets in one task is a row for each part (as many as the writing job had partitions), or for each payload of one.
     """
     files = spark.read.schema(SCHEMA).parquet(path)
-    order = W.orderBy("part", "seq").rowsBetween(W.unboundedPreceding, -1)
-    sizes = files.select("part", "seq", "n_ids").withColumn("file_start", F.coalesce(F.sum("n_ids").over(order), F.lit(0))).drop("n_ids")
-    placed = files.join(F.broadcast(sizes) if files.count() <= BROADCAST_FILES else sizes, ["part", "seq"])
+    before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", before(W.orderBy("part")).alias("_part_start"))
+    inside = files.select("part", "seq", before(W.partitionBy("part").orderBy("seq")).alias("_start"))
+    starts = inside.join(parts, "part").select("part", "seq", (F.col("_part_start") + F.col("_start")).alias("file_start"))
+    placed = files.join(F.broadcast(starts) if files.count() <= BROADCAST_FILES else starts, ["part", "seq"])
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
