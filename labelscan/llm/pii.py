@@ -1,19 +1,27 @@
 """Personal data: fixed patterns, and a character-level bidirectional LSTM with CRF transitions.
 
 The patterns find the base spans. They run only on stretches of bytes that their characters can make up, which numpy
-finds for a whole batch at once; as no match crosses such a stretch's ends, the matches are those of the whole text.
-
-The network is trained in numpy from the base spans of a bounded sample, as weak labels, and reads overlapping windows
-of the whole text. All four kinds contain a digit or an at sign, so windows without either need no decoding. Each
-window's best path comes from the CRF; positions take their tag from the window in whose middle half they lie, which
-reconciles the windows, and spans are then read off the whole text's tags. A span that the network adds must stand its
-kind's test (a whole match; the Luhn sum of a card; a phone number's digits) and touch no base span. What it adds is,
-for example, a card number that the pattern ran together with a number before it.
+finds for a whole batch at once; as no match crosses such a stretch's ends, the matches are those of the whole text. All
+of them take time in proportion to the text: addresses are read off chains of digit groups, and mail addresses from
+their at signs.
+
+The network finds what the patterns miss: it is trained in numpy from the base spans of a bounded sample and from
+variants that are made of them: addresses with spaces or words ("at", "dot") for their signs, card numbers with other
+separators, phone numbers without a plus. Matches that fail their kind's test (most often the Luhn sum) are left out of
+the training, as they tell nothing; whether such a number is personal, the network judges by its surroundings and form.
+
+Overlapping windows of the whole text are decoded, positions take their tag from the window in whose middle half they
+lie, which reconciles the windows, and spans are then read off the whole text's tags. A span is added if the CRF is
+CERTAIN of it, it touches no base span, and it has the parts of its kind (plausible()). Those need a digit, an at sign,
+or the word "at" with a dot after it, so that a window without any of them can't hold a span that is added, and isn't
+decoded.
 """
 
 from __future__ import annotations
 
+import random
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,10 +39,15 @@ IP = re.compile(rb"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(rb"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
 PATTERNS = dict(zip(KINDS, (EMAIL, IP, CARD, PHONE), strict=True))
+#: Parts of the first two: what may follow an at sign, and digit groups joined by single dots.
+DOMAIN = re.compile(rb"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+CHAIN = re.compile(rb"[0-9]++(?:\.[0-9]++)*")
 
 #: Window and step in characters, documents and windows of the training sample at most, hidden units, training steps.
 WINDOW, STEP, SAMPLE_DOCS, SAMPLE_WINDOWS, HIDDEN, STEPS = 64, 32, 6000, 6000, 16, 400
 BATCH = 1024
+#: Mean posterior of a span's tags from which it is added.
+CERTAIN = 0.9
 
 _MAIL_BYTE, _NUMBER_BYTE, _DIGIT = (np.zeros(256, bool) for _ in range(3))
 _DIGIT[48:58] = True
@@ -43,8 +56,10 @@ _NUMBER_BYTE[[*range(48, 58), *b" .()+-"]] = True
 #: Character classes that the network reads.
 _CLASS = np.ones(256, np.int64)  # 1: any other
 _CLASS[65:91], _CLASS[97:123], _CLASS[128:], _CLASS[48:58] = 2, 3, 4, 5
-for _i, _c in enumerate(b"@._%+-() \n,:=\"'"):
+for _i, _c in enumerate(b"@._%+-() \n,:=\"'[]/"):
     _CLASS[_c] = 6 + _i
+for _c in b"atdo":  # the letters of the words for the signs of an address
+    _CLASS[[_c, _c - 32]] = int(_CLASS.max()) + 1
 CLASSES = int(_CLASS.max()) + 1  # class 0 is outside the text
 TAGS = 1 + 2 * len(KINDS)  # outside; beginning and inside of each kind
 
@@ -64,11 +79,48 @@ def valid(kind: str, match: bytes) -> bool:
     return 13 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 9 <= len(digits) <= 15
 
 
+_AT_WORD, _DOT = re.compile(rb"\bat\b", re.I), re.compile(rb"\bdot\b|[A-Za-z0-9]\.[A-Za-z]", re.I)
+_AT_SIGN, _DOT_SIGN = (re.compile(rb"[\x20(\[{]*(?:%b|\b%b\b)[\x20)\]}]*" % x, re.I) for x in ((b"@", b"at"), (b"\\.", b"dot")))
+
+
+def plain(kind: str, found: bytes) -> bytes:
+    """A span as its kind's pattern would have it: words and spaces for the signs of an address undone."""
+    if kind == "email":
+        found = _AT_SIGN.sub(b"@", found)
+    return _DOT_SIGN.sub(b".", found) if kind in ("email", "ip") else found
+
+
+def plausible(kind: str, found: bytes) -> bool:
+    """Whether a span has its kind's parts: an address once undone, 13 to 19 digits, or 9 to 15 of them, set apart by little else."""
+    if kind == "email":
+        return bool(EMAIL.fullmatch(plain(kind, found)))
+    if kind == "ip":
+        found = plain(kind, found)
+        return bool(IP.fullmatch(found)) and valid(kind, found)
+    digits = sum(48 <= c <= 57 for c in found)
+    return (13 <= digits <= 19 if kind == "card" else 9 <= digits <= 15) and len(found) <= 2 * digits and not re.search(rb"[^0-9 ()+./_-]", found)
+
+
+def varied(kind: str, found: bytes, r: random.Random) -> bytes:
+    """A base span in a form that its pattern misses."""
+    if kind in ("email", "ip"):
+        at = r.choice([b" at ", b" (at) ", b" [at] ", b" AT ", b" @ "])
+        dot = r.choice([b" dot ", b" (dot) ", b" [dot] ", b" DOT ", b" . "] + [b"."] * (2 if kind == "email" else 0))
+        return found.replace(b".", dot).replace(b"@", at)
+    digits = re.sub(rb"[^0-9]", b"", found)
+    gap = r.choice([b".", b"_", b"/", b" - ", b"  "] if kind == "card" else [b".", b"-", b" ", b"/"])
+    size = 4 if kind == "card" else 3
+    parts = [digits[i : i + size] for i in range(0, len(digits), size)]
+    if kind == "phone" and len(parts[-1]) < 3:
+        parts[-2:] = [parts[-2] + parts[-1]]
+    return gap.join(parts)
+
+
 class Batch:
     """Bytes of some documents, with what the patterns and the network need of them."""
 
-    def __init__(self, texts: pa.Array):
-        values = [x or b"" for x in texts.cast(pa.binary()).to_pylist()]
+    def __init__(self, texts: pa.Array | list[bytes]):
+        values = texts if isinstance(texts, list) else [x or b"" for x in texts.cast(pa.binary()).to_pylist()]
         self.raw = b"".join(values)
         self.data = np.frombuffer(self.raw, np.uint8)
         self.offsets = np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int64)
@@ -91,20 +143,45 @@ class Batch:
         pairs, count = np.unique(np.column_stack((np.maximum(start, self.offsets[d]), np.minimum(end, self.offsets[d + 1]))), axis=0, return_counts=True)
         return pairs[count >= least].tolist()
 
-    def base(self) -> list[tuple[int, int, int]]:
-        """(start byte, end byte, kind's number) of all base spans."""
+    def matches(self) -> list[tuple[int, int, int]]:
+        """(start byte, end byte, kind's number) of all matches of the patterns, tested or not."""
         found = []
-        for a, b in self.stretches(_MAIL_BYTE, self.data == 64, 1):
-            found += [(a + m.start(), a + m.end(), 0) for m in EMAIL.finditer(self.raw[a:b])]
+        done = -1
+        signs = np.flatnonzero(self.data == 64)
+        breaks = np.flatnonzero(~_MAIL_BYTE[self.data] | (self.data == 64))
+        before = np.searchsorted(breaks, signs)
+        first = np.where(before > 0, breaks[before - 1] + 1 if len(breaks) else 0, 0)
+        d = self.doc(signs)
+        for at, a, end in zip(signs.tolist(), np.maximum(first, self.offsets[d]).tolist(), self.offsets[d + 1].tolist(), strict=True):
+            a = max(a, done)
+            if a < at and (m := DOMAIN.match(self.raw, at + 1, end)):
+                done = m.end()
+                found.append((a, done, 0))
         for a, b in self.stretches(_NUMBER_BYTE, _DIGIT[self.data], 4):
             part = self.raw[a:b]
-            for k in (1, 2, 3):
-                found += [(a + m.start(), a + m.end(), k) for m in PATTERNS[KINDS[k]].finditer(part) if valid(KINDS[k], m[0])]
+            for m in CHAIN.finditer(part):
+                groups = m[0].split(b".")
+                start = a + m.start()
+                for i in range(0, len(groups) - 3, 4):
+                    end = start + sum(map(len, groups[i : i + 4])) + 3
+                    found.append((start, end, 1))
+                    start = end + 1
+            for k, pattern in ((2, CARD), (3, PHONE)):
+                found += [(a + m.start(), a + m.end(), k) for m in pattern.finditer(part)]
         return found
 
+    def base(self) -> list[tuple[int, int, int]]:
+        """Those matches that stand their kind's test: the base spans."""
+        return [m for m in self.matches() if valid(KINDS[m[2]], self.raw[m[0] : m[1]])]
+
     def windows(self) -> np.ndarray:
-        """First byte of each window that holds a digit or an at sign, on a grid of STEP within each document."""
-        cues = np.flatnonzero(_DIGIT[self.data] | (self.data == 64))
+        """First byte of each window that could hold an added span, on a grid of STEP within each document."""
+        cues = [np.flatnonzero(_DIGIT[self.data] | (self.data == 64))]
+        words = np.array([m.start() for m in _AT_WORD.finditer(self.raw)], np.int64)
+        if len(words):
+            dots = np.array([m.start() for m in _DOT.finditer(self.raw)] + [len(self.data) + WINDOW], np.int64)
+            cues.append(words[dots[np.searchsorted(dots, words)] - words < WINDOW])
+        cues = np.concatenate(cues)
         if not len(cues):
             return cues
         first = self.offsets[self.doc(cues)]
@@ -163,8 +240,8 @@ class Network:
     def emissions(self, x: np.ndarray) -> np.ndarray:
         return self.run(x, "f") @ self.p["of"] + self.run(x, "b") @ self.p["ob"] + self.p["bias"]
 
-    def decode(self, classes: np.ndarray) -> np.ndarray:
-        """Best tags of windows (windows by characters) under emissions and transitions."""
+    def decode(self, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Best tags of windows (windows by characters) under emissions and transitions, and each tag's posterior."""
         x = classes.T
         e = self.emissions(x)
         score, back = self.p["first"] + e[0], np.empty((len(x), x.shape[1], TAGS), np.int8)
@@ -177,27 +254,35 @@ class Network:
         rows = np.arange(x.shape[1])
         for t in range(len(x) - 1, 0, -1):
             tags[t - 1] = back[t][rows, tags[t]]
-        return tags.T
+        alpha, beta, log_z = self.sums(e.astype(np.float64))
+        chosen = np.take_along_axis(alpha + beta, tags[:, :, None].astype(np.int64), axis=2)[:, :, 0]
+        return tags.T, np.exp(chosen - log_z).T
 
-    def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the CRF's negative log-likelihood, per window; x and y are characters by windows."""
-        p, n, steps = self.p, x.shape[1], len(x)
-        kept: dict[str, list] = {"f": [], "b": []}
-        states = {d: self.run(x, d, kept[d]) for d in "fb"}
-        e = (states["f"] @ p["of"] + states["b"] @ p["ob"] + p["bias"]).astype(np.float64)
-        trans = p["trans"].astype(np.float64)
+    def sums(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Forward and backward log sums of the CRF for emissions (characters, windows, TAGS), and the log of all paths' weight."""
+        trans = self.p["trans"].astype(np.float64)
 
         def total(a: np.ndarray, axis: int) -> np.ndarray:
             m = a.max(axis=axis, keepdims=True)
             return np.squeeze(m, axis) + np.log(np.exp(a - m).sum(axis=axis))
 
         alpha, beta = np.empty(e.shape), np.zeros(e.shape)
-        alpha[0] = p["first"] + e[0]
-        for t in range(1, steps):
+        alpha[0] = self.p["first"] + e[0]
+        for t in range(1, len(e)):
             alpha[t] = total(alpha[t - 1][:, :, None] + trans, 1) + e[t]
-        for t in range(steps - 2, -1, -1):
+        for t in range(len(e) - 2, -1, -1):
             beta[t] = total(trans + (e[t + 1] + beta[t + 1])[:, None, :], 2)
-        log_z = total(alpha[-1], 1)
+        return alpha, beta, total(alpha[-1], 1)
+
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the CRF's negative log-likelihood, per window; x and y are characters by windows."""
+        p, n = self.p, x.shape[1]
+        kept: dict[str, list] = {"f": [], "b": []}
+        states = {d: self.run(x, d, kept[d]) for d in "fb"}
+        e = (states["f"] @ p["of"] + states["b"] @ p["ob"] + p["bias"]).astype(np.float64)
+        trans = p["trans"].astype(np.float64)
+
+        alpha, beta, log_z = self.sums(e)
         gold = np.eye(TAGS)[y]
         de = (np.exp(alpha + beta - log_z[:, None]) - gold) / n
         pair = np.exp(alpha[:-1, :, :, None] + trans + (e[1:] + beta[1:])[:, :, None, :] - log_z[None, :, None, None]).sum(axis=(0, 1))
@@ -212,7 +297,7 @@ class Network:
                 dh = dh_all[t] + dh_next
                 dc = dc_next + dh * o * (1 - s * s)
                 dz = np.concatenate((dc * gg * i * (1 - i), dc * before * f * (1 - f), dh * s * o * (1 - o), dc * i * (1 - gg * gg)), axis=1)
-                np.add.at(dx, x[t], dz)
+                dx += np.eye(CLASSES, dtype=np.float32)[x[t]].T @ dz
                 dw += h.T @ dz
                 dh_next, dc_next = dz @ p["h" + d].T, dc * f
             g["x" + d], g["h" + d] = dx, dw
@@ -232,31 +317,73 @@ class Network:
         return self
 
 
-def labelled(batch: Batch) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of a batch and their tags from the base spans; where kinds overlap, the one listed first holds."""
+def labelled(batch: Batch, spans: list[tuple[int, int, int]], untold: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of a batch and their tags from spans; where kinds overlap, the one listed first holds.
+
+    Windows with a part of an untold span are left out.
+    """
     tags = np.zeros(len(batch.data), np.int8)
-    for a, b, k in sorted(batch.base(), key=lambda s: -s[2]):
+    for a, b, k in sorted(spans, key=lambda s: -s[2]):
         tags[a:b] = 2 + 2 * k
         tags[a] = 1 + 2 * k
+    open_ = np.zeros(len(batch.data) + 1, np.int64)
+    for a, b, _ in untold:
+        open_[a:b] = 1
+    before = np.concatenate(([0], np.cumsum(open_)))
     starts = batch.windows()
+    if len(starts):
+        ends = np.minimum(starts + WINDOW, batch.offsets[batch.doc(starts) + 1])
+        starts = starts[before[ends] == before[starts]]
     x = batch.classes(starts)
     return x, np.where(x > 0, tags[np.minimum(starts[:, None] + np.arange(WINDOW), max(len(tags) - 1, 0))] if len(tags) else 0, 0)
 
 
+def variant(text: bytes, seed: int = 0) -> tuple[bytes, list[tuple[int, int, int]]]:
+    """The text with its base spans varied, and where they then are; what overlaps an earlier span goes with it."""
+    r = random.Random(zlib.crc32(text) + seed)
+    out, spans, done, size = [], [], 0, 0
+    for a, b, k in sorted(Batch([text]).base()):
+        if a < done:
+            continue
+        new = varied(KINDS[k], text[a:b], r)
+        size += a - done
+        spans.append((size, size + len(new), k))
+        size += len(new)
+        out += [text[done:a], new]
+        done = b
+    return b"".join([*out, text[done:]]), spans
+
+
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE_DOCS, windows: int = SAMPLE_WINDOWS) -> Network:
-    """Train on windows with a digit or at sign of at most `sample` documents, taken by a hash of the id, and at most `windows` of them."""
-    cues = docs.where(F.col(text).rlike("[0-9@]")).select(F.xxhash64(key).alias("_order"), F.col(text).alias("_text"))
+    """Train on windows of at most `sample` documents with a digit or at sign, taken by a hash, and at most `windows` of them.
+
+    Half of them come from the texts as they are, half from their variants. Rows that agree in id and text count once.
+    """
+    cues = docs.where(F.col(text).rlike("[0-9@]")).select(F.xxhash64(key, text).alias("_order"), F.col(text).alias("_text"))
     last = cues.select("_order").orderBy("_order").limit(sample).agg(F.max("_order")).first()[0]  # hashes alone meet in one task
-    rows = cues.where(F.col("_order") <= last) if last is not None else cues.limit(0)
+    rows = cues.where(F.col("_order") <= last).dropDuplicates(["_order"]) if last is not None else cues.limit(0)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        as_bytes = lambda rows: pa.array([a.astype(np.int8).tobytes() for a in rows], pa.binary())
         for batch in batches:
             for part in pieces(batch, "_text"):
-                x, y = labelled(Batch(part.column("_text")))
-                yield pa.RecordBatch.from_arrays([pa.array([a.astype(np.int8).tobytes() for a in x], pa.binary()), pa.array([a.astype(np.int8).tobytes() for a in y], pa.binary())], ["x", "y"])
-
-    order = F.xxhash64("x", "y")
-    taken = rows.select("_text").mapInArrow(cut, "x binary, y binary").orderBy(order, "x", "y").limit(windows).collect()  # two bytes a character
+                own = Batch(part.column("_text"))
+                spans, least = own.base(), 7  # bytes of a match that tells something
+                untold = [m for m in set(own.matches()).difference(spans) if m[1] - m[0] >= least]
+                made = [variant(own.raw[a:b]) for a, b in zip(own.offsets.tolist(), own.offsets[1:].tolist(), strict=False)]
+                other = Batch([t for t, _ in made])
+                moved = [(a + o, b + o, k) for o, (_, found) in zip(other.offsets.tolist(), made, strict=False) for a, b, k in found]
+                known = np.zeros(len(other.data) + 1, np.int64)
+                for a, b, _ in moved:
+                    known[a:b] = 1
+                left = [m for m in other.matches() if m[1] - m[0] >= least and not known[m[0] : m[1]].any()]
+                for kind, (x, y) in enumerate((labelled(own, spans, untold), labelled(other, moved, left))):
+                    yield pa.RecordBatch.from_arrays([as_bytes(x), as_bytes(y), pa.array(np.full(len(x), kind, np.int32))], ["x", "y", "kind"])
+
+    taken = []
+    made = rows.select("_text").mapInArrow(cut, "x binary, y binary, kind int")
+    for kind in (0, 1):  # two bytes a character
+        taken += made.where(F.col("kind") == kind).orderBy(F.xxhash64("x", "y"), "x", "y").limit(windows // 2).collect()
     network = Network.fresh()
     if taken:
         x, y = (np.stack([np.frombuffer(bytes(r[c]), np.int8) for r in taken]).astype(np.int64) for c in ("x", "y"))
@@ -265,22 +392,23 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int
 
 
 def added(batch: Batch, network: Network, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans that the network finds, stand their kind's test and touch no base span."""
+    """Spans that the network is certain of, that have their kind's parts and touch no base span."""
     starts = batch.windows()
     if not len(starts):
         return []
     tags = np.zeros(len(batch.data) + 1, np.int8)
+    sure = np.zeros(len(batch.data) + 1, np.float32)
     quarter = (WINDOW - STEP) // 2
     for a in range(0, len(starts), BATCH):
         part = starts[a : a + BATCH]
-        found = network.decode(batch.classes(part))
+        found, posterior = network.decode(batch.classes(part))
         d = batch.doc(part)
         # the middle of each window, and the text's first and last quarter windows
         low = np.where(part == batch.offsets[d], 0, quarter)
         at = part[:, None] + np.arange(WINDOW)
         last = part + STEP >= batch.offsets[d + 1]
         own = (np.arange(WINDOW) >= low[:, None]) & ((np.arange(WINDOW) < WINDOW - quarter) | last[:, None]) & (at < batch.offsets[d + 1][:, None])
-        tags[at[own]] = found[own]
+        tags[at[own]], sure[at[own]] = found[own], posterior[own]
     taken = np.zeros(len(batch.data) + 1, bool)
     for a, b, _ in base:
         taken[a:b] = True
@@ -295,7 +423,7 @@ def added(batch: Batch, network: Network, base: list[tuple[int, int, int]]) -> l
     out = []
     for i, j in zip(first.tolist(), [*first[1:].tolist(), len(at)], strict=True):
         a, b, k = int(at[i]), int(at[j - 1]) + 1, int(kind[at[i]])
-        if not taken[a:b].any() and PATTERNS[KINDS[k]].fullmatch(batch.raw[a:b]) and valid(KINDS[k], batch.raw[a:b]):
+        if not taken[a:b].any() and sure[a:b].mean() >= CERTAIN and plausible(KINDS[k], batch.raw[a:b]):
             out.append((a, b, k))
     return out
 
