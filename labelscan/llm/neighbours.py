@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a query block, of a candidate block, and candidate rows that one task meets.
 QUERY_ROWS, CANDIDATE_ROWS, GROUP_ROWS = 512, 2048, 16_384
+#: Dimensions whose products of int8 values stay below 2**24 in sum.
+EXACT = 1024
 
 
 def usable(vector: Column) -> Column:
@@ -60,18 +62,31 @@ def blocks(vectors: DataFrame, key: str, vector: str, rows: int) -> DataFrame:
 
 
 def _quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """int8 values (kept as float32, in which their products are exact), scales, norms of the values and of the errors."""
-    scale = np.maximum(np.abs(x).max(axis=1), 1e-300) / 127
-    q = np.rint(x / scale[:, None])
-    return q.astype(np.float32), scale, np.linalg.norm(x, axis=1), np.linalg.norm(x - q * scale[:, None], axis=1)
+    """int8 values, the vectors' largest components, and norms of the vectors and of the errors in units of these."""
+    top = np.maximum(np.abs(x).max(axis=1), 1e-300)
+    unit = x / top[:, None]  # so that no norm overflows
+    q = np.rint(unit * 127)
+    return q.astype(np.int8), top, np.linalg.norm(unit, axis=1), np.linalg.norm(unit - q / 127, axis=1)
+
+
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of int8 rows, exact: float32 holds the sums of EXACT dimensions without rounding, and those are added up."""
+    out = np.zeros((len(a), len(b)))
+    for d in range(0, a.shape[1], EXACT):
+        out += a[:, d : d + EXACT].astype(np.float32) @ b[:, d : d + EXACT].astype(np.float32).T
+    return out
 
 
 def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its k best candidates within the tile: (query's row, candidate ids, scores), exact."""
-    q8, qs, qn, qe = _quantised(q)
-    c8, cs, cn, ce = _quantised(c)
-    near = (q8 @ c8.T).astype(np.float64) * qs[:, None] * cs[None, :]
-    slack = (qe[:, None] * cn[None, :] + (qn + qe)[:, None] * ce[None, :]) * (1 + 1e-6) + 1e-12
+    """For each query its k best candidates within the tile: (query's row, candidate ids, scores), exact.
+
+    Bounds are in units of the query's largest component and the tile's largest one, which don't change the order.
+    """
+    q8, _, qn, qe = _quantised(q)
+    c8, top, cn, ce = _quantised(c)
+    weight = top / top.max(initial=1e-300)
+    near = products(q8, c8) / 127**2 * weight[None, :]
+    slack = (qe[:, None] * (cn * weight)[None, :] + (qn + qe)[:, None] * (ce * weight)[None, :]) * (1 + 1e-6) + 1e-12
     low = near - slack
     same = q_ids[:, None] == c_ids[None, :]
     low[same] = -np.inf
