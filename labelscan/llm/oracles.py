@@ -3,7 +3,7 @@
 MIXING = r"""
 WITH d AS (
   SELECT doc_id, text, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS digest
+         md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS digest
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
@@ -23,9 +23,9 @@ t AS (
          (weight - 2) / 2.0::DOUBLE AS slope
   FROM f),
 p AS (
-  SELECT d.*, t.source_size, t.target, t.slope, t.target / t.source_size AS ratio,
+  SELECT d.*, t.source_size, t.target, t.slope, t.target / nullif(t.source_size, 0) AS ratio,
          (coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY digest, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
-           + size / 2) / t.source_size AS middle
+           + size / 2) / nullif(t.source_size, 0) AS middle
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
        (CASE WHEN size = 0 THEN 0 ELSE floor(ratio) + (middle < ratio - floor(ratio))::INT END * size)::BIGINT AS taken,
