@@ -9,7 +9,7 @@ from labelscan.llm import media, packing, pii, quality, token_files, toxicity
 from labelscan.llm.minhash import near_duplicates
 from labelscan.llm.mixing import mix
 from labelscan.llm.neighbours import nearest
-from labelscan.llm.shared import table
+from labelscan.llm.shared import stored, table
 from labelscan.llm.substring import deduplicate
 
 
@@ -60,7 +60,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.read(media.store(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return media.read(stored(media.store(table(spark, sf_dir, "documents").select("doc_id", "text")), "media"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
