@@ -11,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelscan.llm import packing, pii, quality
+from labelscan.llm import pii, quality
 from labelscan.llm.minhash import near_duplicates
-from labelscan.llm.mixing import mix
+from labelscan.llm.mixing import digest, mix, schedule, word_count
+from labelscan.llm.packing import cluster_of, pack
 from labelscan.llm.shared import stored, table
 
 
@@ -36,13 +37,21 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many rows of a document as the mix takes of it, none to two, in the order of training."""
-    return mix(docs).where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(docs.columns)
+    """As many rows of a document as the mix takes of it, none to two."""
+    taken = mix(docs).where("copies > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(docs.columns)
 
 
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bins of 4096 words without two copies of a text or more than four pieces of a source."""
-    return packing.pack(docs)
+    """Bins of 4096 words without two copies of a text, packed along the curriculum: the bins' numbers follow training.
+
+    Every row of the mixture, copies too, has a position of its own (`order`), which its source's schedule gives it.
+    """
+    text = F.col("text")
+    own = F.md5(F.concat_ws(":", digest(F.col("doc_id"), text), F.monotonically_increasing_id()))  # written, so it stays
+    rows = docs.select("doc_id", "source", word_count(text).alias("size"), cluster_of(text).alias("cluster"), own.alias("digest"))
+    placed = schedule(stored(rows, "mixture"))
+    return pack(placed, size=F.col("size"), cluster=F.col("cluster"), order=F.col("position"))
 
 
 STAGES = [
