@@ -11,6 +11,26 @@ from pyspark.sql import functions as F
 LETTER = r"\p{L}\p{N}_"
 
 
+@lru_cache
+def expansions() -> dict[str, str]:
+    """Characters of the basic plane that stand for several letters or digits (ligatures, fractions), and these."""
+    out = {}
+    for code in [*range(0x80, 0xAC00), *range(0xF900, 0xFE70)]:  # no Hangul syllables, surrogates or Arabic forms
+        c = chr(code)
+        base = "".join(x for x in unicodedata.normalize("NFKD", c).lower() if not unicodedata.combining(x))
+        base = " ".join("".join(x if x.isalnum() else " " for x in base).split())
+        if len(base) > 1 and c not in "œæﬁﬂ" and not 0xFB50 <= code <= 0xFDFF:
+            out[c] = base
+    return out
+
+
+def _ranges(characters: str, gap: int = 8) -> str:
+    """A pattern's class that covers the characters by a few ranges."""
+    codes = sorted(map(ord, characters))
+    cuts = [0, *(i for i in range(1, len(codes)) if codes[i] - codes[i - 1] > gap), len(codes)]
+    return "[" + "".join(f"{chr(codes[a])}-{chr(codes[b - 1])}" for a, b in zip(cuts, cuts[1:], strict=False)) + "]"
+
+
 @lru_cache
 def accents() -> tuple[str, str]:
     """Characters that decompose into one base character and marks, and these bases, over the basic plane."""
@@ -33,17 +53,27 @@ def strip_all(c: Column) -> Column:
 def normalize(c: Column, strip_underscore: bool = True) -> Column:
     """Lower case, ligatures spelled out, accents and punctuation gone, single spaces; "" for null.
 
-    strip_underscore=False keeps underscores, as older results had it. Ligatures other than these four and characters
-    that decompose into several letters stay as they are.
+    strip_underscore=False keeps underscores, as older results had it. Characters that stand for several letters or
+    digits are spelled out, but for Hangul syllables and Arabic presentation forms.
     """
     t = F.lower(F.coalesce(c, F.lit("")))
     for a, b in (("œ", "oe"), ("æ", "ae"), ("ﬁ", "fi"), ("ﬂ", "fl")):
         t = F.replace(t, F.lit(a), F.lit(b))
+    table = expansions()
+    names = F.str_to_map(F.lit(";".join(f"{k}={v}" for k, v in table.items())), F.lit(";"), F.lit("="))
+    spelled = F.array_join(F.transform(F.split(t, ""), lambda x: F.coalesce(F.try_element_at(names, x), x)), "")
+    t = F.when(t.rlike(r"[^\x00-\x7f]") & t.rlike(_ranges("".join(table))), spelled).otherwise(t)
     plain = F.regexp_replace(F.translate(t, *accents()), r"\p{M}", "")
     t = F.when(t.rlike(r"[^\x00-\x7f]"), plain).otherwise(t)
     return F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+" if strip_underscore else rf"[^{LETTER}]+", " "))
 
 
+def plain(s: str) -> str:
+    """normalize() of a Python string, for phrases that are known beforehand."""
+    t = unicodedata.normalize("NFKD", s.lower().replace("œ", "oe").replace("æ", "ae"))
+    return " ".join("".join(x if x.isalnum() else " " for x in t if not unicodedata.combining(x)).split())
+
+
 def normalize_latin(c: Column) -> Column:
     """A tag without its language prefix: Latin letters, digits and single spaces."""
     t = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "^[a-z]{2,3}:", "")
@@ -126,12 +156,18 @@ def split_words(c: Column) -> Column:
 
 
 def word_distance(r: Column, p: Column, words: Column | None = None) -> Column:
-    """Edit distance of two arrays of words: each distinct word of the pair becomes one character.
+    """Edit distance of two arrays of words: each distinct word of the pair becomes one character (there are over a million).
 
     words: the distinct words as a column of their own, which else are worked out anew for each word.
     """
     words = F.array_distinct(F.concat(r, p)) if words is None else words
-    code = lambda ws: F.array_join(F.transform(ws, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(words, w) + 19968), 4, "0")), "UTF-16BE")), "")
+
+    def letter(w: Column) -> Column:
+        at = F.array_position(words, w) + 255
+        point = F.when(at < 0xD800, at).otherwise(at + 0x800)  # surrogates are no characters
+        return F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+
+    code = lambda ws: F.array_join(F.transform(ws, letter), "")
     return F.levenshtein(code(r), code(p))
 
 

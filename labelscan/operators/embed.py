@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelscan.operators.evaluate import micro_metrics
-from labelscan.operators.match import bounded, drop_excluded, drop_negated, exclusion_rules, negation_rules
+from labelscan.operators.match import BROADCAST_TERMS, drop_excluded, drop_negated, exclusion_rules, fits, negation_rules
+
+#: Numbers of a block of term vectors.
+BLOCK = 4_000_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -21,12 +29,59 @@ def term_vectors(terms: DataFrame, vectors: DataFrame) -> DataFrame:
 def best_per_allergen(phrases: DataFrame, terms: DataFrame, bar: float = -1.0) -> DataFrame:
     """(code, pos, phrase, allergen, term, similarity): for each phrase the nearest term of each allergen, the first in order on a tie.
 
-    The terms are a vocabulary, broadcast within its bound; similarities are summed up as they arise and never kept.
+    The terms' vectors go to the tasks in blocks of at most BLOCK numbers, one after the other, and each batch of phrases
+    is multiplied with a block at once; a phrase's best of several blocks is taken at the end. Vectors that are null, hold
+    nulls, or differ in length from a block's take no part in it.
     """
-    both = phrases.join(bounded(terms.groupBy("allergen").agg(F.array_sort(F.collect_list(F.struct("term", "vector"))).alias("terms"))), F.lit(True))
-    each = F.transform("terms", lambda t: F.struct((-F.round(dot(F.col("vector"), t["vector"]), 9)).alias("d"), t["term"].alias("term")))
-    best = both.withColumn("b", F.array_min(each)).select("code", "pos", "phrase", "allergen", F.col("b.term").alias("term"), (-F.col("b.d")).alias("similarity"))
-    return best.where(F.col("similarity") >= bar)
+    size = F.size("vector")
+    usable = lambda df: df.where(F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull()))
+    terms = usable(terms.select("allergen", "term", "vector")).withColumn("_dim", size)
+    totals = {r["_dim"]: r["count"] for r in terms.groupBy("_dim").count().collect()}  # a row for each length
+    schema = "code string, pos long, phrase string, allergen string, term string, similarity double"
+    rows = usable(phrases.select(F.col("code").cast("string"), F.col("pos").cast("long"), F.col("phrase").cast("string"), "vector"))
+    parts = []
+    for dim, n in sorted(totals.items()):
+        blocks = max(1, -(-n * max(dim, 1) // BLOCK))
+        numbered = terms.where(F.col("_dim") == dim).withColumn("_block", F.pmod(F.xxhash64("allergen", "term"), F.lit(blocks)))
+        for k in range(blocks):
+            own = numbered.where(F.col("_block") == k).select("allergen", "term", "vector").toPandas()  # at most some BLOCK numbers
+            if len(own):
+                parts.append(rows.where(size == dim).mapInArrow(_nearest(own, bar), schema))
+    if not parts:
+        return rows.sparkSession.createDataFrame([], schema)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    if len(parts) == 1:
+        return out
+    first = F.min_by(F.struct("term", "similarity"), F.struct(-F.col("similarity"), F.col("term"))).alias("b")
+    return out.groupBy("code", "pos", "phrase", "allergen").agg(first).select("code", "pos", "phrase", "allergen", "b.*")
+
+
+def _nearest(terms: pd.DataFrame, bar: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For batches of phrases the nearest of these terms by allergen."""
+    terms = terms.sort_values(["allergen", "term"]).reset_index(drop=True)
+    matrix = np.stack(terms.vector.map(lambda v: np.asarray(v, float)).to_list())
+    names = terms.term.to_numpy(object)
+    starts = np.flatnonzero((terms.allergen != terms.allergen.shift()).to_numpy())
+    groups, ends = terms.allergen.to_numpy(object)[starts], np.append(starts[1:], len(terms))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            vectors = batch.column("vector")
+            flat = np.asarray(vectors.values, float)[vectors.offsets[0].as_py() : vectors.offsets[-1].as_py()]
+            similarity = np.round(flat.reshape(batch.num_rows, -1) @ matrix.T, 9)
+            for group, a, b in zip(groups, starts, ends, strict=True):
+                at = similarity[:, a:b].argmax(axis=1)  # the first of equal ones
+                best = similarity[np.arange(len(at)), a + at]
+                keep = pa.array(np.flatnonzero(best >= bar))
+                found = [pa.array([group] * len(keep), pa.string()), pa.array(names[a + at][keep], pa.string()), pa.array(best[keep])]
+                own = [batch.column(c).take(keep) for c in ("code", "pos", "phrase")]
+                yield pa.RecordBatch.from_arrays([*own, *found], ["code", "pos", "phrase", "allergen", "term", "similarity"])
+
+    return run
 
 
 def gated_candidates(best: DataFrame, rule_hits: DataFrame, texts: DataFrame, bar: float) -> DataFrame:
@@ -48,21 +103,43 @@ def threshold_sweep(best: DataFrame, sets: DataFrame, bars: list[float]) -> Data
     return micro_metrics(wide.withColumn("pred", F.array_union("pred", extra)), "ref", "pred", ("bar",))
 
 
-def pick_threshold(sweep: DataFrame, baseline_f1: float, tolerance: float = 0.005) -> DataFrame:
-    """The threshold of largest F1 that does not fall below the baseline by more than the tolerance; the smallest on a tie."""
-    fine = sweep.where(F.col("f1") >= baseline_f1 - tolerance)
-    return fine.agg(F.min_by(F.struct("bar", "f1"), F.struct(-F.col("f1"), F.col("bar"))).alias("b")).select("b.*")
+def pick_threshold(sweep: DataFrame, baseline: dict[str, float], tolerance: float = 0.005) -> DataFrame:
+    """(bar, gain) of the threshold with the largest sum of F1, the smallest on a tie.
+
+    sweep is (bar, section, f1); a threshold is out if the F1 of any section falls below its baseline by more than the
+    tolerance. No row if all are.
+    """
+    before = F.coalesce(*[F.when(F.col("section") == s, F.lit(f1)) for s, f1 in baseline.items()])
+    each = sweep.withColumn("_gain", F.col("f1") - before)
+    sums = each.groupBy("bar").agg(F.min("_gain").alias("_least"), F.round(F.sum("_gain"), 9).alias("gain"))
+    fine = sums.where(F.col("_least") >= -tolerance)
+    best = fine.agg(F.min_by(F.struct("bar", "gain"), F.struct(-F.col("gain"), F.col("bar"))).alias("b"))
+    return best.where("b is not null").select("b.*")
+
 
+def synonym_proposals(best: DataFrame, resolved: DataFrame | None = None, bar: float = 0.82, n: int = 15, examples: int = 5) -> DataFrame:
+    """(allergen, phrase, term, similarity, products, codes, rank): new phrases near a term, the n best of each allergen: a report.
 
-def synonym_proposals(best: DataFrame, bar: float = 0.82, n: int = 15) -> DataFrame:
-    """(allergen, phrase, term, similarity, products, rank): new phrases near a term, the n best of each allergen: a report."""
+    resolved is (code, allergen), what the rules find already: such phrases are no proposals. codes are the first
+    `examples` by name.
+    """
     near = best.where((F.col("similarity") >= bar) & (F.col("phrase") != F.col("term")))
-    grouped = near.groupBy("allergen", "phrase").agg(F.min_by("term", F.struct(-F.col("similarity"), F.col("term"))).alias("term"), F.max("similarity").alias("similarity"), F.countDistinct("code").alias("products"))
+    if resolved is not None:
+        near = near.join(resolved.select("code", "allergen").distinct(), ["code", "allergen"], "left_anti")
+    term = F.min_by("term", F.struct(-F.col("similarity"), F.col("term"))).alias("term")
+    grouped = near.groupBy("allergen", "phrase").agg(term, F.max("similarity").alias("similarity"), F.countDistinct("code").alias("products"))
     order = W.partitionBy("allergen").orderBy(F.desc("similarity"), "phrase")
-    return grouped.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    top = grouped.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    codes = near.join(F.broadcast(top.select("allergen", "phrase")), ["allergen", "phrase"])  # n rows for each allergen
+    place = W.partitionBy("allergen", "phrase").orderBy("code")
+    codes = codes.select("allergen", "phrase", "code").distinct().withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= examples)
+    listed = codes.groupBy("allergen", "phrase").agg(F.array_sort(F.collect_list("code")).alias("codes"))
+    return top.join(listed, ["allergen", "phrase"])
 
 
 def without_term(phrases: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Phrases that hold no term of the vocabulary, even within a word."""
-    v = bounded(vocab.select("term").distinct())
-    return phrases.join(v, F.col("phrase").contains(F.col("term")), "left_anti")
+    """Phrases that hold no term of the vocabulary, even within a word: every term is tested, and too many are an error."""
+    terms = vocab.select("term").distinct()
+    if not fits(terms):
+        raise ValueError(f"more than {BROADCAST_TERMS} terms for a test of all terms")
+    return phrases.join(F.broadcast(terms), F.col("phrase").contains(F.col("term")), "left_anti")

@@ -106,6 +106,24 @@ def risk_accuracy(df: DataFrame, reference: str, predicted: str, by: tuple[str,
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col(reference) == F.col(predicted)).cast("int")).alias("accuracy"))
 
 
+def by_method(found: DataFrame, reference: DataFrame, methods: tuple[str, ...]) -> DataFrame:
+    """(code, method, ref, pred): every label of reference (code, ref) under every method, with what found (code, method, allergens) has of it."""
+    every = reference.select("code", "ref", F.explode(F.array(*map(F.lit, methods))).alias("method"))
+    pred = F.coalesce("allergens", F.array().cast("array<string>")).alias("pred")
+    return every.join(found, ["code", "method"], "left").select("code", "method", "ref", pred)
+
+
+def compare_methods(long: DataFrame) -> DataFrame:
+    """Metrics of each label under each method, of (method, ref, pred) in one pass."""
+    return per_label_metrics(long, "ref", "pred", ("method",))
+
+
+def ablation_table(long: DataFrame) -> DataFrame:
+    """(method, tp, fp, fn, precision, recall, f1, exact) of (method, ref, pred)."""
+    micro = micro_metrics(long, "ref", "pred", ("method",))
+    return micro.join(F.broadcast(exact_agreement(long, "ref", "pred", ("method",)).select("method", "exact")), "method")  # a row for each method
+
+
 def disagreements(df: DataFrame, reference: str, predicted: str, limit: int = 50) -> DataFrame:
     """(code, metadata_only, text_only) where the sets differ, the first `limit` by code: a report."""
     both = df.select("code", F.array_sort(F.array_except(reference, predicted)).alias("metadata_only"), F.array_sort(F.array_except(predicted, reference)).alias("text_only"))
@@ -158,9 +176,16 @@ def fn_causes(missed: DataFrame, loose_terms: DataFrame, markers: list[str]) ->
     return out.withColumn("cause", cause).drop("terms")
 
 
-def cause_summary(df: DataFrame) -> DataFrame:
-    """(source, cause, n) with totals by cube; null stands for all."""
-    return df.cube("source", "cause").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("lang").alias("languages"))
+def cause_summary(df: DataFrame, covered: tuple[str, ...] = ("en", "fr", "de", "es")) -> DataFrame:
+    """(source, allergen, cause, n, percent, languages, uncovered): counts by source, by allergen and in all; null stands for all.
+
+    percent is the cause's share of its source or allergen, uncovered the share of rows in languages other than covered.
+    """
+    outside = F.avg((~F.coalesce(F.col("lang").isin(*covered), F.lit(False))).cast("int")).alias("uncovered")
+    sets = [[F.col(c) for c in names] for names in (("source", "cause"), ("source",), ("allergen", "cause"), ("allergen",), ("cause",), ())]
+    counts = df.groupingSets(sets, "source", "allergen", "cause").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("lang").alias("languages"), outside)
+    total = F.max("n").over(W.partitionBy("source", "allergen"))  # the row of all causes has all of them
+    return counts.withColumn("percent", 100 * F.col("n") / total).select("source", "allergen", "cause", "n", "percent", "languages", "uncovered")
 
 
 def examples(df: DataFrame, by: str, n: int = 4) -> DataFrame:

@@ -1,8 +1,9 @@
 """Matching: split labels, join phrases, apply rules, choose evidence.
 
 Texts are joined to the vocabulary by the first word of each term (the anchor): distinct words of a text that begin some
-term, a broadcast hash join on the anchor, and a test of the whole term. The vocabulary is broadcast only up to
-BROADCAST_TERMS rows; a larger one is joined by shuffling the few anchor words. Rules are anti joins on the hits.
+term, a hash join on the anchor, and a test of the whole term. The vocabulary is broadcast up to BROADCAST_TERMS rows.
+Beyond that the distinct words are shuffled without their texts, which come back by key for the candidates that remain.
+Rules are anti joins on the hits.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelscan.functions.tags import ALLERGENS, parse_tags, tags_to_allergens
-from labelscan.functions.text import normalize, padded, raw_phrase_in, strip_all
+from labelscan.functions.text import normalize, padded, plain, raw_phrase_in, strip_all
 from labelscan.operators.risk import general_risk
 from labelscan.plans import rules
 
@@ -19,9 +20,15 @@ BROADCAST_TERMS = 50_000
 SECTIONS = ("declared", "trace")
 
 
-def bounded(df: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
-    """df with a broadcast hint, if it has at most so many rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def fits(df: DataFrame, most: int | None = None) -> bool:
+    """Whether a vocabulary or rule table has at most so many rows, by default BROADCAST_TERMS."""
+    most = BROADCAST_TERMS if most is None else most
+    return df.limit(most + 1).count() <= most
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint, if it fits."""
+    return F.broadcast(df) if fits(df) else df
 
 
 def trace_start(normalized: Column) -> Column:
@@ -30,7 +37,7 @@ def trace_start(normalized: Column) -> Column:
 
 
 def split_declared_trace(df: DataFrame, text: str = "text") -> DataFrame:
-    """df plus declared_text and trace_text.
+    """df plus declared_text, trace_text, and norm, the whole text normalised.
 
     Places in the normalised and the original text differ, so the cut is looked for in the original near the marker:
     the first anchor phrase in that fragment decides, by its exact spelling if it is there, and else the estimate.
@@ -38,14 +45,14 @@ def split_declared_trace(df: DataFrame, text: str = "text") -> DataFrame:
     raw = F.coalesce(F.col(text), F.lit(""))
     at = F.col("_at")
     estimate = F.least(at, F.length(raw))
-    begin = F.greatest(estimate - 30, F.lit(0))
-    out = df.withColumn("_at", trace_start(normalize(F.col(text))))
-    out = out.withColumn("_begin", begin).withColumn("_fragment", F.substring(raw, F.col("_begin") + 1, F.least(F.length(raw), estimate + 60) - F.col("_begin")))
+    begin = F.greatest(estimate - rules.BEFORE, F.lit(0))
+    out = df.withColumn("norm", normalize(F.col(text))).withColumn("_at", trace_start(F.col("norm")))
+    out = out.withColumn("_begin", begin).withColumn("_fragment", F.substring(raw, F.col("_begin") + 1, F.least(F.length(raw), estimate + rules.AFTER) - F.col("_begin")))
     out = out.withColumn("_plain", normalize(F.col("_fragment")))
     cut = estimate
     for phrase in reversed(rules.ANCHORS):
         own = F.locate(phrase, F.lower(F.col("_fragment")))
-        cut = F.when(F.col("_plain").contains(normalize(F.lit(phrase))), F.when(own > 0, F.col("_begin") + own - 1).otherwise(estimate)).otherwise(cut)
+        cut = F.when(F.col("_plain").contains(plain(phrase)), F.when(own > 0, F.col("_begin") + own - 1).otherwise(estimate)).otherwise(cut)
     out = out.withColumn("_cut", F.when(at >= 0, cut))
     declared = F.when(F.col("_cut").isNull(), raw).otherwise(F.substring(raw, F.lit(1), F.col("_cut")))
     trace = F.when(F.col("_cut").isNull(), F.lit("")).otherwise(F.substring(raw, F.col("_cut") + 1, F.length(raw)))
@@ -53,16 +60,25 @@ def split_declared_trace(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def sections(df: DataFrame, key: str = "code") -> DataFrame:
-    """Long form of a split table: (code, section, text), text normalised once."""
-    both = F.inline(F.array(*[F.struct(F.lit(s).alias("section"), F.col(f"{s}_text").alias("raw")) for s in SECTIONS]))
-    return df.select(F.col(key).alias("code"), both).select("code", "section", normalize(F.col("raw")).alias("text")).where("text <> ''")
+    """Long form of a split table: (code, section, text). What split_declared_trace() has normalised is not normalised again where there is no trace."""
+    declared = normalize(F.col("declared_text"))
+    if "norm" in df.columns:
+        declared = F.when(F.col("trace_text") == "", F.col("norm")).otherwise(declared)
+    texts = {"declared": declared, "trace": normalize(F.col("trace_text"))}
+    both = F.inline(F.array(*[F.struct(F.lit(s).alias("section"), texts[s].alias("text")) for s in SECTIONS]))
+    return df.select(F.col(key).alias("code"), both).where("text <> ''")
 
 
 def vocab_hits(texts: DataFrame, vocab: DataFrame, by: tuple[str, ...] = ("code", "section")) -> DataFrame:
     """Every term of the vocabulary (allergen, term) in every text, as (by, text, allergen, term and what else vocab has)."""
-    terms = bounded(vocab.withColumn("anchor", F.split("term", " ")[0]).where("anchor <> ''"))
-    words = texts.select(*by, "text", F.explode(F.array_distinct(F.split("text", " "))).alias("anchor"))
-    return words.join(terms, "anchor").where(padded(F.col("text")).contains(padded(F.col("term")))).drop("anchor")
+    terms = vocab.withColumn("anchor", F.split("term", " ")[0]).where("anchor <> ''")
+    anchors = F.explode(F.array_distinct(F.split("text", " "))).alias("anchor")
+    whole = padded(F.col("text")).contains(padded(F.col("term")))
+    if fits(terms):
+        return texts.select(*by, "text", anchors).join(F.broadcast(terms), "anchor").where(whole).drop("anchor")
+    candidates = texts.select(*by, anchors).join(terms, "anchor").drop("anchor")
+    found = candidates.join(texts.select(*by, "text"), list(by)).where(whole)
+    return found.select(*by, "text", *[c for c in vocab.columns if c not in by])
 
 
 def negation_rules(spark: SparkSession) -> DataFrame:
@@ -109,7 +125,7 @@ def analyze(labels: DataFrame, vocab: DataFrame, key: str = "code", text: str =
     split = split_declared_trace(labels, text)
     found = detect(sections(split, key), vocab)
     wide = found.groupBy("code").agg(*[F.first(F.when(F.col("section") == s, F.col(c)), ignorenulls=True).alias(f"{s}_{c}") for s in SECTIONS for c in ("allergens", "matches")])
-    out = split.join(wide.withColumnRenamed("code", "_code"), split[key] == F.col("_code"), "left").drop("_code")
+    out = split.join(wide.withColumnRenamed("code", "_code"), split[key] == F.col("_code"), "left").drop("_code", "norm")
     for s in SECTIONS:
         for c in ("allergens", "matches"):
             out = out.withColumn(f"{s}_{c}", F.coalesce(f"{s}_{c}", F.array().cast(wide.schema[f"{s}_{c}"].dataType)))
@@ -148,14 +164,43 @@ def baseline_raw(labels: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def baseline_substring(labels: DataFrame, vocab: DataFrame, normalized: bool = False) -> DataFrame:
-    """Terms anywhere in the text, also within words. Nothing but the bounded vocabulary limits the tests of a text."""
-    terms = [(r["allergen"], r["term"]) for r in vocab.select("allergen", "term").distinct().limit(BROADCAST_TERMS).collect()]
+    """Terms anywhere in the text, also within words: every term is tested against every text.
+
+    That is meant for a small list; one of more than BROADCAST_TERMS terms is an error.
+    """
+    distinct = vocab.select("allergen", "term").distinct()
+    if not fits(distinct):
+        raise ValueError(f"more than {BROADCAST_TERMS} terms for a test of all terms")
+    terms = [(r["allergen"], r["term"]) for r in distinct.collect()]
     text = normalize(F.col("text")) if normalized else F.lower(F.coalesce("text", F.lit("")))
     by = {a: sorted(t for x, t in terms if x == a) for a in sorted({a for a, _ in terms})}
     found = F.array(*[F.when(F.exists(F.array(*map(F.lit, ts)), lambda t: F.col("_t").contains(t)), F.lit(a)) for a, ts in by.items()])
     return labels.withColumn("_t", text).select("code", F.filter(found, lambda x: x.isNotNull()).alias("allergens")).where(F.size("allergens") > 0)
 
 
+#: Configurations of the matcher from plain to whole.
+METHODS = ("raw", "keyword", "negation", "context", "full")
+
+
+def ablation(labels: DataFrame, texts: DataFrame, vocab: DataFrame, raw_vocab: DataFrame) -> DataFrame:
+    """(code, method, allergens) of each of METHODS that finds something: raw terms in raw text, normalised keywords, with negations, with exclusions, and with both.
+
+    labels is (code, text), texts the same normalised. Texts are matched once for the last four: each hit is marked with
+    the rules that let it stand.
+    """
+    spark = labels.sparkSession
+    hits = vocab_hits(texts, vocab, ("code",))
+    key = ["code", "allergen", "term"]
+    denied = hits.join(drop_negated(hits, negation_rules(spark)).select(*key).distinct(), key, "left_anti").select(*key).withColumn("_n", F.lit(True))
+    dropped = hits.join(drop_excluded(hits, exclusion_rules(spark)).select(*key).distinct(), key, "left_anti").select(*key).withColumn("_x", F.lit(True))
+    flags = hits.select(*key).join(denied, key, "left").join(dropped, key, "left")
+    n, x = F.col("_n").isNull(), F.col("_x").isNull()
+    stands = F.array(F.lit("keyword"), F.when(n, "negation"), F.when(x, "context"), F.when(n & x, "full"))
+    found = flags.select("code", "allergen", F.explode(F.array_compact(stands)).alias("method"))
+    found = found.groupBy("code", "method").agg(F.array_sort(F.collect_set("allergen")).alias("allergens"))
+    return found.unionByName(baseline_raw(labels, raw_vocab).select("code", F.lit("raw").alias("method"), "allergens"))
+
+
 def match_versions(texts: DataFrame, versions: DataFrame) -> DataFrame:
     """Detected sets by vocabulary version, all versions in one pass: versions is (version, allergen, term)."""
     return best_term(valid_hits(texts, versions), ("version", "code", "section")).groupBy("version", "code", "section").agg(F.array_sort(F.collect_list("allergen")).alias("allergens"))

@@ -34,14 +34,25 @@ def image_text(lines: DataFrame) -> DataFrame:
 
 
 def fuzzy_heading(line: Column, terms: tuple[str, ...] = HEADINGS) -> Column:
-    """Whether some word of a short line is nearly a heading: similarity of 0.8, or 0.85 for words of up to eight letters.
+    """Whether some words of a short line are nearly a heading: similarity of 0.8, or 0.85 for up to eight letters.
 
-    A line with more than one other long word is no heading.
+    A heading of several words is held against every group of as many words in a row. A line with more than one long
+    word beside a heading's is no heading.
     """
-    words = F.filter(F.split(normalize_heading(line), " "), lambda w: F.length(w) >= 5)
+    every = F.split(normalize_heading(line), " ")
+    words = F.filter(every, lambda w: F.length(w) >= 5)
     bar = lambda w: F.when(F.length(w) <= 8, 0.85).otherwise(0.8)
-    near = lambda w: F.exists(F.array(*map(F.lit, terms)), lambda t: similarity(w, t) >= bar(w))
-    return (F.size(words) <= 2) & F.exists(words, near)
+    found = F.lit(False)
+    for n in sorted({len(t.split()) for t in terms}):
+        own = F.array(*[F.lit(t) for t in terms if len(t.split()) == n])
+        groups = words
+        if n > 1:
+            last = F.greatest(F.size(every) - n, F.lit(-1))
+            starts = F.when(last >= 0, F.sequence(F.lit(1), last + 1)).otherwise(F.array().cast("array<int>"))
+            groups = F.transform(starts, lambda i: F.array_join(F.slice(every, i, n), " "))  # noqa: B023
+        near = F.exists(groups, lambda w: F.exists(own, lambda t: similarity(w, t) >= bar(w)))  # noqa: B023
+        found = found | ((F.size(words) <= n + 1) & near)
+    return found
 
 
 def is_heading(line: Column) -> Column:

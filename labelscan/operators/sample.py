@@ -31,12 +31,13 @@ def stratum(df: DataFrame) -> Column:
 def quota_sample(df: DataFrame, quotas: DataFrame, seed: int, key: str = "id") -> DataFrame:
     """Up to the quota (stratum, quota) of each stratum, in shuffled order; a row belongs to its first stratum only.
 
-    Rows beyond the quota are dropped before the window: each stratum's rank is bounded by its quota, which a ranking
-    limit pushes below the shuffle.
+    Ranks are bounded by the largest quota first, a number in the plan, so that Spark keeps no more than so many rows of
+    a stratum in each partition before they are shuffled.
     """
+    most = quotas.agg(F.max("quota")).first()[0] or 0
     order = W.partitionBy("stratum").orderBy(shuffle_key(F.col(key), seed), key)
     ranked = df.withColumn("stratum", stratum(df)).join(F.broadcast(quotas), "stratum").withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= F.col("quota"))
+    return ranked.where((F.col("rank") <= most) & (F.col("rank") <= F.col("quota")))
 
 
 def top_up(sample: DataFrame, pool: DataFrame, total: int, seed: int, key: str = "id") -> DataFrame:
@@ -58,17 +59,24 @@ def attainable(members: DataFrame, targets: DataFrame) -> DataFrame:
     return targets.join(counts, "stratum", "left").select("stratum", "target", F.coalesce("available", F.lit(0)).alias("available"), F.least("target", F.coalesce("available", F.lit(0))).alias("attainable"))
 
 
+#: Strata in the order in which a greedy sample takes them, and rows that a language's takes at most.
+KINDS, PER_LANGUAGE = ("allergen", "trace", "control", "lang"), 3
+
+
 def greedy_sample(members: DataFrame, targets: DataFrame, limit: int, seed: int) -> DataFrame:
-    """(id, stratum) chosen without replacement, rarest stratum first, at most `limit` rows in all.
+    """(id, stratum) chosen without replacement, `limit` rows if there are as many.
 
-    The loop is over the strata, not over rows: each step takes from what earlier ones left. Strata are few, and a
-    step keeps at most its target of rows.
+    Strata are taken by KINDS and then rarest first, a language's for PER_LANGUAGE rows at most; what is then missing is
+    filled from all other members (stratum "fill"). The loop is over the strata, not over rows: each step takes from
+    what earlier ones left. Strata are few, and a step keeps at most its target of rows.
     """
-    plan = [(r["stratum"], r["attainable"]) for r in attainable(members, targets).orderBy("available", "stratum").collect()]
+    kind = F.coalesce(*[F.when(F.split("stratum", ":")[0] == k, F.lit(i)) for i, k in enumerate(KINDS)], F.lit(len(KINDS)))
+    rows = attainable(members, targets).orderBy(kind, "available", "stratum").collect()
+    plan = [(r["stratum"], min(r["attainable"], PER_LANGUAGE) if r["stratum"].startswith("lang:") else r["attainable"]) for r in rows]
     chosen = None
     left = limit
-    for name, n in plan:
-        pool = members.where(F.col("stratum") == name)
+    for name, n in [*plan, ("fill", limit)]:
+        pool = members.where(F.col("stratum") == name) if name != "fill" else members.select("id").distinct().withColumn("stratum", F.lit(name))
         if chosen is not None:
             pool = pool.join(chosen.select("id"), "id", "left_anti")
         n = min(n, left)
@@ -83,11 +91,26 @@ def greedy_sample(members: DataFrame, targets: DataFrame, limit: int, seed: int)
 def language_quota(df: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
     """(id, language, rank): for each language its quota of rows by relevance, then shuffled order, without backfill.
 
-    A row that could stand for several languages goes to the first by name.
+    Languages take their turn by name. A row may stand for any of its languages, but is taken once.
     """
-    one = df.select("id", "relevance", F.array_min("languages").alias("language")).where("language is not null")
-    order = W.partitionBy("language").orderBy(F.desc("relevance"), shuffle_key(F.col("id"), seed), "id")
-    return one.join(F.broadcast(targets), "language").withColumn("rank", F.row_number().over(order)).where("rank <= target").select("id", "language", "rank")
+    order = (F.desc("relevance"), shuffle_key(F.col("id"), seed), F.col("id"))
+    chosen = None
+    for r in sorted(targets.collect(), key=lambda r: r["language"]):  # a row for each language
+        pool = df.where(F.array_contains("languages", r["language"]))
+        if chosen is not None:
+            pool = pool.join(chosen.select("id"), "id", "left_anti")
+        rank = F.row_number().over(W.orderBy(*order))
+        taken = pool.select("id", "relevance").orderBy(*order).limit(r["target"])
+        taken = taken.select("id", F.lit(r["language"]).alias("language"), rank.alias("rank")).checkpoint()
+        chosen = taken if chosen is None else chosen.unionByName(taken)
+    return chosen
+
+
+def shortfall(targets: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(language, target, taken, short) of a sample by language."""
+    taken = chosen.groupBy("language").agg(F.count(F.lit(1)).alias("taken"))
+    out = targets.join(taken, "language", "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
+    return out.select("language", "target", "taken", (F.col("target") - F.col("taken")).alias("short"))
 
 
 def sampling_report(df: DataFrame, sample: DataFrame) -> DataFrame:

@@ -9,18 +9,41 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Ranges of values whose distinct values are ranked by themselves.
+RANGES = 256
+
+
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("r"))
+    """(n, r) over the rows that have both values."""
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    return both.agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("r"))
+
+
+def correlation_p(n: int, r: float | None) -> float:
+    """Two-sided p of a correlation, by the normal approximation of its t statistic."""
+    if r is None or n < 3:
+        return 1.0
+    return erfc(abs(r) * sqrt((n - 2) / max(1 - r * r, 1e-300)) / sqrt(2))
 
 
 def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     """df plus rank_<column>: average ranks on ties.
 
-    Counts of equal values are added up instead of ranking rows: what meets in one task is a row for each distinct value.
+    Counts of equal values are added up instead of ranking rows. The distinct values are cut into RANGES ranges of about
+    as many values each; the ranges' counts are summed up first, and then those within each range.
     """
     for c in columns:
         counts = df.groupBy(F.col(c).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-        ranks = counts.select("_v", (F.sum("_n").over(W.orderBy("_v").rowsBetween(W.unboundedPreceding, 0)) - (F.col("_n") - 1) / 2).alias(f"rank_{c}"))
+        shares = [i / RANGES for i in range(1, RANGES)]
+        cuts = counts.agg(F.percentile_approx("_v", shares, 10_000)).first()[0] or []
+        cut = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda x: x < F.col("_v"))) if cuts else F.lit(0)
+        counts = counts.withColumn("_range", cut)
+        below = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
+        sums = counts.groupBy("_range").agg(F.sum("_n").alias("_s"))
+        starts = sums.select("_range", F.coalesce(F.sum("_s").over(below), F.lit(0)).alias("_start"))
+        inside = W.partitionBy("_range").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+        rank = F.col("_start") + F.sum("_n").over(inside) - (F.col("_n") - 1) / 2
+        ranks = counts.join(F.broadcast(starts), "_range").select("_v", rank.alias(f"rank_{c}"))
         df = df.join(ranks, F.col(c).eqNullSafe(F.col("_v"))).drop("_v")
     return df
 

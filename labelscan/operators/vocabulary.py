@@ -65,6 +65,22 @@ def coverage_gaps(keywords: DataFrame, vocab: DataFrame, texts: DataFrame) -> Da
     return keywords.join(seen, "keyword", "left_semi").join(terms, "keyword", "left_anti")
 
 
+def audit_counts(parts: dict[str, DataFrame]) -> DataFrame:
+    """(kind, n): rows of each part of an audit."""
+    counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("kind"), "n") for k, df in parts.items()]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+def decisions(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(allergen, term, decision) of two versions of a vocabulary: approved, removed or kept."""
+    before, after = (df.select("allergen", "term").distinct().withColumn(c, F.lit(True)) for df, c in ((old, "o"), (new, "n")))
+    decision = F.when(F.col("o").isNull(), "approved").when(F.col("n").isNull(), "removed").otherwise("kept")
+    return before.join(after, ["allergen", "term"], "full").select("allergen", "term", decision.alias("decision"))
+
+
 def add_terms(vocab: DataFrame, approved: DataFrame, groups: DataFrame) -> DataFrame:
     """vocab and the approved terms that it lacks; an error if one's allergen is not among the groups (allergen)."""
     unknown = approved.join(groups, "allergen", "left_anti")

@@ -6,7 +6,7 @@ import re
 
 from labelscan.functions.tags import ALIASES, ALLERGENS, DISPLAY, NAMES, TAGS
 from labelscan.plans import rules
-from labelscan.sources.fixtures import COMMON, labels_duckdb, quoted
+from labelscan.sources.fixtures import COMMON, PIECE, labels_duckdb, quoted
 
 LETTER = r"\p{L}\p{N}_"
 
@@ -152,15 +152,20 @@ CTES = {
     "ended": "SELECT *, max(stop) OVER (PARTITION BY image_id ORDER BY line_no) AS ended FROM run_lines",
     "summed": "SELECT *, coalesce(sum(length(own) + 1) OVER (PARTITION BY image_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ended WHERE ended = 0 OR stop = 1",
     "ingredient": "SELECT image_id, trim(coalesce(string_agg(own, ' ' ORDER BY line_no) FILTER (ended = 0 AND before < 1500), '')) AS section, max(ended) = 1 OR coalesce(sum(length(own) + 1) FILTER (ended = 0), 0) <= 1500 AS found FROM summed GROUP BY image_id",
-    "pairs": "SELECT image_id, lang, reference, array_to_string(list_filter(list_transform(string_split(reference, ' '), lambda w, i: CASE WHEN (i - 1 + image_id) % 3 <> 0 THEN w WHEN image_id % 2 = 0 THEN w || 'x' END), lambda w: w IS NOT NULL), ' ') AS predicted FROM (SELECT doc_id AS image_id, lang, substring(string_split(coalesce(text, ''), '\n')[1], 1, 200) AS reference FROM documents)",
+    # every line in pieces of PIECE words, as Inputs.pieces has them
+    "piece_words": f"SELECT image_id, lang, k, list_slice(ws, k + 1, k + {PIECE}) AS part FROM (SELECT image_id, lang, ws, unnest(range(0, len(ws), {PIECE})) AS k FROM (SELECT doc_id AS image_id, lang, string_split(unnest(string_split(coalesce(text, ''), chr(10))), ' ') AS ws FROM documents))",
+    "pairs": "SELECT image_id, lang, array_to_string(part, ' ') AS reference, array_to_string(list_filter(list_transform(part, lambda w, i: CASE WHEN (k + i - 1 + image_id) % 3 <> 0 THEN w WHEN image_id % 2 = 0 THEN w || 'x' END), lambda w: w IS NOT NULL), ' ') AS predicted FROM piece_words",
     "normed": f"SELECT image_id, lang, {norm_ocr('reference')} AS r, {norm_ocr('predicted')} AS p FROM pairs",
+    "ended_pairs": "SELECT image_id, lang, CASE WHEN r = '' THEN '' ELSE r || ' ' END AS r, CASE WHEN p = '' THEN '' ELSE p || ' ' END AS p FROM normed",
     # DuckDB's levenshtein counts bytes: each distinct character or word of a pair becomes one byte
-    "coded": "SELECT *, list_distinct(string_split(r || p, '')) AS cs, list_distinct(list_concat(rw, pw)) AS ws FROM (SELECT *, list_filter(string_split(r, ' '), lambda w: w <> '') AS rw, list_filter(string_split(p, ' '), lambda w: w <> '') AS pw FROM normed)",
-    "rates": "SELECT image_id, lang, CASE WHEN r = '' THEN (p <> '')::INT::DOUBLE ELSE levenshtein("
+    "coded": "SELECT *, list_distinct(string_split(r || p, '')) AS cs, list_distinct(list_concat(rw, pw)) AS ws FROM (SELECT *, list_filter(string_split(r, ' '), lambda w: w <> '') AS rw, list_filter(string_split(p, ' '), lambda w: w <> '') AS pw FROM ended_pairs)",
+    "distances": "SELECT image_id, lang, r, p, rw, levenshtein("
     + ", ".join(f"array_to_string(list_transform(list_filter(string_split({x}, ''), lambda c: c <> ''), lambda c: chr(20 + list_position(cs, c)::INT)), '')" for x in "rp")
-    + ")::DOUBLE / length(r) END AS cer, CASE WHEN len(rw) = 0 THEN (len(pw) > 0)::INT::DOUBLE ELSE levenshtein("
+    + ") AS d, levenshtein("
     + ", ".join(f"array_to_string(list_transform({x}w, lambda w: chr(20 + list_position(ws, w)::INT)), '')" for x in "rp")
-    + ")::DOUBLE / len(rw) END AS wer FROM coded",
+    + ") AS wd FROM coded",
+    "summed_pairs": "SELECT image_id, lang, sum(d)::DOUBLE AS d, sum(length(r))::DOUBLE AS n, max((p <> '')::INT)::DOUBLE AS said, sum(wd)::DOUBLE AS wd, sum(len(rw))::DOUBLE AS wn FROM distances GROUP BY ALL",
+    "rates": "SELECT image_id, lang, CASE WHEN n = 0 THEN said ELSE (d - CASE WHEN said > 0 THEN 0 ELSE 1 END) / (n - 1) END AS cer, CASE WHEN n = 0 THEN said ELSE wd / wn END AS wer FROM summed_pairs",
     "flagged": f"SELECT id, code, len(ref_declared) > 0 AS has_declared, len(ref_trace) > 0 AS has_trace, len(ref_declared) >= 2 OR len(ref_trace) >= 2 AS multi, {' OR '.join(f'''contains(' ' || {norm('text')} || ' ', ' {p} ')''' for p in ('gluten free', 'almond milk', 'no milk'))} AS context FROM evaluated",
     "stratified": "SELECT *, CASE WHEN multi THEN 'multi' WHEN has_trace AND NOT has_declared THEN 'trace_only' WHEN has_declared THEN 'declared' WHEN context THEN 'context' ELSE 'plain' END AS stratum FROM flagged",
     "quota": f"SELECT id, stratum, rank FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY (id * 48271 + 42) % 2147483647, id) AS rank FROM stratified JOIN (SELECT col0 AS stratum, col1 AS quota FROM ({values([('multi', 30), ('trace_only', 10), ('declared', 20), ('context', 10), ('plain', 10)])})) USING (stratum)) WHERE rank <= quota",
@@ -169,17 +174,18 @@ CTES = {
     "causes": "SELECT code, lang, allergen, CASE WHEN text = '' THEN 'no_text' WHEN m AND t THEN 'marker_and_term' WHEN t THEN 'term_only' WHEN m THEN 'marker_only' ELSE 'no_evidence' END AS cause FROM (SELECT *, "
     + " OR ".join(f"contains(text, '{m}')" for m in ("contain", "contenir", "enthalten", "contener", "trace"))
     + " AS m, EXISTS (SELECT 1 FROM terms v WHERE v.allergen = s.allergen AND contains(s.text, v.term)) AS t FROM missed s)",
-    "methods": f"""SELECT e.code, m.method, e.ref_declared, coalesce(p, []) AS pred FROM evaluated e CROSS JOIN (SELECT unnest(['keyword', 'negation', 'context', 'full']) AS method) m LEFT JOIN (
+    "methods": f"""SELECT e.code, m.method, e.ref_declared, coalesce(p, []) AS pred FROM evaluated e CROSS JOIN (SELECT unnest(['raw', 'keyword', 'negation', 'context', 'full']) AS method) m LEFT JOIN (
         SELECT code, method, list_sort(list_distinct(list(allergen))) AS p FROM (
           SELECT code, allergen, 'keyword' AS method FROM whole_hits UNION ALL SELECT code, allergen, 'negation' FROM whole_hits h WHERE {KEPT}
-          UNION ALL SELECT code, allergen, 'context' FROM whole_hits h WHERE {VALID.format(kind='')} UNION ALL SELECT code, allergen, 'full' FROM whole_hits h WHERE {KEPT} AND {VALID.format(kind='')}) GROUP BY ALL) f ON f.code = e.code AND f.method = m.method""",
+          UNION ALL SELECT code, allergen, 'context' FROM whole_hits h WHERE {VALID.format(kind='')} UNION ALL SELECT code, allergen, 'full' FROM whole_hits h WHERE {KEPT} AND {VALID.format(kind='')}
+          UNION ALL SELECT code, allergen, 'raw' FROM marked JOIN raw_terms ON {raw_in('term', 'text')}) GROUP BY ALL) f ON f.code = e.code AND f.method = m.method""",
     "versions": f"{metrics('version', '''(SELECT 'before' AS version, ref_declared, pred_declared FROM plain UNION ALL SELECT 'after', ref_declared, pred_declared FROM evaluated)''', 'ref_declared', 'pred_declared').replace('round(', '(').replace(', 6)', ')')}",
     "deltas": "SELECT metric, max(value) FILTER (version = 'before') AS before, max(value) FILTER (version = 'after') AS after FROM (UNPIVOT (SELECT version, precision, recall, f1 FROM versions) ON precision, recall, f1 INTO NAME metric VALUE value) GROUP BY metric",
     "ocr_texts": f"SELECT code, 'clean' AS section, {norm('text')} AS text FROM labels_ UNION ALL SELECT code, 'ocr', {norm('''array_to_string(list_transform(string_split(text, ' '), lambda w, i: CASE WHEN (i - 1 + id) % 3 <> 0 THEN w ELSE w || 'x' END), ' ')''')} FROM labels_",
     "ocr_hits": "SELECT s.code, s.section, s.text, t.allergen, t.term FROM ocr_texts s JOIN terms t ON contains(' ' || s.text || ' ', ' ' || t.term || ' ')",
     "ocr_found": f"SELECT code, section, list_sort(list_distinct(list(allergen))) AS p FROM ocr_hits h WHERE {KEPT} AND {VALID.format(kind='')} GROUP BY ALL",
     "ocr_sets": "SELECT e.code, e.ref_declared AS ref, coalesce(c.p, []) AS clean, coalesce(o.p, []) AS ocr FROM evaluated e LEFT JOIN ocr_found c ON c.code = e.code AND c.section = 'clean' LEFT JOIN ocr_found o ON o.code = e.code AND o.section = 'ocr'",
-    "phrases": "SELECT (vec_id % 200)::VARCHAR AS code, vec_id AS pos, 'phrase ' || vec_id AS phrase, embedding AS vector FROM embeddings WHERE vec_id % 10 <> 0",
+    "phrases": "SELECT (vec_id % 200)::VARCHAR AS code, vec_id AS pos, 'phrase ' || vec_id AS phrase, embedding AS vector FROM embeddings WHERE vec_id % 10 <> 0 OR vec_id >= 3000",
     "term_rows": f"SELECT {_PICK.format('abs(label)')} AS allergen, 'term ' || vec_id AS term, embedding AS vector FROM embeddings WHERE vec_id % 10 = 0 AND vec_id < 3000",
     "sims": "SELECT p.code, p.pos, p.phrase, t.allergen, t.term, round(list_inner_product(p.vector::DOUBLE[], t.vector::DOUBLE[]), 9) AS s FROM phrases p, term_rows t",
     "near": "SELECT code, pos, phrase, allergen, arg_min(term, (-s, term)) AS term, max(s) AS s FROM sims GROUP BY ALL",
@@ -187,6 +193,8 @@ CTES = {
     "vector_sets": f"SELECT code, ref, coalesce(p, []) AS pred FROM (SELECT code, list_sort(list_distinct(list({_PICK.format('pos % 7')}))) AS ref FROM phrases GROUP BY code) LEFT JOIN (SELECT code, list_sort(list(allergen)) AS p FROM rule_hits GROUP BY code) USING (code)",
     "gained": "SELECT code, allergen, max(s) AS s FROM near GROUP BY ALL",
     "swept": "SELECT v.code, v.ref, b.bar, list_distinct(list_concat(v.pred, coalesce((SELECT list(allergen) FROM gained g WHERE g.code = v.code AND g.s >= b.bar), []))) AS pred FROM vector_sets v, (SELECT unnest([0.2, 0.3, 0.4, 0.5])::DOUBLE AS bar) b",
+    "vector_sets2": f"SELECT code, ref, coalesce(p, []) AS pred FROM (SELECT code, list_sort(list_distinct(list({_PICK.format('pos % 5')}))) AS ref FROM phrases GROUP BY code) LEFT JOIN (SELECT code, list_sort(list(allergen)) AS p FROM rule_hits GROUP BY code) USING (code)",
+    "swept2": "SELECT v.code, v.ref, b.bar, list_distinct(list_concat(v.pred, coalesce((SELECT list(allergen) FROM gained g WHERE g.code = v.code AND g.s >= b.bar), []))) AS pred FROM vector_sets2 v, (SELECT unnest([0.2, 0.3, 0.4, 0.5])::DOUBLE AS bar) b",
     "scores": "SELECT doc_id, quality AS y, ((doc_id * 37 % 100)::DOUBLE / 100.0 * 0.6::DOUBLE + quality * 0.3::DOUBLE) AS p, (doc_id % 97)::DOUBLE / 97.0 AS x FROM labels WHERE quality IS NOT NULL",
     "ranked": "SELECT *, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS rp, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx FROM scores",
     "u_test": "SELECT count(*) FILTER (y = 1) AS n1, count(*) FILTER (y = 0) AS n0, sum(rp) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0 AS u FROM ranked",
@@ -317,7 +325,7 @@ _EXTRA, _MISS = (f"(len(list_filter({a}_declared, lambda x: NOT list_contains({b
 oracle("evl7_two_section_status", f"SELECT code, CASE WHEN {_EXTRA} AND {_MISS} THEN 'mismatch' WHEN {_EXTRA} THEN 'false_positive' WHEN {_MISS} THEN 'false_negative' ELSE 'exact' END AS status FROM evaluated")
 oracle("evl8_risk_accuracy", f"SELECT lang, count(*) AS n, round(avg(({RISK.format(d='ref_declared', t='ref_trace')} = {_RISK})::INT), 6) AS accuracy FROM evaluated GROUP BY lang")
 oracle("evl9_compare_methods", label_metrics("method", "methods", "ref_declared", "pred", False))
-oracle("evl10_ablation", metrics("method", "methods", "ref_declared", "pred"))
+oracle("evl10_ablation", f"SELECT * FROM ({metrics('method', 'methods', 'ref_declared', 'pred')}) JOIN (SELECT method, round(avg((ref_declared = pred)::INT), 6) AS exact FROM methods GROUP BY method) USING (method)")
 _ONLY = "list_sort(list_filter({a}, lambda x: NOT list_contains({b}, x)))"
 _A, _B = _ONLY.format(a="ref_declared", b="pred_declared"), _ONLY.format(a="pred_declared", b="ref_declared")
 oracle("evl11_disagreements", f"SELECT code, {bar(_A)} AS metadata_only, {bar(_B)} AS text_only FROM evaluated WHERE len({_A}) > 0 OR len({_B}) > 0 ORDER BY code LIMIT 50")
@@ -329,7 +337,13 @@ _M = "list_contains({}, 'milk')"
 oracle("evl15_resolved_fp", f"SELECT count(*) FILTER ({_M.format('p.pred_declared')} AND NOT {_M.format('e.ref_declared')}) AS fp_before, count(*) FILTER ({_M.format('e.pred_declared')} AND NOT {_M.format('e.ref_declared')}) AS fp_after, count(*) FILTER ({_M.format('p.pred_declared')} AND NOT {_M.format('e.ref_declared')} AND NOT {_M.format('e.pred_declared')}) AS resolved FROM evaluated e JOIN plain p USING (code)")
 oracle("evl16_regression", "SELECT metric, CASE WHEN round(after - before, 6) > 0 THEN 'IMPROVED' WHEN round(after - before, 6) < 0 THEN 'WORSENED' ELSE 'NO EFFECT' END AS verdict FROM deltas")
 oracle("evl17_fn_causes", "SELECT code, allergen, cause FROM causes")
-oracle("evl18_cause_summary", "SELECT source, cause, count(*) AS n, count(DISTINCT lang) AS languages FROM (SELECT *, CASE WHEN code::BIGINT % 4 = 0 THEN 'heldout' ELSE 'dev' END AS source FROM causes) GROUP BY CUBE (source, cause) HAVING count(*) > 0")
+oracle(
+    "evl18_cause_summary",
+    """SELECT source, allergen, cause, n, round(100.0::DOUBLE * n / max(n) OVER (PARTITION BY source, allergen), 6) AS percent, languages, round(uncovered, 6) AS uncovered
+      FROM (SELECT source, allergen, cause, count(*) AS n, count(DISTINCT lang) AS languages, avg((coalesce(lang, '') NOT IN ('en', 'fr'))::INT) AS uncovered
+        FROM (SELECT *, CASE WHEN code::BIGINT % 4 = 0 THEN 'heldout' ELSE 'dev' END AS source FROM causes)
+        GROUP BY GROUPING SETS ((source, cause), (source), (allergen, cause), (allergen), (cause), ()))""",
+)
 oracle("evl19_examples", "SELECT cause, code, allergen, rank FROM (SELECT *, row_number() OVER (PARTITION BY cause ORDER BY code, allergen) AS rank FROM causes) WHERE rank <= 4")
 oracle("evl20_fn_records", f"SELECT CASE WHEN id % 4 = 0 THEN 'heldout' ELSE 'dev' END AS source, code, allergen, lang, length(text)::INT AS n_chars FROM (SELECT id, code, lang, text, unnest({_A}) AS allergen FROM evaluated)")
 oracle("smp1_sampling_flags", "SELECT code, has_declared, has_trace, multi, context FROM flagged")
@@ -338,7 +352,17 @@ oracle("smp3_top_up", "SELECT id, 'quota' AS origin FROM quota UNION ALL SELECT
 oracle("smp4_strata", "SELECT id, stratum FROM members")
 _TARGETS = f"(SELECT col0 AS stratum, col1 AS target FROM ({values([('allergen:sesame', 20), ('allergen:milk', 30), ('trace', 10), ('control', 15), ('lang:de', 5), ('lang:xx', 5)])}))"
 oracle("smp5_attainable", f"SELECT stratum, target, coalesce(n, 0) AS available, least(target, coalesce(n, 0)) AS attainable FROM {_TARGETS} LEFT JOIN (SELECT stratum, count(DISTINCT id) AS n FROM members GROUP BY 1) USING (stratum)")
-oracle("smp7_language_quota", f"SELECT id, language, rank FROM (SELECT *, row_number() OVER (PARTITION BY language ORDER BY relevance DESC, (id * 48271 + 3) % 2147483647, id) AS rank FROM (SELECT id, id % 5 AS relevance, CASE WHEN id % 3 = 0 THEN least(lang, 'en') ELSE lang END AS language FROM labels_) JOIN (SELECT col0 AS language, col1 AS target FROM ({values([('de', 10), ('en', 25), ('fr', 10), ('xx', 3)])})) USING (language)) WHERE rank <= target")
+_TURNS, _DONE = [], []
+for _l, _q in (("de", 10), ("en", 25), ("fr", 10), ("xx", 3)):
+    _not = "".join(f" AND id NOT IN (SELECT id FROM q_{x})" for x in _DONE)
+    _TURNS.append(f"q_{_l} AS (SELECT id, '{_l}' AS language, row_number() OVER (ORDER BY id % 5 DESC, (id * 48271 + 3) % 2147483647, id) AS rank, {_q} AS target FROM labels_ WHERE (lang = '{_l}'{" OR id % 3 = 0" if _l == 'en' else ''}){_not} QUALIFY rank <= {_q})")
+    _DONE.append(_l)
+_SHORT = f"(SELECT col0 AS language, col1 AS target FROM ({values([('de', 10), ('en', 25), ('fr', 10), ('xx', 3)])}))"
+_ALL_TURNS = " UNION ALL ".join(f"SELECT id, language, rank FROM q_{x}" for x in _DONE)
+oracle(
+    "smp7_language_quota",
+    f"SELECT id, language, rank, short FROM (WITH {', '.join(_TURNS)}, taken AS ({_ALL_TURNS}) SELECT t.id, q.language, t.rank, (q.target - (SELECT count(*) FROM taken x WHERE x.language = q.language))::BIGINT AS short FROM {_SHORT} q LEFT JOIN taken t ON t.language = q.language)",
+)
 oracle("smp8_sampling_report", "SELECT stratum, available, coalesce(sampled, 0) AS sampled FROM (SELECT stratum, count(*) AS available FROM stratified GROUP BY 1) LEFT JOIN (SELECT stratum, count(*) AS sampled FROM quota GROUP BY 1) USING (stratum)")
 oracle("smp9_best_image", "SELECT code, CASE WHEN id % 3 = 0 THEN 'en' WHEN id % 3 = 1 THEN 'de' ELSE 'nl' END AS image FROM labels_")
 _PASS = "SELECT image_id, unnest([1, 2]) AS pass, line_no FROM lines"
@@ -362,11 +386,28 @@ oracle("ocr14_expansion", "SELECT code, 'ok' AS quality, lang FROM labels_ WHERE
 oracle("voc1_corpus_words", "SELECT word, n FROM words")
 oracle("voc2_unused_terms", "SELECT allergen, term FROM terms t WHERE NOT EXISTS (SELECT 1 FROM prose p WHERE contains(' ' || p.text || ' ', ' ' || t.term || ' '))")
 oracle("voc3_duplicate_terms", "SELECT allergen, term, count(*) AS n FROM corpus_raw GROUP BY ALL HAVING count(*) > 1")
-oracle("voc4_near_duplicates", "SELECT 'g' || substring(a.word, 1, 1) AS allergen, least(a.word, b.word) AS a, greatest(a.word, b.word) AS b FROM single a JOIN single b ON substring(a.word, 1, 1) = substring(b.word, 1, 1) AND a.word < b.word AND abs(length(a.word) - length(b.word)) <= 0.15 * greatest(length(a.word), length(b.word)) WHERE a.n > 3 AND b.n > 3 AND 1 - levenshtein(a.plain, b.plain)::DOUBLE / greatest(length(a.word), length(b.word)) >= 0.85")
+# words of up to 13 letters differ in one place at most, which leaves their first or last three letters as they are
+_CLOSE = "a.word < b.word AND abs(length(a.word) - length(b.word)) <= 0.15 * greatest(length(a.word), length(b.word)) AND 1 - levenshtein(a.plain, b.plain)::DOUBLE / greatest(length(a.word), length(b.word)) >= 0.85"
+_NEAR = " UNION ".join(
+    f"SELECT 'g' || substring(a.word, 1, 1) AS allergen, a.word AS a, b.word AS b FROM single a JOIN single b ON substring(a.word, 1, 1) = substring(b.word, 1, 1) AND {on} AND {_CLOSE}"
+    for on in ("left(a.word, 3) = left(b.word, 3)", "right(a.word, 3) = right(b.word, 3)", "length(a.word) >= 12 AND length(b.word) >= 12 AND greatest(length(a.word), length(b.word)) >= 14")
+)
+oracle("voc4_near_duplicates", _NEAR)
 oracle("voc5_conflicts", "SELECT term, 2::BIGINT AS n FROM corpus WHERE length(term) = 3")
-oracle("voc6_inflections", "SELECT c.allergen, c.term, w.word, w.n FROM corpus c JOIN words w ON starts_with(w.word, c.term) AND length(w.word) - length(c.term) BETWEEN 1 AND 5 WHERE length(c.term) >= 4 AND NOT contains(c.term, ' ') AND w.word NOT IN (SELECT term FROM corpus)")
-oracle("voc7_coverage_gaps", f"SELECT DISTINCT keyword FROM (SELECT unnest(string_split({norm('text')}, ' ')) AS keyword FROM benchmark) WHERE keyword <> '' AND keyword IN (SELECT unnest(string_split(text, ' ')) FROM prose) AND keyword NOT IN (SELECT unnest(string_split(term, ' ')) FROM corpus)")
-oracle("voc8_audit_counts", "SELECT 'terms' AS kind, count(*) AS n FROM corpus UNION ALL SELECT 'duplicates', count(*) FROM (SELECT 1 FROM corpus_raw GROUP BY allergen, term HAVING count(*) > 1) UNION ALL SELECT 'conflicts', count(*) FROM corpus WHERE length(term) = 3 UNION ALL SELECT 'unused', count(*) FROM terms t WHERE NOT EXISTS (SELECT 1 FROM prose p WHERE contains(' ' || p.text || ' ', ' ' || t.term || ' '))")
+_INFLECTED = "SELECT c.allergen, c.term, w.word, w.n FROM corpus c JOIN words w ON starts_with(w.word, c.term) AND length(w.word) - length(c.term) BETWEEN 1 AND 5 WHERE length(c.term) >= 4 AND NOT contains(c.term, ' ') AND w.word NOT IN (SELECT term FROM corpus)"
+oracle("voc6_inflections", _INFLECTED)
+_GAPS = f"SELECT DISTINCT keyword FROM (SELECT unnest(string_split({norm('text')}, ' ')) AS keyword FROM benchmark) WHERE keyword <> '' AND keyword IN (SELECT unnest(string_split(text, ' ')) FROM prose) AND keyword NOT IN (SELECT unnest(string_split(term, ' ')) FROM corpus)"
+oracle("voc7_coverage_gaps", _GAPS)
+_AUDIT = {
+    "terms": "SELECT 1 FROM corpus",
+    "duplicates": "SELECT 1 FROM corpus_raw GROUP BY allergen, term HAVING count(*) > 1",
+    "near duplicates": _NEAR,
+    "conflicts": "SELECT 1 FROM corpus WHERE length(term) = 3",
+    "unused": "SELECT 1 FROM terms t WHERE NOT EXISTS (SELECT 1 FROM prose p WHERE contains(' ' || p.text || ' ', ' ' || t.term || ' '))",
+    "inflections": _INFLECTED,
+    "gaps": _GAPS,
+}
+oracle("voc8_audit_counts", " UNION ALL ".join(f"SELECT '{k}' AS kind, count(*) AS n FROM ({q})" for k, q in _AUDIT.items()))
 oracle("voc9_add_terms", "SELECT allergen, term FROM corpus UNION SELECT 'g1', term FROM corpus WHERE length(term) = 4")
 oracle("voc10_remove_term", "SELECT allergen, term FROM corpus WHERE (term, allergen) <> (SELECT (term, allergen) FROM corpus ORDER BY term, allergen LIMIT 1)")
 oracle("voc11_match_versions", f"SELECT version, code, section, {bar(_ALL)} AS allergens FROM (SELECT 'v2' AS version, * FROM valid UNION ALL SELECT 'v1', * FROM valid WHERE length(term) <> 4) GROUP BY version, code, section")
@@ -376,13 +417,23 @@ oracle("emb2_similarities", "SELECT term, count(*) AS n, round(avg(s), 5) AS mea
 oracle("emb3_best_per_allergen", "SELECT pos, allergen, term, round(s, 4) AS similarity FROM near")
 oracle("emb4_gated_candidates", "SELECT code, allergen, arg_min(term, (pos, term)) AS term, min(pos) AS pos FROM near n WHERE s >= 0.3 AND NOT EXISTS (SELECT 1 FROM rule_hits r WHERE r.code = n.code AND r.allergen = n.allergen) GROUP BY code, allergen")
 oracle("emb5_threshold_sweep", metrics("bar", "swept", "ref", "pred"))
-_SWEEP = metrics("bar", "swept", "ref", "pred").replace("round(", "(").replace(", 6)", ")")
-oracle("emb6_pick_threshold", f"SELECT bar, round(f1, 6) AS f1 FROM ({_SWEEP}) WHERE f1 >= (SELECT f1 FROM ({metrics('', 'vector_sets', 'ref', 'pred')})) - 0.5 ORDER BY f1 DESC, bar LIMIT 1")
-oracle("emb7_synonym_proposals", "SELECT allergen, phrase, term, round(s, 4) AS similarity, products, rank FROM (SELECT *, row_number() OVER (PARTITION BY allergen ORDER BY s DESC, phrase) AS rank FROM (SELECT allergen, phrase, arg_min(term, (-s, term)) AS term, max(s) AS s, count(DISTINCT code) AS products FROM near WHERE s >= 0.2 GROUP BY allergen, phrase)) WHERE rank <= 15")
+_F1 = lambda by, source: metrics(by, source, "ref", "pred").replace("round(", "(").replace(", 6)", ")")
+oracle(
+    "emb6_pick_threshold",
+    f"""SELECT bar, round(gain, 6) AS gain FROM (SELECT bar, min(g) AS least, sum(g) AS gain FROM (
+        SELECT bar, f1 - (SELECT f1 FROM ({_F1('', 'vector_sets')})) AS g FROM ({_F1('bar', 'swept')}) UNION ALL
+        SELECT bar, f1 - (SELECT f1 FROM ({_F1('', 'vector_sets2')})) AS g FROM ({_F1('bar', 'swept2')})) GROUP BY bar) WHERE least >= -0.005 ORDER BY round(gain, 9) DESC, bar LIMIT 1""",
+)
+oracle(
+    "emb7_synonym_proposals",
+    """SELECT allergen, phrase, term, round(s, 4) AS similarity, products, codes, rank FROM (SELECT *, row_number() OVER (PARTITION BY allergen ORDER BY s DESC, phrase) AS rank FROM (
+        SELECT allergen, phrase, arg_min(term, (-s, term)) AS term, max(s) AS s, count(DISTINCT code) AS products, array_to_string(list_slice(list_sort(list_distinct(list(code))), 1, 5), '|') AS codes
+        FROM near n WHERE s >= 0.2 AND NOT EXISTS (SELECT 1 FROM rule_hits r WHERE r.code = n.code AND r.allergen = n.allergen) GROUP BY allergen, phrase)) WHERE rank <= 15""",
+)
 oracle("emb8_without_term", "SELECT code FROM prose p WHERE NOT EXISTS (SELECT 1 FROM terms t WHERE length(t.term) > 3 AND contains(p.text, t.term))")
 _CL = lambda c, y: f"SELECT code, unnest(generate_series(0, len(x) - 1))::BIGINT AS pos, md5(unnest(x)) AS text, {y} AS label FROM (SELECT code, {_CLAUSES.format(c)} AS x FROM split) WHERE len(x) > 0"
 oracle("mlc1_weak_clauses", f"{_CL('declared_text', 0)} UNION ALL {_CL('trace_text', 1)}")
-_CI = lambda s, y: f"SELECT code, allergen, '{s}' AS section, {y} AS is_trace, lang AS language, length(text)::INT AS text_length, list_contains(ref_{s}, allergen)::INT AS correct FROM (SELECT code, lang, text, ref_{s}, unnest(pred_{s}) AS allergen FROM evaluated)"
+_CI = lambda s, y: f"SELECT code, allergen, '{s}' AS section, {y} AS is_trace, round((id * 31 % 100)::DOUBLE / 100, 6) AS ocr_confidence, (id % 4 <> 0)::INT AS extraction_found, lang AS language, length(text)::INT AS text_length, list_contains(ref_{s}, allergen)::INT AS correct FROM (SELECT id, code, lang, text, ref_{s}, unnest(pred_{s}) AS allergen FROM evaluated)"
 oracle("mlc6_confidence_instances", f"{_CI('declared', 0)} UNION ALL {_CI('trace', 1)}")
 oracle("mlc8_brier_auc", "SELECT count(*) AS n, round(avg((p - y) * (p - y)), 6) AS brier, round(avg(y) * (1 - avg(y)), 6) AS naive_brier, (SELECT round(u / (n1 * n0), 6) FROM u_test) AS auc FROM scores")
 oracle("mlc9_calibration", "SELECT CASE WHEN p < 0.4 THEN '0.0-0.4' WHEN p < 0.7 THEN '0.4-0.7' ELSE '0.7-1.01' END AS bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(y), 6) AS mean_y FROM scores GROUP BY 1")
@@ -390,8 +441,12 @@ oracle("sta1_pearson", "SELECT count(*) AS n, round(corr(p, x), 6) AS r FROM sco
 oracle("sta2_spearman", "SELECT count(*) AS n, round(corr(rp, rx), 6) AS r FROM ranked")
 oracle("sta3_mann_whitney", "SELECT n1, n0, u FROM u_test")
 oracle("sta4_cutoff_means", "SELECT cut, round(avg(x) FILTER (p < cut), 6) AS below, round(avg(x) FILTER (p >= cut), 6) AS above FROM scores, (SELECT unnest([0.3, 0.5, 0.7])::DOUBLE AS cut) GROUP BY cut")
-oracle("sta5_decide", "SELECT count(*) AS n, CASE WHEN corr(p, x) < -0.2 THEN 'use' ELSE 'do not use' END AS decision FROM scores")
+# beyond 1.959964 a normal statistic has a two-sided p below 0.05, beyond 1.644854 a one-sided one
+_RULE = """SELECT '{name}' AS scores, n, CASE WHEN r < -0.2 AND abs(r) * sqrt((n - 2) / (1 - r * r)) > 1.959964 AND (u - n1 * n0 / 2) / sqrt(n1 * n0 * (n1 + n0 + 1) / 12) > 1.644854 THEN 'use' ELSE 'do not use' END AS decision
+    FROM (SELECT count(*) AS n, corr(q, x) AS r, (count(*) FILTER (y = 1))::DOUBLE AS n1, (count(*) FILTER (y = 0))::DOUBLE AS n0, sum(rank) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0 AS u
+      FROM (SELECT *, rank() OVER (ORDER BY q) + (count(*) OVER (PARTITION BY q) - 1) / 2.0 AS rank FROM (SELECT y, {sign} * p + y * 0.5::DOUBLE AS q, 1 - y AS x FROM scores)))"""
+oracle("sta5_decide", " UNION ALL ".join(_RULE.format(name=n, sign=i) for n, i in (("as it is", 1), ("turned", -1))))
 oracle("str1_score_stream", f"SELECT code, {bar('pred_declared')} AS declared, {bar('pred_trace')} AS trace, {_RISK} AS risk FROM evaluated")
 oracle("str2_ingest_stream", "SELECT DISTINCT user_id::VARCHAR AS code FROM events")
-oracle("str3_verdict_windows", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS start, verdict, count(*) AS n FROM scans GROUP BY ALL")
-oracle("str4_scan_sessions", "SELECT user_id, strftime(date_trunc('second', min(ts)), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, CASE max(CASE verdict WHEN 'AVOID' THEN 3 WHEN 'CAUTION' THEN 2 WHEN 'SAFE' THEN 1 ELSE 0 END) WHEN 3 THEN 'AVOID' WHEN 2 THEN 'CAUTION' WHEN 1 THEN 'SAFE' ELSE 'UNKNOWN' END AS worst FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 30 MINUTE, true)::INT AS new FROM scans)) GROUP BY user_id, session")
+oracle("str3_verdict_windows", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS start, verdict, count(*) AS n FROM scans WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM scans) GROUP BY ALL")
+oracle("str4_scan_sessions", "SELECT user_id, strftime(date_trunc('second', min(ts)), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, CASE max(CASE verdict WHEN 'AVOID' THEN 3 WHEN 'CAUTION' THEN 2 WHEN 'SAFE' THEN 1 ELSE 0 END) WHEN 3 THEN 'AVOID' WHEN 2 THEN 'CAUTION' WHEN 1 THEN 'SAFE' ELSE 'UNKNOWN' END AS worst FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 30 MINUTE, true)::INT AS new FROM scans)) GROUP BY user_id, session HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM scans)")

@@ -6,7 +6,6 @@ them.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -21,6 +20,8 @@ from labelscan.sources.fixtures import Inputs
 from labelscan.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+#: Names of the folders that scratch() makes.
+SCRATCH = ("products", "vocabulary", "results", "published", "scored", "state", "ingested", "stream", "strata", "evaluated", "clauses")
 
 
 def query(f: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
@@ -42,12 +43,25 @@ def flat(df: DataFrame, doubles: bool = True) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that the session's executors share."""
+    """A new folder that the session's executors share: in its checkpoint folder, or in its warehouse without one."""
+    return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def shared(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="labelscan-")
+    base = base or f"{spark.conf.get('spark.sql.warehouse.dir')}/labelscan-scratch"
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    return base
+
+
+def clear_scratch(spark: SparkSession, names: tuple[str, ...] = SCRATCH) -> int:
+    """Delete what earlier queries have written by scratch() into the shared folder; returns how many folders. No query may be running."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(shared(spark))
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.listStatus(folder) if files.exists(folder) else []
+    mine = [f.getPath() for f in found if f.getPath().getName().rpartition("-")[0] in names]
+    return sum(bool(files.delete(p, True)) for p in mine)
 
 
 @query
@@ -486,25 +500,18 @@ def evl8_risk_accuracy(t: Inputs) -> DataFrame:
 
 
 def _methods(t: Inputs) -> DataFrame:
-    """Flagged hits are matched once; each method is a filter on them: (method, ref_declared, pred)."""
-    hits = match.vocab_hits(t.texts, t.vocab)
-    negated = match.drop_negated(hits, match.negation_rules(t.spark)).select("code", "allergen", "term", F.lit(True).alias("n"))
-    kept = match.drop_excluded(hits, match.exclusion_rules(t.spark)).select("code", "allergen", "term", F.lit(True).alias("x"))
-    flags = hits.select("code", "allergen", "term").join(negated, ["code", "allergen", "term"], "left").join(kept, ["code", "allergen", "term"], "left")
-    methods = F.array(F.lit("keyword"), F.when(F.col("n"), "negation"), F.when(F.col("x"), "context"), F.when(F.col("n") & F.col("x"), "full"))
-    found = flags.select("code", "allergen", F.explode(F.filter(methods, lambda m: m.isNotNull())).alias("method")).groupBy("code", "method").agg(F.array_sort(F.collect_set("allergen")).alias("p"))
-    every = t.evaluated.select("code", "ref_declared", F.explode(F.array(*[F.lit(m) for m in ("keyword", "negation", "context", "full")])).alias("method"))
-    return every.join(found, ["code", "method"], "left").withColumn("pred", F.coalesce("p", F.array().cast("array<string>"))).drop("p")
+    found = match.ablation(t.labels.select("code", "text"), t.texts.select("code", "text"), t.vocab, t.raw_vocab)
+    return evaluate.by_method(found, t.references, match.METHODS)
 
 
 @query
 def evl9_compare_methods(t: Inputs) -> DataFrame:
-    return flat(evaluate.per_label_metrics(_methods(t), "ref_declared", "pred", ("method",)))
+    return flat(evaluate.compare_methods(_methods(t)))
 
 
 @query
 def evl10_ablation(t: Inputs) -> DataFrame:
-    return flat(evaluate.micro_metrics(_methods(t), "ref_declared", "pred", ("method",)))
+    return flat(evaluate.ablation_table(_methods(t)))
 
 
 @query
@@ -556,7 +563,8 @@ def evl17_fn_causes(t: Inputs) -> DataFrame:
 
 @query
 def evl18_cause_summary(t: Inputs) -> DataFrame:
-    return evaluate.cause_summary(_causes(t).withColumn("source", F.when(F.col("code").cast("long") % 4 == 0, "heldout").otherwise("dev")))
+    source = F.when(F.col("code").cast("long") % 4 == 0, "heldout").otherwise("dev")
+    return flat(evaluate.cause_summary(_causes(t).withColumn("source", source), ("en", "fr")))
 
 
 @query
@@ -623,9 +631,13 @@ def smp6_greedy_sample(t: Inputs) -> DataFrame:
 
 @query
 def smp7_language_quota(t: Inputs) -> DataFrame:
+    """The sample's rows, and what each language is short of."""
+    scratch(t.spark, "strata")
     rows = t.labels.select("id", F.array_compact(F.array("lang", F.when(F.col("id") % 3 == 0, F.lit("en")))).alias("languages"), (F.col("id") % 5).alias("relevance"))
     targets = t.spark.createDataFrame([("de", 10), ("en", 25), ("fr", 10), ("xx", 3)], "language string, target int")
-    return sample.language_quota(rows, targets, 3).withColumn("rank", F.col("rank").cast("long"))
+    chosen = sample.language_quota(rows, targets, 3)
+    short = sample.shortfall(targets, chosen).select("language", F.col("short").cast("long").alias("short"))
+    return short.join(chosen, "language", "left").select("id", "language", F.col("rank").cast("long").alias("rank"), "short")
 
 
 @query
@@ -771,9 +783,8 @@ def voc7_coverage_gaps(t: Inputs) -> DataFrame:
 
 @query
 def voc8_audit_counts(t: Inputs) -> DataFrame:
-    parts = {"terms": t.corpus_vocab, "duplicates": voc3_duplicate_terms(t), "conflicts": voc5_conflicts(t), "unused": voc2_unused_terms(t)}
-    counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("kind"), "n") for k, df in parts.items()]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
+    parts = {"terms": t.corpus_vocab, "duplicates": voc3_duplicate_terms(t), "near duplicates": voc4_near_duplicates(t), "conflicts": voc5_conflicts(t), "unused": voc2_unused_terms(t), "inflections": voc6_inflections(t), "gaps": voc7_coverage_gaps(t)}
+    return vocabulary.audit_counts(parts)
 
 
 @query
@@ -799,9 +810,7 @@ def voc11_match_versions(t: Inputs) -> DataFrame:
 
 @query
 def voc12_decisions(t: Inputs) -> DataFrame:
-    old, new = t.corpus_vocab.where("length(term) > 2"), t.corpus_vocab.where("length(term) < 6")
-    both = old.withColumn("o", F.lit(1)).join(new.withColumn("n", F.lit(1)), ["allergen", "term"], "full")
-    return both.select("allergen", "term", F.when(F.col("o").isNull(), "approved").when(F.col("n").isNull(), "removed").otherwise("kept").alias("decision"))
+    return vocabulary.decisions(t.corpus_vocab.where("length(term) > 2"), t.corpus_vocab.where("length(term) < 6"))
 
 
 # vectors
@@ -815,8 +824,8 @@ def _rule_hits(t: Inputs) -> DataFrame:
     return t.phrases.where("pos % 3 = 0").select("code", F.get(F.array(*map(F.lit, tags.ALLERGENS)), (F.col("pos") % 9).cast("int")).alias("allergen")).distinct()
 
 
-def _vector_sets(t: Inputs) -> DataFrame:
-    ref = t.phrases.groupBy("code").agg(F.array_sort(F.collect_set(F.get(F.array(*map(F.lit, tags.ALLERGENS)), (F.col("pos") % 7).cast("int")))).alias("ref"))
+def _vector_sets(t: Inputs, n: int = 7) -> DataFrame:
+    ref = t.phrases.groupBy("code").agg(F.array_sort(F.collect_set(F.get(F.array(*map(F.lit, tags.ALLERGENS)), (F.col("pos") % n).cast("int")))).alias("ref"))
     pred = _rule_hits(t).groupBy("code").agg(F.array_sort(F.collect_set("allergen")).alias("pred"))
     return ref.join(pred, "code", "left").withColumn("pred", F.coalesce("pred", F.array().cast("array<string>")))
 
@@ -854,13 +863,18 @@ def emb5_threshold_sweep(t: Inputs) -> DataFrame:
 
 @query
 def emb6_pick_threshold(t: Inputs) -> DataFrame:
-    base = evaluate.micro_metrics(_vector_sets(t), "ref", "pred").first()["f1"]
-    return flat(embed.pick_threshold(embed.threshold_sweep(_best(t), _vector_sets(t), BARS), base, 0.5))
+    """Two sections: the sets as they are, and with another reference."""
+    sets = {"declared": _vector_sets(t), "trace": _vector_sets(t, 5)}
+    base = {s: evaluate.micro_metrics(df, "ref", "pred").first()["f1"] for s, df in sets.items()}
+    best = _best(t)
+    parts = [embed.threshold_sweep(best, df, BARS).select("bar", F.lit(s).alias("section"), "f1") for s, df in sets.items()]
+    return flat(embed.pick_threshold(parts[0].unionByName(parts[1]), base))
 
 
 @query
 def emb7_synonym_proposals(t: Inputs) -> DataFrame:
-    return embed.synonym_proposals(_best(t), 0.2).withColumn("rank", F.col("rank").cast("long")).withColumn("similarity", F.round("similarity", 4))
+    out = embed.synonym_proposals(_best(t), _rule_hits(t), 0.2).withColumn("similarity", F.round("similarity", 4))
+    return out.withColumn("rank", F.col("rank").cast("long")).withColumn("codes", joined(F.col("codes")))
 
 
 @query
@@ -877,8 +891,10 @@ def mlc1_weak_clauses(t: Inputs) -> DataFrame:
 
 
 def _clauses(t: Inputs) -> DataFrame:
-    """Clauses, kept while the pipeline's stages pass over them."""
-    return learn.weak_clauses(t.split).persist()
+    """Normalised clauses, written once for the pipeline's stages that pass over them."""
+    path = scratch(t.spark, "clauses")
+    learn.weak_clauses(t.split).withColumn("text", text.normalize(F.col("text"))).write.parquet(path)
+    return t.spark.read.parquet(path)
 
 
 def _trained(t: Inputs) -> tuple[DataFrame, object, object]:
@@ -904,26 +920,36 @@ def mlc3_clause_classifier(t: Inputs) -> DataFrame:
 
 @query
 def mlc4_stratified_cv(t: Inputs) -> DataFrame:
-    return learn.cross_validate(_clauses(t), 3)
+    return learn.cross_validate(_clauses(t), 5)
 
 
 @query
 def mlc5_split_with_model(t: Inputs) -> DataFrame:
+    """Metrics of both sections by rule and by model, and whether the model is to be used."""
     _, features, model = _trained(t)
     split = learn.split_with_model(t.labels, features, model)
-    found = match.detect(match.sections(split), t.vocab).where("section = 'trace'").select("code", F.col("allergens").alias("p"))
-    both = t.evaluated.join(found, "code", "left").select("ref_trace", F.inline(F.array(F.struct(F.lit("rule").alias("method"), F.col("pred_trace").alias("pred")), F.struct(F.lit("model").alias("method"), F.coalesce("p", F.array().cast("array<string>")).alias("pred")))))
-    return flat(evaluate.micro_metrics(both, "ref_trace", "pred", ("method",)))
+    found = match.detect(match.sections(split), t.vocab)
+    wide = found.groupBy("code").agg(*[F.first(F.when(F.col("section") == s, F.col("allergens")), ignorenulls=True).alias(f"m_{s}") for s in match.SECTIONS])
+    both = t.evaluated.join(wide, "code", "left")
+    none = F.array().cast("array<string>")
+    rows = [F.struct(F.lit(m).alias("method"), F.lit(s).alias("section"), F.col(f"ref_{s}").alias("ref"), F.coalesce(F.col(c), none).alias("pred")) for s in match.SECTIONS for m, c in (("rule", f"pred_{s}"), ("model", f"m_{s}"))]
+    metrics = evaluate.micro_metrics(both.select(F.inline(F.array(*rows))), "ref", "pred", ("method", "section"))
+    return flat(learn.decide_split(metrics))
+
+
+def _instances(t: Inputs) -> DataFrame:
+    known = t.evaluated.withColumn("ocr_confidence", (F.col("id") * 31 % 100).cast("double") / 100)
+    return learn.confidence_instances(known.withColumn("extraction_found", F.col("id") % 4 != 0))
 
 
 @query
 def mlc6_confidence_instances(t: Inputs) -> DataFrame:
-    return learn.confidence_instances(t.evaluated)
+    return flat(_instances(t))
 
 
 @query
 def mlc7_confidence_model(t: Inputs) -> DataFrame:
-    return learn.confidence_model(learn.confidence_instances(t.evaluated))
+    return learn.confidence_model(_instances(t))
 
 
 @query
@@ -961,10 +987,16 @@ def sta4_cutoff_means(t: Inputs) -> DataFrame:
 
 @query
 def sta5_decide(t: Inputs) -> DataFrame:
-    r = stats.pearson(t.score_table, "p", "x").first()["r"]
-    u = stats.mann_whitney(t.score_table, "y", "p").first()
-    p = stats.mann_whitney_p(u["n1"], u["n0"], u["u"])
-    return t.score_table.agg(F.count(F.lit(1)).alias("n")).select("n", stats.decide(F.lit(r), F.lit(0.01), F.lit(p)).alias("decision"))
+    """The rule for the table as it is, and with the score turned round."""
+    out = []
+    for name, sign in (("as it is", 1), ("turned", -1)):
+        df = t.score_table.withColumn("p", sign * F.col("p") + F.col("y") * 0.5).withColumn("x", 1 - F.col("y"))
+        c = stats.pearson(df, "p", "x").first()
+        u = stats.mann_whitney(df, "y", "p").first()
+        p = stats.mann_whitney_p(u["n1"], u["n0"], u["u"])
+        decision = stats.decide(F.lit(c["r"]), F.lit(stats.correlation_p(c["n"], c["r"])), F.lit(p))
+        out.append(df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("scores"), "n", decision.alias("decision")))
+    return out[0].unionByName(out[1])
 
 
 # streams, run over what there is and compared with the batch operators
@@ -991,16 +1023,16 @@ def _event_stream(t: Inputs) -> DataFrame:
 def str2_ingest_stream(t: Inputs) -> DataFrame:
     path = scratch(t.spark, "ingested")
     rows = _event_stream(t).select(F.col("user_id").cast("string").alias("code"), "ts")
-    streams.ingest_stream(rows, path, scratch(t.spark, "state"), delay="2000 days", availableNow=True).awaitTermination()
-    return t.spark.read.parquet(path).select("code").distinct()
+    streams.ingest_stream(rows, path, scratch(t.spark, "state"), availableNow=True).awaitTermination()
+    return t.spark.read.parquet(path).select("code")
 
 
 def _finished(t: Inputs, df: DataFrame) -> DataFrame:
-    """All results of an aggregating stream: complete mode into a folder, the last batch."""
+    """What an aggregating stream has given out: results that the watermark has passed, each once."""
     path = scratch(t.spark, "stream")
-    write = lambda b, n: b.write.mode("overwrite").parquet(path)
-    df.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", scratch(t.spark, "state")).trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(path)
+    write = lambda b, n: b.write.mode("overwrite").parquet(f"{path}/batch={n}")
+    df.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", scratch(t.spark, "state")).trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(path).drop("batch")
 
 
 @query

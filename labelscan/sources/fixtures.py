@@ -110,6 +110,11 @@ class Inputs:
         out = self.analysis.select("id", "code", "lang", "source", "text", ref("allergens_tags").alias("ref_declared"), ref("traces_tags").alias("ref_trace"), F.col("declared_allergens").alias("pred_declared"), F.col("trace_allergens").alias("pred_trace"), F.col("risk").alias("pred_risk"))
         return out.withColumn("ref_risk", general_risk(F.col("ref_declared"), F.col("ref_trace")))
 
+    @cached_property
+    def references(self) -> DataFrame:
+        """(code, ref): declared reference sets, without matching anything."""
+        return self.labels.select("code", tags_to_allergens(parse_tags(F.col("allergens_tags"), "eval"), "eval").alias("ref"))
+
     @cached_property
     def plain(self) -> DataFrame:
         """A second, weaker version of the predictions: terms without rules."""
@@ -172,7 +177,7 @@ class Inputs:
 
     @cached_property
     def term_rows(self) -> DataFrame:
-        """The first 300 vectors stand for a vocabulary's terms, which does not grow with the corpus."""
+        """One in ten of the first 3000 vectors stands for a vocabulary's terms, which does not grow with the corpus."""
         return self.table("embeddings").where("vec_id % 10 = 0 and vec_id < 3000").select(F.get(F.array(*map(F.lit, ALLERGENS)), (F.abs("label") % 9).cast("int")).alias("allergen"), F.concat(F.lit("term "), F.col("vec_id").cast("string")).alias("term"), F.col("embedding").alias("vector"))
 
     @cached_property

@@ -14,10 +14,17 @@ from labelscan.functions.text import joined, normalize
 PRODUCT = StructType([StructField(c, StringType()) for c in ("code", "product_name", "ingredients_text", "ingredients_tags", "allergens_tags", "traces_tags", "lang")])
 
 
-def read_products(spark: SparkSession, path: str, fmt: str = "csv", schema: StructType = PRODUCT) -> DataFrame:
-    """Products, all strings; cells of a CSV file may hold quotes and line breaks."""
+def read_products(spark: SparkSession, path: str, fmt: str = "csv", schema: StructType = PRODUCT, encoding: str = "UTF-8") -> DataFrame:
+    """Products, all strings; cells of a CSV file may hold quotes and line breaks.
+
+    Bytes that the encoding doesn't have become U+FFFD, and a byte order mark is no part of the first cell.
+    """
     reader = spark.read.schema(schema)
-    return reader.options(header=True, multiLine=True, quote='"', escape='"').csv(path) if fmt == "csv" else reader.format(fmt).load(path)
+    if fmt != "csv":
+        return reader.format(fmt).load(path)
+    options = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "encoding": encoding, "enforceSchema": True}
+    found = reader.options(**options).csv(path)
+    return found.withColumn(found.columns[0], F.regexp_replace(found.columns[0], "^\ufeff", ""))
 
 
 def vocabulary(rows: DataFrame, raw: bool = False) -> DataFrame:
@@ -46,14 +53,30 @@ def write_results(df: DataFrame, path: str, fmt: str = "csv") -> None:
 
 
 def publish(df: DataFrame, path: str, expect: int) -> DataFrame:
-    """Write beside `path`, check the number of rows, and only then overwrite it; an error leaves what was there."""
+    """Write beside `path`, check the number of rows, and only then put it there by renaming; an error leaves what was there.
+
+    What was there is renamed too, and comes back if the second renaming fails; neither it nor the staging folder stays.
+    """
     spark = df.sparkSession
-    staging = f"{path}.staging-{uuid.uuid4().hex}"
-    df.write.parquet(staging)
-    written = spark.read.schema(df.schema).parquet(staging)
-    if (n := written.count()) != expect:
-        raise ValueError(f"{n} rows instead of {expect}")
-    written.write.mode("overwrite").parquet(path)
+    mark = uuid.uuid4().hex
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    target, staging, old = (folder(p) for p in (path, f"{path}.staging-{mark}", f"{path}.old-{mark}"))
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        df.write.parquet(f"{path}.staging-{mark}")
+        if (n := spark.read.schema(df.schema).parquet(f"{path}.staging-{mark}").count()) != expect:
+            raise ValueError(f"{n} rows instead of {expect}")
+        had = files.exists(target)
+        if had and not files.rename(target, old):
+            raise OSError(f"{path} can't be renamed")
+        if not files.rename(staging, target):
+            if had:
+                files.rename(old, target)
+            raise OSError(f"nothing can be renamed to {path}")
+        if had:
+            files.delete(old, True)
+    finally:
+        files.delete(staging, True)
     return spark.read.schema(df.schema).parquet(path)
 
 

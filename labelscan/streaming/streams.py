@@ -25,11 +25,15 @@ def score_stream(labels: DataFrame, vocab: DataFrame, path: str, checkpoint: str
 
 
 def ingest_stream(products: DataFrame, path: str, checkpoint: str, key: str = "code", delay: str = "1 hour", **trigger) -> StreamingQuery:
-    """Appends products with keys that neither the stream's last hours nor the target holds; needs a timestamp column ts."""
+    """Appends products with keys that neither the stream's last hours nor the target holds; needs a timestamp column ts.
+
+    State is kept for `delay` only; what comes again later is found in the target, of which a batch reads the keys.
+    """
     spark = products.sparkSession
     fresh = products.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
 
     def batch(df: DataFrame, number: int) -> None:
+        df = df.dropDuplicates([key])
         try:
             seen = spark.read.parquet(path).where(F.col("batch") != number).select(key)
             df = df.join(seen, key, "left_anti")
