@@ -235,7 +235,7 @@ def test_personal_data(spark, docs, empty):
         base = [(s.kind, s.start, s.end) for s in got[i].pii_base]
         spans = [(s.kind, s.start, s.end) for s in got[i].pii_spans]
         assert base == brute_spans(t) and set(base) <= set(spans)
-        assert all(pii.valid(k, t[a:b].encode()) for k, a, b in spans)
+        assert all(pii.plausible(k, t[a:b].encode()) for k, a, b in set(spans).difference(base))
     hidden = pii.redact(table, network).where("doc_id = 2").first().text
     assert hidden == "card <card>."
     assert pii.find(docs, network).count() == len(rows()) and pii.find(empty, network).count() == 0
