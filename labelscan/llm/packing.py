@@ -107,7 +107,7 @@ def pack(
     start = F.col("piece").cast("long") * capacity
     cut = cut.withColumn("start", start).withColumn("n_words", F.least(F.col("_n") - start, F.lit(capacity)))
     dealt = F.pmod(F.xxhash64("doc_id", "piece", "_n", "cluster", "_row"), F.lit(groups))
-    along = F.least(F.floor(F.col("order") * groups), F.lit(groups - 1))
+    along = F.when(F.col("order").isNotNull(), F.least(F.floor(F.col("order") * groups), F.lit(groups - 1)))  # least() skips nulls
     cut = cut.withColumn("_group", F.when(F.col("n_words") > 0, F.coalesce(along, dealt)).otherwise(dealt))
     schema = "doc_id string, piece int, start long, n_words long, n_bin long, bin_offset long, cluster long, source string, order double"
 
