@@ -32,16 +32,23 @@ def near_duplicates(vocab: DataFrame, bar: float = 0.85) -> DataFrame:
     """(allergen, a, b) of terms of an allergen whose similarity is at least bar.
 
     With edit distance d at most (1 - bar) times the longer length, one of d + 1 parts of the shorter term stands in
-    the other, moved by at most d: parts are joined, not terms.
+    the other, moved by at most d: parts are joined with what stands at each of these places, not terms with terms. Terms
+    that are too short to differ in a letter have no near duplicate.
     """
     rows = vocab.select("allergen", "term", F.length("term").alias("n")).distinct().where("n > 0")
     most = F.floor((1 - bar) * F.ceil(F.col("n") / bar)).cast("int")  # of any partner of this or greater length
-    k = F.least(most + 1, F.col("n"))
+    rows = rows.withColumn("most", most).where("most > 0")
+    cut = rows.withColumn("k", F.least(F.col("most") + 1, F.col("n"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     at = lambda i: F.floor(i * F.col("n") / F.col("k")).cast("int")
-    cut = rows.withColumn("k", k).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("allergen", F.col("term").alias("a"), F.col("n").alias("na"), F.col("k"), at(F.col("i")).alias("p"), F.substring("term", at(F.col("i")) + 1, at(F.col("i") + 1) - at(F.col("i"))).alias("part"))
-    sizes = cut.select("allergen", F.length("part").alias("len")).distinct()
-    grams = rows.join(bounded(sizes), "allergen").where("len > 0 and n >= len").withColumn("q", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("len")))).select("allergen", F.col("term").alias("b"), F.col("n").alias("nb"), "q", F.substring("term", F.col("q") + 1, F.col("len")).alias("part"))
-    met = cut.join(grams, ["allergen", "part"]).where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))).where(F.abs(F.col("p") - F.col("q")) < F.col("k"))
+    part = F.substring("term", at(F.col("i")) + 1, at(F.col("i") + 1) - at(F.col("i"))).alias("part")
+    places = F.explode(F.sequence(at(F.col("i")) - F.col("most"), at(F.col("i")) + F.col("most"))).alias("q")
+    parts = cut.select("allergen", F.col("term").alias("a"), F.col("n").alias("na"), "most", part, places).where("q >= 0")
+    sizes = cut.select("allergen", F.length(part).alias("len")).distinct()  # a few numbers for each allergen
+    starts = F.explode(F.sequence(F.lit(0), F.col("n") - F.col("len"))).alias("q")
+    grams = rows.join(bounded(sizes), "allergen").where("len > 0 and n >= len").select("allergen", F.col("term").alias("b"), F.col("n").alias("nb"), "len", starts)
+    grams = grams.withColumn("part", F.substring("b", F.col("q") + 1, F.col("len"))).drop("len")
+    longer = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    met = parts.join(grams, ["allergen", "part", "q"]).where(longer & (F.col("nb") - F.col("na") <= F.col("most")))
     pairs = met.select("allergen", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return pairs.where(similarity(F.col("a"), F.col("b")) >= bar)
 
