@@ -136,6 +136,24 @@ def test_average_ranks_of_many_values(spark):
     assert {g for g in got if g[0] in {w[0] for w in want}} == want and stats.average_ranks(df, ["x"]).count() == 5000
 
 
+def test_nearest_terms_in_blocks(spark, monkeypatch):
+    """Blocks of any size give the nearest term of each allergen, the first in order on a tie; odd vectors take no part."""
+    vectors = [[float((i * 7 + j * j) % 5 - 2) for j in range(4)] for i in range(30)]
+    odd = [("c", 90, "p90", None), ("c", 91, "p91", [1.0, None, 1.0, 1.0]), ("c", 92, "p92", [1.0])]
+    phrases = spark.createDataFrame([("c", i, f"p{i}", v) for i, v in enumerate(vectors)] + odd, "code string, pos long, phrase string, vector array<double>")
+    terms = [("ab"[i % 2], f"t{i:02}", v) for i, v in enumerate(vectors)]
+    table = spark.createDataFrame([*terms, ("a", "none", None)], "allergen string, term string, vector array<double>")
+    want = []
+    for i, v in enumerate(vectors):
+        for a in "ab":
+            d, t = min((-sum(x * y for x, y in zip(v, w, strict=True)), t) for x, t, w in terms if x == a)
+            want.append((i, a, t, -d))
+    for size in (embed.BLOCK, 20):
+        monkeypatch.setattr(embed, "BLOCK", size)
+        got = embed.best_per_allergen(phrases, table).select("pos", "allergen", "term", "similarity").collect()
+        assert sorted(tuple(r) for r in got) == sorted(want)
+
+
 def test_correlation_p():
     assert stats.correlation_p(100, 0.0) == 1 and stats.correlation_p(100, -0.3) < 0.01 and stats.correlation_p(2, 1.0) == 1
 
