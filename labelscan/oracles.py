@@ -415,7 +415,12 @@ oracle("voc12_decisions", "SELECT allergen, term, CASE WHEN length(term) <= 2 TH
 oracle("emb1_term_vectors", "SELECT 'milk' AS allergen, 't' || vec_id AS term, len(embedding)::BIGINT AS dim FROM embeddings WHERE length('t' || vec_id) >= 3")
 oracle("emb2_similarities", "SELECT term, count(*) AS n, round(avg(s), 5) AS mean FROM sims GROUP BY term")
 oracle("emb3_best_per_allergen", "SELECT pos, allergen, term, round(s, 4) AS similarity FROM near")
-oracle("emb4_gated_candidates", "SELECT code, allergen, arg_min(term, (pos, term)) AS term, min(pos) AS pos FROM near n WHERE s >= 0.3 AND NOT EXISTS (SELECT 1 FROM rule_hits r WHERE r.code = n.code AND r.allergen = n.allergen) GROUP BY code, allergen")
+oracle(
+    "emb4_gated_candidates",
+    f"""SELECT code, allergen, arg_min(term, (pos, term)) AS term, min(pos) AS pos
+      FROM (SELECT n.code, n.allergen, n.term, n.pos, n.s, coalesce(w.text, '') AS text FROM near n LEFT JOIN whole w ON w.code = n.code) h
+      WHERE s >= 0.3 AND NOT EXISTS (SELECT 1 FROM rule_hits r WHERE r.code = h.code AND r.allergen = h.allergen) AND {KEPT} AND {VALID.format(kind='')} GROUP BY code, allergen""",
+)
 oracle("emb5_threshold_sweep", metrics("bar", "swept", "ref", "pred"))
 _F1 = lambda by, source: metrics(by, source, "ref", "pred").replace("round(", "(").replace(", 6)", ")")
 oracle(
