@@ -35,6 +35,59 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+RANKED = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS terms FROM documents),
+s AS (SELECT count(*)::BIGINT AS docs, sum(len(terms))::BIGINT AS total FROM d WHERE len(terms) > 0),
+f AS MATERIALIZED (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM f GROUP BY term), s),
+q AS (SELECT i, item_id, term, count(*) AS c FROM (SELECT row_number() OVER () AS i, item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+m AS (SELECT r, doc_id, 25 + (75 * len(terms) * docs) // total AS m FROM d, s),
+p AS (SELECT i, item_id, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN f USING (term) JOIN m USING (r) GROUP BY i, item_id, r, doc_id)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM p WHERE score > 0) WHERE rank <= 10
+"""
+
+_FIELD = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+
+
+def _record(text: str) -> str:
+    return "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+# crc32 bit by bit: its last bit tells which rows are tampered with
+_CRC = "list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda e, z: xor(e >> 1, (e & 1) * 3988292384)))"
+MERKLE = f"""
+WITH RECURSIVE l AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY source) AS n, row_number() OVER () AS r
+  FROM (SELECT doc_id, source, {_record('text')} AS leaf, CASE WHEN ({_CRC} & 1) = 1 THEN {_record("replace(text, chr(10), '')")} ELSE {_record('text')} END AS tampered FROM documents)),
+u AS (
+  SELECT source, 0 AS level, p, n, leaf AS h FROM l
+  UNION ALL
+  SELECT source, level + 1, p // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY p)) FROM u WHERE n > 1 GROUP BY source, level, p // 3, n),
+s AS MATERIALIZED (
+  SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS p, count(*) OVER () AS n FROM u WHERE n = 1),
+v AS (
+  SELECT 0 AS level, p, n, subroot AS h FROM s
+  UNION ALL
+  SELECT level + 1, p // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY p)) FROM v WHERE n > 1 GROUP BY level, p // 3, n),
+steps AS (
+  SELECT r, level, coalesce(string_agg(u.h, '' ORDER BY u.p) FILTER (u.p < l.p // (3 ** level)::BIGINT), '') AS a, coalesce(string_agg(u.h, '' ORDER BY u.p) FILTER (u.p > l.p // (3 ** level)::BIGINT), '') AS b
+  FROM l JOIN u ON u.source IS NOT DISTINCT FROM l.source AND u.n > 1 AND u.p // 3 = l.p // (3 ** (level + 1))::BIGINT GROUP BY r, level
+  UNION ALL
+  SELECT r, 1000 + level, coalesce(string_agg(v.h, '' ORDER BY v.p) FILTER (v.p < s.p // (3 ** level)::BIGINT), ''), coalesce(string_agg(v.h, '' ORDER BY v.p) FILTER (v.p > s.p // (3 ** level)::BIGINT), '')
+  FROM l JOIN s ON s.source IS NOT DISTINCT FROM l.source JOIN v ON v.n > 1 AND v.p // 3 = s.p // (3 ** (level + 1))::BIGINT GROUP BY r, level),
+ways AS (SELECT r, string_agg(a || b, '' ORDER BY level) AS proof, list(a || '|' || b ORDER BY level) AS way FROM steps GROUP BY r),
+o AS (
+  SELECT doc_id, leaf, subroot, (SELECT h FROM v WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+         list_reduce(list_prepend(tampered, coalesce(way, [])), lambda own, x: sha256(split_part(x, '|', 1) || own || split_part(x, '|', 2))) AS folded_root
+  FROM l JOIN s ON s.source IS NOT DISTINCT FROM l.source LEFT JOIN ways USING (r))
+SELECT *, folded_root = root AS verified FROM o
+"""
+
 ORACLES = {
     "op8_mixing": MIXING,
+    "op11_ranked_search": RANKED,
+    "op13_merkle_manifest": MERKLE,
 }

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelscan.llm import media, packing, pii, quality, token_files, toxicity
+from labelscan.llm import credentials, media, merkle, packing, pii, quality, token_files, toxicity
 from labelscan.llm.minhash import near_duplicates
 from labelscan.llm.mixing import mix
 from labelscan.llm.neighbours import nearest
+from labelscan.llm.ranked import rank
 from labelscan.llm.shared import stored, table
 from labelscan.llm.substring import deduplicate
 
@@ -69,6 +70,28 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, model).select("doc_id", "evidence", "host_mean", "path_mean", "quality", "kept")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return rank(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), k=10)
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = credentials.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    joined = {c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",") for c in ("base", "spans")}
+    counts = [F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in credentials.BASE]
+    return found.select("doc_id", *counts, F.sha2(joined["base"], 256).alias("base_sha256"), joined["spans"].alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose id has an even crc32 are held against the manifest without their line feeds; rows without an id as they are."""
+    docs = table(spark, sf_dir, "documents")
+    leaf, tampered = (merkle.record(*[F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], t) for t in (F.col("text"), F.replace("text", F.lit("\n"), F.lit(""))))
+    touched = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    rows = docs.select("doc_id", "source", leaf.alias("digest"), F.when(touched, tampered).otherwise(leaf).alias("tampered"))
+    found = merkle.manifest(rows, "source", ["doc_id"]).withColumn("folded_root", merkle.fold(F.col("tampered"), F.col("path")))
+    return found.select("doc_id", F.col("digest").alias("leaf"), "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {
     "op1_substring": op1_substring,
     "op2_toxicity": op2_toxicity,
@@ -80,4 +103,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_media": op9_media,
     "op10_quality": op10_quality,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_secrets": op12_secrets,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
