@@ -125,12 +125,12 @@ def butterfly(state: DataFrame, group: str) -> DataFrame:
         node, last = F.floor(F.col("_block") / width), F.ceil(F.col("_blocks") / width) - 1
         size = lambda p: F.least(F.lit(width), F.col("_blocks") - p * width)  # noqa: B023, E731
         sent = state.withColumn("_node", node).withColumn("_last", last).withColumn("_slot", F.col("_block") % width).withColumn("_digit", F.col("_node") % FANOUT)
-        sent = sent.withColumn("_to", F.explode(F.array(*map(F.lit, range(FANOUT)))) - F.col("_digit") + F.col("_node"))
-        sent = sent.where((F.col("_to") <= F.col("_last")) & ((F.col("_to") == F.col("_node")) | (F.col("_slot") < size(F.col("_to")))))
+        sent = sent.withColumn("_to", F.explode(F.sequence(F.col("_node") - F.col("_digit"), F.least(F.col("_node") - F.col("_digit") + FANOUT - 1, F.col("_last")))))
         own = F.col("_to") == F.col("_node")
+        sent = sent.where(own | (F.col("_slot") < size(F.col("_to"))))
         slots = F.when(own, F.array("_slot")).otherwise(F.sequence("_slot", size(F.col("_to")) - 1, size(F.col("_node"))))
-        sent = sent.withColumn("_target", F.explode(slots) + F.col("_to") * width).withColumn("_own", own)
-        got = sent.groupBy(group, F.col("_target").alias("_block")).agg(
+        sent = sent.withColumn("_own", own).withColumn("_target", F.explode(slots))
+        got = sent.groupBy(group, (F.col("_target") + F.col("_to") * width).alias("_block")).agg(
             F.first("_blocks").alias("_blocks"), F.first("_last").alias("_last"), F.array_sort(F.collect_list(F.struct("_digit", "root"))).alias("_run"),
             F.first(F.when(F.col("_own"), F.struct("_digit", "root", "path")), ignorenulls=True).alias("_mine"),
         )

@@ -41,13 +41,16 @@ def sf(spark, tmp_path_factory):
     vectors = [(i, [float(x) for x in g.integers(-90, 91, 1500)]) for i in range(45)]
     vectors += [(45, [1e300] * 1500), (46, [1e-300] * 1500), (47, [0.0] * 1500), (48, None), (None, [1.0] * 1500), (49, vectors[3][1])]
     spark.createDataFrame(vectors, "vec_id long, embedding array<double>").write.parquet(f"{folder}/embeddings.parquet")
+    texts = [t for _, t, *_ in table_rows() if t]
+    items = [(1, texts[3][:300]), (2, texts[10]), (3, None), (4, ""), (5, "nowhere at-all"), (2, texts[10]), (None, texts[20][:200] + " ONE two"), (6, "é É vier vier one 7")]
+    spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string").write.parquet(f"{folder}/benchmark.parquet")
     return str(folder)
 
 
 @pytest.fixture(scope="module")
 def nothing(spark, sf, tmp_path_factory):
     folder = tmp_path_factory.mktemp("nothing")
-    for name in ("documents", "labels", "embeddings"):
+    for name in ("documents", "labels", "embeddings", "benchmark"):
         spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(f"{folder}/{name}.parquet")
     return str(folder)
 
@@ -256,6 +259,21 @@ def test_op8(spark, sf):
     assert tidy(queries.QUERIES["op8_mixing"](spark, sf).select(*columns).collect()) == tidy(want.fetchall())
 
 
+def by_sql(sf, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet/*.parquet'")
+    want = con.execute(oracles.ORACLES[name])
+    return [x[0] for x in want.description], want.fetchall()
+
+
+@pytest.mark.parametrize("name", ["op11_ranked_search", "op13_merkle_manifest"])
+def test_by_sql(spark, sf, name):
+    columns, want = by_sql(sf, name)
+    assert got(spark, sf, name, *columns) == in_order(want)
+
+
 def test_op9(spark, sf):
     columns = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")
     want = []
