@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelscan.operators.evaluate import micro_metrics
-from labelscan.operators.match import BROADCAST_TERMS, drop_excluded, drop_negated, exclusion_rules, fits, negation_rules
+from labelscan.operators.match import drop_excluded, drop_negated, exclusion_rules, negation_rules, substring_hits
 
-#: Numbers of a block of term vectors.
-BLOCK = 4_000_000
+#: Numbers of a group of term vectors, rows of a part of the phrases, and rows of it that are multiplied at once.
+BLOCK, PART, ROWS = 4_000_000, 1 << 18, 2048
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -29,57 +28,58 @@ def term_vectors(terms: DataFrame, vectors: DataFrame) -> DataFrame:
 def best_per_allergen(phrases: DataFrame, terms: DataFrame, bar: float = -1.0) -> DataFrame:
     """(code, pos, phrase, allergen, term, similarity): for each phrase the nearest term of each allergen, the first in order on a tie.
 
-    The terms' vectors go to the tasks in blocks of at most BLOCK numbers, one after the other, and each batch of phrases
-    is multiplied with a block at once; a phrase's best of several blocks is taken at the end. Vectors that are null, hold
-    nulls, or differ in length from a block's take no part in it.
+    A block matrix join: phrases are dealt into parts of some PART rows, terms into groups of some BLOCK numbers; a task
+    gets one part and one group and multiplies them. Terms are copied to as many places as there are parts and phrases to
+    as many as there are groups, most often one; the best of several groups is taken at the end, for each row of its own.
+    Vectors that are null or hold nulls take no part; those of another length meet nothing.
     """
+    spark = phrases.sparkSession
     size = F.size("vector")
     usable = lambda df: df.where(F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull()))
+    rows = usable(phrases.select(F.col("code").cast("string"), F.col("pos").cast("long"), F.col("phrase").cast("string"), "vector")).withColumn("_dim", size)
     terms = usable(terms.select("allergen", "term", "vector")).withColumn("_dim", size)
-    totals = {r["_dim"]: r["count"] for r in terms.groupBy("_dim").count().collect()}  # a row for each length
-    schema = "code string, pos long, phrase string, allergen string, term string, similarity double"
-    rows = usable(phrases.select(F.col("code").cast("string"), F.col("pos").cast("long"), F.col("phrase").cast("string"), "vector"))
-    parts = []
-    for dim, n in sorted(totals.items()):
-        blocks = max(1, -(-n * max(dim, 1) // BLOCK))
-        numbered = terms.where(F.col("_dim") == dim).withColumn("_block", F.pmod(F.xxhash64("allergen", "term"), F.lit(blocks)))
-        for k in range(blocks):
-            own = numbered.where(F.col("_block") == k).select("allergen", "term", "vector").toPandas()  # at most some BLOCK numbers
-            if len(own):
-                parts.append(rows.where(size == dim).mapInArrow(_nearest(own, bar), schema))
-    if not parts:
-        return rows.sparkSession.createDataFrame([], schema)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    if len(parts) == 1:
-        return out
-    first = F.min_by(F.struct("term", "similarity"), F.struct(-F.col("similarity"), F.col("term"))).alias("b")
-    return out.groupBy("code", "pos", "phrase", "allergen").agg(first).select("code", "pos", "phrase", "allergen", "b.*")
-
-
-def _nearest(terms: pd.DataFrame, bar: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For batches of phrases the nearest of these terms by allergen."""
-    terms = terms.sort_values(["allergen", "term"]).reset_index(drop=True)
-    matrix = np.stack(terms.vector.map(lambda v: np.asarray(v, float)).to_list())
-    names = terms.term.to_numpy(object)
-    starts = np.flatnonzero((terms.allergen != terms.allergen.shift()).to_numpy())
-    groups, ends = terms.allergen.to_numpy(object)[starts], np.append(starts[1:], len(terms))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            vectors = batch.column("vector")
-            flat = np.asarray(vectors.values, float)[vectors.offsets[0].as_py() : vectors.offsets[-1].as_py()]
-            similarity = np.round(flat.reshape(batch.num_rows, -1) @ matrix.T, 9)
-            for group, a, b in zip(groups, starts, ends, strict=True):
-                at = similarity[:, a:b].argmax(axis=1)  # the first of equal ones
-                best = similarity[np.arange(len(at)), a + at]
-                keep = pa.array(np.flatnonzero(best >= bar))
-                found = [pa.array([group] * len(keep), pa.string()), pa.array(names[a + at][keep], pa.string()), pa.array(best[keep])]
-                own = [batch.column(c).take(keep) for c in ("code", "pos", "phrase")]
-                yield pa.RecordBatch.from_arrays([*own, *found], ["code", "pos", "phrase", "allergen", "term", "similarity"])
+    numbers = terms.agg(F.sum("_dim")).first()[0] or 0
+    groups = max(1, -(-numbers // BLOCK))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-phrases.count() // PART))
+    own = F.monotonically_increasing_id()
+    left = rows.withColumn("_row", own).withColumn("_part", F.pmod("_row", F.lit(parts)).cast("int")).withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    right = terms.withColumn("_group", F.pmod(F.xxhash64("allergen", "term"), F.lit(groups)).cast("int")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    key = ["_part", "_group", "_dim"]
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_tile(bar), "_row long, code string, pos long, phrase string, allergen string, term string, similarity double")
+    if groups > 1:
+        first = F.min_by(F.struct("code", "pos", "phrase", "term", "similarity"), F.struct(-F.col("similarity"), F.col("term"))).alias("b")
+        found = found.groupBy("_row", "allergen").agg(first).select("allergen", "b.*")
+    return found.select("code", "pos", "phrase", "allergen", "term", "similarity")
+
+
+def _matrix(vectors: pa.ChunkedArray, dim: int) -> np.ndarray:
+    chunks = [np.asarray(c.flatten(), float) for c in vectors.chunks]
+    return np.concatenate(chunks or [np.empty(0)]).reshape(-1, dim)
+
+
+def _tile(bar: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The product of a part of the phrases and a group of terms: the best term of each allergen."""
+    names = ["_row", "code", "pos", "phrase"]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows and right.num_rows and (dim := left.column("_dim")[0].as_py()):
+            right = right.sort_by([("allergen", "ascending"), ("term", "ascending")])
+            matrix, terms, allergens = _matrix(right.column("vector"), dim), right.column("term").combine_chunks(), right.column("allergen").to_pylist()
+            starts = [i for i, a in enumerate(allergens) if not i or a != allergens[i - 1]]
+            for a in range(0, left.num_rows, ROWS):
+                part = left.slice(a, ROWS)
+                similarity = np.round(_matrix(part.column("vector"), dim) @ matrix.T, 9)
+                for x, z in zip(starts, [*starts[1:], len(allergens)], strict=True):
+                    at = similarity[:, x:z].argmax(axis=1)  # the first of equal ones
+                    best = similarity[np.arange(len(at)), x + at]
+                    keep = np.flatnonzero(best >= bar)
+                    columns = [part.column(c).take(pa.array(keep)) for c in names]
+                    out.append(pa.table([*columns, pa.array([allergens[x]] * len(keep), pa.string()), terms.take(pa.array(x + at[keep])), pa.array(best[keep])], [*names, "allergen", "term", "similarity"]))
+        if out:
+            return pa.concat_tables(out)
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64()]
+        return pa.table([pa.array([], k) for k in kinds], [*names, "allergen", "term", "similarity"])
 
     return run
 
@@ -117,15 +117,16 @@ def pick_threshold(sweep: DataFrame, baseline: dict[str, float], tolerance: floa
     return best.where("b is not null").select("b.*")
 
 
-def synonym_proposals(best: DataFrame, resolved: DataFrame | None = None, bar: float = 0.82, n: int = 15, examples: int = 5) -> DataFrame:
+def synonym_proposals(best: DataFrame, resolved: DataFrame | None = None, bar: float = 0.82, n: int = 15, examples: int = 5, vocab: DataFrame | None = None) -> DataFrame:
     """(allergen, phrase, term, similarity, products, codes, rank): new phrases near a term, the n best of each allergen: a report.
 
-    resolved is (code, allergen), what the rules find already: such phrases are no proposals. codes are the first
-    `examples` by name.
+    resolved is (code, allergen), what the rules find already: such phrases are no proposals, nor are those that hold a
+    term of vocab (term), even within a word. codes are the first `examples` by name.
     """
     near = best.where((F.col("similarity") >= bar) & (F.col("phrase") != F.col("term")))
     if resolved is not None:
         near = near.join(resolved.select("code", "allergen").distinct(), ["code", "allergen"], "left_anti")
+    near = near if vocab is None else without_term(near, vocab)
     term = F.min_by("term", F.struct(-F.col("similarity"), F.col("term"))).alias("term")
     grouped = near.groupBy("allergen", "phrase").agg(term, F.max("similarity").alias("similarity"), F.countDistinct("code").alias("products"))
     order = W.partitionBy("allergen").orderBy(F.desc("similarity"), "phrase")
@@ -138,8 +139,8 @@ def synonym_proposals(best: DataFrame, resolved: DataFrame | None = None, bar: f
 
 
 def without_term(phrases: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Phrases that hold no term of the vocabulary, even within a word: every term is tested, and too many are an error."""
-    terms = vocab.select("term").distinct()
-    if not fits(terms):
-        raise ValueError(f"more than {BROADCAST_TERMS} terms for a test of all terms")
-    return phrases.join(F.broadcast(terms), F.col("phrase").contains(F.col("term")), "left_anti")
+    """Phrases that hold no term of the vocabulary, even within a word; null ones hold none."""
+    digest = F.md5("phrase")
+    texts = phrases.select(digest.alias("_d"), F.col("phrase").alias("text")).where("text is not null").distinct()
+    hits = substring_hits(texts, vocab.select("term").distinct(), ("_d",)).select("_d").distinct()
+    return phrases.withColumn("_d", digest).join(hits, "_d", "left_anti").drop("_d")

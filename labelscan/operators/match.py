@@ -1,9 +1,10 @@
 """Matching: split labels, join phrases, apply rules, choose evidence.
 
 Texts are joined to the vocabulary by the first word of each term (the anchor): distinct words of a text that begin some
-term, a hash join on the anchor, and a test of the whole term. The vocabulary is broadcast up to BROADCAST_TERMS rows.
-Beyond that the distinct words are shuffled without their texts, which come back by key for the candidates that remain.
-Rules are anti joins on the hits.
+term, a hash join on the anchor, and a test of the whole term. Where a term may stand within a word, its anchor is its
+rarest run of three characters. The vocabulary is broadcast up to BROADCAST_TERMS rows. Beyond that the distinct words
+are shuffled without their texts, which come back by a row number for the candidates that remain. Rules are anti joins on
+the hits.
 """
 
 from __future__ import annotations
@@ -15,8 +16,11 @@ from labelscan.functions.tags import ALLERGENS, parse_tags, tags_to_allergens
 from labelscan.functions.text import normalize, padded, plain, raw_phrase_in, strip_all
 from labelscan.operators.risk import general_risk
 from labelscan.plans import rules
+from labelscan.sources.scratch import stored
 
 BROADCAST_TERMS = 50_000
+#: Characters of an anchor within words, and texts by which the rarest is chosen, which makes a difference to the time only.
+RUN, SAMPLE = 3, 1000
 SECTIONS = ("declared", "trace")
 
 
@@ -69,16 +73,49 @@ def sections(df: DataFrame, key: str = "code") -> DataFrame:
     return df.select(F.col(key).alias("code"), both).where("text <> ''")
 
 
+def _met(texts: DataFrame, by: tuple[str, ...], pieces: Column, terms: DataFrame, whole: Column) -> DataFrame:
+    """(by, text, what terms has) of texts and terms (anchor, ...) where the anchor is one of the text's pieces and `whole` holds.
+
+    Either way a row of texts is a text, whatever its keys: they may be null, or the same in several rows.
+    """
+    anchors = F.explode(pieces).alias("anchor")
+    if fits(terms):
+        return texts.select(*by, "text", anchors).join(F.broadcast(terms), "anchor").where(whole).drop("anchor")
+    rows = stored(texts.select(*by, "text").withColumn("_row", F.monotonically_increasing_id()), "texts")
+    candidates = rows.select("_row", anchors).join(terms, "anchor").drop("anchor")
+    found = candidates.join(rows, "_row").where(whole)
+    return found.select(*by, "text", *[c for c in terms.columns if c not in (*by, "anchor")])
+
+
 def vocab_hits(texts: DataFrame, vocab: DataFrame, by: tuple[str, ...] = ("code", "section")) -> DataFrame:
     """Every term of the vocabulary (allergen, term) in every text, as (by, text, allergen, term and what else vocab has)."""
     terms = vocab.withColumn("anchor", F.split("term", " ")[0]).where("anchor <> ''")
-    anchors = F.explode(F.array_distinct(F.split("text", " "))).alias("anchor")
     whole = padded(F.col("text")).contains(padded(F.col("term")))
-    if fits(terms):
-        return texts.select(*by, "text", anchors).join(F.broadcast(terms), "anchor").where(whole).drop("anchor")
-    candidates = texts.select(*by, anchors).join(terms, "anchor").drop("anchor")
-    found = candidates.join(texts.select(*by, "text"), list(by)).where(whole)
-    return found.select(*by, "text", *[c for c in vocab.columns if c not in by])
+    return _met(texts, by, F.array_distinct(F.split("text", " ")), terms, whole)
+
+
+def _runs(c: Column, size: int) -> Column:
+    """Distinct runs of so many characters; what of the last ones is shorter meets no anchor. Characters are split once, as places in a string cost its length."""
+    after = lambda cs, i: [F.get(cs, i + k) for k in range(1, size)]
+    cut = F.transform(F.array(F.split(c, "")), lambda cs: F.transform(cs, lambda x, i: F.concat(x, *after(cs, i))))
+    return F.array_distinct(F.array_compact(F.flatten(cut)))
+
+
+def substring_hits(texts: DataFrame, vocab: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Every term (term, ...) anywhere in every text, also within words: (by, text, term and what else vocab has).
+
+    A term's anchor is that of its runs of RUN characters (all of a shorter term) which fewest of SAMPLE texts hold.
+    """
+    terms = vocab.where("term <> ''").withColumn("_size", F.least(F.length("term"), F.lit(RUN)))
+    sizes = sorted(r["_size"] for r in terms.select("_size").distinct().collect())  # RUN rows at most
+    if not sizes:
+        return texts.select(*by, "text").join(vocab.limit(0), F.lit(False))
+    pieces = F.concat(*[_runs(F.col("text"), n) for n in sizes])
+    seen = texts.select("text").limit(SAMPLE).select(F.explode(pieces).alias("anchor")).groupBy("anchor").agg(F.count(F.lit(1)).alias("_n"))
+    own = F.coalesce(*[F.when(F.col("_size") == n, _runs(F.col("term"), n)) for n in sizes])
+    runs = terms.select("term", "_size").distinct().select("term", "_size", F.explode(own).alias("anchor")).where(F.length("anchor") == F.col("_size"))
+    anchors = runs.join(seen, "anchor", "left").groupBy("term").agg(F.min_by("anchor", F.struct(F.coalesce("_n", F.lit(0)), "anchor")).alias("anchor"))
+    return _met(texts, by, pieces, stored(terms.drop("_size").join(anchors, "term"), "anchors"), F.col("text").contains(F.col("term")))
 
 
 def negation_rules(spark: SparkSession) -> DataFrame:
@@ -121,11 +158,16 @@ def detect(texts: DataFrame, vocab: DataFrame, by: tuple[str, ...] = ("code", "s
 
 
 def analyze(labels: DataFrame, vocab: DataFrame, key: str = "code", text: str = "text") -> DataFrame:
-    """labels plus declared and trace texts, sets and evidence, and risk; labels without a hit are SAFE."""
-    split = split_declared_trace(labels, text)
-    found = detect(sections(split, key), vocab)
+    """labels plus declared and trace texts, sets and evidence, and risk; labels without a hit are SAFE.
+
+    Each row is judged by its own text: hits come back by the row's code and the digest of its text, so that rows without
+    a code, or with one that another text has too, get what is found in theirs.
+    """
+    own = F.concat_ws(":", F.col(key).cast("string"), F.md5(F.coalesce(text, F.lit(""))))
+    split = split_declared_trace(labels, text).withColumn("_own", own)
+    found = detect(sections(split, "_own"), vocab)
     wide = found.groupBy("code").agg(*[F.first(F.when(F.col("section") == s, F.col(c)), ignorenulls=True).alias(f"{s}_{c}") for s in SECTIONS for c in ("allergens", "matches")])
-    out = split.join(wide.withColumnRenamed("code", "_code"), split[key] == F.col("_code"), "left").drop("_code", "norm")
+    out = split.join(wide.withColumnRenamed("code", "_code"), F.col("_own") == F.col("_code"), "left").drop("_code", "_own", "norm")
     for s in SECTIONS:
         for c in ("allergens", "matches"):
             out = out.withColumn(f"{s}_{c}", F.coalesce(f"{s}_{c}", F.array().cast(wide.schema[f"{s}_{c}"].dataType)))
@@ -164,18 +206,10 @@ def baseline_raw(labels: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def baseline_substring(labels: DataFrame, vocab: DataFrame, normalized: bool = False) -> DataFrame:
-    """Terms anywhere in the text, also within words: every term is tested against every text.
-
-    That is meant for a small list; one of more than BROADCAST_TERMS terms is an error.
-    """
-    distinct = vocab.select("allergen", "term").distinct()
-    if not fits(distinct):
-        raise ValueError(f"more than {BROADCAST_TERMS} terms for a test of all terms")
-    terms = [(r["allergen"], r["term"]) for r in distinct.collect()]
+    """(code, allergens): terms anywhere in the text, also within words, without rules."""
     text = normalize(F.col("text")) if normalized else F.lower(F.coalesce("text", F.lit("")))
-    by = {a: sorted(t for x, t in terms if x == a) for a in sorted({a for a, _ in terms})}
-    found = F.array(*[F.when(F.exists(F.array(*map(F.lit, ts)), lambda t: F.col("_t").contains(t)), F.lit(a)) for a, ts in by.items()])
-    return labels.withColumn("_t", text).select("code", F.filter(found, lambda x: x.isNotNull()).alias("allergens")).where(F.size("allergens") > 0)
+    hits = substring_hits(labels.select("code", text.alias("text")), vocab.select("allergen", "term").distinct(), ("code",))
+    return hits.groupBy("code").agg(F.array_sort(F.collect_set("allergen")).alias("allergens"))
 
 
 #: Configurations of the matcher from plain to whole.
@@ -185,16 +219,18 @@ METHODS = ("raw", "keyword", "negation", "context", "full")
 def ablation(labels: DataFrame, texts: DataFrame, vocab: DataFrame, raw_vocab: DataFrame) -> DataFrame:
     """(code, method, allergens) of each of METHODS that finds something: raw terms in raw text, normalised keywords, with negations, with exclusions, and with both.
 
-    labels is (code, text), texts the same normalised. Texts are matched once for the last four: each hit is marked with
-    the rules that let it stand.
+    labels is (code, text), texts the same normalised. Texts are matched once for the last four: all rules are joined to
+    the hits at once, and each hit of a code is marked with the kinds of rules that speak against it.
     """
     spark = labels.sparkSession
     hits = vocab_hits(texts, vocab, ("code",))
-    key = ["code", "allergen", "term"]
-    denied = hits.join(drop_negated(hits, negation_rules(spark)).select(*key).distinct(), key, "left_anti").select(*key).withColumn("_n", F.lit(True))
-    dropped = hits.join(drop_excluded(hits, exclusion_rules(spark)).select(*key).distinct(), key, "left_anti").select(*key).withColumn("_x", F.lit(True))
-    flags = hits.select(*key).join(denied, key, "left").join(dropped, key, "left")
-    n, x = F.col("_n").isNull(), F.col("_x").isNull()
+    denials = negation_rules(spark).select("allergen", F.lit(None).cast("string").alias("term"), "phrase")
+    table = bounded(denials.unionByName(exclusion_rules(spark).select("allergen", "term", "phrase")).select(F.col("allergen").alias("_a"), F.col("term").alias("_t"), F.col("phrase").alias("_p")))
+    own = (F.col("allergen") == F.col("_a")) & (F.col("_t").isNull() | (F.col("_t") == F.col("term")))
+    marked = hits.join(table, own & padded(F.col("text")).contains(padded(F.col("_p"))), "left")
+    is_rule = F.col("_p").isNotNull()
+    flags = marked.groupBy("code", "allergen", "term").agg(F.max(is_rule & F.col("_t").isNull()).alias("_n"), F.max(is_rule & F.col("_t").isNotNull()).alias("_x"))
+    n, x = ~F.col("_n"), ~F.col("_x")
     stands = F.array(F.lit("keyword"), F.when(n, "negation"), F.when(x, "context"), F.when(n & x, "full"))
     found = flags.select("code", "allergen", F.explode(F.array_compact(stands)).alias("method"))
     found = found.groupBy("code", "method").agg(F.array_sort(F.collect_set("allergen")).alias("allergens"))

@@ -273,7 +273,8 @@ for _n, _k in ((5, "nut butter"), (6, "plant milk"), (7, "cocoa butter"), (8, "c
 oracle("mat10_best_term", "SELECT code, section, allergen, matched_term FROM best")
 oracle("mat11_detect", f"SELECT code, section, {bar('allergens')} AS allergens, {bar('found_terms')} AS terms FROM found")
 _RISK = RISK.format(d="pred_declared", t="pred_trace")
-oracle("mat12_analyze", f"SELECT code, {bar('pred_declared')} AS declared, {bar('pred_trace')} AS trace, {_RISK} AS risk FROM evaluated")
+_JUDGED = f"{bar('pred_declared')} AS declared, {bar('pred_trace')} AS trace, {_RISK} AS risk FROM evaluated"
+oracle("mat12_analyze", f"SELECT code, {_JUDGED} UNION ALL SELECT NULL, {_JUDGED} WHERE id % 10 = 0 UNION ALL SELECT (id - 3)::VARCHAR, {_JUDGED} WHERE id % 7 = 3")
 oracle("mat13_analyze_products", f"SELECT code, {bar('pred_declared')} AS declared, {bar('ref_declared')} AS reference_declared, {bar('ref_trace')} AS reference_trace FROM evaluated")
 _ALL = "list_sort(list_distinct(list(allergen)))"
 oracle("mat14_detect_legacy", f"SELECT code, section, {bar(_ALL)} AS allergens FROM hits h WHERE {KEPT} AND {VALID.format(kind='').replace('excluded x', 'excluded_legacy x')} GROUP BY code, section")
@@ -433,11 +434,25 @@ oracle(
     "emb7_synonym_proposals",
     """SELECT allergen, phrase, term, round(s, 4) AS similarity, products, codes, rank FROM (SELECT *, row_number() OVER (PARTITION BY allergen ORDER BY s DESC, phrase) AS rank FROM (
         SELECT allergen, phrase, arg_min(term, (-s, term)) AS term, max(s) AS s, count(DISTINCT code) AS products, array_to_string(list_slice(list_sort(list_distinct(list(code))), 1, 5), '|') AS codes
-        FROM near n WHERE s >= 0.2 AND NOT EXISTS (SELECT 1 FROM rule_hits r WHERE r.code = n.code AND r.allergen = n.allergen) GROUP BY allergen, phrase)) WHERE rank <= 15""",
+        FROM near n WHERE s >= 0.2 AND NOT (contains(phrase, '77') OR contains(phrase, '3') OR contains(phrase, 'hrase 12')) AND NOT EXISTS (SELECT 1 FROM rule_hits r WHERE r.code = n.code AND r.allergen = n.allergen) GROUP BY allergen, phrase)) WHERE rank <= 15""",
 )
 oracle("emb8_without_term", "SELECT code FROM prose p WHERE NOT EXISTS (SELECT 1 FROM terms t WHERE length(t.term) > 3 AND contains(p.text, t.term))")
 _CL = lambda c, y: f"SELECT code, unnest(generate_series(0, len(x) - 1))::BIGINT AS pos, md5(unnest(x)) AS text, {y} AS label FROM (SELECT code, {_CLAUSES.format(c)} AS x FROM split) WHERE len(x) > 0"
 oracle("mlc1_weak_clauses", f"{_CL('declared_text', 0)} UNION ALL {_CL('trace_text', 1)}")
+_GRAMS = """SELECT r, 'w' || unnest(w) AS gram FROM split_clauses UNION ALL SELECT r, 'w' || w[i] || ' ' || w[i + 1] FROM (SELECT r, w, unnest(range(1, len(w))) AS i FROM split_clauses)
+    UNION ALL SELECT r, 'c' || substring(t, i, k) FROM (SELECT r, t, k, unnest(range(1, length(t) - k + 2)) AS i FROM (SELECT r, ' ' || unnest(ws) || ' ' AS t FROM split_clauses), (SELECT unnest([3, 4, 5]) AS k))"""
+oracle(
+    "mlc2_clause_features",
+    f"""SELECT code, pos, label, n, round(total, 6) AS total, round(top, 6) AS top FROM (WITH clauses AS MATERIALIZED (
+        SELECT row_number() OVER () AS r, * FROM (SELECT code, unnest(generate_series(0, len(x) - 1))::BIGINT AS pos, {norm('unnest(x)')} AS text, label
+          FROM (SELECT code, {_CLAUSES.format('declared_text')} AS x, 0 AS label FROM split UNION ALL SELECT code, {_CLAUSES.format('trace_text')}, 1 FROM split) WHERE len(x) > 0)),
+      split_clauses AS (SELECT r, ws, list_filter(ws, lambda w: length(w) >= 2) AS w FROM (SELECT r, list_filter(string_split(text, ' '), lambda w: w <> '') AS ws FROM clauses)),
+      tfs AS MATERIALIZED (SELECT r, gram, count(*) AS tf FROM ({_GRAMS}) GROUP BY ALL),
+      idfs AS (SELECT gram, ln((1 + (SELECT count(*) FROM clauses))::DOUBLE / (1 + count(*))) + 1 AS idf FROM tfs GROUP BY gram HAVING count(*) >= 2),
+      raw AS MATERIALIZED (SELECT r, gram, (1 + ln(tf)) * idf AS w FROM tfs JOIN idfs USING (gram)),
+      lengths AS (SELECT r, gram[1] AS kind, sqrt(sum(w * w)) AS l FROM raw GROUP BY ALL)
+      SELECT c.code, c.pos, c.label, count(*) AS n, sum(w / l) AS total, max(w / l) AS top FROM raw JOIN lengths ON lengths.r = raw.r AND kind = gram[1] JOIN clauses c ON c.r = raw.r GROUP BY c.r, c.code, c.pos, c.label)""",
+)
 _CI = lambda s, y: f"SELECT code, allergen, '{s}' AS section, {y} AS is_trace, round((id * 31 % 100)::DOUBLE / 100, 6) AS ocr_confidence, (id % 4 <> 0)::INT AS extraction_found, lang AS language, length(text)::INT AS text_length, list_contains(ref_{s}, allergen)::INT AS correct FROM (SELECT id, code, lang, text, ref_{s}, unnest(pred_{s}) AS allergen FROM evaluated)"
 oracle("mlc6_confidence_instances", f"{_CI('declared', 0)} UNION ALL {_CI('trace', 1)}")
 oracle("mlc8_brier_auc", "SELECT count(*) AS n, round(avg((p - y) * (p - y)), 6) AS brier, round(avg(y) * (1 - avg(y)), 6) AS naive_brier, (SELECT round(u / (n1 * n0), 6) FROM u_test) AS auc FROM scores")

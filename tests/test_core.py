@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
 import os
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from labelscan import oracles, queries
 from labelscan.functions import tags, text
-from labelscan.operators import curate, embed, evaluate, match, ocr, risk, sample, stats, vocabulary
+from labelscan.operators import curate, embed, evaluate, learn, match, ocr, risk, sample, stats, vocabulary
+from labelscan.operators.order import numbered
 from labelscan.sources import tables
 from labelscan.sources.fixtures import Inputs
 
@@ -116,10 +120,88 @@ def test_a_large_vocabulary_is_joined_without_texts(spark, inputs, monkeypatch):
     monkeypatch.setattr(match, "BROADCAST_TERMS", 5)
     large = match.vocab_hits(inputs.sections, inputs.vocab)
     assert sorted(map(str, small.select(*sorted(small.columns)).collect())) == sorted(map(str, large.select(*sorted(small.columns)).collect()))
-    with pytest.raises(ValueError, match="more than"):
-        match.baseline_substring(inputs.labels, inputs.vocab)
-    with pytest.raises(ValueError, match="more than"):
-        embed.without_term(spark.createDataFrame([("x",)], "phrase string"), inputs.vocab)
+
+
+@pytest.mark.parametrize("most", [50_000, 0])
+def test_rows_with_null_and_repeated_keys(spark, inputs, monkeypatch, most):
+    """Each row is a text of its own, on either side of the bound."""
+    monkeypatch.setattr(match, "BROADCAST_TERMS", most)
+    texts = [(None, "d", "milk and egg"), (None, "d", "salt"), ("a", "d", "milk"), ("a", "d", "egg"), ("b", "d", "milk")]
+    hits = match.vocab_hits(spark.createDataFrame(texts, "code string, section string, text string"), inputs.vocab)
+    want = sorted((c or "", t, x) for c, _, t in texts for x in ("milk", "egg") if x in t)
+    assert sorted((r.code or "", r.text, r.term) for r in hits.collect()) == want
+    rows = [(None, "milk"), (None, "salt"), ("a", "milk"), ("a", "egg. May contain nuts"), ("a", None), ("a", "milk")]
+    got = match.analyze(spark.createDataFrame(rows, "code string, text string"), inputs.vocab).collect()
+    sets = sorted((r.code or "", r.text or "", "|".join(r.declared_allergens), "|".join(r.trace_allergens), r.risk) for r in got)
+    assert sets == sorted(
+        [("", "milk", "milk", "", "AVOID"), ("", "salt", "", "", "SAFE"), ("a", "milk", "milk", "", "AVOID"), ("a", "milk", "milk", "", "AVOID"), ("a", "egg. May contain nuts", "egg", "tree_nut", "AVOID"), ("a", "", "", "", "SAFE")]
+    )
+
+
+@pytest.mark.parametrize("most", [50_000, 0])
+def test_terms_anywhere(spark, monkeypatch, most):
+    """Against a test of all terms in all texts."""
+    monkeypatch.setattr(match, "BROADCAST_TERMS", most)
+    r = random.Random(1)
+    word = lambda n: "".join(r.choice("abé ñ") for _ in range(n))
+    texts = [(i % 50 or None, word(r.randint(0, 60))) for i in range(120)]
+    terms = sorted({word(r.randint(1, 6)) for _ in range(60)}) + ["", "nowhere at all"]
+    vocab = spark.createDataFrame([(f"g{i % 3}", t) for i, t in enumerate(terms)], "allergen string, term string")
+    hits = match.substring_hits(spark.createDataFrame(texts, "code long, text string"), vocab, ("code",))
+    assert sorted((x.code or 0, x.text, x.term) for x in hits.collect()) == sorted((c or 0, t, x) for c, t in texts for x in terms if x and x in t)
+    left = embed.without_term(spark.createDataFrame([(t,) for _, t in texts] + [(None,)], "phrase string"), vocab)
+    assert sorted(x.phrase or "" for x in left.collect()) == sorted([t for _, t in texts if not any(x and x in t for x in terms)] + [""])
+
+
+def test_clause_features(spark):
+    """Weights and folds against the definition in Python."""
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choice(["a", "of", "milk", "éa", "nuts", "contains"]) for _ in range(r.randint(0, 7))), i % 3 == 0) for i in range(60)]
+    df = spark.createDataFrame([(i, t, int(y)) for i, t, y in rows], "row long, text string, label int")
+
+    def grams(t):
+        words = t.split()
+        long = [w for w in words if len(w) > 1]
+        out = ["w" + w for w in long] + ["w" + " ".join(p) for p in zip(long, long[1:], strict=False)]
+        return Counter(out + [f"c{x[i : i + k]}" for w in words for x in [f" {w} "] for k in (3, 4, 5) for i in range(len(x) - k + 1)])
+
+    def expected(ids):
+        df_ = Counter(g for i in ids for g in grams(rows[i][1]))
+        idf = {g: math.log((1 + len(ids)) / (1 + n)) + 1 for g, n in df_.items() if n >= 2}
+        out = {}
+        for i, t, _ in rows:
+            w = {g: (1 + math.log(n)) * idf[g] for g, n in grams(t).items() if g in idf}
+            size = {k: math.sqrt(sum(x * x for g, x in w.items() if g[0] == k)) for k in "wc"}
+            out |= {(i, g): x / size[g[0]] for g, x in w.items()}
+        return out
+
+    def same(got, want):
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+    features = learn.fit_features(df)
+    names = {f.at: f.gram for f in features.collect()}
+    assert [names[i] for i in range(len(names))] == sorted(names.values())
+    want = expected(range(60))
+    same({(x.row, x.gram): x.weight for x in learn.weights(df, features).collect()}, want)
+    same({(x.row, names[int(i)]): float(v) for x in learn.vectors(df, features).collect() for i, v in zip(x.features.indices, x.features.values, strict=True)}, want)
+    dealt = learn.folds(df, 4)
+    assert sorted((r.label, r.fold, r["count"]) for r in dealt.groupBy("label", "fold").count().collect()) == [(0, i, 10) for i in range(4)] + [(1, i, 5) for i in range(4)]
+    fold = {x.row: x.fold for x in dealt.collect()}
+    by_fold = learn.fit_features_by_fold(dealt, 4)
+    names = {f.at: f.gram for f in by_fold.collect()}
+    found = learn.vectors(dealt, by_fold, 4).collect()
+    assert len(found) == 240
+    for k in range(4):
+        got = {(x.row, names[int(i)]): float(v) for x in found if x.without == k for i, v in zip(x.features.indices, x.features.values, strict=True)}
+        same(got, expected([i for i in range(60) if fold[i] != k]))
+
+
+def test_places_in_order(spark):
+    rows = [(g, i * 7 % 90) for g in (None, "a", "b") for i in range({None: 5, "a": 80, "b": 1}[g])]
+    df = spark.createDataFrame(rows, "g string, x int").repartition(6)
+    got = sorted((r.g or "", r.x, r._at, r._size) for r in numbered(df, "g", ["x"]).collect())
+    want = [(g or "", x, i, len(xs)) for g in (None, "a", "b") for xs in [sorted(x for h, x in rows if h == g)] for i, x in enumerate(xs)]
+    assert got == sorted(want)
 
 
 def test_quota_is_a_ranking_limit(inputs):
@@ -148,8 +230,9 @@ def test_nearest_terms_in_blocks(spark, monkeypatch):
         for a in "ab":
             d, t = min((-sum(x * y for x, y in zip(v, w, strict=True)), t) for x, t, w in terms if x == a)
             want.append((i, a, t, -d))
-    for size in (embed.BLOCK, 20):
+    for size, part in ((embed.BLOCK, embed.PART), (20, 3)):
         monkeypatch.setattr(embed, "BLOCK", size)
+        monkeypatch.setattr(embed, "PART", part)
         got = embed.best_per_allergen(phrases, table).select("pos", "allergen", "term", "similarity").collect()
         assert sorted(tuple(r) for r in got) == sorted(want)
 
