@@ -9,19 +9,27 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LETTER = r"\p{L}\p{N}_"
+#: Stands for a character of expansions() while a text is normalised; in a text it is no letter.
+SEVERAL = "\x01"
+
+
+@lru_cache
+def marks() -> str:
+    """The combining characters of the basic plane."""
+    return "".join(chr(c) for c in range(0x300, 0x10000) if unicodedata.category(chr(c)).startswith("M"))
 
 
 @lru_cache
 def expansions() -> dict[str, str]:
-    """Characters of the basic plane that stand for several letters or digits (ligatures, fractions), and these."""
+    """Small characters of the basic plane that stand for several letters or digits (ligatures, fractions), and these."""
     out = {}
     for code in [*range(0x80, 0xAC00), *range(0xF900, 0xFE70)]:  # no Hangul syllables, surrogates or Arabic forms
         c = chr(code)
         base = "".join(x for x in unicodedata.normalize("NFKD", c).lower() if not unicodedata.combining(x))
         base = " ".join("".join(x if x.isalnum() else " " for x in base).split())
-        if len(base) > 1 and c not in "œæﬁﬂ" and not 0xFB50 <= code <= 0xFDFF:
+        if len(base) > 1 and not 0xFB50 <= code <= 0xFDFF:
             out[c] = base
-    return out
+    return out | {"œ": "oe", "æ": "ae"}
 
 
 def _ranges(characters: str, gap: int = 8) -> str:
@@ -56,16 +64,28 @@ def normalize(c: Column, strip_underscore: bool = True) -> Column:
     strip_underscore=False keeps underscores, as older results had it. Characters that stand for several letters or
     digits are spelled out, but for Hangul syllables and Arabic presentation forms.
     """
-    t = F.lower(F.coalesce(c, F.lit("")))
-    for a, b in (("œ", "oe"), ("æ", "ae"), ("ﬁ", "fi"), ("ﬂ", "fl")):
-        t = F.replace(t, F.lit(a), F.lit(b))
     table = expansions()
     names = F.str_to_map(F.lit(";".join(f"{k}={v}" for k, v in table.items())), F.lit(";"), F.lit("="))
-    spelled = F.array_join(F.transform(F.split(t, ""), lambda x: F.coalesce(F.try_element_at(names, x), x)), "")
-    t = F.when(t.rlike(r"[^\x00-\x7f]") & t.rlike(_ranges("".join(table))), spelled).otherwise(t)
-    plain = F.regexp_replace(F.translate(t, *accents()), r"\p{M}", "")
-    t = F.when(t.rlike(r"[^\x00-\x7f]"), plain).otherwise(t)
-    return F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+" if strip_underscore else rf"[^{LETTER}]+", " "))
+    beyond = lambda t: F.octet_length(t) > F.length(t)
+    source, target = accents()
+
+    def bare(t: Column) -> Column:
+        """One pass: accents and marks gone, characters that stand for several marked."""
+        seen = "".join(table)
+        return F.when(beyond(t), F.translate(t, source + seen + marks(), target + SEVERAL * len(seen))).otherwise(t)
+
+    def spelled(t: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(t, F.lit(f"({_ranges(''.join(table))})"), F.lit(1)))
+        return F.aggregate(found, t, lambda s, x: F.replace(s, x, F.coalesce(F.try_element_at(names, x), x)))
+
+    def words(t: Column) -> Column:
+        any_, plain = (r"[^\p{L}\p{N}]+", "[^a-z0-9]+") if strip_underscore else (rf"[^{LETTER}]+", "[^a-z0-9_]+")
+        return F.when(beyond(t), F.regexp_replace(F.regexp_replace(t, r"\p{M}", ""), any_, " ")).otherwise(F.regexp_replace(t, plain, " "))
+
+    # one element at a time: what a step names several times is worked out, and stands in the plan, once
+    t = F.transform(F.array(F.replace(F.lower(F.coalesce(c, F.lit(""))), F.lit(SEVERAL), F.lit(" "))), lambda t: F.struct(t.alias("t"), bare(t).alias("b")))
+    t = F.transform(t, lambda x: F.when(x["b"].contains(SEVERAL), bare(spelled(x["t"]))).otherwise(x["b"]))
+    return F.trim(F.transform(t, words)[0])
 
 
 def plain(s: str) -> str:

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from labelscan.functions.text import normalize_heading, normalize_ocr, similarity, split_words, word_distance
+from labelscan.functions.distance import distance
+from labelscan.functions.text import normalize_heading, normalize_ocr, similarity
+from labelscan.operators.evaluate import ablation_table
+from labelscan.operators.match import analyze
 
 #: Heading words by their normalised form (own list), and what begins the next section.
 HEADINGS = ("ingredients", "ingredient", "zutaten", "ingredientes", "ingredienti")
@@ -34,12 +41,12 @@ def image_text(lines: DataFrame) -> DataFrame:
 
 
 def fuzzy_heading(line: Column, terms: tuple[str, ...] = HEADINGS) -> Column:
-    """Whether some words of a short line are nearly a heading: similarity of 0.8, or 0.85 for up to eight letters.
+    """Whether some words of a short normalised line are nearly a heading: similarity of 0.8, or 0.85 for up to eight letters.
 
     A heading of several words is held against every group of as many words in a row. A line with more than one long
     word beside a heading's is no heading.
     """
-    every = F.split(normalize_heading(line), " ")
+    every = F.split(line, " ")
     words = F.filter(every, lambda w: F.length(w) >= 5)
     bar = lambda w: F.when(F.length(w) <= 8, 0.85).otherwise(0.8)
     found = F.lit(False)
@@ -55,9 +62,18 @@ def fuzzy_heading(line: Column, terms: tuple[str, ...] = HEADINGS) -> Column:
     return found
 
 
+def _heading(n: Column) -> Column:
+    """Whether a normalised line is a heading; nearly right words are looked for only in short lines with a word of a fitting length."""
+    plain = n.rlike(r"^(ingredient|ingredients|zutaten|ingredientes|ingredienti)\b") | n.contains("ingredien")
+    lengths = [len(w) for t in HEADINGS for w in t.split()]
+    most = max(len(t.split()) for t in HEADINGS) + 1
+    fits = rf"(^| )\S{{{int(min(lengths) * 0.8)},{-(-max(lengths) * 5 // 4)}}}( |$)"
+    words = F.size(F.filter(F.split(n, " "), lambda w: F.length(w) >= 5))
+    return F.when(plain, True).when(n.rlike(fits) & (words <= most), fuzzy_heading(n)).otherwise(False)
+
+
 def is_heading(line: Column) -> Column:
-    n = normalize_heading(line)
-    return n.rlike(r"^(ingredient|ingredients|zutaten|ingredientes|ingredienti)\b") | n.contains("ingredien") | fuzzy_heading(line)
+    return _heading(normalize_heading(line))
 
 
 def heading_line(lines: DataFrame) -> DataFrame:
@@ -66,19 +82,23 @@ def heading_line(lines: DataFrame) -> DataFrame:
 
 
 def ingredient_section(lines: DataFrame, stops: tuple[str, ...] = STOPS, cap: int = CAP) -> DataFrame:
-    """(image_id, section, found): what follows the heading's colon, and lines up to a stop line.
+    """(image_id, section, found): what follows the first heading's colon, and lines up to a stop line.
 
     Lines are taken while those before stay below the cap; without a stop line a section beyond the cap is not found.
+    Lines are read once: all sums run along an image's lines in one order.
     """
-    n = normalize_heading(F.col("text"))
+    order = W.partitionBy("image_id").orderBy("line_no")
+    upto, before = order.rowsBetween(W.unboundedPreceding, 0), order.rowsBetween(W.unboundedPreceding, -1)
+    n = F.col("_n")
     stop = F.lit(False)
     for s in stops:
         stop = stop | n.startswith(s)
-    marked = lines.join(heading_line(lines), "image_id").where("line_no >= heading").withColumn("_stop", stop & (F.col("line_no") > F.col("heading")))
-    own = F.when(F.col("line_no") == F.col("heading"), F.regexp_replace("text", "^[^:]*:? *", "")).otherwise(F.col("text"))
-    order = W.partitionBy("image_id").orderBy("line_no")
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    run = marked.withColumn("text", own).withColumn("_ended", F.max(F.col("_stop").cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    marked = lines.select("image_id", "line_no", "text", normalize_heading(F.col("text")).alias("_n"))
+    marked = marked.select("image_id", "line_no", "text", _heading(n).alias("_h"), stop.alias("_stop"))
+    run = marked.withColumn("_first", F.min(F.when(F.col("_h"), F.col("line_no"))).over(upto)).where("_first is not null")
+    own = F.when(F.col("line_no") == F.col("_first"), F.regexp_replace("text", "^[^:]*:? *", "")).otherwise(F.col("text"))
+    run = run.withColumn("text", own).withColumn("_stop", F.col("_stop") & (F.col("line_no") > F.col("_first")))
+    run = run.withColumn("_ended", F.max(F.col("_stop").cast("int")).over(upto))
     run = run.where("_ended = 0 or _stop").withColumn("_before", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)))
     parts = F.array_sort(F.collect_list(F.when((F.col("_ended") == 0) & (F.col("_before") < cap), F.struct("line_no", "text"))))
     total = F.sum(F.when(F.col("_ended") == 0, F.length("text") + 1).otherwise(0))
@@ -87,22 +107,45 @@ def ingredient_section(lines: DataFrame, stops: tuple[str, ...] = STOPS, cap: in
     return out.select("image_id", section.alias("section"), ((F.col("stopped") == 1) | (F.col("total") <= cap)).alias("found"))
 
 
-def error_rates(pieces: DataFrame, by: tuple[str, ...] = ("image_id", "lang")) -> DataFrame:
-    """(by, cer, wer) of whole texts, given as pieces (reference, predicted) that belong together: distances and lengths are added up.
+def error_rates(texts: DataFrame, by: tuple[str, ...] = ("image_id", "lang")) -> DataFrame:
+    """(by, cer, wer) of whole texts (by, reference, predicted): edits of characters and of words over the reference's.
 
-    A text is its pieces with a space between them. The sum is the distance of the whole texts if no edit crosses a
-    border, as where words are only dropped or lengthened, and else more. No reference at all: 0 without a prediction, else 1.
+    Each row is a text. Distances are exact whatever the length, worked out in batches of Arrow: the built-in one takes a
+    time and memory that grow with the product of the lengths. Without a reference 0 if there is no prediction, else 1.
     """
-    ended = lambda c: F.when(c == "", c).otherwise(F.concat(c, F.lit(" ")))
-    base = pieces.select(*by, normalize_ocr(F.col("reference")).alias("r"), normalize_ocr(F.col("predicted")).alias("p"))
-    rows = base.withColumn("rw", split_words(F.col("r"))).withColumn("pw", split_words(F.col("p"))).withColumn("ws", F.array_distinct(F.concat("rw", "pw")))
-    r, p = F.col("r"), F.col("p")
-    sums = rows.groupBy(*by).agg(
-        F.sum(F.levenshtein(ended(r), ended(p))).alias("_d"), F.sum(F.length(ended(r))).alias("_n"), F.max(p != "").alias("_p"), F.sum(word_distance(F.col("rw"), F.col("pw"), F.col("ws"))).alias("_wd"), F.sum(F.size("rw")).alias("_wn")
-    )
-    rate = lambda d, n: F.when(F.col("_n") == 0, F.col("_p").cast("double")).otherwise(d / n)
-    last = F.when(F.col("_p"), 0).otherwise(1)  # the space after the last piece is an edit only against no prediction
-    return sums.select(*by, rate(F.col("_d") - last, F.col("_n") - 1).alias("cer"), rate(F.col("_wd"), F.col("_wn")).alias("wer"))
+    rows = texts.select(*by, normalize_ocr(F.col("reference")).alias("_r"), normalize_ocr(F.col("predicted")).alias("_p"))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for r, p in zip(batch.column("_r").to_pylist(), batch.column("_p").to_pylist(), strict=True):
+                words = r.split(" ") if r else []
+                found.append((distance(r, p) / len(r), distance(words, p.split(" ") if p else []) / len(words)) if r else (float(p != ""),) * 2)
+            rates = [pa.array([x[i] for x in found], pa.float64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in by), *rates], [*by, "cer", "wer"])
+
+    kinds = StructType([*(rows.schema[c] for c in by), StructField("cer", DoubleType()), StructField("wer", DoubleType())])
+    return rows.mapInArrow(measure, kinds)
+
+
+def judged(texts: DataFrame, vocab: DataFrame, conditions: dict[str, str]) -> DataFrame:
+    """texts, for each condition (name: column with its text) a row with condition, pred_declared, pred_trace and pred_risk, what the matcher finds in that text."""
+    each = F.inline(F.array(*[F.struct(F.lit(k).alias("condition"), F.col(c).alias("_text")) for k, c in conditions.items()]))
+    names = {"declared_allergens": "pred_declared", "trace_allergens": "pred_trace", "risk": "pred_risk"}
+    kept = [c for c in texts.columns if c not in conditions.values()]
+    return analyze(texts.select(*kept, each), vocab, text="_text").select(*kept, "condition", *[F.col(a).alias(b) for a, b in names.items()])
+
+
+def ocr_vs_clean(rows: DataFrame) -> DataFrame:
+    """(condition, target, tp, fp, fn, precision, recall, f1, exact) of judged() rows with ref_declared, ref_trace and ref_risk.
+
+    The targets are the two sections and the risk, a set of one: its precision and recall are its accuracy.
+    """
+    kind = rows.schema["ref_declared"].dataType.simpleString()
+    section = [F.struct(F.lit(s).alias("target"), F.col(f"ref_{s}").alias("ref"), F.col(f"pred_{s}").alias("pred")) for s in ("declared", "trace")]
+    risks = F.struct(F.lit("risk").alias("target"), F.array("ref_risk").cast(kind).alias("ref"), F.array("pred_risk").cast(kind).alias("pred"))
+    long = rows.select("condition", F.inline(F.array(*section, risks))).withColumn("method", F.struct("condition", "target"))
+    return ablation_table(long).select("method.*", "tp", "fp", "fn", "precision", "recall", "f1", "exact")
 
 
 def quality_by(df: DataFrame, by: tuple[str, ...]) -> DataFrame:
@@ -114,12 +157,20 @@ def worst(df: DataFrame, metric: str, n: int = 10) -> DataFrame:
 
 
 def error_origin(df: DataFrame, labels: DataFrame) -> DataFrame:
-    """(allergen, ocr_fn, matcher_fn, ocr_fp, matcher_fp) of sets ref, ocr and clean: an error that clean text has too is the matcher's."""
+    """(section, allergen, ocr_fn, matcher_fn, ocr_fp, matcher_fp) of sets (section, ref, ocr, clean): an error that clean text has too is the matcher's."""
     each = F.array_distinct(F.concat("ref", "ocr", "clean"))
-    long = df.select("ref", "ocr", "clean", F.explode(each).alias("allergen"))
+    long = df.select("section", "ref", "ocr", "clean", F.explode(each).alias("allergen"))
     r, o, c = (F.array_contains(x, F.col("allergen")) for x in ("ref", "ocr", "clean"))
-    counts = long.groupBy("allergen").agg(F.count_if(r & ~o & c).alias("ocr_fn"), F.count_if(r & ~o & ~c).alias("matcher_fn"), F.count_if(~r & o & ~c).alias("ocr_fp"), F.count_if(~r & o & c).alias("matcher_fp"))
-    return labels.join(counts, "allergen", "left").fillna(0)
+    counts = long.groupBy("section", "allergen").agg(F.count_if(r & ~o & c).alias("ocr_fn"), F.count_if(r & ~o & ~c).alias("matcher_fn"), F.count_if(~r & o & ~c).alias("ocr_fp"), F.count_if(~r & o & c).alias("matcher_fp"))
+    every = labels.withColumn("section", F.explode(F.array(F.lit("declared"), F.lit("trace"))))
+    return every.join(counts, ["section", "allergen"], "left").fillna(0)
+
+
+def sets_by_section(rows: DataFrame, key: str = "code") -> DataFrame:
+    """(key, section, ref, ocr, clean) of judged() rows under the conditions "ocr" and "clean"."""
+    pick = lambda s, k: F.first(F.when(F.col("condition") == k, F.col(f"pred_{s}")), ignorenulls=True).alias(k)
+    parts = [rows.groupBy(key).agg(F.first(f"ref_{s}").alias("ref"), pick(s, "ocr"), pick(s, "clean")).withColumn("section", F.lit(s)) for s in ("declared", "trace")]
+    return parts[0].unionByName(parts[1])
 
 
 def extraction_failures(df: DataFrame) -> DataFrame:

@@ -25,3 +25,16 @@ def numbered(rows: DataFrame, by: str, order: list[str | Column]) -> DataFrame:
     runs = runs.select(F.col(by).alias("_group"), F.col("_task").alias("_of"), (before - F.col("_first")).alias("_shift"), F.sum("_n").over(tasks).alias("_size"))
     out = placed.join(stored(runs, "runs"), F.col(by).eqNullSafe(F.col("_group")) & (F.col("_task") == F.col("_of")))
     return out.withColumn("_at", F.col("_own") + F.col("_shift")).drop("_own", "_task", "_group", "_of", "_shift")
+
+
+def running(rows: DataFrame, order: str, amount: str) -> DataFrame:
+    """rows plus _before, the sum of an amount over the rows before each one in the order of distinct, non-null values.
+
+    As numbered(): ranges of rows, sums within each task's range, and running sums of the tasks' totals.
+    """
+    placed = rows.repartitionByRange(F.col(order)).withColumn("_task", F.spark_partition_id())
+    placed = stored(placed, "placed")
+    totals = placed.groupBy("_task").agg(F.sum(amount).alias("_total"))  # a row for each task
+    start = F.coalesce(F.sum("_total").over(W.orderBy("_task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum(amount).over(W.partitionBy("_task").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return placed.join(F.broadcast(totals.select("_task", start.alias("_start"))), "_task").withColumn("_before", F.col("_start") + inside).drop("_task", "_start")

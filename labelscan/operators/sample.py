@@ -63,47 +63,52 @@ def attainable(members: DataFrame, targets: DataFrame) -> DataFrame:
 KINDS, PER_LANGUAGE = ("allergen", "trace", "control", "lang"), 3
 
 
+def _first(rows: DataFrame, by: str, order: list[Column], most: int) -> DataFrame:
+    """The first rows of each group, `most` at most, with their rank: a limit that Spark applies before the shuffle too."""
+    return rows.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(*order))).where(F.col("rank") <= most)
+
+
 def greedy_sample(members: DataFrame, targets: DataFrame, limit: int, seed: int) -> DataFrame:
     """(id, stratum) chosen without replacement, `limit` rows if there are as many.
 
     Strata are taken by KINDS and then rarest first, a language's for PER_LANGUAGE rows at most; what is then missing is
-    filled from all other members (stratum "fill"). The loop is over the strata, not over rows: each step takes from
-    what earlier ones left. Strata are few, and a step keeps at most its target of rows.
+    filled from all other members (stratum "fill"). As no more than `limit` rows are taken in all, a stratum's rows beyond
+    its first `limit` never are: one ranking leaves so many of each stratum, and the choice among these few is made on
+    the driver. limit is a sample's size; strata times limit rows come there.
     """
+    place = [shuffle_key(F.col("id"), seed), F.col("id")]
     kind = F.coalesce(*[F.when(F.split("stratum", ":")[0] == k, F.lit(i)) for i, k in enumerate(KINDS)], F.lit(len(KINDS)))
-    rows = attainable(members, targets).orderBy(kind, "available", "stratum").collect()
-    plan = [(r["stratum"], min(r["attainable"], PER_LANGUAGE) if r["stratum"].startswith("lang:") else r["attainable"]) for r in rows]
-    chosen = None
-    left = limit
-    for name, n in [*plan, ("fill", limit)]:
-        pool = members.where(F.col("stratum") == name) if name != "fill" else members.select("id").distinct().withColumn("stratum", F.lit(name))
-        if chosen is not None:
-            pool = pool.join(chosen.select("id"), "id", "left_anti")
-        n = min(n, left)
-        taken = pool.orderBy(shuffle_key(F.col("id"), seed), "id").limit(n).checkpoint()
-        left -= taken.count()
-        chosen = taken if chosen is None else chosen.unionByName(taken)
-        if left <= 0:
-            break
-    return chosen
+    plan = attainable(members, targets).orderBy(kind, "available", "stratum").collect()  # a row for each stratum
+    own = members.join(F.broadcast(targets.select("stratum")), "stratum").select("id", "stratum").distinct()
+    every = members.select("id").distinct().withColumn("stratum", F.lit("fill"))
+    pools: dict[str, list[int]] = {}
+    for r in sorted(_first(own.unionByName(every), "stratum", place, limit).collect(), key=lambda r: r["rank"]):
+        pools.setdefault(r["stratum"], []).append(r["id"])
+    chosen: dict[int, str] = {}
+    for stratum, n in [*((r["stratum"], min(r["attainable"], PER_LANGUAGE) if r["stratum"].startswith("lang:") else r["attainable"]) for r in plan), ("fill", limit)]:
+        free = [i for i in pools.get(stratum, ()) if i not in chosen]
+        chosen |= dict.fromkeys(free[: min(n, limit - len(chosen))], stratum)
+    return members.sparkSession.createDataFrame(list(chosen.items()), f"id {members.schema['id'].dataType.simpleString()}, stratum string")
 
 
 def language_quota(df: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
     """(id, language, rank): for each language its quota of rows by relevance, then shuffled order, without backfill.
 
-    Languages take their turn by name. A row may stand for any of its languages, but is taken once.
+    Languages take their turn by name. A row may stand for any of its languages, but is taken once. As with
+    greedy_sample(), one ranking leaves as many rows of each language as all quotas together.
     """
-    order = (F.desc("relevance"), shuffle_key(F.col("id"), seed), F.col("id"))
-    chosen = None
-    for r in sorted(targets.collect(), key=lambda r: r["language"]):  # a row for each language
-        pool = df.where(F.array_contains("languages", r["language"]))
-        if chosen is not None:
-            pool = pool.join(chosen.select("id"), "id", "left_anti")
-        rank = F.row_number().over(W.orderBy(*order))
-        taken = pool.select("id", "relevance").orderBy(*order).limit(r["target"])
-        taken = taken.select("id", F.lit(r["language"]).alias("language"), rank.alias("rank")).checkpoint()
-        chosen = taken if chosen is None else chosen.unionByName(taken)
-    return chosen
+    quotas = {r["language"]: r["target"] for r in targets.collect()}  # a row for each language
+    order = [F.desc("relevance"), shuffle_key(F.col("id"), seed), F.col("id")]
+    each = df.select("id", "relevance", F.explode(F.array_distinct("languages")).alias("language")).join(F.broadcast(targets.select("language")), "language")
+    pools: dict[str, list[int]] = {}
+    for r in sorted(_first(each, "language", order, sum(quotas.values())).collect(), key=lambda r: r["rank"]):
+        pools.setdefault(r["language"], []).append(r["id"])
+    taken, rows = set(), []
+    for language in sorted(quotas):
+        free = [i for i in dict.fromkeys(pools.get(language, ())) if i not in taken][: quotas[language]]
+        taken.update(free)
+        rows += [(i, language, k + 1) for k, i in enumerate(free)]
+    return df.sparkSession.createDataFrame(rows, f"id {df.schema['id'].dataType.simpleString()}, language string, rank int")
 
 
 def shortfall(targets: DataFrame, chosen: DataFrame) -> DataFrame:

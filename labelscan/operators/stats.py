@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from math import erfc, sqrt
+from math import erfc, exp, lgamma, log, sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from labelscan.operators.match import fits
+from labelscan.operators.order import running
 
-#: Ranges of values whose distinct values are ranked by themselves.
-RANGES = 256
+#: Distinct values that one task ranks; more are ranked by ranges.
+RANKED = 1 << 16
 
 
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -19,32 +21,48 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
     return both.agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("r"))
 
 
+def incomplete_beta(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - incomplete_beta(1 - x, b, a)
+    tiny = 1e-300
+    c, d = 1.0, 1 / ((1 - (a + b) * x / (a + 1)) or tiny)
+    found = d
+    for m in range(1, 1000):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / ((1 + step * d) or tiny)
+            c = (1 + step / c) or tiny
+            found *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return exp(a * log(x) + b * log(1 - x) + lgamma(a + b) - lgamma(a) - lgamma(b)) / a * found
+
+
 def correlation_p(n: int, r: float | None) -> float:
-    """Two-sided p of a correlation, by the normal approximation of its t statistic."""
+    """Two-sided p of a correlation, by Student's t with n - 2 degrees of freedom."""
     if r is None or n < 3:
         return 1.0
-    return erfc(abs(r) * sqrt((n - 2) / max(1 - r * r, 1e-300)) / sqrt(2))
+    t2 = r * r * (n - 2) / max(1 - r * r, 1e-300)
+    return incomplete_beta((n - 2) / (n - 2 + t2), (n - 2) / 2, 0.5)
 
 
 def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
-    """df plus rank_<column>: average ranks on ties.
+    """df plus rank_<column>, average ranks on ties, and ties_<column>, the number of rows with that value.
 
-    Counts of equal values are added up instead of ranking rows. The distinct values are cut into RANGES ranges of about
-    as many values each; the ranges' counts are summed up first, and then those within each range.
+    Equal values are counted, and counts are summed up in the values' order: in one task for up to RANKED distinct
+    values, which are counted first, and by ranges of values beyond.
     """
     for c in columns:
-        counts = df.groupBy(F.col(c).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-        shares = [i / RANGES for i in range(1, RANGES)]
-        cuts = counts.agg(F.percentile_approx("_v", shares, 10_000)).first()[0] or []
-        cut = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda x: x < F.col("_v"))) if cuts else F.lit(0)
-        counts = counts.withColumn("_range", cut)
-        below = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
-        sums = counts.groupBy("_range").agg(F.sum("_n").alias("_s"))
-        starts = sums.select("_range", F.coalesce(F.sum("_s").over(below), F.lit(0)).alias("_start"))
-        inside = W.partitionBy("_range").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-        rank = F.col("_start") + F.sum("_n").over(inside) - (F.col("_n") - 1) / 2
-        ranks = counts.join(F.broadcast(starts), "_range").select("_v", rank.alias(f"rank_{c}"))
-        df = df.join(ranks, F.col(c).eqNullSafe(F.col("_v"))).drop("_v")
+        counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+        few = fits(counts, RANKED)
+        if few:
+            counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+        else:
+            counts = running(counts, "_v", "_n")
+        ranks = counts.select("_v", (F.col("_before") + (F.col("_n") + 1) / 2).alias(f"rank_{c}"), F.col("_n").alias(f"ties_{c}"))
+        df = df.join(F.broadcast(ranks) if few else ranks, F.col(c) == F.col("_v"), "left").drop("_v")
     return df
 
 
@@ -54,17 +72,32 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def mann_whitney(df: DataFrame, group: str, x: str) -> DataFrame:
-    """(n1, n0, u) of group 1 against group 0."""
+    """(n1, n0, u, ties, z) of group 1 against group 0: ties is the sum of t**3 - t over the values' counts, z has tie and continuity corrections."""
     ranked = average_ranks(df.where(F.col(x).isNotNull() & F.col(group).isin(0, 1)), [x])
     n1, n0 = F.count_if(F.col(group) == 1), F.count_if(F.col(group) == 0)
     total = F.sum(F.when(F.col(group) == 1, F.col(f"rank_{x}")))
-    return ranked.agg(n1.alias("n1"), n0.alias("n0"), (total - n1 * (n1 + 1) / 2).alias("u"))
+    ties = F.coalesce(F.sum(F.col(f"ties_{x}").cast("double") * F.col(f"ties_{x}") - 1), F.lit(0.0))
+    sums = ranked.agg(n1.alias("n1"), n0.alias("n0"), (total - n1 * (n1 + 1) / 2).alias("u"), ties.alias("ties"))
+    a, b, n = F.col("n1").cast("double"), F.col("n0").cast("double"), (F.col("n1") + F.col("n0")).cast("double")
+    spread = F.sqrt(a * b / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
+    return sums.withColumn("z", F.when(spread > 0, (F.col("u") - a * b / 2 - 0.5) / spread))
 
 
-def mann_whitney_p(n1: int, n0: int, u: float) -> float:
-    """One-sided p by the normal approximation: that group 1 is the larger."""
-    spread = sqrt(n1 * n0 * (n1 + n0 + 1) / 12) or 1.0
-    return 0.5 * erfc((u - n1 * n0 / 2) / spread / sqrt(2))
+def mann_whitney_p(n1: int, n0: int, u: float, ties: float = 0.0, exact: int = 8) -> float:
+    """One-sided p that group 1 is the larger: exact without ties if a group has at most `exact` rows, else by the normal law with tie and continuity corrections."""
+    if not n1 or not n0:
+        return 1.0
+    if not ties and min(n1, n0) <= exact:
+        ways = [1] + [0] * (n1 * n0)  # of each u: the coefficients of a Gaussian binomial
+        for i in range(1, min(n1, n0) + 1):
+            for j in range(n1 * n0, max(n1, n0) + i - 1, -1):
+                ways[j] -= ways[j - max(n1, n0) - i]
+            for j in range(i, n1 * n0 + 1):
+                ways[j] += ways[j - i]
+        return sum(ways[int(u) :]) / sum(ways)
+    n = n1 + n0
+    spread = sqrt(n1 * n0 / 12 * (n + 1 - ties / (n * (n - 1))))
+    return 0.5 * erfc((u - n1 * n0 / 2 - 0.5) / spread / sqrt(2)) if spread else 1.0
 
 
 def brier_auc(scores: DataFrame, p: str, y: str) -> DataFrame:

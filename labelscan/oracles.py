@@ -6,8 +6,10 @@ import re
 
 from labelscan.functions.tags import ALIASES, ALLERGENS, DISPLAY, NAMES, TAGS
 from labelscan.plans import rules
-from labelscan.sources.fixtures import COMMON, PIECE, labels_duckdb, quoted
+from labelscan.sources.fixtures import COMMON, labels_duckdb, quoted
 
+#: Words of a piece of a line, short enough that each of its characters or words can be one byte.
+PIECE = 16
 LETTER = r"\p{L}\p{N}_"
 
 
@@ -152,7 +154,7 @@ CTES = {
     "ended": "SELECT *, max(stop) OVER (PARTITION BY image_id ORDER BY line_no) AS ended FROM run_lines",
     "summed": "SELECT *, coalesce(sum(length(own) + 1) OVER (PARTITION BY image_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ended WHERE ended = 0 OR stop = 1",
     "ingredient": "SELECT image_id, trim(coalesce(string_agg(own, ' ' ORDER BY line_no) FILTER (ended = 0 AND before < 1500), '')) AS section, max(ended) = 1 OR coalesce(sum(length(own) + 1) FILTER (ended = 0), 0) <= 1500 AS found FROM summed GROUP BY image_id",
-    # every line in pieces of PIECE words, as Inputs.pieces has them
+    # every line in pieces of PIECE words: as words are only dropped or lengthened, the distances of the pieces add up to that of the whole
     "piece_words": f"SELECT image_id, lang, k, list_slice(ws, k + 1, k + {PIECE}) AS part FROM (SELECT image_id, lang, ws, unnest(range(0, len(ws), {PIECE})) AS k FROM (SELECT doc_id AS image_id, lang, string_split(unnest(string_split(coalesce(text, ''), chr(10))), ' ') AS ws FROM documents))",
     "pairs": "SELECT image_id, lang, array_to_string(part, ' ') AS reference, array_to_string(list_filter(list_transform(part, lambda w, i: CASE WHEN (k + i - 1 + image_id) % 3 <> 0 THEN w WHEN image_id % 2 = 0 THEN w || 'x' END), lambda w: w IS NOT NULL), ' ') AS predicted FROM piece_words",
     "normed": f"SELECT image_id, lang, {norm_ocr('reference')} AS r, {norm_ocr('predicted')} AS p FROM pairs",
@@ -181,10 +183,6 @@ CTES = {
           UNION ALL SELECT code, allergen, 'raw' FROM marked JOIN raw_terms ON {raw_in('term', 'text')}) GROUP BY ALL) f ON f.code = e.code AND f.method = m.method""",
     "versions": f"{metrics('version', '''(SELECT 'before' AS version, ref_declared, pred_declared FROM plain UNION ALL SELECT 'after', ref_declared, pred_declared FROM evaluated)''', 'ref_declared', 'pred_declared').replace('round(', '(').replace(', 6)', ')')}",
     "deltas": "SELECT metric, max(value) FILTER (version = 'before') AS before, max(value) FILTER (version = 'after') AS after FROM (UNPIVOT (SELECT version, precision, recall, f1 FROM versions) ON precision, recall, f1 INTO NAME metric VALUE value) GROUP BY metric",
-    "ocr_texts": f"SELECT code, 'clean' AS section, {norm('text')} AS text FROM labels_ UNION ALL SELECT code, 'ocr', {norm('''array_to_string(list_transform(string_split(text, ' '), lambda w, i: CASE WHEN (i - 1 + id) % 3 <> 0 THEN w ELSE w || 'x' END), ' ')''')} FROM labels_",
-    "ocr_hits": "SELECT s.code, s.section, s.text, t.allergen, t.term FROM ocr_texts s JOIN terms t ON contains(' ' || s.text || ' ', ' ' || t.term || ' ')",
-    "ocr_found": f"SELECT code, section, list_sort(list_distinct(list(allergen))) AS p FROM ocr_hits h WHERE {KEPT} AND {VALID.format(kind='')} GROUP BY ALL",
-    "ocr_sets": "SELECT e.code, e.ref_declared AS ref, coalesce(c.p, []) AS clean, coalesce(o.p, []) AS ocr FROM evaluated e LEFT JOIN ocr_found c ON c.code = e.code AND c.section = 'clean' LEFT JOIN ocr_found o ON o.code = e.code AND o.section = 'ocr'",
     "phrases": "SELECT (vec_id % 200)::VARCHAR AS code, vec_id AS pos, 'phrase ' || vec_id AS phrase, embedding AS vector FROM embeddings WHERE vec_id % 10 <> 0 OR vec_id >= 3000",
     "term_rows": f"SELECT {_PICK.format('abs(label)')} AS allergen, 'term ' || vec_id AS term, embedding AS vector FROM embeddings WHERE vec_id % 10 = 0 AND vec_id < 3000",
     "sims": "SELECT p.code, p.pos, p.phrase, t.allergen, t.term, round(list_inner_product(p.vector::DOUBLE[], t.vector::DOUBLE[]), 9) AS s FROM phrases p, term_rows t",
@@ -196,10 +194,16 @@ CTES = {
     "vector_sets2": f"SELECT code, ref, coalesce(p, []) AS pred FROM (SELECT code, list_sort(list_distinct(list({_PICK.format('pos % 5')}))) AS ref FROM phrases GROUP BY code) LEFT JOIN (SELECT code, list_sort(list(allergen)) AS p FROM rule_hits GROUP BY code) USING (code)",
     "swept2": "SELECT v.code, v.ref, b.bar, list_distinct(list_concat(v.pred, coalesce((SELECT list(allergen) FROM gained g WHERE g.code = v.code AND g.s >= b.bar), []))) AS pred FROM vector_sets2 v, (SELECT unnest([0.2, 0.3, 0.4, 0.5])::DOUBLE AS bar) b",
     "scores": "SELECT doc_id, quality AS y, ((doc_id * 37 % 100)::DOUBLE / 100.0 * 0.6::DOUBLE + quality * 0.3::DOUBLE) AS p, (doc_id % 97)::DOUBLE / 97.0 AS x FROM labels WHERE quality IS NOT NULL",
-    "ranked": "SELECT *, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS rp, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx FROM scores",
-    "u_test": "SELECT count(*) FILTER (y = 1) AS n1, count(*) FILTER (y = 0) AS n0, sum(rp) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0 AS u FROM ranked",
+    "ranked": "SELECT *, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS rp, count(*) OVER (PARTITION BY p) AS tp, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx FROM scores",
+    "u_test": "SELECT count(*) FILTER (y = 1) AS n1, count(*) FILTER (y = 0) AS n0, sum(rp) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0 AS u, sum(tp * tp - 1)::DOUBLE AS ties FROM ranked",
 }
-_MATERIAL = {"labels_", "marked", "sections", "hits", "whole", "whole_hits", "valid", "found", "evaluated", "prose", "common", "near", "swept", "normed", "methods"}
+# the matcher's expressions again over the spoilt texts
+_CHAIN = ("labels_", "placed", "fragments", "cuts", "split", "sections", "hits", "valid", "best", "found")
+_SPOILT = "array_to_string(list_transform(string_split(text, ' '), lambda w, i: CASE WHEN (i - 1 + id) % 3 <> 0 THEN w ELSE w || 'x' END), ' ')"
+CTES |= {"o_labels_": f"SELECT id, code, {_SPOILT} AS text FROM labels_"} | {f"o_{k}": re.sub(rf"\b({'|'.join(_CHAIN)})\b", r"o_\1", CTES[k]) for k in _CHAIN[1:]}
+CTES["ocr_sets"] = f"""SELECT e.code, e.ref_declared, e.ref_trace, e.pred_declared AS clean_declared, e.pred_trace AS clean_trace, coalesce(d.allergens, []) AS ocr_declared, coalesce(t.allergens, []) AS ocr_trace
+    FROM evaluated e LEFT JOIN o_found d ON d.code = e.code AND d.section = 'declared' LEFT JOIN o_found t ON t.code = e.code AND t.section = 'trace'"""
+_MATERIAL = {"o_labels_", "o_sections", "o_hits", "o_valid", "o_found", "ocr_sets", "labels_", "marked", "sections", "hits", "whole", "whole_hits", "valid", "found", "evaluated", "prose", "common", "near", "swept", "normed", "methods"}
 
 
 def _with(sql: str) -> str:
@@ -376,12 +380,17 @@ oracle("ocr5_fuzzy_headings", "SELECT image_id, line_no::BIGINT AS line_no FROM
 oracle("ocr6_ingredient_section", "SELECT image_id, md5(section) AS section, found FROM ingredient")
 oracle("ocr7_cer", "SELECT image_id, round(cer, 6) AS cer FROM rates")
 oracle("ocr8_wer", "SELECT image_id, round(wer, 6) AS wer FROM rates")
-oracle("ocr9_ocr_vs_clean", metrics("condition", "(SELECT 'ocr' AS condition, ref, ocr AS pred FROM ocr_sets UNION ALL SELECT 'clean', ref, clean FROM ocr_sets)", "ref", "pred"))
+_TARGETED = " UNION ALL ".join(f"SELECT '{c}' AS condition, '{s}' AS target, ref_{s} AS ref, {c}_{s} AS pred FROM ocr_sets" for c in ("ocr", "clean") for s in ("declared", "trace"))
+_TARGETED += "".join(f" UNION ALL SELECT '{c}', 'risk', [{RISK.format(d='ref_declared', t='ref_trace')}], [{RISK.format(d=f'{c}_declared', t=f'{c}_trace')}] FROM ocr_sets" for c in ("ocr", "clean"))
+_SCORED = metrics("condition, target", f"({_TARGETED})", "ref", "pred")
+_AGREE = f"SELECT condition, target, round(avg((ref = pred)::INT), 6) AS exact FROM ({_TARGETED}) GROUP BY condition, target"
+oracle("ocr9_ocr_vs_clean", f"SELECT s.condition, s.target, s.tp, s.fp, s.fn, s.precision, s.recall, s.f1, a.exact FROM ({_SCORED}) s JOIN ({_AGREE}) a ON a.condition = s.condition AND a.target = s.target")
 oracle("ocr10_quality_by", "SELECT lang, count(*) AS n, round(avg(cer), 6) AS cer, round(avg(wer), 6) AS wer FROM rates GROUP BY lang")
 oracle("ocr11_worst", "SELECT image_id, round(cer, 6) AS cer FROM rates ORDER BY round(cer, 6) DESC, image_id LIMIT 10")
 _IN = "list_contains({}, allergen)"
 _R, _O, _C = (_IN.format(x) for x in ("ref", "ocr", "clean"))
-oracle("ocr12_error_origin", f"SELECT allergen, count(*) FILTER ({_R} AND NOT {_O} AND {_C}) AS ocr_fn, count(*) FILTER ({_R} AND NOT {_O} AND NOT {_C}) AS matcher_fn, count(*) FILTER (NOT {_R} AND {_O} AND NOT {_C}) AS ocr_fp, count(*) FILTER (NOT {_R} AND {_O} AND {_C}) AS matcher_fp FROM groups CROSS JOIN ocr_sets GROUP BY allergen")
+_ORIGINS = " UNION ALL ".join(f"SELECT '{s}' AS section, ref_{s} AS ref, ocr_{s} AS ocr, clean_{s} AS clean FROM ocr_sets" for s in ("declared", "trace"))
+oracle("ocr12_error_origin", f"SELECT section, allergen, count(*) FILTER ({_R} AND NOT {_O} AND {_C}) AS ocr_fn, count(*) FILTER ({_R} AND NOT {_O} AND NOT {_C}) AS matcher_fn, count(*) FILTER (NOT {_R} AND {_O} AND NOT {_C}) AS ocr_fp, count(*) FILTER (NOT {_R} AND {_O} AND {_C}) AS matcher_fp FROM groups CROSS JOIN ({_ORIGINS}) GROUP BY section, allergen")
 oracle("ocr13_extraction_failures", "SELECT code FROM labels_ LEFT JOIN ingredient ON image_id = id WHERE NOT coalesce(found, false)")
 oracle("ocr14_expansion", "SELECT code, 'ok' AS quality, lang FROM labels_ WHERE id % 3 <> 0 AND id % 2 = 0")
 oracle("voc1_corpus_words", "SELECT word, n FROM words")
@@ -459,12 +468,14 @@ oracle("mlc8_brier_auc", "SELECT count(*) AS n, round(avg((p - y) * (p - y)), 6)
 oracle("mlc9_calibration", "SELECT CASE WHEN p < 0.4 THEN '0.0-0.4' WHEN p < 0.7 THEN '0.4-0.7' ELSE '0.7-1.01' END AS bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(y), 6) AS mean_y FROM scores GROUP BY 1")
 oracle("sta1_pearson", "SELECT count(*) AS n, round(corr(p, x), 6) AS r FROM scores")
 oracle("sta2_spearman", "SELECT count(*) AS n, round(corr(rp, rx), 6) AS r FROM ranked")
-oracle("sta3_mann_whitney", "SELECT n1, n0, u FROM u_test")
+_SPREAD = "sqrt(n1::DOUBLE * n0 / 12 * (n1 + n0 + 1 - ties / ((n1 + n0)::DOUBLE * (n1 + n0 - 1))))"
+oracle("sta3_mann_whitney", f"SELECT n1, n0, u, ties, round((u - n1::DOUBLE * n0 / 2 - 0.5::DOUBLE) / {_SPREAD}, 6) AS z FROM u_test")
 oracle("sta4_cutoff_means", "SELECT cut, round(avg(x) FILTER (p < cut), 6) AS below, round(avg(x) FILTER (p >= cut), 6) AS above FROM scores, (SELECT unnest([0.3, 0.5, 0.7])::DOUBLE AS cut) GROUP BY cut")
-# beyond 1.959964 a normal statistic has a two-sided p below 0.05, beyond 1.644854 a one-sided one
-_RULE = """SELECT '{name}' AS scores, n, CASE WHEN r < -0.2 AND abs(r) * sqrt((n - 2) / (1 - r * r)) > 1.959964 AND (u - n1 * n0 / 2) / sqrt(n1 * n0 * (n1 + n0 + 1) / 12) > 1.644854 THEN 'use' ELSE 'do not use' END AS decision
-    FROM (SELECT count(*) AS n, corr(q, x) AS r, (count(*) FILTER (y = 1))::DOUBLE AS n1, (count(*) FILTER (y = 0))::DOUBLE AS n0, sum(rank) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0 AS u
-      FROM (SELECT *, rank() OVER (ORDER BY q) + (count(*) OVER (PARTITION BY q) - 1) / 2.0 AS rank FROM (SELECT y, {sign} * p + y * 0.5::DOUBLE AS q, 1 - y AS x FROM scores)))"""
+# beyond 1.959964 and its corrections for n - 2 degrees of freedom Student's t has a two-sided p below 0.05, beyond 1.644854 a normal statistic a one-sided one
+_T = "(1.959964::DOUBLE + 2.372271::DOUBLE / (n - 2) + 2.822501::DOUBLE / ((n - 2) * (n - 2)))"
+_RULE = f"""SELECT '{{name}}' AS scores, n, CASE WHEN r < -0.2 AND abs(r) * sqrt((n - 2) / (1 - r * r)) > {_T} AND (u - n1 * n0 / 2 - 0.5) / {_SPREAD} > 1.644854 THEN 'use' ELSE 'do not use' END AS decision
+    FROM (SELECT count(*) AS n, corr(q, x) AS r, (count(*) FILTER (y = 1))::DOUBLE AS n1, (count(*) FILTER (y = 0))::DOUBLE AS n0, sum(rank) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0 AS u, sum(same * same - 1)::DOUBLE AS ties
+      FROM (SELECT *, rank() OVER (ORDER BY q) + (count(*) OVER (PARTITION BY q) - 1) / 2.0 AS rank, count(*) OVER (PARTITION BY q) AS same FROM (SELECT y, {{sign}} * p + y * 0.5::DOUBLE AS q, 1 - y AS x FROM scores)))"""
 oracle("sta5_decide", " UNION ALL ".join(_RULE.format(name=n, sign=i) for n, i in (("as it is", 1), ("turned", -1))))
 oracle("str1_score_stream", f"SELECT code, {bar('pred_declared')} AS declared, {bar('pred_trace')} AS trace, {_RISK} AS risk FROM evaluated")
 oracle("str2_ingest_stream", "SELECT DISTINCT user_id::VARCHAR AS code FROM events")

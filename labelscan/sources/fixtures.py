@@ -56,9 +56,6 @@ def labels_spark() -> str:
 #: Words in at least this share of the documents of a language are terms of the corpus vocabulary: at most the mean number of distinct words over the share.
 COMMON = 0.02
 
-#: Words of a piece of a line whose edit distance is taken at once.
-PIECE = 16
-
 
 class Inputs:
     """Derived inputs of one folder of tables."""
@@ -162,13 +159,12 @@ class Inputs:
         return both.withColumn("confidence", ((F.col("image_id") * 31 + F.col("line_no") * F.col("pass")) % 100).cast("double") / 100)
 
     @cached_property
-    def pieces(self) -> DataFrame:
-        """(image_id, lang, reference, predicted): all of each document's lines in pieces of at most PIECE words, and the same with every third word of a line gone or changed."""
+    def pairs(self) -> DataFrame:
+        """(image_id, lang, reference, predicted): each document's text, and the same with every third word of a line gone or changed."""
         bad = lambda w, i: F.when((i + F.col("doc_id")) % 3 != 0, w).when(F.col("doc_id") % 2 == 0, F.concat(w, F.lit("x")))
-        lines = self.table("documents").select("doc_id", "lang", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).withColumn("words", F.split("line", " "))
-        part = lambda at: F.slice("words", at + 1, F.lit(PIECE))
-        pair = lambda at: F.struct(F.array_join(part(at), " ").alias("reference"), F.array_join(F.transform(part(at), lambda w, i: bad(w, i + at)), " ").alias("predicted"))
-        return lines.select(F.col("doc_id").alias("image_id"), "lang", F.inline(F.transform(F.sequence(F.lit(0), F.size("words") - 1, F.lit(PIECE)), pair)))
+        lines = F.transform(F.split("text", "\n"), lambda l: F.array_join(F.transform(F.split(l, " "), bad), " "))
+        docs = self.table("documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+        return docs.select(F.col("doc_id").alias("image_id"), "lang", F.col("text").alias("reference"), F.array_join(lines, "\n").alias("predicted"))
 
     @cached_property
     def phrases(self) -> DataFrame:

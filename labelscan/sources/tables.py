@@ -52,32 +52,65 @@ def write_results(df: DataFrame, path: str, fmt: str = "csv") -> None:
     writer.options(header=True, quoteAll=True, escape='"').csv(path) if fmt == "csv" else writer.format(fmt).save(path)
 
 
-def publish(df: DataFrame, path: str, expect: int) -> DataFrame:
-    """Write beside `path`, check the number of rows, and only then put it there by renaming; an error leaves what was there.
+POINTER = "_current"
 
-    What was there is renamed too, and comes back if the second renaming fails; neither it nor the staging folder stays.
+
+def _folder(spark: SparkSession, path: str):
+    """A path and its file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def versions(spark: SparkSession, path: str) -> tuple[str | None, list[str]]:
+    """The version that a published table's pointer names, and all there are, the oldest first."""
+    folder, files = _folder(spark, path)
+    pointer, _ = _folder(spark, f"{path}/{POINTER}")
+    found = [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+    current = None
+    if files.exists(pointer):
+        stream = files.open(pointer)
+        current = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+    return current, sorted(n for n in found if n.startswith("version-"))
+
+
+def read_published(spark: SparkSession, path: str) -> DataFrame:
+    """The table that publish() has put there last; a reader keeps its version while others are published."""
+    current, _ = versions(spark, path)
+    if current is None:
+        raise FileNotFoundError(f"nothing is published at {path}")
+    return spark.read.parquet(f"{path}/{current}")
+
+
+def publish(df: DataFrame, path: str, expect: int, keep: int = 2) -> DataFrame:
+    """Write a new version, check the number of rows, and only then point to it; an error leaves the pointer as it was.
+
+    A table is a folder of versions and one small file that names the current one. That file is replaced in one step, so
+    that at no moment is there no table, also where renaming a folder copies it. The `keep` last versions stay for those
+    who read them. Publishers take turns; readers need not.
     """
     spark = df.sparkSession
-    mark = uuid.uuid4().hex
-    folder = spark._jvm.org.apache.hadoop.fs.Path
-    target, staging, old = (folder(p) for p in (path, f"{path}.staging-{mark}", f"{path}.old-{mark}"))
-    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    current, known = versions(spark, path)
+    name = f"version-{len(known) and int(known[-1].split('-')[1]) + 1:010}-{uuid.uuid4().hex[:8]}"
+    folder, files = _folder(spark, f"{path}/{name}")
     try:
-        df.write.parquet(f"{path}.staging-{mark}")
-        if (n := spark.read.schema(df.schema).parquet(f"{path}.staging-{mark}").count()) != expect:
+        df.write.parquet(f"{path}/{name}")
+        if (n := spark.read.schema(df.schema).parquet(f"{path}/{name}").count()) != expect:
             raise ValueError(f"{n} rows instead of {expect}")
-        had = files.exists(target)
-        if had and not files.rename(target, old):
-            raise OSError(f"{path} can't be renamed")
-        if not files.rename(staging, target):
-            if had:
-                files.rename(old, target)
-            raise OSError(f"nothing can be renamed to {path}")
-        if had:
-            files.delete(old, True)
-    finally:
-        files.delete(staging, True)
-    return spark.read.schema(df.schema).parquet(path)
+        aside, _ = _folder(spark, f"{path}/.{name}")
+        out = files.create(aside, True)
+        out.write(bytearray(name.encode()))
+        out.close()
+        context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(aside.toUri(), spark._jsc.hadoopConfiguration())
+        options = spark._sc._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context.rename(aside, _folder(spark, f"{path}/{POINTER}")[0], options)
+    except BaseException:
+        files.delete(folder, True)
+        raise
+    for old in [v for v in known if v != current][: max(0, len(known) + 1 - keep)]:
+        files.delete(_folder(spark, f"{path}/{old}")[0], True)
+    return spark.read.schema(df.schema).parquet(f"{path}/{name}")
 
 
 def summary_report(metrics: DataFrame) -> DataFrame:

@@ -24,23 +24,34 @@ def score_stream(labels: DataFrame, vocab: DataFrame, path: str, checkpoint: str
     return labels.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def ingest_stream(products: DataFrame, path: str, checkpoint: str, key: str = "code", delay: str = "1 hour", **trigger) -> StreamingQuery:
+def ingest_stream(products: DataFrame, path: str, checkpoint: str, key: str = "code", delay: str = "1 hour", buckets: int = 1024, **trigger) -> StreamingQuery:
     """Appends products with keys that neither the stream's last hours nor the target holds; needs a timestamp column ts.
 
-    State is kept for `delay` only; what comes again later is found in the target, of which a batch reads the keys.
+    State is kept for `delay` only; what comes again later is found in the ledger beside the target (path + "_keys"),
+    which holds every key in folders by its hash. A batch reads the folders that its own keys fall in, and of these only
+    files whose range of hashes it meets: a batch of few keys reads few of them, whatever the target's size. Products
+    come first and their keys afterwards, both under the batch's number: a batch that is repeated writes both again.
     """
     spark = products.sparkSession
     fresh = products.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
+    ledger = f"{path}_keys"
+    root = spark._jvm.org.apache.hadoop.fs.Path(ledger)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
 
     def batch(df: DataFrame, number: int) -> None:
-        df = df.dropDuplicates([key])
-        try:
-            seen = spark.read.parquet(path).where(F.col("batch") != number).select(key)
-            df = df.join(seen, key, "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        df.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        own = F.xxhash64(F.col(key))
+        df = df.dropDuplicates([key]).withColumn("_hash", own).withColumn("bucket", F.pmod(own, F.lit(buckets)).cast("int"))
+        df = df.persist()  # read four times; what an executor loses of it comes from the source again
+        met = [f"{ledger}/bucket={r['bucket']}" for r in df.select("bucket").distinct().collect()]  # `buckets` rows at most
+        known = [p for p in met if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p))]
+        if known:
+            ends = df.agg(F.min("_hash").alias("a"), F.max("_hash").alias("z")).first()
+            seen = spark.read.option("basePath", ledger).parquet(*known).where(F.col("_hash").between(ends["a"], ends["z"]) & (F.col("batch") != number))
+            df = df.join(seen.select("bucket", "_hash", key), ["bucket", "_hash", key], "left_anti")
+        df.drop("_hash", "bucket").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        keys = spark.read.parquet(f"{path}/batch={number}").select(key).withColumn("_hash", own).withColumn("bucket", F.pmod(own, F.lit(buckets)).cast("int")).withColumn("batch", F.lit(number))
+        keys.repartition("bucket").sortWithinPartitions("bucket", "_hash").write.partitionBy("bucket", "batch").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(ledger)
+        df.unpersist()
 
     return fresh.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+import itertools
 import math
 import os
 import random
@@ -12,10 +14,12 @@ from pyspark.sql import functions as F
 
 from labelscan import oracles, queries
 from labelscan.functions import tags, text
+from labelscan.functions.distance import distance
 from labelscan.operators import curate, embed, evaluate, learn, match, ocr, risk, sample, stats, vocabulary
 from labelscan.operators.order import numbered
 from labelscan.sources import tables
 from labelscan.sources.fixtures import Inputs
+from labelscan.streaming import streams
 
 SF = "/root/testdata/sf0.001"
 
@@ -109,10 +113,9 @@ def test_curation_errors(spark, tmp_path):
     tables.publish(df, path, 1)
     with pytest.raises(ValueError, match="instead of"):
         tables.publish(df.limit(0), path, 1)
-    assert spark.read.parquet(path).count() == 1
+    assert tables.read_published(spark, path).count() == 1
     tables.publish(df.union(df), path, 2)
-    assert spark.read.parquet(path).count() == 2
-    assert [x.name for x in tmp_path.iterdir()] == ["out"]  # neither a staging folder nor the old one
+    assert tables.read_published(spark, path).count() == 2
 
 
 def test_a_large_vocabulary_is_joined_without_texts(spark, inputs, monkeypatch):
@@ -238,7 +241,85 @@ def test_nearest_terms_in_blocks(spark, monkeypatch):
 
 
 def test_correlation_p():
-    assert stats.correlation_p(100, 0.0) == 1 and stats.correlation_p(100, -0.3) < 0.01 and stats.correlation_p(2, 1.0) == 1
+    """Published values: n = 39, r = -0.2267 and -0.3457; and a table of Student's t."""
+    assert stats.correlation_p(39, -0.2267) == pytest.approx(0.1652, abs=1e-4) and stats.correlation_p(39, -0.3457) == pytest.approx(0.0311, abs=1e-4)
+    for dof, t in ((4, 2.776445), (10, 2.228139), (30, 2.042272), (120, 1.979930)):
+        assert stats.correlation_p(dof + 2, t / math.sqrt(dof + t * t)) == pytest.approx(0.05, abs=1e-6)
+    assert stats.correlation_p(100, 0.0) == 1 and stats.correlation_p(2, 1.0) == 1
+
+
+def test_mann_whitney_p(spark):
+    """The textbook's two groups (one-sided, exact 1/18 and with continuity correction), counts of all orders, and ties."""
+    rows = [(1, x) for x in (19, 22, 16, 29, 24)] + [(0, x) for x in (20, 11, 17, 12)]
+    u = stats.mann_whitney(spark.createDataFrame(rows, "g int, x int"), "g", "x").first()
+    assert (u.n1, u.n0, u.u, u.ties) == (5, 4, 17, 0)
+    assert stats.mann_whitney_p(5, 4, u.u) == pytest.approx(1 / 18) and stats.mann_whitney_p(5, 4, u.u, exact=0) == pytest.approx(0.1113469 / 2, abs=1e-7)
+    for n1, n0 in ((3, 4), (4, 2), (1, 5)):
+        scores = [sum(a > b for a in own for b in set(range(n1 + n0)) - set(own)) for own in itertools.combinations(range(n1 + n0), n1)]
+        for v in range(n1 * n0 + 1):
+            assert stats.mann_whitney_p(n1, n0, v) == pytest.approx(sum(s >= v for s in scores) / len(scores))
+    tied = stats.mann_whitney(spark.createDataFrame([(i % 2, i // 4) for i in range(12)] + [(1, 9), (None, 3), (0, None)], "g int, x int"), "g", "x").first()
+    assert tied.ties == 3 * (4**3 - 4) and math.isclose(stats.mann_whitney_p(tied.n1, tied.n0, tied.u, tied.ties), 0.5 * math.erfc(tied.z / math.sqrt(2)))
+
+
+def test_ranks_by_ranges(spark, monkeypatch):
+    df = spark.createDataFrame([(i * 7919 % 101 if i % 9 else None, i % 5) for i in range(700)], "x int, y int")
+    key = lambda rows: sorted(tuple(-1 if v is None else v for v in r) for r in rows)
+    few = key(stats.average_ranks(df, ["x", "y"]).collect())
+    monkeypatch.setattr(stats, "RANKED", 3)
+    assert key(stats.average_ranks(df, ["x", "y"]).collect()) == few
+
+
+def test_edit_distance(spark):
+    """Against the table of all cells, with edits that cross any border."""
+
+    def table(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    r = random.Random(2)
+    for _ in range(400):
+        a, b = ("".join(r.choice("abé ") for _ in range(r.randint(0, 70))) for _ in range(2))
+        assert distance(a, b) == table(a, b) and distance(a.split(), b.split()) == table(a.split(), b.split())
+    words = [f"w{r.randint(0, 50)}" for _ in range(200)]
+    moved = words[20:] + words[:20]
+    rows = [(1, " ".join(words), " ".join(moved)), (2, "", "x"), (3, None, None), (4, "x y", ""), (1, "a b c", "a c"), (5, "long " * 20_000, "lang " * 20_000)]
+    got = ocr.error_rates(spark.createDataFrame(rows, "image_id long, reference string, predicted string"), ("image_id",)).collect()
+    found = sorted((x.image_id, round(x.cer, 9), round(x.wer, 9)) for x in got)
+    text, other = " ".join(words), " ".join(moved)
+    assert found == sorted([(1, round(table(text, other) / len(text), 9), round(table(words, moved) / 200, 9)), (1, 0.4, round(1 / 3, 9)), (2, 1, 1), (3, 0, 0), (4, 1, 1), (5, round(20_000 / 99_999, 9), 1)])
+
+
+def test_published_versions(spark, tmp_path):
+    path = str(tmp_path / "table")
+    with pytest.raises(FileNotFoundError):
+        tables.read_published(spark, path)
+    for n in (3, 5, 7):
+        held = tables.publish(spark.range(n), path, n)
+        assert tables.read_published(spark, path).count() == n
+    with pytest.raises(ValueError, match="9 rows"):
+        tables.publish(spark.range(9), path, 8)
+    current, known = tables.versions(spark, path)
+    assert tables.read_published(spark, path).count() == 7 == held.count() and len(known) == 2 and current == known[-1]
+
+
+def test_a_batch_reads_its_keys_only(spark, tmp_path):
+    """Keys come once, batches that are repeated or late too; the ledger's folders hold what their keys hash to."""
+    source, target = tmp_path / "in", str(tmp_path / "out")
+    schema = "code string, ts timestamp, n int"
+    total: set[str] = set()
+    for k in range(3):
+        rows = [(f"c{i}", datetime.datetime(2024, 1, 1 + 3 * k, 0, i % 60), k) for i in range(k * 30, k * 30 + 60)] + [("c1", datetime.datetime(2024, 1, 1 + 3 * k), k)]
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(str(source))
+        total |= {r[0] for r in rows}
+        streams.ingest_stream(spark.readStream.schema(schema).parquet(str(source)), target, str(tmp_path / "state"), buckets=16, availableNow=True).awaitTermination()
+        assert sorted(r.code for r in spark.read.parquet(target).collect()) == sorted(total)
+    keys = spark.read.parquet(f"{target}_keys")
+    assert {r.code for r in keys.collect()} == total and keys.where("bucket <> pmod(_hash, 16)").count() == 0
 
 
 def test_word_distance_of_many_words(spark):
@@ -297,10 +378,6 @@ def test_near_duplicate_terms(spark):
     assert got == {(a, b) for a in terms for b in terms if a < b and 1 - distance(a, b) / max(len(a), len(b)) >= 0.85}
 
 
-def test_mann_whitney_p():
-    assert stats.mann_whitney_p(20, 20, 200) == pytest.approx(0.5) and stats.mann_whitney_p(20, 20, 330) < 0.001
-
-
 def test_greedy_sample(inputs):
     """Against a plain loop over strata."""
     got = queries.smp6_greedy_sample(inputs).collect()
