@@ -7,8 +7,8 @@ their at signs.
 
 The network finds what the patterns miss: it is trained in numpy from the base spans of a bounded sample and from
 variants that are made of them: addresses with spaces or words ("at", "dot") for their signs, card numbers with other
-separators, phone numbers without a plus. Matches that fail their kind's test (most often the Luhn sum) are left out of
-the training, as they tell nothing; whether such a number is personal, the network judges by its surroundings and form.
+separators, phone numbers without a plus. Matches that fail their kind's test (most often the Luhn sum) are outside any
+span in the training as in the base: the network learns that such numbers are none, and no number that fails is added.
 
 Overlapping windows of the whole text are decoded, positions take their tag from the window in whose middle half they
 lie, which reconciles the windows, and spans are then read off the whole text's tags. A span is added if the CRF is
@@ -91,14 +91,16 @@ def plain(kind: str, found: bytes) -> bytes:
 
 
 def plausible(kind: str, found: bytes) -> bool:
-    """Whether a span has its kind's parts: an address once undone, 13 to 19 digits, or 9 to 15 of them, set apart by little else."""
+    """Whether a span has its kind's parts: an address once undone; or digits, set apart by little else, that stand their kind's test, the sum of card numbers too."""
     if kind == "email":
         return bool(EMAIL.fullmatch(plain(kind, found)))
     if kind == "ip":
         found = plain(kind, found)
         return bool(IP.fullmatch(found)) and valid(kind, found)
-    digits = sum(48 <= c <= 57 for c in found)
-    return (13 <= digits <= 19 if kind == "card" else 9 <= digits <= 15) and len(found) <= 2 * digits and not re.search(rb"[^0-9 ()+./_-]", found)
+    digits = re.sub(rb"[^0-9]", b"", found)
+    if len(found) > 2 * len(digits) or len(found) == len(digits) or re.search(rb"[^0-9 ()+./_-]", found):
+        return False
+    return valid(kind, found)
 
 
 def varied(kind: str, found: bytes, r: random.Random) -> bytes:
@@ -317,23 +319,13 @@ class Network:
         return self
 
 
-def labelled(batch: Batch, spans: list[tuple[int, int, int]], untold: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of a batch and their tags from spans; where kinds overlap, the one listed first holds.
-
-    Windows with a part of an untold span are left out.
-    """
+def labelled(batch: Batch, spans: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of a batch and their tags from spans; where kinds overlap, the one listed first holds."""
     tags = np.zeros(len(batch.data), np.int8)
     for a, b, k in sorted(spans, key=lambda s: -s[2]):
         tags[a:b] = 2 + 2 * k
         tags[a] = 1 + 2 * k
-    open_ = np.zeros(len(batch.data) + 1, np.int64)
-    for a, b, _ in untold:
-        open_[a:b] = 1
-    before = np.concatenate(([0], np.cumsum(open_)))
     starts = batch.windows()
-    if len(starts):
-        ends = np.minimum(starts + WINDOW, batch.offsets[batch.doc(starts) + 1])
-        starts = starts[before[ends] == before[starts]]
     x = batch.classes(starts)
     return x, np.where(x > 0, tags[np.minimum(starts[:, None] + np.arange(WINDOW), max(len(tags) - 1, 0))] if len(tags) else 0, 0)
 
@@ -368,16 +360,10 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int
         for batch in batches:
             for part in pieces(batch, "_text"):
                 own = Batch(part.column("_text"))
-                spans, least = own.base(), 7  # bytes of a match that tells something
-                untold = [m for m in set(own.matches()).difference(spans) if m[1] - m[0] >= least]
                 made = [variant(own.raw[a:b]) for a, b in zip(own.offsets.tolist(), own.offsets[1:].tolist(), strict=False)]
                 other = Batch([t for t, _ in made])
                 moved = [(a + o, b + o, k) for o, (_, found) in zip(other.offsets.tolist(), made, strict=False) for a, b, k in found]
-                known = np.zeros(len(other.data) + 1, np.int64)
-                for a, b, _ in moved:
-                    known[a:b] = 1
-                left = [m for m in other.matches() if m[1] - m[0] >= least and not known[m[0] : m[1]].any()]
-                for kind, (x, y) in enumerate((labelled(own, spans, untold), labelled(other, moved, left))):
+                for kind, (x, y) in enumerate((labelled(own, own.base()), labelled(other, moved))):
                     yield pa.RecordBatch.from_arrays([as_bytes(x), as_bytes(y), pa.array(np.full(len(x), kind, np.int32))], ["x", "y", "kind"])
 
     taken = []
