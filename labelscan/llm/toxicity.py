@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from labelscan.llm.fit import logistic, sigmoid
 from labelscan.llm.shared import SPACES, Words, mixed, pieces, plus
 
-#: Labelled rows used at most, and entries of the lexicon at most (those of smallest p).
-SAMPLE, LEXICON = 24_000, 50_000
+#: Labelled rows used at most; they bound the lexicon too.
+SAMPLE = 24_000
 #: Share of the lexicon that may be there by chance, p up to which a segment is a passage, score of other tokens, folds.
 FALSE_SHARE, LEVEL, NEUTRAL, FOLDS = 0.1, 0.05, -0.25, 5
 SLOPE = 2.0
@@ -188,7 +188,7 @@ def lexicon(a: np.ndarray, b: np.ndarray, n1: int, n0: int, tested: np.ndarray)
     return chosen & (weights >= np.log((n0 + 1) / (n1 + 1))), weights
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, most: int = LEXICON) -> Model:
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
     """Fit on at most `sample` labelled rows, taken by a hash of the id. Labels of one class only give an empty lexicon.
 
     Rows that repeat an id have the largest of its labels; texts that agree, label included, count once.
@@ -219,7 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     by_rows = counts.groupBy((total(0) + total(1)).alias("rows")).count().collect()  # a row for each number of rows
     tested = np.bincount([r["rows"] for r in by_rows], [r["count"] for r in by_rows]) if by_rows else np.zeros(1)
     least = counts.withColumn("_tail", F.least(*tails)).where(F.col("_tail") < float(np.log(FALSE_SHARE)))
-    found = least.orderBy("_tail", "feature").limit(most).drop("_tail").toPandas()  # at most `most` rows of eleven numbers
+    found = least.drop("_tail").toPandas()  # eleven numbers for each feature of the sample that could be significant
     found = found.iloc[np.argsort(found["feature"].to_numpy(np.int64).view(np.uint64))]
     keys = found["feature"].to_numpy(np.int64).view(np.uint64)
     n = found[[f"n{i}" for i in range(2 * FOLDS)]].to_numpy(np.int64).reshape(-1, 2, FOLDS)
