@@ -8,7 +8,6 @@ Python object for each word.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +16,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from labelscan.sources.scratch import scratch, stored
+
+__all__ = ["Words", "bucketed", "mixed", "pieces", "plus", "runs", "scratch", "stored", "table"]
+
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -31,35 +34,23 @@ _powers: dict[str, np.ndarray] = {}
 CHUNK = 1 << 20
 
 
-#: Buckets that Spark allows a table.
-MOST_BUCKETS = 100_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint folder, or one in its warehouse without it."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found
-    return spark.sparkContext.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir')}/labelscan-scratch"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Buckets that Spark allows a table, and bytes that one is to hold.
+MOST_BUCKETS, BUCKET_BYTES = 100_000, 128 << 20
 
 
 def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
     """Write df into the shared folder in hash buckets of a column: joins on that column then leave these rows in place.
 
-    There are as many buckets as the session has shuffle partitions, so that they grow with what it is set up for.
+    There are as many buckets as the session has shuffle partitions, or more if those would hold more than BUCKET_BYTES
+    by Spark's estimate of df's size. The catalogue's entry goes with clear_scratch().
     """
     spark = df.sparkSession
-    label = f"labelscan_{name}_{uuid.uuid4().hex}"
-    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_BUCKETS)
+    path = scratch(spark, name)
+    label = path.rpartition("/")[2]
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES), MOST_BUCKETS)
     writer = df.repartition(n, column).write.bucketBy(n, column).format("parquet").option("compression", "zstd")
-    writer.option("path", f"{shared_dir(spark)}/{label}").saveAsTable(label)
+    writer.option("path", path).saveAsTable(label)
     return spark.table(label)
 
 

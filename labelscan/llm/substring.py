@@ -171,9 +171,12 @@ def _halves(owned: DataFrame) -> DataFrame:
 
 
 def _shared(units: DataFrame) -> DataFrame:
-    """Those units (key, piece, owner, last, ...) whose run several documents hold, with `hot` for the runs of many units."""
+    """Those units (key, piece, owner, last, ...) whose run several documents hold, with `hot` for the runs of many units.
+
+    The runs are written first: joined from there, and not from the aggregate, the units of a hot run can be split.
+    """
     by_run = units.groupBy("key").agg(F.min("owner").alias("_low"), F.max("last").alias("_high"), F.count(F.lit(1)).alias("_n"))
-    return units.join(by_run.where("_low < _high").select("key", (F.col("_n") > HOT).alias("hot")), "key")
+    return units.join(stored(by_run.where("_low < _high").select("key", (F.col("_n") > HOT).alias("hot")), "runs"), "key")
 
 
 def search(units: DataFrame) -> DataFrame:
