@@ -15,7 +15,6 @@ from __future__ import annotations
 import gc
 import json
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from labelscan.llm.shared import LOWER, SPACES, Words, pieces, shared_dir
+from labelscan.llm.shared import LOWER, SPACES, Words, pieces, scratch
 
 BLOCK = 4096
 #: Percentiles of the block's values whose widths are tried, ids of a payload at least, parts that a worker remembers, and those of them that are merged at a time.
@@ -260,7 +259,7 @@ def write(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "tex
     Rows without an id come first. Rows that repeat an id follow each other in no particular order. An empty text is
     END alone, an empty table a folder without rows. The order needs one shuffle of the texts by ranges of the id.
     """
-    path = path or f"{shared_dir(docs.sparkSession)}/token-files-{uuid.uuid4().hex}"
+    path = path or scratch(docs.sparkSession, "token_files")
     ordered = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
