@@ -15,7 +15,7 @@ EVAL_TAGS = {
     "en:gluten": "wheat_gluten", "en:wheat": "wheat_gluten", "en:milk": "milk", "en:eggs": "egg", "en:peanuts": "peanut", "en:nuts": "tree_nut",
     "en:soybeans": "soy", "en:sesame-seeds": "sesame", "en:fish": "fish", "en:crustaceans": "shellfish", "en:molluscs": "shellfish",
 }
-#: What the other dialects change in it.
+#: What the other dialects change in it (fixed values).
 TAGS = {
     "eval": EVAL_TAGS,
     "ocr": EVAL_TAGS | {"en:egg": "egg", "en:soy": "soy", "en:tree-nuts": "tree_nut", "en:sesame": "sesame"},

@@ -31,26 +31,30 @@ def duplicate_terms(raw: DataFrame) -> DataFrame:
 def near_duplicates(vocab: DataFrame, bar: float = 0.85) -> DataFrame:
     """(allergen, a, b) of terms of an allergen whose similarity is at least bar.
 
-    With edit distance d at most (1 - bar) times the longer length, one of d + 1 parts of the shorter term stands in
-    the other, moved by at most d: parts are joined with what stands at each of these places, not terms with terms. Terms
-    that are too short to differ in a letter have no near duplicate.
+    A term of n letters differs from a longer partner in `most` places at most, so that one of most + 1 parts of it stands
+    in the partner. As edits before a part and behind it share that number, and the difference of the lengths is part of
+    it, the part can begin at few places only: a partner looks there for the parts of terms of each length that it could
+    be near to. Terms that are too short to differ in a letter have no near duplicate.
     """
     rows = vocab.select("allergen", "term", F.length("term").alias("n")).distinct().where("n > 0")
-    most = F.floor((1 - bar) * F.ceil(F.col("n") / bar)).cast("int")  # of any partner of this or greater length
-    rows = rows.withColumn("most", most).where("most > 0")
-    cut = rows.withColumn("k", F.least(F.col("most") + 1, F.col("n"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    at = lambda i: F.floor(i * F.col("n") / F.col("k")).cast("int")
-    part = F.substring("term", at(F.col("i")) + 1, at(F.col("i") + 1) - at(F.col("i"))).alias("part")
-    places = F.explode(F.sequence(at(F.col("i")) - F.col("most"), at(F.col("i")) + F.col("most"))).alias("q")
-    parts = cut.select("allergen", F.col("term").alias("a"), F.col("n").alias("na"), "most", part, places).where("q >= 0")
-    sizes = cut.select("allergen", F.length(part).alias("len")).distinct()  # a few numbers for each allergen
-    starts = F.explode(F.sequence(F.lit(0), F.col("n") - F.col("len"))).alias("q")
-    grams = rows.join(bounded(sizes), "allergen").where("len > 0 and n >= len").select("allergen", F.col("term").alias("b"), F.col("n").alias("nb"), "len", starts)
-    grams = grams.withColumn("part", F.substring("b", F.col("q") + 1, F.col("len"))).drop("len")
-    longer = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    met = parts.join(grams, ["allergen", "part", "q"]).where(longer & (F.col("nb") - F.col("na") <= F.col("most")))
-    pairs = met.select("allergen", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return pairs.where(similarity(F.col("a"), F.col("b")) >= bar)
+    limit = lambda n: F.floor((1 - bar) * F.ceil(n / bar) + 1e-9).cast("int")
+    at = lambda i: F.floor(i * F.col("na") / F.col("k")).cast("int")
+    size = at(F.col("i") + 1) - at(F.col("i"))
+    place, i = at(F.col("i")), F.col("i")
+    short = rows.select("allergen", F.col("term").alias("a"), F.col("n").alias("na"), limit(F.col("n")).alias("most")).where("most > 0")
+    cut = lambda df: df.withColumn("k", F.least(F.col("most") + 1, F.col("na"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    parts = cut(short).select("allergen", "a", "na", "i", F.substring("a", place + 1, size).alias("part"))
+    lengths = F.explode(F.sequence(F.ceil(F.col("n") * bar - 1e-9).cast("int"), F.col("n"))).alias("na")
+    asked = rows.select("allergen", F.col("term").alias("b"), F.col("n").alias("nb"), lengths).withColumn("most", limit(F.col("na")))
+    more = F.col("nb") - F.col("na")
+    asked = cut(asked.where((F.col("most") > 0) & (more <= F.col("most"))))
+    low = F.greatest(place - i, place + more - (F.col("most") - i), F.lit(0))
+    high = F.least(place + i, place + more + (F.col("most") - i), F.col("nb") - size)
+    asked = asked.withColumn("_low", low).withColumn("_high", high).where("_low <= _high")
+    asked = asked.withColumn("q", F.explode(F.sequence("_low", "_high"))).select("allergen", "b", "nb", "na", "i", F.substring("b", F.col("q") + 1, size).alias("part"))
+    met = parts.join(asked, ["allergen", "na", "i", "part"]).where((F.col("na") < F.col("nb")) | (F.col("a") < F.col("b")))
+    near = met.where(similarity(F.col("a"), F.col("b")) >= bar)
+    return near.select("allergen", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def conflicts(vocab: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import re
 
 from labelscan.functions.tags import ALIASES, ALLERGENS, DISPLAY, NAMES, TAGS
 from labelscan.plans import rules
-from labelscan.sources.fixtures import COMMON, labels_duckdb, quoted
+from labelscan.sources.fixtures import labels_duckdb, quoted
 
 #: Words of a piece of a line, short enough that each of its characters or words can be one byte.
 PIECE = 16
@@ -133,7 +133,7 @@ CTES = {
     "plain_found": "SELECT code, list_sort(list_distinct(list(allergen))) AS p FROM hits WHERE section = 'declared' GROUP BY code",
     "plain": "SELECT e.* EXCLUDE (pred_declared), coalesce(p, []) AS pred_declared FROM evaluated e LEFT JOIN plain_found USING (code)",
     "classes": "SELECT *, CASE WHEN ref_declared = pred_declared THEN 'exact' WHEN len(pred_declared) = 0 THEN 'false_negative' WHEN len(ref_declared) = 0 THEN 'false_positive' WHEN list_has_any(ref_declared, pred_declared) THEN 'partial' ELSE 'mismatch' END AS class FROM evaluated",
-    "common": f"SELECT DISTINCT raw, {norm('raw')} AS term FROM (SELECT lang, raw, count(*) AS n FROM (SELECT lang, unnest(list_distinct(string_split_regex(coalesce(text, ''), '[ \\n]'))) AS raw FROM documents) GROUP BY ALL) JOIN (SELECT lang, count(*) AS size FROM documents GROUP BY lang) USING (lang) WHERE n >= size * {COMMON}",
+    "common": f"SELECT raw, {norm('raw')} AS term FROM (SELECT DISTINCT unnest(string_split_regex(coalesce(text, ''), '[ \\n]')) AS raw FROM documents)",
     "corpus_raw": "SELECT 'g' || (length(term) % 9) AS allergen, raw, term FROM common WHERE term <> ''",
     "corpus": "SELECT DISTINCT allergen, term FROM corpus_raw",
     "prose": f"SELECT * FROM (SELECT doc_id::VARCHAR AS code, {norm('text')} AS text FROM documents) WHERE text <> ''",
@@ -404,9 +404,10 @@ _NEAR = " UNION ".join(
 )
 oracle("voc4_near_duplicates", _NEAR)
 oracle("voc5_conflicts", "SELECT term, 2::BIGINT AS n FROM corpus WHERE length(term) = 3")
-_INFLECTED = "SELECT c.allergen, c.term, w.word, w.n FROM corpus c JOIN words w ON starts_with(w.word, c.term) AND length(w.word) - length(c.term) BETWEEN 1 AND 5 WHERE length(c.term) >= 4 AND NOT contains(c.term, ' ') AND w.word NOT IN (SELECT term FROM corpus)"
+_KEYS = f"SELECT DISTINCT unnest(string_split({norm('text')}, ' ')) AS term FROM benchmark"
+_INFLECTED = f"SELECT c.allergen, c.term, w.word, w.n FROM (SELECT 'g' || (length(term) % 9) AS allergen, term FROM ({_KEYS})) c JOIN words w ON left(w.word, 4) = left(c.term, 4) AND starts_with(w.word, c.term) AND length(w.word) - length(c.term) BETWEEN 1 AND 5 WHERE length(c.term) >= 4 AND NOT contains(c.term, ' ') AND w.word NOT IN ({_KEYS})"
 oracle("voc6_inflections", _INFLECTED)
-_GAPS = f"SELECT DISTINCT keyword FROM (SELECT unnest(string_split({norm('text')}, ' ')) AS keyword FROM benchmark) WHERE keyword <> '' AND keyword IN (SELECT unnest(string_split(text, ' ')) FROM prose) AND keyword NOT IN (SELECT unnest(string_split(term, ' ')) FROM corpus)"
+_GAPS = f"SELECT DISTINCT keyword FROM (SELECT unnest(string_split({norm('text')}, ' ')) AS keyword FROM benchmark) WHERE keyword <> '' AND keyword IN (SELECT unnest(string_split(text, ' ')) FROM prose) AND keyword NOT IN (SELECT unnest(string_split(term, ' ')) FROM terms)"
 oracle("voc7_coverage_gaps", _GAPS)
 _AUDIT = {
     "terms": "SELECT 1 FROM corpus",

@@ -753,15 +753,20 @@ def voc5_conflicts(t: Inputs) -> DataFrame:
     return vocabulary.conflicts(t.corpus_vocab.unionByName(t.corpus_vocab.where("length(term) = 3").select(F.lit("gx").alias("allergen"), "term")))
 
 
+def _keywords(t: Inputs) -> DataFrame:
+    """Words of the benchmark's items."""
+    return t.table("benchmark").select(F.explode(F.array_distinct(F.split(text.normalize(F.col("text")), " "))).alias("keyword")).where("keyword <> ''").distinct()
+
+
 @query
 def voc6_inflections(t: Inputs) -> DataFrame:
-    return vocabulary.inflections(t.corpus_vocab, vocabulary.corpus_words(t.prose))
+    terms = _keywords(t).select(F.concat(F.lit("g"), (F.length("keyword") % 9).cast("string")).alias("allergen"), F.col("keyword").alias("term"))
+    return vocabulary.inflections(terms, vocabulary.corpus_words(t.prose))
 
 
 @query
 def voc7_coverage_gaps(t: Inputs) -> DataFrame:
-    words = t.table("benchmark").select(F.explode(F.array_distinct(F.split(text.normalize(F.col("text")), " "))).alias("keyword")).where("keyword <> ''").distinct()
-    return vocabulary.coverage_gaps(words, t.corpus_vocab, t.prose)
+    return vocabulary.coverage_gaps(_keywords(t), t.vocab, t.prose)
 
 
 @query

@@ -53,9 +53,6 @@ def labels_spark() -> str:
     return _labels_sql(lambda xs, i: f"element_at(array({', '.join(map(quoted, xs))}), CAST({i} AS INT))", "{docs}")
 
 
-#: Words in at least this share of the documents of a language are terms of the corpus vocabulary: at most the mean number of distinct words over the share.
-COMMON = 0.02
-
 
 class Inputs:
     """Derived inputs of one folder of tables."""
@@ -120,13 +117,10 @@ class Inputs:
 
     @cached_property
     def corpus_raw(self) -> DataFrame:
-        """(allergen, raw): common raw words of each language, with a group by their normalised length."""
-        docs = self.table("documents")
-        words = docs.select("lang", F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), "[ \n]"))).alias("raw"))
-        sizes = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
-        counts = words.groupBy("lang", "raw").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(sizes), "lang")
-        common = counts.where(F.col("n") >= F.col("size") * COMMON).select("raw").distinct().withColumn("term", normalize(F.col("raw"))).where("term <> ''")
-        return common.select(F.concat(F.lit("g"), (F.length("term") % 9).cast("string")).alias("allergen"), "raw", "term")
+        """(allergen, raw): all raw words of the documents, with a group by their normalised length."""
+        words = self.table("documents").select(F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), "[ \n]"))).alias("raw")).distinct()
+        terms = words.withColumn("term", normalize(F.col("raw"))).where("term <> ''")
+        return terms.select(F.concat(F.lit("g"), (F.length("term") % 9).cast("string")).alias("allergen"), "raw", "term")
 
     @cached_property
     def corpus_vocab(self) -> DataFrame:

@@ -40,6 +40,10 @@ CASES = [
     ("Zucker. Kann Haselnüsse, Milch enthalten.", set(), {"tree_nut", "milk"}),
     ("_soja_, Crème", {"soy", "milk"}, set()),
     ("milk. May contain milk", {"milk"}, {"milk"}),  # both sections may name it
+    ("حليب، سكر. قد يحتوي على فول سوداني", {"milk"}, {"peanut"}),
+    ("walnut butter, pistachio butter", {"tree_nut"}, set()),
+    ("Kekse glutenfrei, Kakaobutter", set(), set()),
+    ("bread without gluten, beurre de cacao, beurre", set(), set()),
     ("", set(), set()),
     (None, set(), set()),
 ]
