@@ -48,9 +48,10 @@ def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Every row of the mixture, copies too, has a position of its own (`order`), which its source's schedule gives it.
     """
     text = F.col("text")
-    own = F.md5(F.concat_ws(":", digest(F.col("doc_id"), text), F.monotonically_increasing_id()))  # written, so it stays
-    rows = docs.select("doc_id", "source", word_count(text).alias("size"), cluster_of(text).alias("cluster"), own.alias("digest"))
-    placed = schedule(stored(rows, "mixture"))
+    rows = docs.select("doc_id", "source", word_count(text).alias("size"), cluster_of(text).alias("cluster"), digest(F.col("doc_id"), text).alias("digest"))
+    # equal rows are counted and numbered by their count, so that a rerun gives each the same place
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n")).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_n")))
+    placed = schedule(stored(counted.withColumn("digest", F.md5(F.concat_ws(":", "digest", "_copy"))).select(rows.columns), "mixture"))
     return pack(placed, size=F.col("size"), cluster=F.col("cluster"), order=F.col("position"))
 
 
