@@ -112,7 +112,7 @@ def pack(
     schema = "doc_id string, piece int, start long, n_words long, n_bin long, bin_offset long, cluster long, source string, order double"
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["n_words", "doc_id", "piece", "cluster"], ascending=[False, True, True, True], kind="stable")
+        frame = frame.sort_values(["n_words", "doc_id", "piece", "cluster", "order"], ascending=[False, True, True, True, True], kind="stable")
         full = frame[frame.n_words > 0]
         number = int(frame["_group"].iloc[0])
         names = full.source.where(full.source.notna(), None).tolist()
