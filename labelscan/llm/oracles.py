@@ -86,7 +86,35 @@ o AS (
 SELECT *, folded_root = root AS verified FROM o
 """
 
+NEAR = r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT doc_id, w, len(w) AS n FROM (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents)),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 3), ' ') AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(n - 3, 1) + 1)) AS i FROM d WHERE n > 0)),
+c AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT x, y FROM p JOIN c a ON a.doc_id = x JOIN c b ON b.doc_id = y WHERE 100 * p.n >= 80 * (a.n + b.n - p.n)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS node, doc_id AS near FROM d UNION SELECT e.y, r.near FROM r JOIN e ON e.x = r.node)
+SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, m.least AS component_id, d.doc_id = m.least AS kept
+FROM d LEFT JOIN c USING (doc_id) JOIN (SELECT node, min(near) AS least FROM r GROUP BY node) m ON m.node = d.doc_id
+"""
+
+SUBSTRING = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, w, len(w) AS n FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)),
+v AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, n - 48)) AS i FROM d WHERE n >= 50)),
+f AS (SELECT h, min(doc_id) AS least FROM v GROUP BY h),
+g AS MATERIALIZED (SELECT DISTINCT doc_id, i + unnest(range(50)) AS i FROM v JOIN f USING (h) WHERE least < doc_id),
+k AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept, count(*) AS n_kept
+  FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, n + 1)) AS i FROM d WHERE n > 0) a WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.doc_id = a.doc_id AND g.i = a.i) GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_words, (n - coalesce(n_kept, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
 ORACLES = {
+    "op1_substring": SUBSTRING,
+    "op3_near_duplicates": NEAR,
     "op8_mixing": MIXING,
     "op11_ranked_search": RANKED,
     "op13_merkle_manifest": MERKLE,

@@ -54,7 +54,7 @@ def test_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op8_mixing"])
+@pytest.mark.parametrize("name", ["op1_substring", "op3_near_duplicates", "op8_mixing"])
 def test_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
