@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from labelscan.operators import vocabulary
+from labelscan.operators import learn, vocabulary
 from tests.test_whole_job import distance
 
 
@@ -32,3 +32,20 @@ def test_near_duplicates_of_all_lengths(spark, bar):
         words.add(w)
     got = {(r.a, r.b) for r in vocabulary.near_duplicates(spark.createDataFrame([("g", w) for w in words], "allergen string, term string"), bar).collect()}
     assert got == {(a, b) for a in words for b in words if a < b and 1 - distance(a, b) / max(len(a), len(b)) >= bar}
+
+
+def test_ngrams_are_looked_up_by_chunks(spark, monkeypatch):
+    """Weights in many chunks are those of the joined rows, and no n-gram comes to the driver."""
+
+    def gathered(self):
+        raise AssertionError("gathered")
+
+    monkeypatch.setattr(type(spark.range(1)), "toArrow", gathered)
+    monkeypatch.setattr(learn, "CHUNK", 40, raising=False)
+    pick = random.Random(3)
+    texts = [(i, " ".join(pick.choice(["a", "nuts", "nut", "éa", "milk", "𝒳y"]) for _ in range(pick.randint(0, 9)))) for i in range(50)]
+    rows = spark.createDataFrame(texts, "row long, text string")
+    features = learn.fit_features(rows)
+    want = {(x.row, x.at): x.weight for x in learn.weights(rows, features).collect()}
+    got = {(x.row, at): w for x in learn.entries(rows, features, name="x").collect() for at, w in zip(x.x["at"], x.x["weight"], strict=True)}
+    assert want.keys() == got.keys() and all(abs(want[k] - got[k]) < 1e-9 for k in want)
