@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from labelscan.operators import learn, vocabulary
+from labelscan.operators import learn, match, vocabulary
 from tests.test_whole_job import distance
 
 
@@ -49,3 +49,14 @@ def test_ngrams_are_looked_up_by_chunks(spark, monkeypatch):
     want = {(x.row, x.at): x.weight for x in learn.weights(rows, features).collect()}
     got = {(x.row, at): w for x in learn.entries(rows, features, name="x").collect() for at, w in zip(x.x["at"], x.x["weight"], strict=True)}
     assert want.keys() == got.keys() and all(abs(want[k] - got[k]) < 1e-9 for k in want)
+
+
+def test_few_terms_are_looked_for_without_cutting_texts(spark, monkeypatch):
+    texts = spark.createDataFrame([("1", "buttermilk and nuts"), ("1", "milky way"), (None, "coconuts"), ("2", "")], "code string, text string")
+    vocab = spark.createDataFrame([("milk", "milk"), ("milk", "butter"), ("tree_nut", "nut"), ("fish", "and nuts"), ("egg", "")], "allergen string, term string")
+    found = match.substring_hits(texts, vocab, ("code",))
+    assert "Generate" not in found._jdf.queryExecution().toString()
+    rows = lambda df: sorted((r.code or "", r.text, r.allergen, r.term) for r in df.collect())
+    got = rows(found)
+    monkeypatch.setattr(match, "FEW", 0)
+    assert got == rows(match.substring_hits(texts, vocab, ("code",))) and len(got) == 6
