@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from labelscan import queries
 from labelscan.operators import learn, match, vocabulary
 from tests.test_whole_job import distance
 
@@ -60,3 +61,9 @@ def test_few_terms_are_looked_for_without_cutting_texts(spark, monkeypatch):
     got = rows(found)
     monkeypatch.setattr(match, "FEW", 0)
     assert got == rows(match.substring_hits(texts, vocab, ("code",))) and len(got) == 6
+
+
+@pytest.mark.parametrize("name", ["src3_union_vocab", "voc9_add_terms", "voc10_remove_term", "voc12_decisions"])
+def test_the_corpus_is_read_once(spark, name):
+    """What a query reads several times is the corpus vocabulary, and not the documents."""
+    assert not [f for f in queries.QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles() if "documents.parquet" in f]
