@@ -20,3 +20,10 @@ def test_instances_are_worked_out_once(spark):
 
     rows = spark.range(60).select(F.col("id").cast("string").alias("code"), F.lit("milk").alias("allergen"), F.lit(0).alias("is_trace"), (F.col("id") / 60).alias("ocr_confidence"), F.lit(1).alias("extraction_found"), F.lit("en").alias("language"), F.lit(9).alias("text_length"), F.udf(counted, "int")("id").alias("correct"))
     assert learn.confidence_model(rows).count() > 0 and seen.value == 60
+
+
+def test_a_text_is_spelled_out_once(spark):
+    """What spells out the characters that stand for several stands in the plan once."""
+    df = spark.createDataFrame([("Œufs ½ ﬁn",), ("œuf",), (None,)], "t string").select(text.normalize(F.col("t")).alias("n"))
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_extract_all(") == 1
+    assert [r.n for r in df.collect()] == ["oeufs 1 2 fin", "oeuf", ""]
