@@ -27,3 +27,9 @@ def test_a_text_is_spelled_out_once(spark):
     df = spark.createDataFrame([("Œufs ½ ﬁn",), ("œuf",), (None,)], "t string").select(text.normalize(F.col("t")).alias("n"))
     assert df._jdf.queryExecution().analyzed().toString().count("regexp_extract_all(") == 1
     assert [r.n for r in df.collect()] == ["oeufs 1 2 fin", "oeuf", ""]
+
+
+def test_raw_terms_meet_by_their_first_word(spark):
+    labels = spark.createDataFrame([("1", "Soy -milk, x"), ("2", "soymilk"), ("3", "Noix DE coco"), ("4", "noixx de coco"), (None, None)], "code string, text string")
+    vocab = spark.createDataFrame([("milk", "-milk"), ("tree_nut", "noix de coco"), ("egg", "%")], "allergen string, term string")
+    assert {r.code: r.allergens for r in match.baseline_raw(labels, vocab).collect()} == {"1": ["milk"], "3": ["tree_nut"]}
