@@ -33,3 +33,19 @@ def test_raw_terms_meet_by_their_first_word(spark):
     labels = spark.createDataFrame([("1", "Soy -milk, x"), ("2", "soymilk"), ("3", "Noix DE coco"), ("4", "noixx de coco"), (None, None)], "code string, text string")
     vocab = spark.createDataFrame([("milk", "-milk"), ("tree_nut", "noix de coco"), ("egg", "%")], "allergen string, term string")
     assert {r.code: r.allergens for r in match.baseline_raw(labels, vocab).collect()} == {"1": ["milk"], "3": ["tree_nut"]}
+
+
+@pytest.mark.parametrize("name", ["evl12_metric_deltas", "evl13_changed_predictions", "evl15_resolved_fp", "evl16_regression"])
+def test_labels_are_judged_once_for_both_versions(spark, name):
+    assert not [f for f in queries.QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles() if "documents.parquet" in f]
+
+
+def test_both_sets_are_those_of_two_passes(spark):
+    rows = [("1", "butter and peanut butter"), ("2", "no milk but whey"), ("3", "butter and butter whey"), ("4", "sugar"), ("5", "almond milk nuts eggs")]
+    texts = spark.createDataFrame([(c, "declared", t) for c, t in rows], "code string, section string, text string")
+    vocab = spark.createDataFrame([("milk", "butter"), ("milk", "milk"), ("milk", "whey"), ("tree_nut", "nuts"), ("tree_nut", "almond"), ("egg", "eggs"), ("peanut", "peanut")], "allergen string, term string")
+    both = {r.code: r for r in match.detect_both(texts, vocab, ("code", "section")).collect()}
+    ruled = {r.code: (r.allergens, r.matches) for r in match.detect(texts, vocab).collect()}
+    plain = {r.code: r.allergens for r in match.detect(texts, vocab, negate=False, kinds=()).collect()}
+    assert {c: r.unruled for c, r in both.items()} == plain and len(plain) == 4
+    assert {c: (r.allergens, r.matches) for c, r in both.items() if r.allergens} == ruled and len(ruled) < 4
