@@ -49,3 +49,8 @@ def test_both_sets_are_those_of_two_passes(spark):
     plain = {r.code: r.allergens for r in match.detect(texts, vocab, negate=False, kinds=()).collect()}
     assert {c: r.unruled for c, r in both.items()} == plain and len(plain) == 4
     assert {c: (r.allergens, r.matches) for c, r in both.items() if r.allergens} == ruled and len(ruled) < 4
+
+
+def test_raw_words_are_made_distinct_once(spark):
+    plan = queries.QUERIES["src4_raw_vocabulary"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1
