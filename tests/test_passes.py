@@ -54,3 +54,13 @@ def test_both_sets_are_those_of_two_passes(spark):
 def test_raw_words_are_made_distinct_once(spark):
     plan = queries.QUERIES["src4_raw_vocabulary"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate [") == 1
+
+
+def test_a_fit_has_a_task_a_core(spark, monkeypatch):
+    """A step's gradients are as many as there are cores, however many chunks there are."""
+
+    class Model:
+        fit = staticmethod(lambda df: df.rdd.getNumPartitions())
+
+    monkeypatch.setattr(learn, "clause_classifier", Model)
+    assert learn.fitted(spark.range(100).repartition(40)) == spark.sparkContext.defaultParallelism
