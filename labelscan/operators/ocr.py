@@ -107,6 +107,18 @@ def ingredient_section(lines: DataFrame, stops: tuple[str, ...] = STOPS, cap: in
     return out.select("image_id", section.alias("section"), ((F.col("stopped") == 1) | (F.col("total") <= cap)).alias("found"))
 
 
+def _measured(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """error_rates() of batches (by, _r, _p)."""
+    for batch in batches:
+        found = []
+        for r, p in zip(batch.column("_r"), batch.column("_p"), strict=True):
+            r, p = r.as_py(), p.as_py()  # a pair at a time: a batch's texts are not held a second time
+            words = r.split(" ") if r else []
+            found.append((distance(r, p) / len(r), distance(words, p.split(" ") if p else []) / len(words)) if r else (float(p != ""),) * 2)
+        rates = [pa.array([x[i] for x in found], pa.float64()) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in by), *rates], [*by, "cer", "wer"])
+
+
 def error_rates(texts: DataFrame, by: tuple[str, ...] = ("image_id", "lang")) -> DataFrame:
     """(by, cer, wer) of whole texts (by, reference, predicted): edits of characters and of words over the reference's.
 
@@ -115,17 +127,8 @@ def error_rates(texts: DataFrame, by: tuple[str, ...] = ("image_id", "lang")) ->
     """
     rows = texts.select(*by, normalize_ocr(F.col("reference")).alias("_r"), normalize_ocr(F.col("predicted")).alias("_p"))
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for r, p in zip(batch.column("_r").to_pylist(), batch.column("_p").to_pylist(), strict=True):
-                words = r.split(" ") if r else []
-                found.append((distance(r, p) / len(r), distance(words, p.split(" ") if p else []) / len(words)) if r else (float(p != ""),) * 2)
-            rates = [pa.array([x[i] for x in found], pa.float64()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in by), *rates], [*by, "cer", "wer"])
-
     kinds = StructType([*(rows.schema[c] for c in by), StructField("cer", DoubleType()), StructField("wer", DoubleType())])
-    return rows.mapInArrow(measure, kinds)
+    return rows.mapInArrow(lambda batches: _measured(batches, by), kinds)
 
 
 def judged(texts: DataFrame, vocab: DataFrame, conditions: dict[str, str]) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from labelscan import queries
 from labelscan.functions import text
-from labelscan.operators import learn, match
+from labelscan.operators import learn, match, ocr
 
 
 def test_instances_are_worked_out_once(spark):
@@ -64,3 +67,12 @@ def test_a_fit_has_a_task_a_core(spark, monkeypatch):
 
     monkeypatch.setattr(learn, "clause_classifier", Model)
     assert learn.fitted(spark.range(100).repartition(40)) == spark.sparkContext.defaultParallelism
+
+
+def test_texts_of_a_batch_are_not_held_twice():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500)), *[pa.array(["x" * 9_999 + str(i) for i in range(500)])] * 2], ["image_id", "_r", "_p"])
+    tracemalloc.start()
+    found = [x for b in ocr._measured(iter([batch]), ("image_id",)) for x in b.column("cer").to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [0.0] * 500 and peak < batch.nbytes / 5
