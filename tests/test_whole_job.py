@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from labelscan import queries
 from labelscan.functions import text
 from labelscan.operators import embed, ocr
+from labelscan.sources.fixtures import Inputs
 
 
 def distance(a, b):
@@ -71,3 +72,11 @@ def test_candidates_are_negated_and_excluded(spark):
     hits = spark.createDataFrame([("9", "milk")], "code string, allergen string")
     got = {(r.code, r.allergen, r.term, r.pos) for r in embed.gated_candidates(best, hits, texts, 0.3).collect()}
     assert got == {("2", "milk", "whey", 1), ("3", "milk", "milk", 0), ("4", "egg", "egg", 0)}
+
+
+def test_products_keep_white_space_and_nul(spark, tmp_path):
+    """What stands at the ends of a cell, and a NUL beside quotes, comes back from a CSV file."""
+    texts = ["space ", "line\n", "tab\t", "end\r", "both\r\n", "nul\0", 'a "quoted" \0 nul', '\0"', "é  ", "plain", '"', 'say "x", y\n"z" ']
+    sf = save(spark, tmp_path, "documents", [(1 + 13 * i, t, "en", " src ") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    labels = Inputs(spark, sf).labels.select("code", "source", F.length("text"), F.md5("text"), "lang")
+    assert sorted(map(tuple, queries.QUERIES["src1_read_products"](spark, sf).collect())) == sorted(map(tuple, labels.collect()))
